@@ -116,3 +116,17 @@ def with_views(body: str, *names: str, extra: dict[str, str] | None = None) -> s
     if not parts:
         return body
     return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+def duck_tokens(expr: str) -> str:
+    return f"list_filter(regexp_split_to_array({expr}, '\\s+'), lambda x: x <> '')"
+
+
+def duck_match(line: str, pattern: str) -> str:
+    """DuckDB form of ``match_line`` (the invalid token '(' is guarded)."""
+    lt, pt = duck_tokens(line), duck_tokens(pattern)
+    return (f"(CASE WHEN len({lt}) = 0 AND len({pt}) = 0 THEN true "
+            f"WHEN len({lt}) <> len({pt}) THEN false "
+            f"ELSE list_bool_and(list_transform(list_zip({lt}, {pt}), lambda z: "
+            f"CASE WHEN z[1] = z[2] THEN true WHEN z[2] = '(' THEN false "
+            f"ELSE regexp_full_match(z[1], z[2]) END)) END)")
