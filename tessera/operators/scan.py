@@ -5,10 +5,12 @@ one task, so one hot key (a giant result, script or suite) becomes one
 straggler. The scans here split each key into buckets of ``pos div width``,
 which are contiguous ranges of the order:
 
-1. per (key, bucket) partial aggregates (map-side combined, one row per bucket);
-2. exclusive prefix of those aggregates over the buckets of each key (a small
-   table: one row per non-empty bucket);
-3. join back on (key, bucket) and finish with a window per (key, bucket).
+1. one hash exchange on (key, bucket) and a window per (key, bucket) giving
+   each row its in-bucket running value and its bucket's total;
+2. one row per bucket from that output (already clustered, so no exchange),
+   and the exclusive prefix over the buckets of each key (a small table);
+3. join the per-bucket prefix back on (key, bucket); the rows side keeps its
+   partitioning, only the small side moves (or is broadcast by AQE).
 
 Everything is deterministic and stays in built-in expressions; no sampling,
 no driver round trip. ``width`` bounds the rows a window task sees per key.
@@ -42,40 +44,40 @@ def bucketed_scan(df: DataFrame, keys: Sequence[str], order: str,
     """
     sums = dict(sums or {})
     lasts = dict(lasts or {})
+    if not sums and not lasts:
+        raise ValueError("bucketed_scan needs at least one sum or last")
     keys = list(keys)
-    b = "__bucket"
+    b = "__bs_bucket"
     tmp = df.withColumn(b, F.floor(F.col(order) / F.lit(width)).cast("long"))
     for name, expr in sums.items():
-        tmp = tmp.withColumn(f"__s_{name}", expr.cast("long"))
+        tmp = tmp.withColumn(f"__bs_s_{name}", expr.cast("long"))
     for name, expr in lasts.items():
-        tmp = tmp.withColumn(f"__l_{name}", expr)
-    ordcol = F.struct(*_cols([order, *tiebreak]))
+        tmp = tmp.withColumn(f"__bs_l_{name}", expr)
 
-    seg_aggs = [F.sum(f"__s_{n}").alias(f"__S_{n}") for n in sums]
-    seg_aggs += [F.max_by(F.col(f"__l_{n}"),
-                          F.when(F.col(f"__l_{n}").isNotNull(), ordcol)).alias(f"__L_{n}")
-                 for n in lasts]
-    if not seg_aggs:
-        raise ValueError("bucketed_scan needs at least one sum or last")
-    seg = tmp.groupBy(*keys, b).agg(*seg_aggs)
+    # 1. one exchange on (keys, bucket); running value and bucket total per row
+    ordered = Window.partitionBy(*keys, b).orderBy(*_cols([order, *tiebreak]))
+    run = ordered.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = tmp.select(
+        "*",
+        *[F.sum(f"__bs_s_{n}").over(run).alias(f"__bs_r_{n}") for n in sums],
+        *[F.sum(f"__bs_s_{n}").over(whole).alias(f"__bs_T_{n}") for n in sums],
+        *[F.last(f"__bs_l_{n}", ignorenulls=True).over(run).alias(f"__bs_r_{n}") for n in lasts],
+        *[F.last(f"__bs_l_{n}", ignorenulls=True).over(whole).alias(f"__bs_T_{n}") for n in lasts])
+    # 2. one row per bucket (already clustered: no exchange), prefix over the buckets of a key
+    seg = x.groupBy(*keys, b).agg(*[F.first(f"__bs_T_{n}").alias(f"__bs_T_{n}") for n in [*sums, *lasts]])
     wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.select(
         *keys, b,
-        *[F.coalesce(F.sum(f"__S_{n}").over(wb), F.lit(0)).alias(f"__O_{n}") for n in sums],
-        *[F.last(f"__L_{n}", ignorenulls=True).over(wb).alias(f"__C_{n}") for n in lasts],
-    )
-    joined = tmp.join(seg, on=[*keys, b], how="left")
-    frame_end = 0 if inclusive else -1
-    wr = (Window.partitionBy(*keys, b).orderBy(*_cols([order, *tiebreak]))
-          .rowsBetween(Window.unboundedPreceding, frame_end))
-    out = joined
+        *[F.coalesce(F.sum(f"__bs_T_{n}").over(wb), F.lit(0)).alias(f"__bs_O_{n}") for n in sums],
+        *[F.last(f"__bs_T_{n}", ignorenulls=True).over(wb).alias(f"__bs_O_{n}") for n in lasts])
+    # 3. join the small per-bucket side back (rows keep their partitioning)
+    out = x.join(seg, on=[*keys, b], how="left")
     for n in sums:
-        out = out.withColumn(
-            n, F.col(f"__O_{n}") + F.coalesce(F.sum(f"__s_{n}").over(wr), F.lit(0)))
+        out = out.withColumn(n, F.col(f"__bs_O_{n}") + F.coalesce(F.col(f"__bs_r_{n}"), F.lit(0)))
     for n in lasts:
-        out = out.withColumn(
-            n, F.coalesce(F.last(f"__l_{n}", ignorenulls=True).over(wr), F.col(f"__C_{n}")))
-    drop = [b] + [c for c in out.columns if c.startswith("__")]
+        out = out.withColumn(n, F.coalesce(F.col(f"__bs_r_{n}"), F.col(f"__bs_O_{n}")))
+    drop = [c for c in out.columns if c.startswith("__bs_")]
     return out.drop(*drop)
 
 

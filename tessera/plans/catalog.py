@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import q_eventlog, q_verify  # noqa: F401
+from tessera.plans import q_eventlog, q_scripts, q_verify  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 
