@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import q_eventlog, q_offsets, q_scripts, q_testevents, q_verify  # noqa: F401
+from tessera.plans import q_eventlog, q_generate, q_offsets, q_scripts, q_testevents, q_verify  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 
