@@ -251,10 +251,3 @@ def run_summary_from_log(events: DataFrame) -> DataFrame:
         F.col("Stage Info.Submission Time").alias("submit_ms"),
         F.col("Stage Info.Completion Time").alias("complete_ms"))
     return run_summary(ends, st)
-
-
-def latest_run(run_dirs: DataFrame, prefix_col: str = "stream_id", path_col: str = "path") -> DataFrame:
-    """Among run folders whose name starts with the stream id, the greatest name."""
-    name = F.element_at(F.split(F.col(path_col), "/"), -1)
-    return (run_dirs.where(F.startswith(name, F.col(prefix_col)))
-            .groupBy(prefix_col).agg(F.max(path_col).alias("latest_path")))

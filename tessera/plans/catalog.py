@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import q_eventlog, q_generate, q_offsets, q_scripts, q_testevents, q_verify  # noqa: F401
+from tessera.plans import (  # noqa: F401
+    q_eventlog, q_generate, q_offsets, q_scripts, q_sources, q_testevents, q_verify)
 from tessera.plans.registry import ORACLES, QUERIES
 
 
