@@ -228,8 +228,8 @@ def gen_table(spark: SparkSession, spec: TableSpec, n: int | None = None, seed:
 
 
 # ------------------------------------------------------------------ DuckDB oracle
-def gen_sql(spec: TableSpec, n_sql: str, seed: int = 42) -> str:
-    """The same table as DuckDB SQL over ``range(n_sql)``."""
+def gen_sql(spec: TableSpec, n_sql: str, seed: int = 42, ids_sql: str | None = None) -> str:
+    """The same table as DuckDB SQL over ``range(n_sql)`` (or over ``ids_sql`` rows with an ``id``)."""
     d = gx.DUCKDB
     hb = []
     for i, c in enumerate(spec.columns):
@@ -237,7 +237,8 @@ def gen_sql(spec: TableSpec, n_sql: str, seed: int = 42) -> str:
             h = include_hit(d, seed, spec.name, c, "id")
             hb.append(f"coalesce(sum(CASE WHEN {h} THEN 1 ELSE 0 END) OVER (ORDER BY id ROWS BETWEEN "
                       f"UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __hb_{i}")
-    inner = f"SELECT id{''.join(', ' + x for x in hb)} FROM range({n_sql}) r(id)"
+    src = f"({ids_sql}) r" if ids_sql else f"range({n_sql}) r(id)"
+    inner = f"SELECT id{''.join(', ' + x for x in hb)} FROM {src}"
     cols = []
     for i, c in enumerate(spec.columns):
         draw = f"(id - __hb_{i})" if ramp_has_include(c) else "id"
