@@ -64,6 +64,10 @@ def bucketed_scan(df: DataFrame, keys: Sequence[str], order: str,
         *[F.sum(f"__bs_s_{n}").over(whole).alias(f"__bs_T_{n}") for n in sums],
         *[F.last(f"__bs_l_{n}", ignorenulls=True).over(run).alias(f"__bs_r_{n}") for n in lasts],
         *[F.last(f"__bs_l_{n}", ignorenulls=True).over(whole).alias(f"__bs_T_{n}") for n in lasts])
+    # Both branches below read ``x``. A lazy reliable checkpoint turns it into one
+    # RDD whose shuffle runs once for both, and keeps nested scans linear instead of
+    # re-planning the whole upstream lineage at every use.
+    x = x.checkpoint(eager=False)
     # 2. one row per bucket (already clustered: no exchange), prefix over the buckets of a key
     seg = x.groupBy(*keys, b).agg(*[F.first(f"__bs_T_{n}").alias(f"__bs_T_{n}") for n in [*sums, *lasts]])
     wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)

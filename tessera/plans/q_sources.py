@@ -161,9 +161,14 @@ def golden_lines(spark, sf):
 @register("target_scan", with_views("""
 SELECT case_id AS file, CAST(0 AS BIGINT) AS target_idx, row_idx, line FROM result_lines WHERE case_id % 13 = 0
 UNION ALL
-SELECT r.case_id, r.row_idx // 10, r.row_idx % 10, r.line FROM result_lines r
-JOIN (SELECT case_id, max(row_idx // 10) AS last FROM result_lines GROUP BY case_id) m ON r.case_id = m.case_id
-WHERE r.case_id % 13 <> 0 AND NOT (r.case_id % 11 = 0 AND r.row_idx // 10 = m.last)""", "result_lines"))
+SELECT case_id, 0, 0, '### target 0 start' FROM m WHERE case_id % 13 <> 0 AND case_id % 11 = 0 AND last = 0
+UNION ALL
+SELECT r.case_id, 0, r.row_idx + 1, r.line FROM result_lines r JOIN m ON r.case_id = m.case_id
+WHERE r.case_id % 13 <> 0 AND r.case_id % 11 = 0 AND m.last = 0
+UNION ALL
+SELECT r.case_id, r.row_idx // 10, r.row_idx % 10, r.line FROM result_lines r JOIN m ON r.case_id = m.case_id
+WHERE r.case_id % 13 <> 0 AND NOT (r.case_id % 11 = 0 AND r.row_idx // 10 = m.last)""", "result_lines",
+    extra={"m": "SELECT case_id, max(row_idx // 10) AS last FROM result_lines GROUP BY case_id"}))
 def q_target_scan(spark, sf):
     return read_targets(golden_lines(spark, sf))
 

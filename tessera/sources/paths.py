@@ -25,8 +25,10 @@ def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
 def _ancestors(rel: Column) -> Column:
     """Array of the proper ancestor folders of a relative path: a, a/b, ..."""
     segs = F.split(rel, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(segs) - 1),
-                       lambda i: F.array_join(F.slice(segs, 1, i), "/"))
+    # sequence(1, 0) would count down: a path without a parent has no ancestors
+    return F.when(F.size(segs) > 1, F.transform(F.sequence(F.lit(1), F.size(segs) - 1),
+                                                lambda i: F.array_join(F.slice(segs, 1, i), "/"))
+                  ).otherwise(F.array().cast("array<string>"))
 
 
 def find_suites(files: DataFrame, path_col: str = "path") -> DataFrame:

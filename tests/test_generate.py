@@ -39,7 +39,10 @@ def test_except_and_include_rules(spark):
     df = gen_table(spark, rules_spec(), n=20000)
     assert df.where("a IN (4, 5) OR b IN (0.0, 10.0)").count() == 0
     share = df.where("a = 7").count() / 20000
-    assert 0.1 <= share < 0.2        # include 0.1 plus the normal's own mass at 7
+    from tessera.functions.gen_exprs import int_normal_probs
+    p = int_normal_probs(10.0)
+    expected = 0.1 + 0.9 * p[7] / (1 - p[4] - p[5])   # include hit, else redraw outside {4, 5}
+    assert abs(share - expected) < 0.015
     excluded = [datetime(1970, 1, 1, 7, 0, 1), datetime(1970, 1, 1, 7, 0, 3)]
     assert df.where(F.col("ts").isin(excluded)).count() == 0
 
