@@ -109,15 +109,26 @@ def sql_run_merge(jobs: DataFrame) -> DataFrame:
         F.count("finish_ms").alias("n_finished"))
 
 
+def _side(run_value: str, col: str):
+    """The value of ``col`` on the row of one run (one row per (run, key) in the input)."""
+    return F.max(F.when(F.col("run") == run_value, F.col(col)))
+
+
+def _present(run_value: str):
+    return F.max(F.when(F.col("run") == run_value, F.lit(1)))
+
+
 def sql_regression(merged: DataFrame, base: str = "base", reg: str = "reg") -> DataFrame:
-    """Union of SQL texts; diff = reg - base; rate = diff / reg; red when diff >= 0."""
-    b = merged.where(F.col("run") == base).select(
-        "sql_text", F.col("first_ms").alias("base_ms"), F.col("avg_ms").alias("base_avg_ms"))
-    r = merged.where(F.col("run") == reg).select(
-        "sql_text", F.col("first_ms").alias("reg_ms"), F.col("avg_ms").alias("reg_avg_ms"))
+    """Union of SQL texts; diff = reg - base; rate = diff / reg; red when diff >= 0.
+
+    ``merged`` has one row per (run, sql), so baseline and regression sides are
+    conditional aggregates of one keyed aggregation (no self-join, one pass).
+    """
+    j = (merged.where(F.col("run").isin(base, reg)).groupBy("sql_text")
+         .agg(_side(base, "first_ms").alias("base_ms"), _side(reg, "first_ms").alias("reg_ms"),
+              _side(base, "avg_ms").alias("base_avg_ms"), _side(reg, "avg_ms").alias("reg_avg_ms")))
     diff = F.col("reg_ms") - F.col("base_ms")
-    return (b.join(r, "sql_text", "full_outer")
-            .withColumn("diff_ms", diff)
+    return (j.withColumn("diff_ms", diff)
             .withColumn("rate", F.round(F.try_divide(F.col("diff_ms").cast("double"),
                                                      F.col("reg_ms").cast("double")), 9))
             .withColumn("regressed", F.col("diff_ms") >= 0)
@@ -150,17 +161,13 @@ def stage_avg_sql(stages: DataFrame, kept_jobs: DataFrame | None = None) -> Data
 
 def stage_regression(stage_avg: DataFrame, base: str = "base", reg: str = "reg") -> DataFrame:
     """Positional stage diff: truncated diff of means, rate over the regression mean."""
-    b = stage_avg.where(F.col("run") == base).select(
-        "sql_text", "pos", F.col("name").alias("base_name"), F.col("avg_ms").alias("base_avg_ms"))
-    r = stage_avg.where(F.col("run") == reg).select(
-        "sql_text", "pos", F.col("name").alias("reg_name"), F.col("avg_ms").alias("reg_avg_ms"))
+    j = (stage_avg.where(F.col("run").isin(base, reg)).groupBy("sql_text", "pos")
+         .agg(_side(base, "name").alias("base_name"), _side(reg, "name").alias("reg_name"),
+              _side(base, "avg_ms").alias("base_avg_ms"), _side(reg, "avg_ms").alias("reg_avg_ms")))
     d = F.col("reg_avg_ms") - F.col("base_avg_ms")
-    return (b.join(r, ["sql_text", "pos"], "full_outer")
-            .select("sql_text", "pos",
-                    F.coalesce("base_name", "reg_name").alias("name"),
-                    "base_avg_ms", "reg_avg_ms",
-                    d.cast("long").alias("diff_ms"),
-                    F.round(F.try_divide(d, F.col("reg_avg_ms")), 9).alias("rate")))
+    return j.select("sql_text", "pos", F.coalesce("base_name", "reg_name").alias("name"),
+                    "base_avg_ms", "reg_avg_ms", d.cast("long").alias("diff_ms"),
+                    F.round(F.try_divide(d, F.col("reg_avg_ms")), 9).alias("rate"))
 
 
 # ---------------------------------------------------------------- stream flavour
@@ -194,18 +201,24 @@ def stream_stage_avg(stages: DataFrame, kept_jobs: DataFrame | None = None) -> D
 
 
 def stream_metrics(jobs: DataFrame) -> DataFrame:
-    return stream_span(jobs).join(stream_avg(jobs), ["run", "stream_id"])
+    """Span, batch count and time per batch in one keyed aggregation."""
+    el = F.coalesce(F.col("finish_ms") - F.col("submit_ms"), F.lit(0))
+    return (jobs.where(F.col("stream_id").isNotNull()).groupBy("run", "stream_id")
+            .agg((F.max("finish_ms") - F.min("submit_ms")).alias("span_ms"),
+                 F.count(F.lit(1)).alias("batches"), F.sum(el).alias("__total"))
+            .select("run", "stream_id", "span_ms", "batches",
+                    F.expr("__total div batches").alias("ms_per_batch")))
 
 
 def stream_regression(metrics: DataFrame, base: str = "base", reg: str = "reg") -> DataFrame:
     """Streams of the baseline, regression values where present; % of baseline; red when > 0."""
-    b = metrics.where(F.col("run") == base).select(
-        "stream_id", F.col("span_ms").alias("base_span_ms"), F.col("batches").alias("base_batches"),
-        F.col("ms_per_batch").alias("base_ms_per_batch"))
-    r = metrics.where(F.col("run") == reg).select(
-        "stream_id", F.col("span_ms").alias("reg_span_ms"), F.col("batches").alias("reg_batches"),
-        F.col("ms_per_batch").alias("reg_ms_per_batch"))
-    j = b.join(r, "stream_id", "left")
+    j = (metrics.where(F.col("run").isin(base, reg)).groupBy("stream_id")
+         .agg(_present(base).alias("__b"),
+              _side(base, "span_ms").alias("base_span_ms"), _side(reg, "span_ms").alias("reg_span_ms"),
+              _side(base, "batches").alias("base_batches"), _side(reg, "batches").alias("reg_batches"),
+              _side(base, "ms_per_batch").alias("base_ms_per_batch"),
+              _side(reg, "ms_per_batch").alias("reg_ms_per_batch"))
+         .where(F.col("__b").isNotNull()))
     span_d = F.col("reg_span_ms") - F.col("base_span_ms")
     batch_d = F.col("reg_batches") - F.col("base_batches")
     tpb_d = F.col("reg_ms_per_batch") - F.col("base_ms_per_batch")
@@ -221,12 +234,13 @@ def stream_regression(metrics: DataFrame, base: str = "base", reg: str = "reg")
 
 def stream_stage_regression(stage_avg: DataFrame, base: str = "base", reg: str = "reg") -> DataFrame:
     """Stages zipped by position (cut to the shorter list): reg - base."""
-    b = stage_avg.where(F.col("run") == base).select(
-        "stream_id", "pos", "name", F.col("avg_ms").alias("base_avg_ms"))
-    r = stage_avg.where(F.col("run") == reg).select(
-        "stream_id", "pos", F.col("avg_ms").alias("reg_avg_ms"))
-    return (b.join(r, ["stream_id", "pos"])
-            .withColumn("diff_ms", F.col("reg_avg_ms") - F.col("base_avg_ms")))
+    j = (stage_avg.where(F.col("run").isin(base, reg)).groupBy("stream_id", "pos")
+         .agg(_present(base).alias("__b"), _present(reg).alias("__r"),
+              _side(base, "name").alias("name"),
+              _side(base, "avg_ms").alias("base_avg_ms"), _side(reg, "avg_ms").alias("reg_avg_ms"))
+         .where(F.col("__b").isNotNull() & F.col("__r").isNotNull()))
+    return j.select("stream_id", "pos", "name", "base_avg_ms", "reg_avg_ms",
+                    (F.col("reg_avg_ms") - F.col("base_avg_ms")).alias("diff_ms"))
 
 
 # ---------------------------------------------------------------- one log
@@ -245,9 +259,11 @@ def run_summary(jobs: DataFrame, stages: DataFrame) -> DataFrame:
 
 
 def run_summary_from_log(events: DataFrame) -> DataFrame:
-    ends = events.where(F.col("Event") == JOB_END).select("run", F.lit("x").alias("result"))
-    st = events.where(F.col("Event") == STAGE_DONE).select(
-        "run", F.col("Stage Info.Stage ID").alias("stage_id"),
-        F.col("Stage Info.Submission Time").alias("submit_ms"),
-        F.col("Stage Info.Completion Time").alias("complete_ms"))
-    return run_summary(ends, st)
+    """``run_summary`` in one pass over the log (conditional aggregates per run)."""
+    done = F.col("Event") == STAGE_DONE
+    order = F.when(done, F.struct(F.col("Stage Info.Completion Time"), F.col("Stage Info.Stage ID")))
+    return (events.groupBy("run")
+            .agg(F.count_if(F.col("Event") == JOB_END).alias("batch_count"),
+                 F.min_by(F.col("Stage Info.Submission Time"), order).alias("__first"),
+                 F.max_by(F.col("Stage Info.Completion Time"), order).alias("__last"))
+            .select("run", "batch_count", ((F.col("__last") - F.col("__first")) / 1000.0).alias("total_sec")))
