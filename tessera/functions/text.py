@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 _META = r"[\\.\[\]{}()*+?^$|]"
 
 
+_CTRL = "".join(chr(i) for i in range(0x21))
+
+
 def jtrim(c: Column) -> Column:
     """Java ``String.trim``: strip chars <= U+0020 at both ends."""
-    return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.trim(c, F.lit(_CTRL))
 
 
 def tokens(c: Column, sep: str = r"\s+") -> Column:
@@ -39,7 +42,8 @@ def match_line(line: Column, pattern: Column, sep: str = r"\s+") -> Column:
     """Token-wise line match: both empty -> true; counts equal; each token matches."""
     lt, pt = tokens(line, sep), tokens(pattern, sep)
     return (
-        F.when((F.size(lt) == 0) & (F.size(pt) == 0), F.lit(True))
+        F.when(line == pattern, F.lit(True))  # identical text: no tokenizing needed
+         .when((F.size(lt) == 0) & (F.size(pt) == 0), F.lit(True))
          .when(F.size(lt) != F.size(pt), F.lit(False))
          .otherwise(F.forall(F.zip_with(lt, pt, lambda w, p: token_match(w, p)), lambda x: x))
     )

@@ -37,12 +37,15 @@ def is_block(seg_lower: Column) -> Column:
 
 def split_comment(lines: DataFrame) -> DataFrame:
     """Per non-empty line: ``seg`` (text before the first ``--``) and ``comment``
-    (text between the first and second ``--``; absent when nothing non-empty follows)."""
-    toks = F.split(F.col("line"), "--")
-    has_comment = F.exists(F.slice(toks, 2, F.greatest(F.size(toks), F.lit(1))), lambda x: F.length(x) > 0)
+    (text between the first and second ``--``; absent when nothing non-empty follows,
+    as ``split("--")`` drops trailing empty pieces)."""
+    line = F.col("line")
+    dash = F.instr(line, "--")
+    rest = F.when(dash > 0, F.expr("substring(line, instr(line, '--') + 2)"))
+    has_comment = (dash > 0) & ~rest.rlike("^(--)*$")
     return (lines.where(F.length("line") > 0)
-            .withColumn("seg", jtrim(toks[0]))
-            .withColumn("comment", F.when(has_comment, jtrim(toks[1]))))
+            .withColumn("seg", jtrim(F.substring_index(line, "--", 1)))
+            .withColumn("comment", F.when(has_comment, jtrim(F.substring_index(rest, "--", 1)))))
 
 
 def statements(lines: DataFrame) -> DataFrame:
@@ -69,8 +72,7 @@ def statements(lines: DataFrame) -> DataFrame:
     p = (p.withColumn("__close", close)
           .withColumn("__stmt", F.coalesce(F.sum(F.col("__close").cast("int")).over(before), F.lit(0))))
     closed = (p.groupBy("file", "__stmt")
-              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "seg"))),
-                                            lambda x: x["seg"]), "\n").alias("__text"),
+              .agg(F.expr("listagg(seg, '\\n') WITHIN GROUP (ORDER BY n)").alias("__text"),
                    F.max(F.struct("n", "__close", "comment")).alias("__last"))
               .where(F.col("__last.__close"))
               .select("file", F.col("__last.n").alias("n"), jtrim(F.col("__text")).alias("sql"),
