@@ -72,7 +72,8 @@ def statements(lines: DataFrame) -> DataFrame:
     p = (p.withColumn("__close", close)
           .withColumn("__stmt", F.coalesce(F.sum(F.col("__close").cast("int")).over(before), F.lit(0))))
     closed = (p.groupBy("file", "__stmt")
-              .agg(F.expr("listagg(seg, '\\n') WITHIN GROUP (ORDER BY n)").alias("__text"),
+              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "seg"))),
+                                            lambda x: x["seg"]), "\n").alias("__text"),
                    F.max(F.struct("n", "__close", "comment")).alias("__last"))
               .where(F.col("__last.__close"))
               .select("file", F.col("__last.n").alias("n"), jtrim(F.col("__text")).alias("sql"),
@@ -101,20 +102,20 @@ def statement_class(steps: DataFrame) -> DataFrame:
     A ``create stream`` resets its topic unless the comment says ``no-reset``.
     """
     toks = F.split(F.col("sql"), r"\s+")
-    t1 = _word(toks, 1)
-    t2 = F.when(_word(toks, 2) == "if", _word(toks, 5)).otherwise(_word(toks, 2))
+    w = (steps.where(F.col("sql") != "")
+         .select("file", "n", "comment", F.size(toks).alias("__k"), _word(toks, 1).alias("__t1"),
+                 _word(toks, 2).alias("__t2"), _word(toks, 5).alias("__t5")))
+    t1 = F.col("__t1")
+    t2 = F.when(F.col("__t2") == "if", F.col("__t5")).otherwise(F.col("__t2"))
     create_kind = {"table": "create_table", "external": "create_external",
                    "view": "create_view", "stream": "create_stream"}
-    kind = F.lit("other")
-    cond = None
+    cond = F.when(F.col("__k") < 2, "other")
     for word, k in create_kind.items():
-        c = (t1 == "create") & (t2 == word)
-        cond = F.when(c, k) if cond is None else cond.when(c, k)
-    cond = cond.when((t1 == "use") & (t2 == "application"), "use_application")
-    kind = F.when(F.size(toks) >= 2, cond.otherwise("other")).otherwise("other")
+        cond = cond.when((t1 == "create") & (t2 == word), k)
+    kind = cond.when((t1 == "use") & (t2 == "application"), "use_application").otherwise("other")
     reset = (kind == "create_stream") & ~F.coalesce(F.contains(F.col("comment"), F.lit("no-reset")),
                                                    F.lit(False))
-    return steps.where(F.col("sql") != "").select("file", "n", kind.alias("kind"), reset.alias("reset"))
+    return w.select("file", "n", kind.alias("kind"), reset.alias("reset"))
 
 
 CREATED_OBJECT_RX = r"(?is)create\s+(?:external\s+)?\S+\s+(?:if\s+not\s+exists\s+)?([^\s(]+)"
