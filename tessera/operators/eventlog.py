@@ -139,7 +139,7 @@ def sql_regression(merged: DataFrame, base: str = "base", reg: str = "reg") -> D
 def stage_positions(stages: DataFrame, keys: tuple[str, ...] = ("run", "job_id")) -> DataFrame:
     """0-based position of each stage inside its job by stage id (jobs have few stages)."""
     w = Window.partitionBy(*keys).orderBy("stage_id")
-    return stages.withColumn("pos", F.row_number().over(w) - 1)
+    return stages.withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
 
 
 def stage_avg_sql(stages: DataFrame, kept_jobs: DataFrame | None = None) -> DataFrame:

@@ -164,7 +164,8 @@ def split_statement(steps: DataFrame) -> DataFrame:
     s = steps.where(F.col("sql") != "").select("file", "n", pieces.alias("__p"))
     return s.select("file", "n", F.posexplode("__p").alias("piece_idx", "piece"),
                     F.size("__p").alias("__k")) \
-            .select("file", "n", "piece_idx", "piece", (F.col("piece_idx") == F.col("__k") - 1).alias("is_last"))
+            .select("file", "n", F.col("piece_idx").cast("long").alias("piece_idx"), "piece",
+                    (F.col("piece_idx") == F.col("__k") - 1).alias("is_last"))
 
 
 def time_limit(lines: DataFrame, default_s: int = 30) -> DataFrame:

@@ -45,7 +45,7 @@ def _line_positions(spark: SparkSession, sf: str, base: int) -> DataFrame:
     li = read_table(spark, sf, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    return li.withColumn("pos", F.row_number().over(w) - 1 + base)
+    return li.withColumn("pos", (F.row_number().over(w) - 1 + base).cast("long"))
 
 
 def stages(spark: SparkSession, sf: str, jobs_df: DataFrame | None = None) -> DataFrame:

@@ -8,8 +8,8 @@ from tessera.plans.oracle_views import with_views
 from tessera.plans.registry import register
 
 _TERMS = "('TestSucceeded', 'TestFailed', 'TestPending', 'TestCanceled')"
-NUM = """SELECT *, sum(CASE WHEN kind = 'TestStarting' THEN 1 ELSE 0 END) OVER (
-           PARTITION BY suite ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS test_no
+NUM = """SELECT *, CAST(sum(CASE WHEN kind = 'TestStarting' THEN 1 ELSE 0 END) OVER (
+           PARTITION BY suite ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS test_no
 FROM test_events"""
 PAIRS = f"""
 SELECT suite, test_no, start_ordinal, end_ordinal,

@@ -121,8 +121,8 @@ def merge_rules(rules: DataFrame) -> DataFrame:
     seq = F.struct("n", "group_idx", "col_idx")
     m = rules.groupBy("file", "table_no", "col", "value").agg(
         F.max("freq").alias("freq"), F.min_by("kind", seq).alias("kind"), F.min(seq).alias("__first"))
-    return m.withColumn("rank", F.row_number().over(
-        Window.partitionBy("file", "table_no", "col").orderBy("__first")) - 1).drop("__first")
+    return m.withColumn("rank", (F.row_number().over(
+        Window.partitionBy("file", "table_no", "col").orderBy("__first")) - 1).cast("long")).drop("__first")
 
 
 def specs_from_frames(tables: DataFrame, columns: DataFrame, merged: DataFrame) -> list[TableSpec]:
