@@ -46,11 +46,13 @@ def suite_events(events: DataFrame) -> DataFrame:
     return row_index(e, ["suite"], "ordinal", name="seq").select("suite", "ordinal", "kind", "seq")
 
 
-def suite_bounds(events: DataFrame) -> DataFrame:
-    """Each suite end event with the nearest earlier SuiteStarting."""
-    start = F.when(F.col("kind") == SUITE_START, F.struct("ordinal", "ts"))
-    s = bucketed_scan(events.where(F.col("suite").isNotNull()), ["suite"], "ordinal",
-                      lasts={"__start": start}, inclusive=True)
+def suite_bounds(events: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
+    """Each suite end event with the nearest earlier SuiteStarting.
+
+    ``scanned``: the output of ``numbered`` (which carries the running start), to
+    reuse that pass instead of scanning the events again.
+    """
+    s = scanned if scanned is not None else numbered(events)
     return (s.where(F.col("kind").isin(*SUITE_ENDS))
             .select("suite", F.col("__start.ordinal").alias("start_ordinal"),
                     F.col("ordinal").alias("end_ordinal"),
@@ -59,9 +61,12 @@ def suite_bounds(events: DataFrame) -> DataFrame:
 
 
 def numbered(events: DataFrame) -> DataFrame:
-    """events + test_no (running count of TestStarting, inclusive; 0 before the first)."""
+    """events + test_no (running count of TestStarting, inclusive; 0 before the first)
+    + ``__start`` (the latest SuiteStarting at or before the event), in one scan."""
+    start = F.when(F.col("kind") == SUITE_START, F.struct("ordinal", "ts"))
     return bucketed_scan(events.where(F.col("suite").isNotNull()), ["suite"], "ordinal",
-                         sums={"test_no": (F.col("kind") == TEST_START).cast("int")}, inclusive=True)
+                         sums={"test_no": (F.col("kind") == TEST_START).cast("int")},
+                         lasts={"__start": start}, inclusive=True)
 
 
 def test_pairs(num: DataFrame) -> DataFrame:
@@ -125,7 +130,7 @@ def suite_rollup(events: DataFrame) -> DataFrame:
     extra = pairs.groupBy("suite").agg(F.sum("extra_terminals").alias("__x"))
     inside = (_ignored(num, pairs).where(~F.col("standalone"))
               .groupBy("suite").agg(F.count(F.lit(1)).alias("__y")))
-    bounds = suite_bounds(events).groupBy("suite").agg(
+    bounds = suite_bounds(events, num).groupBy("suite").agg(
         F.count_if("aborted").alias("errors"), F.sum("time_ms").alias("time_ms"))
     suites = events.where(F.col("suite").isNotNull()).select("suite").distinct()
     r = (suites.join(per_status, "suite", "left").join(bounds, "suite", "left")

@@ -49,6 +49,7 @@ def _line_positions(spark: SparkSession, sf: str, base: int) -> DataFrame:
 
 
 def stages(spark: SparkSession, sf: str, jobs_df: DataFrame | None = None) -> DataFrame:
+    """Stages of ``jobs_df`` (default: all jobs); passing the kept jobs filters in the same join."""
     j = jobs_df if jobs_df is not None else jobs(spark, sf)
     s = _line_positions(spark, sf, 0).select(
         F.col("l_orderkey").alias("job_id"),

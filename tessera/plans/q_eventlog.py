@@ -68,8 +68,7 @@ def q_sql_regression(spark, sf):
 @register("stage_avg_sql", with_views("SELECT * FROM stage_avg", "stages",
                                       extra={"kept": KEPT, "stage_avg": STAGE_AVG}))
 def q_stage_avg_sql(spark, sf):
-    j = b.jobs(spark, sf)
-    return ev.stage_avg_sql(b.stages(spark, sf, j), ev.drop_failed_sql(j))
+    return ev.stage_avg_sql(b.stages(spark, sf, _kept(spark, sf)))
 
 
 @register("stage_regression", with_views("""
@@ -82,8 +81,7 @@ FULL OUTER JOIN (SELECT * FROM stage_avg WHERE run = 'reg') rs
   ON bs.sql_text = rs.sql_text AND bs.pos = rs.pos""", "stages",
     extra={"kept": KEPT, "stage_avg": STAGE_AVG}))
 def q_stage_regression(spark, sf):
-    j = b.jobs(spark, sf)
-    return ev.stage_regression(ev.stage_avg_sql(b.stages(spark, sf, j), ev.drop_failed_sql(j)))
+    return ev.stage_regression(ev.stage_avg_sql(b.stages(spark, sf, _kept(spark, sf))))
 
 
 # ------------------------------------------------------------------ stream flavour
@@ -126,8 +124,7 @@ def q_stream_avg(spark, sf):
 @register("stream_stage_avg", with_views("SELECT * FROM sstage", "stages",
                                          extra={"skept": SKEPT, "sstage": SSTAGE}))
 def q_stream_stage_avg(spark, sf):
-    j = b.jobs(spark, sf)
-    return ev.stream_stage_avg(b.stages(spark, sf, j), ev.drop_failed_job(j))
+    return ev.stream_stage_avg(b.stages(spark, sf, _skept(spark, sf)))
 
 
 def _pct(d, base):
@@ -157,8 +154,7 @@ FROM (SELECT * FROM sstage WHERE run = 'base') bs
 JOIN (SELECT * FROM sstage WHERE run = 'reg') rs ON bs.stream_id = rs.stream_id AND bs.pos = rs.pos""",
     "stages", extra={"skept": SKEPT, "sstage": SSTAGE}))
 def q_stream_stage_regression(spark, sf):
-    j = b.jobs(spark, sf)
-    return ev.stream_stage_regression(ev.stream_stage_avg(b.stages(spark, sf, j), ev.drop_failed_job(j)))
+    return ev.stream_stage_regression(ev.stream_stage_avg(b.stages(spark, sf, _skept(spark, sf))))
 
 
 # ------------------------------------------------------------------ through JSON event logs

@@ -23,9 +23,11 @@ def write_junit(suites: DataFrame, cases: DataFrame, path: str) -> str:
      .write.mode("overwrite").format("xml").option("rootTag", "testsuites")
      .option("rowTag", "testsuite").save(f"{path}/suites"))
     skipped = F.col("status").isin("ignored", "pending", "canceled")
-    (cases.select("suite", F.col("name").alias("_name"), F.col("suite").alias("_classname"),
+    # cluster by suite first: one writer (and one file) per suite instead of one per task and suite
+    (cases.repartition("suite").sortWithinPartitions("suite")
+     .select("suite", F.col("name").alias("_name"), F.col("suite").alias("_classname"),
                   (F.col("time_ms") / 1000.0).alias("_time"),
-                  F.when(skipped, F.struct(F.lit(None).cast("string").alias("_message"))).alias("skipped"),
+                  F.when(skipped, F.struct(F.col("status").alias("_message"))).alias("skipped"),
                   F.when(F.col("status") == "failed",
                          F.struct(F.col("message").alias("_message"))).alias("failure"))
      .write.mode("overwrite").format("xml").option("rootTag", "testsuite")
@@ -33,7 +35,16 @@ def write_junit(suites: DataFrame, cases: DataFrame, path: str) -> str:
     return path
 
 
+SUITE_SCHEMA = ("_name string, _tests long, _failures long, _errors long, _time double, "
+                "_timestamp string")
+CASE_SCHEMA = ("_name string, _classname string, _time double, skipped struct<_message:string>, "
+               "failure struct<_message:string>, suite string")
+
+
 def read_junit(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    suites = spark.read.format("xml").option("rowTag", "testsuite").load(f"{path}/suites")
-    cases = spark.read.format("xml").option("rowTag", "testcase").load(f"{path}/cases")
+    """Read reports back with explicit schemas (no inference pass over the XML)."""
+    suites = (spark.read.format("xml").schema(SUITE_SCHEMA).option("rowTag", "testsuite")
+              .load(f"{path}/suites"))
+    cases = (spark.read.format("xml").schema(CASE_SCHEMA).option("rowTag", "testcase")
+             .load(f"{path}/cases"))
     return suites, cases
