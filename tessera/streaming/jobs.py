@@ -21,9 +21,15 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run ``stream`` to a parquet sink with ``availableNow`` and read the sink back."""
     spark = stream.sparkSession
     sink, ckpt = scratch_path(spark, f"{name}-sink"), scratch_path(spark, f"{name}-ckpt")
-    q = (stream.writeStream.format("parquet").outputMode(mode).option("path", sink)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
+    # state-store partitions are fixed when a query first starts: one per core of the cluster
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(1, spark.sparkContext.defaultParallelism)))
+    try:
+        q = (stream.writeStream.format("parquet").outputMode(mode).option("path", sink)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
     return spark.read.parquet(sink)
 
 
