@@ -16,7 +16,7 @@ from tessera.plans.oracle_views import with_views
 from tessera.plans.q_generate import SEED, _n, csv_line, sample_test
 from tessera.plans.q_testevents import CTES
 from tessera.plans.registry import register
-from tessera.session import read_table, scratch_path
+from tessera.session import read_table, scratch_path, share
 from tessera.sources import paths as ps
 from tessera.sources.junit import read_junit, write_junit
 from tessera.sources.streams import replay_files, to_stream
@@ -102,7 +102,7 @@ WHERE (rs.reset IS NOT NULL OR cl.suite_dir IS NOT NULL)
             ELSE rs.reset IS NOT NULL END)
 GROUP BY s.suite_dir, c.c_custkey""", extra={"cust": _CUST, "suites": _SUITES}))
 def q_suite_include_filter(spark, sf):
-    files = tree_files(spark, sf)
+    files = share(tree_files(spark, sf))
     cases = ps.suite_cases(files, ps.find_suites(files))
     return ps.filter_cases(cases, include_lines(spark, sf))
 

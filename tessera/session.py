@@ -73,3 +73,14 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def share(df):
+    """Materialize a DataFrame that several branches of one plan reuse.
+
+    A lazy reliable checkpoint (to ``spark.checkpoint.dir``) turns it into one
+    RDD: its shuffles run once for all consumers and the consumers' plans do not
+    repeat (and re-optimize) the whole upstream lineage.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=False)

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import share
+
 
 def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """Recursive file listing (path only; file contents are never read)."""
@@ -38,13 +40,14 @@ def find_suites(files: DataFrame, path_col: str = "path") -> DataFrame:
     present; ``n_cases`` counts files in ``sql/`` whose name ends with ``sql``.
     """
     rel = F.col(path_col)
+    files = share(files.select(path_col))
     dirs = files.select(F.explode(_ancestors(rel)).alias("dir"))
     name = F.element_at(F.split("dir", "/"), -1)
     parent = F.regexp_extract("dir", r"^(.*)/[^/]+$", 1)
     marks = (dirs.where(name.isin("sql", "result") & (parent != ""))
              .select(parent.alias("suite_dir"), name.alias("kind")).distinct())
-    cand = (marks.groupBy("suite_dir").agg(F.count_distinct("kind").alias("__k"))
-            .where(F.col("__k") == 2).select("suite_dir"))
+    cand = share(marks.groupBy("suite_dir").agg(F.count_distinct("kind").alias("__k"))
+                 .where(F.col("__k") == 2).select("suite_dir"))
     # discovery stops below a suite: drop candidates with a candidate ancestor
     anc = cand.select("suite_dir", F.explode(_ancestors(F.col("suite_dir"))).alias("anc"))
     nested = anc.join(cand.select(F.col("suite_dir").alias("anc")), "anc", "left_semi").select("suite_dir")
@@ -84,10 +87,12 @@ def filter_cases(cases: DataFrame, include: DataFrame | None) -> DataFrame:
     """
     if include is None:
         return cases
+    cases, include = share(cases), share(include)
     suites = cases.select("suite_dir").distinct()
     # suite / folder lines: equi-join on each suite's folder and its ancestors
     scopes = suites.select("suite_dir", F.explode(F.array_union(
         F.array("suite_dir"), _ancestors(F.col("suite_dir")))).alias("line"))
+    scopes = share(scopes)
     resets = (include.join(scopes, "line")
               .groupBy("suite_dir").agg(F.max("line_no").alias("__reset")))
     case_lines = include.select(
