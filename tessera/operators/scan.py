@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import share
+
 DEFAULT_WIDTH = 1 << 16
 
 
@@ -67,7 +69,7 @@ def bucketed_scan(df: DataFrame, keys: Sequence[str], order: str,
     # Both branches below read ``x``. A lazy reliable checkpoint turns it into one
     # RDD whose shuffle runs once for both, and keeps nested scans linear instead of
     # re-planning the whole upstream lineage at every use.
-    x = x.checkpoint(eager=False)
+    x = share(x)
     # 2. one row per bucket (already clustered: no exchange), prefix over the buckets of a key
     seg = x.groupBy(*keys, b).agg(*[F.first(f"__bs_T_{n}").alias(f"__bs_T_{n}") for n in [*sums, *lasts]])
     wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)

@@ -41,3 +41,10 @@ def test_query_matches_oracle(spark, name):
     do = sorted(range(len(dcols)), key=lambda i: dcols[i].lower())
     assert rows_key([tuple(r[i] for i in so) for r in srows]) == \
         rows_key([tuple(r[i] for i in do) for r in res.fetchall()])
+
+
+@pytest.mark.parametrize("name", ["suite_include_filter", "target_scan", "suite_rollup", "verify_exact"])
+def test_plans_stay_linear(spark, name):
+    """Reused intermediates are shared, so plans do not repeat upstream lineage."""
+    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 60
