@@ -8,12 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, pii, simhash, substr, toxicity
+from tessera.llm import (
+    ann, bpe, decontam, langid, pii, quality, simhash, substr, toxicity, urlfilter)
 from tessera.llm.common import held_out, read
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+#: The rules that op8 judges pages by.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+             ("org", "/fr/", "allow")]
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by boosted trees over its statistics."""
+    out = quality.classify(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents, one row per pair, with score and overlaps."""
     return decontam.find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -22,10 +35,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity, likeliest grade and verdict of every document; a third of the labels is held out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), "toxic", by_density=True)
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), "toxic", by_count=True)
     out = toxicity.score(docs, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "severity", "grade", "toxic_p",
-                      (F.col("toxic_p") >= 0.5).alias("toxic"))
+                      (F.col("toxic_p") >= toxicity.TOXIC_P).alias("toxic"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +74,23 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, longest rule and verdict of every page's url."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learns from the rows that are not held out."""
+    out = langid.identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words removed from every document because a repeated window of 35 words covers them."""
     out = substr.remove_repeats(read(spark, sf_dir, "documents"), k=35)
@@ -86,7 +116,26 @@ SELECT r.doc_id, CAST(len(r.ws) AS BIGINT) AS n_words, CAST(len(r.ws) - coalesce
 FROM r LEFT JOIN kept ON r.rid = kept.rid
 """
 
+OP8_SQL = r"""
+WITH p AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+ r(rh, rp, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+                               ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow'))
+SELECT page_id, host, path,
+  (SELECT rh || rp FROM r WHERE (host = rh OR suffix(host, '.' || rh)) AND starts_with(path, rp)
+   ORDER BY length(rh || rp) DESC, rh || rp LIMIT 1) AS rule,
+  coalesce((SELECT verdict FROM r WHERE (host = rh OR suffix(host, '.' || rh)) AND starts_with(path, rp)
+            ORDER BY length(rh || rp) DESC, rh || rp LIMIT 1), 'allow') AS verdict
+FROM p
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontamination, op3_toxicity, op4_bpe, op5_pii, op6_simhash, op10_substring)}
+    f.__name__: f for f in (
+        op1_quality, op2_decontamination, op3_toxicity, op4_bpe, op5_pii, op6_simhash, op7_ann, op8_urls, op9_langid,
+        op10_substring)}
 
-ORACLES: dict[str, str] = {"op10_substring": OP10_SQL}
+ORACLES: dict[str, str] = {"op8_urls": OP8_SQL, "op10_substring": OP10_SQL}

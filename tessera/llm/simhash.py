@@ -104,13 +104,15 @@ def _links_of_pairs(max_bits: int):
         for b in batches:
             same = b.column("same").to_pylist()
             for s, x, y in zip(same, b.column("x"), b.column("y")):
-                p = np.frombuffer(x.as_buffer(), np.int64)
-                q = np.frombuffer(y.as_buffer(), np.int64)
+                # unsigned: numpy counts the bits of a signed number's absolute value
+                p = np.frombuffer(x.as_buffer(), np.uint64)
+                q = np.frombuffer(y.as_buffer(), np.uint64)
                 near = np.bitwise_count(p[:, None] ^ q[None, :]) <= max_bits
                 if s:
                     near = np.triu(near, 1)
-                for i, j in zip(*(v.tolist() for v in np.nonzero(near))):
-                    _forest(parent, int(p[i]), int(q[j]))
+                i, j = np.nonzero(near)
+                for a, c in zip(p[i].view(np.int64).tolist(), q[j].view(np.int64).tolist()):
+                    _forest(parent, a, c)
             if len(parent) > 1_000_000:  # bounded memory: what is found so far goes out
                 yield _edges(parent)
                 parent = {}
@@ -232,7 +234,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col
     every = own.join(named, "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"),
         F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return fp.join(every, "fp").select("doc_id", "key", "fp", "root", "component_id")
+    # as a table, so that the join of a fingerprint that many rows share can be split
+    return fp.join(save(every, "components"), "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
