@@ -13,14 +13,11 @@ from pyspark.sql import functions as F
 from tessera.llm import decontam, pii, queries, simhash, toxicity
 from tessera.llm.common import read, save
 
-#: A document is rejected from this probability of any toxic grade on.
-REJECT = 0.5
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model does not call toxic (it learns from these documents' labels)."""
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), "toxic", by_density=True)
-    return toxicity.score(docs, model).where(F.col("toxic_p") < REJECT).select(*docs.columns)
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), "toxic", by_count=True)
+    return toxicity.score(docs, model).where(F.col("toxic_p") < toxicity.TOXIC_P).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
