@@ -1,122 +1,123 @@
-"""Column recipes of the generator as SQL expression text.
+"""Column recipes of the generator as Spark SQL expression text.
 
-Every generated value is a pure function of (seed, table, column, purpose,
-row id): a 52-bit uniform taken from the md5 of those parts. This keeps a
-row's value independent of partitioning, task retries and executor loss
-(unlike ``rand(seed)``), and lets the same recipe be rendered for Spark
-(``F.expr``) and for DuckDB (the value oracle).
+Every generated value is a pure function of (seed, table, column, purpose, row id): a 52-bit
+uniform taken from the md5 of those parts. This keeps a row's value independent of
+partitioning, task retries and executor loss (unlike ``rand(seed)``).
+
+A normal value takes one uniform through the inverse distribution function. Excluded values are cut out
+of the uniform's range beforehand, so one draw always gives an allowed value: nothing is drawn again.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 TWO52 = 4503599627370496  # 2**52: 13 hex digits of md5 are exact in a double
-TWO_PI = 2.0 * math.pi
-
 
-@dataclass(frozen=True)
-class Dialect:
-    name: str
+# The published rational approximation of the standard normal quantile (central part,
+# |p - 1/2| <= 0.47575, relative error below 1.15e-9). Values are clipped at 1.5 standard deviations,
+# so the tails are never asked for.
+QUANTILE_NUM = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02, 1.383577518672690e+02,
+                -3.066479806614716e+01, 2.506628277459239e+00)
+QUANTILE_DEN = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02, 6.680131188771972e+01,
+                -1.328068155288572e+01, 1.0)
 
-    @property
-    def string(self) -> str:
-        return "STRING" if self.name == "spark" else "VARCHAR"
+SCALE = 1_000_000  # floats are rounded to millionths
 
-    @property
-    def ts(self) -> str:
-        return "TIMESTAMP_NTZ" if self.name == "spark" else "TIMESTAMP"
 
-    def hex13_to_bigint(self, h: str) -> str:
-        if self.name == "spark":
-            return f"CAST(conv({h}, 16, 10) AS BIGINT)"
-        return f"CAST(('0x' || {h}) AS BIGINT)"
+def dbl(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
 
-    def idiv(self, a: str, b: str) -> str:
-        return f"({a} div {b})" if self.name == "spark" else f"({a} // {b})"
 
-    def ts_from_seconds(self, secs: str) -> str:
-        if self.name == "spark":
-            return f"CAST(timestamp_seconds({secs}) AS TIMESTAMP_NTZ)"
-        return f"(TIMESTAMP '1970-01-01 00:00:00' + to_seconds({secs}))"
+def quote(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def fold_skip(self, sorted_vals: list[int], start: str) -> str:
-        """k-th value not in ``sorted_vals``: fold ``if(e <= t, t + 1, t)`` over them."""
-        arr = ", ".join(str(v) for v in sorted_vals)
-        if self.name == "spark":
-            return (f"aggregate(array({arr}), CAST({start} AS BIGINT), "
-                    f"(t, e) -> IF(e <= t, t + 1, t))")
-        return (f"list_reduce([{arr}]::BIGINT[], lambda t, e: CASE WHEN e <= t THEN t + 1 ELSE t END, "
-                f"CAST({start} AS BIGINT))")
 
-    def try_cast(self, v: str, typ: str) -> str:
-        return f"TRY_CAST({v} AS {typ})"
+def uniform(parts: list[str], id_sql: str) -> str:
+    """Uniform in [0, 1) from md5 of the parts and the row id."""
+    key = "concat_ws(':', " + ", ".join(quote(p) for p in parts) + f", CAST({id_sql} AS STRING))"
+    return f"(CAST(CAST(conv(substr(md5({key}), 1, 13), 16, 10) AS BIGINT) AS DOUBLE) / CAST({TWO52} AS DOUBLE))"
 
 
-SPARK = Dialect("spark")
-DUCKDB = Dialect("duckdb")
+def phi(x: float) -> float:
+    return 0.5 * (1.0 + math.erf(x / math.sqrt(2.0)))
 
 
-def dbl(x: float) -> str:
-    return f"CAST({x!r} AS DOUBLE)"
+LOW = phi(-1.5)  # share of draws clipped to 0, and as many to the range
 
 
-def quote(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+def _horner(coefficients, x: str) -> str:
+    out = dbl(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {dbl(c)})"
+    return out
 
 
-def uniform(d: Dialect, parts: list[str], id_sql: str, plus_one: bool = False) -> str:
-    """Uniform in [0, 1) (or (0, 1] with ``plus_one``) from md5 of the parts and the row id."""
-    key = "concat_ws(':', " + ", ".join(quote(p) for p in parts) + f", CAST({id_sql} AS {d.string}))"
-    num = d.hex13_to_bigint(f"substr(md5({key}), 1, 13)")
-    if plus_one:
-        num = f"({num} + 1)"
-    return f"(CAST({num} AS DOUBLE) / CAST({TWO52} AS DOUBLE))"
+def quantile(p: str) -> str:
+    """Standard normal quantile of ``p`` (a column name or a short expression) in the central part."""
+    q = f"({p} - CAST(0.5 AS DOUBLE))"
+    r = f"({q} * {q})"
+    return f"({_horner(QUANTILE_NUM, r)} * {q} / {_horner(QUANTILE_DEN, r)})"
 
 
-def normal_raw(d: Dialect, parts: list[str], id_sql: str, rng: float) -> str:
-    """Gaussian (Box-Muller) with mean rng/2 and sd rng/3, clipped to [0, rng]."""
-    u1 = uniform(d, parts + ["n1"], id_sql, plus_one=True)
-    u2 = uniform(d, parts + ["n2"], id_sql)
-    z = f"(sqrt(CAST(-2 AS DOUBLE) * ln({u1})) * cos({dbl(TWO_PI)} * {u2}))"
-    v = f"({z} * {dbl(float(rng))} / CAST(3 AS DOUBLE) + {dbl(float(rng))} / CAST(2 AS DOUBLE))"
-    return f"least(greatest({v}, CAST(0 AS DOUBLE)), {dbl(float(rng))})"
+def normal(p: str, rng: float) -> str:
+    """Value at probability ``p`` of a Gaussian (mean rng/2, sd rng/3) clipped to [0, rng]."""
+    x = f"(CAST(0.5 AS DOUBLE) + {quantile(p)} / CAST(3 AS DOUBLE)) * {dbl(float(rng))}"
+    return (f"(CASE WHEN {p} < {dbl(LOW)} THEN CAST(0 AS DOUBLE) WHEN {p} >= {dbl(1 - LOW)} THEN {dbl(float(rng))} "
+            f"ELSE least(greatest({x}, CAST(0 AS DOUBLE)), {dbl(float(rng))}) END)")
 
 
-def normal_float(d: Dialect, parts: list[str], id_sql: str, rng: float) -> str:
-    return f"round({normal_raw(d, parts, id_sql, rng)}, 6)"
+def skip(p: str, cuts: list[tuple[float, float]]) -> str:
+    """A uniform spread over [0, 1) without the intervals ``cuts`` (sorted, apart)."""
+    left = 1.0 - sum(hi - lo for lo, hi in cuts)
+    out = f"({p} * {dbl(left)})"
+    if not cuts:
+        return p
+    arr = ", ".join(f"named_struct('lo', {dbl(lo)}, 'd', {dbl(hi - lo)})" for lo, hi in cuts)
+    return f"aggregate(array({arr}), {out}, (t, e) -> IF(t >= e.lo, t + e.d, t))"
 
 
-def normal_int(d: Dialect, parts: list[str], id_sql: str, rng: float) -> str:
-    return f"CAST(floor({normal_raw(d, parts, id_sql, rng)}) AS INT)"
+def int_cuts(excluded: set[int], rng: float) -> list[tuple[float, float]]:
+    """Probability intervals of the excluded integers; neighbours join into one."""
+    top = math.floor(rng)
+    cdf = lambda v: phi((v - rng / 2) / (rng / 3))
+    out: list[tuple[float, float]] = []
+    for v in sorted(x for x in excluded if 0 <= x <= top):
+        lo = 0.0 if v == 0 else cdf(v)
+        hi = 1.0 if v == top else cdf(v + 1)
+        if v == top and float(top) == rng:
+            lo = 1 - LOW  # the range itself is an integer: only the clipped draws reach it
+        elif v == top - 1 and float(top) == rng:
+            hi = 1 - LOW
+        if out and out[-1][1] >= lo:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
 
 
-def ramp_value(d: Dialect, draw_sql: str, frequency: int, delta: float, start: float) -> str:
-    """n-th draw of the paced counter: start + delta * floor(n / frequency)."""
-    return f"({dbl(float(start))} + {dbl(float(delta))} * {d.idiv(draw_sql, str(int(frequency)))})"
+def next_allowed(value: str, excluded: list[int], top: int) -> str:
+    """``value`` (an integer expression), or the next integer not excluded, down from the top if need be."""
+    if not excluded:
+        return value
+    up = ", ".join(f"{v}L" for v in sorted(excluded))
+    down = ", ".join(f"{v}L" for v in sorted(excluded, reverse=True))
+    climb = f"aggregate(array({up}), CAST({value} AS BIGINT), (t, e) -> IF(e = t, t + 1, t))"
+    sink = f"aggregate(array({down}), {top}L, (t, e) -> IF(e = t, t - 1, t))"
+    return f"least({climb}, {sink})"
 
 
-def int_normal_probs(rng: float) -> dict[int, float]:
-    """P(value) of ``floor(clip(N(rng/2, rng/3), 0, rng))`` for integer values."""
-    mu, sd = rng / 2.0, rng / 3.0
+def idiv(a: str, b: int) -> str:
+    return f"({a} div {b})"
 
-    def cdf(x: float) -> float:
-        return 0.5 * (1.0 + math.erf((x - mu) / (sd * math.sqrt(2.0))))
 
-    top = int(math.floor(rng))
-    out = {}
-    for v in range(0, top + 1):
-        lo = 0.0 if v == 0 else cdf(v)
-        hi = 1.0 if v == top else cdf(v + 1)
-        out[v] = max(hi - lo, 0.0)
-    return out
+def skip_ticks(ticks: list[int], k: str) -> str:
+    """The k-th tick that is not in the sorted ``ticks``."""
+    if not ticks:
+        return k
+    arr = ", ".join(f"{v}L" for v in ticks)
+    return f"aggregate(array({arr}), CAST({k} AS BIGINT), (t, e) -> IF(e <= t, t + 1, t))"
 
 
-def attempts_needed(p_excluded: float, target: float = 1e-18, cap: int = 64) -> int:
-    """Redraw attempts so that all failing has probability below ``target``."""
-    if p_excluded <= 0.0:
-        return 1
-    if p_excluded >= 1.0:
-        raise ValueError("every value of the column is excluded")
-    return min(cap, max(1, math.ceil(math.log(target) / math.log(p_excluded))))
+def seconds_to_ts(secs: str) -> str:
+    return f"CAST(timestamp_seconds({secs}) AS TIMESTAMP_NTZ)"

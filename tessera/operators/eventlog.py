@@ -25,57 +25,63 @@ FAILED = "JobFailed"
 
 
 # ---------------------------------------------------------------- facts
-def job_fact(events: DataFrame, owner_keys: tuple[str, ...] = ("jobOwner", "sql.streaming.queryId"),
+def _owner(owner_keys: tuple[str, ...]):
+    props = F.col("Properties")
+    owner = F.coalesce(*[F.element_at(props, k) for k in owner_keys])
+    return F.when(owner != "null", owner)
+
+
+OWNER_KEYS = ("jobOwner", "sql.streaming.queryId")
+
+
+def job_fact(events: DataFrame, owner_keys: tuple[str, ...] = OWNER_KEYS,
              exclude_streaming: bool = False) -> DataFrame:
-    """Pair JobStart with JobEnd per (run, job id).
+    """Pair JobStart with JobEnd per (run, job id): one scan, one keyed aggregate.
 
     ``sql_text`` is property ``spark.job.description``; ``stream_id`` is the first
     present of ``owner_keys`` (the literal text "null" counts as absent).
     ``exclude_streaming`` drops jobs owned by a streaming query (stock Spark
     puts the query's own text into the description).
     """
-    props = F.col("Properties")
-    owner = F.coalesce(*[F.element_at(props, k) for k in owner_keys])
-    starts = events.where(F.col("Event") == JOB_START).select(
-        "run", F.col("Job ID").alias("job_id"),
-        F.element_at(props, "spark.job.description").alias("sql_text"),
-        F.when(owner != "null", owner).alias("stream_id"),
-        F.col("Submission Time").alias("submit_ms"),
-        F.element_at(props, "sql.streaming.queryId").alias("__query_id"))
+    started, ended = F.col("Event") == JOB_START, F.col("Event") == JOB_END
+    begun = lambda c: F.max(F.when(started, c))
+    j = (events.where(started | ended).groupBy("run", F.col("Job ID").alias("job_id"))
+         .agg(F.count_if(started).alias("__starts"),
+              begun(F.element_at("Properties", "spark.job.description")).alias("sql_text"),
+              begun(_owner(owner_keys)).alias("stream_id"), begun(F.col("Submission Time")).alias("submit_ms"),
+              F.max(F.when(ended, F.col("Completion Time"))).alias("finish_ms"),
+              F.max(F.when(ended, F.col("Job Result.Result"))).alias("result"),
+              begun(F.element_at("Properties", "sql.streaming.queryId")).alias("__query_id")))
+    j = j.where(F.col("__starts") > 0)
     if exclude_streaming:
-        starts = starts.where(F.col("__query_id").isNull())
-    ends = events.where(F.col("Event") == JOB_END).select(
-        "run", F.col("Job ID").alias("job_id"),
-        F.col("Completion Time").alias("finish_ms"),
-        F.col("Job Result.Result").alias("result"))
-    return (starts.drop("__query_id").join(ends, ["run", "job_id"], "left")
-            .select("run", "job_id", "sql_text", "stream_id", "submit_ms", "finish_ms", "result"))
+        j = j.where(F.col("__query_id").isNull())
+    return j.select("run", "job_id", "sql_text", "stream_id", "submit_ms", "finish_ms", "result")
 
 
-def stage_fact(events: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
-    """Completed stages attached to their job through JobStart's ``Stage IDs``.
+def stage_fact(events: DataFrame, jobs: DataFrame | None = None,
+               owner_keys: tuple[str, ...] = OWNER_KEYS) -> DataFrame:
+    """Completed stages attached to their jobs through JobStart's ``Stage IDs``: one scan, one keyed aggregate.
 
-    The latest attempt of a stage wins. ``jobs`` (from ``job_fact``) supplies
-    sql_text / stream_id; without it they are taken from the JobStart event.
+    The latest attempt of a stage wins. A stage is listed by the few jobs that share it. ``jobs`` (run, job_id)
+    keeps the stages of some jobs only.
     """
-    links = events.where(F.col("Event") == JOB_START).select(
-        "run", F.col("Job ID").alias("job_id"),
-        F.explode("Stage IDs").alias("stage_id"))
-    done = events.where(F.col("Event") == STAGE_DONE).select(
-        "run", F.col("Stage Info.Stage ID").alias("stage_id"),
-        F.col("Stage Info.Stage Attempt ID").alias("attempt"),
-        F.col("Stage Info.Stage Name").alias("name"),
-        F.col("Stage Info.Submission Time").alias("submit_ms"),
-        F.col("Stage Info.Completion Time").alias("complete_ms"))
-    latest = (done.groupBy("run", "stage_id")
-              .agg(F.max_by(F.struct("name", "submit_ms", "complete_ms"), F.col("attempt")).alias("s"))
-              .select("run", "stage_id", "s.*"))
-    if jobs is None:
-        jobs = job_fact(events)
-    j = jobs.select("run", "job_id", "sql_text", "stream_id")
-    return (links.join(latest, ["run", "stage_id"]).join(j, ["run", "job_id"])
-            .select("run", "job_id", "sql_text", "stream_id", "stage_id", "name",
-                    "submit_ms", "complete_ms"))
+    started, done = F.col("Event") == JOB_START, F.col("Event") == STAGE_DONE
+    info = F.col("Stage Info")
+    job = F.struct(F.col("Job ID").alias("job_id"), F.element_at("Properties", "spark.job.description").alias("sql_text"),
+                   _owner(owner_keys).alias("stream_id"))
+    stage = F.struct(info["Stage Attempt ID"].alias("attempt"), info["Stage Name"].alias("name"),
+                     info["Submission Time"].alias("submit_ms"), info["Completion Time"].alias("complete_ms"))
+    none = lambda kind: F.lit(None).cast(kind)
+    kinds = ("struct<job_id bigint, sql_text string, stream_id string>",
+             "struct<attempt bigint, name string, submit_ms bigint, complete_ms bigint>")
+    rows = F.when(started, F.transform("Stage IDs", lambda i: F.struct(
+        i.alias("stage_id"), job.cast(kinds[0]).alias("job"), none(kinds[1]).alias("stage")))).otherwise(F.array(F.struct(
+            info["Stage ID"].alias("stage_id"), none(kinds[0]).alias("job"), stage.cast(kinds[1]).alias("stage"))))
+    s = (events.where(started | done).select("run", F.explode(rows).alias("r")).groupBy("run", "r.stage_id")
+         .agg(F.collect_set("r.job").alias("jobs"), F.max("r.stage").alias("s")).where("s is not null")
+         .select("run", "stage_id", "s", F.explode("jobs").alias("j")))
+    s = s.select("run", "j.job_id", "j.sql_text", "j.stream_id", "stage_id", "s.name", "s.submit_ms", "s.complete_ms")
+    return s if jobs is None else s.join(jobs.select("run", "job_id"), ["run", "job_id"], "left_semi")
 
 
 # ---------------------------------------------------------------- SQL flavour
@@ -244,20 +250,6 @@ def stream_stage_regression(stage_avg: DataFrame, base: str = "base", reg: str =
 
 
 # ---------------------------------------------------------------- one log
-def run_summary(jobs: DataFrame, stages: DataFrame) -> DataFrame:
-    """Per run: JobEnd count (any result) and seconds from the first completed
-    stage's submit to the last completed stage's end, in completion order."""
-    ends = jobs.groupBy("run").agg(F.count("result").alias("batch_count"))
-    order = F.struct("complete_ms", "stage_id")
-    span = stages.groupBy("run").agg(
-        F.min_by("submit_ms", order).alias("first_submit_ms"),
-        F.max_by("complete_ms", order).alias("last_complete_ms"))
-    return (ends.join(span, "run", "full_outer")
-            .select("run", F.coalesce("batch_count", F.lit(0)).alias("batch_count"),
-                    ((F.col("last_complete_ms") - F.col("first_submit_ms")) / 1000.0)
-                    .alias("total_sec")))
-
-
 def run_summary_from_log(events: DataFrame) -> DataFrame:
     """``run_summary`` in one pass over the log (conditional aggregates per run)."""
     done = F.col("Event") == STAGE_DONE

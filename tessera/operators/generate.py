@@ -1,16 +1,12 @@
 """Synthetic tables from small column specs.
 
-A ``TableSpec`` lists columns (int, float, string, timestamp) with value
-rules: ``include`` (emit the value with a frequency, newest rule first, one
-uniform per row against the cumulative frequencies), ``except`` (redraw until
-the text form is not excluded) and ``frequency`` (parsed, unused). Values are
-pure functions of (seed, table, column, row id), so ``gen_table`` is one
-projection over ``spark.range`` — no shuffle — except for a timestamp ramp
-with include rules: an include hit skips the ramp's draw, so the draw number
-is ``id - (include hits before id)``. That prefix count runs per block of ids:
-hits per block (partial aggregate, one row per block), the small block table
-cumulated, and the block's ids regenerated inside its own task where a
-window runs without moving any row.
+A ``TableSpec`` lists columns (int, float, string, timestamp) with value rules: ``include`` (emit the
+value with a frequency, newest rule first, one uniform per row against the cumulative
+frequencies), ``except`` (the value is never drawn) and ``frequency`` (parsed, unused). Values are pure
+functions of (seed, table, column, row id), so a generated table is a projection over the rows of a given
+table (``ids``) or over ``spark.range``, without a shuffle, except for a timestamp ramp with include rules:
+an include hit skips the ramp's draw, so the draw number is ``id - (include hits before id)``, a bucketed
+scan over the ids.
 """
 
 from __future__ import annotations
@@ -19,10 +15,11 @@ import math
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import gen_exprs as gx
+from tessera.operators.scan import bucketed_scan
 
 TYPES = ("int", "float", "string", "timestamp")
 KINDS = ("include", "except", "frequency")
@@ -47,14 +44,21 @@ class ColumnSpec:
     delta: float = 1.0        # ramp: step size
     start: float = 0.0        # ramp: first value
 
+    def __post_init__(self) -> None:
+        given, self.rules = self.rules, []
+        for r in given:
+            self.add_rule(r.value, r.freq, r.kind)
+
     def add_rule(self, value: str, freq: float | None, kind: str) -> None:
-        """Same value twice keeps the larger frequency and the first kind."""
-        for r in self.rules:
-            if r.value == value:
-                if freq is not None:
-                    r.freq = freq if r.freq is None else max(r.freq, freq)
-                return
-        self.rules.append(Rule(value, freq, kind))
+        """A value counts once: with its largest frequency and the kind it came with first."""
+        if kind not in KINDS:
+            raise ValueError(f"unknown rule kind {kind!r}")
+        known = {r.value: r for r in self.rules}
+        rule = known.get(value)
+        if rule is None:
+            self.rules.append(Rule(value, freq, kind))
+        else:
+            rule.freq = max((f for f in (rule.freq, freq) if f is not None), default=None)
 
     @property
     def includes_newest_first(self) -> list[Rule]:
@@ -105,145 +109,117 @@ def _excluded_ticks(col: ColumnSpec) -> list[int]:
     return sorted(ticks)
 
 
-def _excluded_mass(col: ColumnSpec) -> float:
-    if col.type == "int":
-        probs = gx.int_normal_probs(col.range)
-        mass = 0.0
-        for v in set(col.excluded):
-            try:
-                mass += probs.get(int(v), 0.0) if str(int(v)) == v.strip() else 0.0
-            except ValueError:
-                pass
-        return mass
-    if col.type == "float":
-        mu, sd = col.range / 2.0, col.range / 3.0
-        low = 0.5 * (1.0 + math.erf((0.0 - mu) / (sd * math.sqrt(2.0))))
-        atoms = {repr(0.0): low, repr(float(col.range)): low}
-        return sum(atoms.get(v.strip(), 0.0) for v in set(col.excluded))
-    return 0.0
+def _excluded_ints(col: ColumnSpec) -> list[int]:
+    out = set()
+    for v in col.excluded:
+        try:
+            if str(int(v)) == v.strip():
+                out.add(int(v))
+        except ValueError:
+            pass
+    return sorted(out)
+
+
+def _excluded_floats(col: ColumnSpec) -> list[int]:
+    """Excluded floats in millionths, as far as a generated value can have that text."""
+    out = set()
+    for v in col.excluded:
+        try:
+            x = float(v)
+        except ValueError:
+            continue
+        if math.isfinite(x) and abs(x * gx.SCALE - round(x * gx.SCALE)) < 1e-3:
+            out.add(round(x * gx.SCALE))
+    return sorted(out)
 
 
 def ramp_has_include(col: ColumnSpec) -> bool:
     return col.type == "timestamp" and bool(col.includes_newest_first)
 
 
-def include_hit(d: gx.Dialect, seed: int, table: str, col: ColumnSpec, id_sql: str) -> str:
+def _include_uniform(seed: int, table: str, col: ColumnSpec, id_sql: str) -> str:
+    return gx.uniform([str(seed), table, col.name, "inc"], id_sql)
+
+
+def include_hit(seed: int, table: str, col: ColumnSpec, id_sql: str) -> str:
     total = sum(r.freq for r in col.includes_newest_first)
-    u = gx.uniform(d, [str(seed), table, col.name, "inc"], id_sql)
-    return f"({u} < {gx.dbl(total)})"
+    return f"({_include_uniform(seed, table, col, id_sql)} < {gx.dbl(total)})"
+
+
+def draw_probability(seed: int, table: str, col: ColumnSpec, id_sql: str) -> str:
+    """The uniform of an int or float column, kept off the excluded values."""
+    u = gx.uniform([str(seed), table, col.name, "n"], id_sql)
+    if col.type == "int":
+        return gx.skip(u, gx.int_cuts(set(_excluded_ints(col)), col.range))
+    ends = _excluded_floats(col)
+    cuts = [(0.0, gx.LOW)] if 0 in ends else []
+    if round(col.range * gx.SCALE) in ends:
+        cuts.append((1 - gx.LOW, 1.0))
+    return gx.skip(u, cuts)
 
 
-def column_sql(d: gx.Dialect, seed: int, table: str, col: ColumnSpec, id_sql: str,
-               draw_sql: str | None = None) -> str:
-    """Expression of one generated column; ``draw_sql`` is the ramp draw number."""
-    parts = [str(seed), table, col.name]
+def column_sql(seed: int, table: str, col: ColumnSpec, id_sql: str, p: str, draw_sql: str) -> str:
+    """Expression of one generated column. ``p``: the column that holds ``draw_probability``;
+    ``draw_sql``: the ramp's draw number."""
     if col.type == "string":
         return "'default'"
-    typ = SPARK_TYPES[col.type] if d.name == "spark" else {
-        "int": "INTEGER", "float": "DOUBLE", "timestamp": "TIMESTAMP"}[col.type]
-    if col.type in ("int", "float"):
-        k = gx.attempts_needed(_excluded_mass(col)) if col.excluded else 1
-        make = gx.normal_int if col.type == "int" else gx.normal_float
-        draws = [make(d, parts + [f"a{a}"], id_sql, col.range) for a in range(k)]
-        if col.excluded:
-            lst = ", ".join(gx.quote(v) for v in col.excluded)
-            fail = ("raise_error('every redraw was excluded')" if d.name == "spark"
-                    else "error('every redraw was excluded')")
-            opts = [f"CASE WHEN CAST({x} AS {d.string}) NOT IN ({lst}) THEN {x} END" for x in draws]
-            val = f"COALESCE({', '.join(opts)}, CAST({fail} AS {typ}))"
-        else:
-            val = draws[0]
-    elif col.type == "timestamp":
-        draw = draw_sql if draw_sql is not None else id_sql
-        k = d.idiv(draw, str(int(col.frequency)))
-        ticks = _excluded_ticks(col)
-        if ticks:
-            k = d.fold_skip(ticks, k)
-        value = f"({gx.dbl(float(col.start))} + {gx.dbl(float(col.delta))} * {k})"
-        val = d.ts_from_seconds(f"({BASE_SECONDS} + CAST(floor({value}) AS BIGINT))")
-    else:
+    if col.type not in SPARK_TYPES:
         raise ValueError(f"unknown column type {col.type!r}")
+    typ = SPARK_TYPES[col.type]
+    if col.type == "int":
+        top, out = math.floor(col.range), _excluded_ints(col)
+        if all(v in out for v in range(min(top, len(out)) + 1)):
+            raise ValueError(f"every value of column {col.name!r} is excluded")
+        val = f"CAST({gx.next_allowed(f'floor({gx.normal(p, col.range)})', out, top)} AS INT)"
+    elif col.type == "float":
+        out, top = _excluded_floats(col), math.floor(round(col.range * gx.SCALE, 3))
+        if all(v in out for v in range(min(top, len(out)) + 1)):
+            raise ValueError(f"every value of column {col.name!r} is excluded")
+        val = f"round({gx.normal(p, col.range)}, 6)"
+        if out:
+            step = gx.next_allowed(f"round({val} * {gx.SCALE})", out, top)
+            val = f"(CAST({step} AS DOUBLE) / CAST({gx.SCALE} AS DOUBLE))"
+    else:
+        k = gx.skip_ticks(_excluded_ticks(col), gx.idiv(draw_sql, int(col.frequency)))
+        value = f"({gx.dbl(float(col.start))} + {gx.dbl(float(col.delta))} * {k})"
+        val = gx.seconds_to_ts(f"({BASE_SECONDS} + CAST(floor({value}) AS BIGINT))")
     inc = col.includes_newest_first
     if inc:
-        u = gx.uniform(d, parts + ["inc"], id_sql)
+        u = _include_uniform(seed, table, col, id_sql)
         acc, whens = 0.0, []
         for r in inc:
             acc += r.freq
-            whens.append(f"WHEN {u} < {gx.dbl(acc)} THEN {d.try_cast(gx.quote(r.value), typ)}")
+            whens.append(f"WHEN {u} < {gx.dbl(acc)} THEN TRY_CAST({gx.quote(r.value)} AS {typ})")
         val = f"(CASE {' '.join(whens)} ELSE {val} END)"
     return val
 
 
-# ------------------------------------------------------------------ Spark
 def _ids(spark: SparkSession, n: int, rows_per_task: int = 1 << 22) -> DataFrame:
     parts = max(spark.sparkContext.defaultParallelism, math.ceil(n / rows_per_task), 1)
     return spark.range(0, n, 1, numPartitions=min(parts, max(n, 1)))
 
 
-def _ids_with_hits_before(spark: SparkSession, n: int, hits: dict[str, str],
-                          width: int | None = None) -> DataFrame:
-    """ids 0..n-1 plus, per entry of ``hits``, the count of earlier ids where it holds."""
-    par = spark.sparkContext.defaultParallelism
-    width = width or max(1 << 12, min(1 << 22, math.ceil(n / (4 * par)) if n else 1))
-    nb = max(1, math.ceil(n / width))
-    blocks = spark.range(0, nb, 1, numPartitions=min(nb, 4 * par)).withColumnRenamed("id", "__blk")
-    seq = F.sequence(F.col("__blk") * width, F.least((F.col("__blk") + 1) * width, F.lit(n)) - 1)
-    ids = blocks.select("__blk", F.explode(seq).alias("id"))
-    per_block = ids.groupBy("__blk").agg(
-        *[F.sum(F.expr(h).cast("long")).alias(f"__c_{k}") for k, h in hits.items()])
-    before = Window.orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)  # nb rows only
-    offs = per_block.select("__blk", *[F.coalesce(F.sum(f"__c_{k}").over(before), F.lit(0))
-                                       .alias(f"__o_{k}") for k in hits])
-    regen = (offs.repartition(min(nb, 4 * par), "__blk")
-             .select("*", F.explode(seq).alias("id")))
-    w = Window.partitionBy("__blk").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    for k, h in hits.items():
-        regen = regen.withColumn(
-            k, F.col(f"__o_{k}") + F.coalesce(F.sum(F.expr(h).cast("long")).over(w), F.lit(0)))
-    return regen.select("id", *hits.keys())
-
-
 def gen_table(spark: SparkSession, spec: TableSpec, n: int | None = None, seed: int = 42,
-              ids: DataFrame | None = None) -> DataFrame:
-    """Generate ``n`` rows (default ``spec.n``): ``id`` + the spec's columns in order.
+              ids: DataFrame | None = None, id_col: str = "id") -> DataFrame:
+    """``id`` and the spec's columns in order, one row for each row of ``ids``.
 
-    ``ids`` (a frame with a bigint ``id``, e.g. a stream) replaces the range;
-    then a ramp's draw number is the id itself (no prefix count on a stream).
+    ``ids`` holds row numbers in a bigint ``id_col`` (0, 1, ..; a table's key or a stream's counter);
+    without it, ``n`` rows (default ``spec.n``) are numbered. On a stream a ramp with include
+    rules takes the id itself as its draw number: there is no count of earlier hits.
     """
-    n = spec.n if n is None else n
-    hits = {f"__hb_{i}": include_hit(gx.SPARK, seed, spec.name, c, "id")
+    base = _ids(spark, spec.n if n is None else n) if ids is None else ids.select(F.col(id_col).cast("long").alias("id"))
+    hits = {f"__hb_{i}": F.expr(include_hit(seed, spec.name, c, "id")).cast("long")
             for i, c in enumerate(spec.columns) if ramp_has_include(c)}
-    if ids is not None:
-        base = ids
-        draw = {i: "id" for i, _ in enumerate(spec.columns)}
-    elif hits:
-        base = _ids_with_hits_before(spark, n, hits)
-        draw = {i: (f"(id - __hb_{i})" if f"__hb_{i}" in hits else "id") for i, _ in enumerate(spec.columns)}
+    if hits and not base.isStreaming:
+        base = bucketed_scan(base.withColumn("__all", F.lit(0)), ["__all"], "id", sums=hits, inclusive=False)
     else:
-        base = _ids(spark, n)
-        draw = {i: "id" for i, _ in enumerate(spec.columns)}
-    cols = [F.expr(column_sql(gx.SPARK, seed, spec.name, c, "id", draw[i])).alias(c.name)
-            for i, c in enumerate(spec.columns)]
-    return base.select("id", *cols)
-
-
-# ------------------------------------------------------------------ DuckDB oracle
-def gen_sql(spec: TableSpec, n_sql: str, seed: int = 42, ids_sql: str | None = None) -> str:
-    """The same table as DuckDB SQL over ``range(n_sql)`` (or over ``ids_sql`` rows with an ``id``)."""
-    d = gx.DUCKDB
-    hb = []
-    for i, c in enumerate(spec.columns):
-        if ramp_has_include(c):
-            h = include_hit(d, seed, spec.name, c, "id")
-            hb.append(f"coalesce(sum(CASE WHEN {h} THEN 1 ELSE 0 END) OVER (ORDER BY id ROWS BETWEEN "
-                      f"UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __hb_{i}")
-    src = f"({ids_sql}) r" if ids_sql else f"range({n_sql}) r(id)"
-    inner = f"SELECT id{''.join(', ' + x for x in hb)} FROM {src}"
-    cols = []
-    for i, c in enumerate(spec.columns):
-        draw = f"(id - __hb_{i})" if ramp_has_include(c) else "id"
-        cols.append(f"{column_sql(d, seed, spec.name, c, 'id', draw)} AS {c.name}")
-    return f"SELECT id, {', '.join(cols)} FROM ({inner}) g"
+        hits = {}
+    drawn = base.select("id", *hits, *[
+        F.expr(draw_probability(seed, spec.name, c, "id")).alias(f"__p_{i}")
+        for i, c in enumerate(spec.columns) if c.type in ("int", "float")])
+    return drawn.select("id", *[
+        F.expr(column_sql(seed, spec.name, c, "id", f"__p_{i}", f"(id - __hb_{i})" if f"__hb_{i}" in hits else "id"))
+        .alias(c.name) for i, c in enumerate(spec.columns)])
 
 
 # ------------------------------------------------------------------ stats

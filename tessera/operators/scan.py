@@ -1,19 +1,18 @@
 """Skew-safe ordered scans (running sums, last-non-null, row positions).
 
-A plain ``Window.partitionBy(key).orderBy(pos)`` sends every row of a key to
-one task, so one hot key (a giant result, script or suite) becomes one
-straggler. The scans here split each key into buckets of ``pos div width``,
-which are contiguous ranges of the order:
-
-1. one hash exchange on (key, bucket) and a window per (key, bucket) giving
-   each row its in-bucket running value and its bucket's total;
-2. one row per bucket from that output (already clustered, so no exchange),
-   and the exclusive prefix over the buckets of each key (a small table);
-3. join the per-bucket prefix back on (key, bucket); the rows side keeps its
-   partitioning, only the small side moves (or is broadcast by AQE).
-
-Everything is deterministic and stays in built-in expressions; no sampling,
-no driver round trip. ``width`` bounds the rows a window task sees per key.
+A plain ``Window.partitionBy(key).orderBy(pos)`` sends every row of a key to one task, so one hot key (a
+giant result, script or suite) becomes one straggler. The scans here cut each key into buckets that are
+contiguous ranges of the order:
+
+1. per key, its count and the span of its order values say how wide a bucket is, so that buckets hold about
+   ``width`` rows however sparse the values are;
+2. per (key, bucket), totals as a map-side aggregate (no rows are moved), and their exclusive prefix over the
+   buckets of a key (one row per bucket);
+3. one exchange of the rows on (key, bucket) with a window inside the bucket, joined with that prefix (the small
+   side moves, or is broadcast by AQE).
+
+Everything is lazy, deterministic and in built-in expressions: no sampling, no driver round trip, nothing
+written. A null order value comes first; null keys are a key of their own.
 """
 
 from __future__ import annotations
@@ -23,8 +22,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import share
-
 DEFAULT_WIDTH = 1 << 16
 
 
@@ -40,51 +37,57 @@ def bucketed_scan(df: DataFrame, keys: Sequence[str], order: str,
                   width: int = DEFAULT_WIDTH) -> DataFrame:
     """Running ``sum`` and ``last(ignorenulls)`` over ``order`` within ``keys``.
 
-    ``order`` must be an integral column. ``inclusive`` chooses whether the
-    current row is part of its own prefix. Output: the input columns plus one
-    column per entry of ``sums`` / ``lasts``.
+    ``order`` must be an integral column and ``keys`` not empty. ``inclusive`` chooses whether the
+    current row is part of its own prefix. Output: the input columns plus one column per entry of
+    ``sums`` / ``lasts``.
     """
     sums = dict(sums or {})
     lasts = dict(lasts or {})
     if not sums and not lasts:
         raise ValueError("bucketed_scan needs at least one sum or last")
-    keys = list(keys)
-    b = "__bs_bucket"
-    tmp = df.withColumn(b, F.floor(F.col(order) / F.lit(width)).cast("long"))
-    for name, expr in sums.items():
-        tmp = tmp.withColumn(f"__bs_s_{name}", expr.cast("long"))
-    for name, expr in lasts.items():
-        tmp = tmp.withColumn(f"__bs_l_{name}", expr)
-
-    # 1. one exchange on (keys, bucket); running value and bucket total per row
-    ordered = Window.partitionBy(*keys, b).orderBy(*_cols([order, *tiebreak]))
-    run = ordered.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    x = tmp.select(
-        "*",
-        *[F.sum(f"__bs_s_{n}").over(run).alias(f"__bs_r_{n}") for n in sums],
-        *[F.sum(f"__bs_s_{n}").over(whole).alias(f"__bs_T_{n}") for n in sums],
-        *[F.last(f"__bs_l_{n}", ignorenulls=True).over(run).alias(f"__bs_r_{n}") for n in lasts],
-        *[F.last(f"__bs_l_{n}", ignorenulls=True).over(whole).alias(f"__bs_T_{n}") for n in lasts])
-    # Both branches below read ``x``. A lazy reliable checkpoint turns it into one
-    # RDD whose shuffle runs once for both, and keeps nested scans linear instead of
-    # re-planning the whole upstream lineage at every use.
-    x = share(x)
-    # 2. one row per bucket (already clustered: no exchange), prefix over the buckets of a key
-    seg = x.groupBy(*keys, b).agg(*[F.first(f"__bs_T_{n}").alias(f"__bs_T_{n}") for n in [*sums, *lasts]])
+    keys, b, o = list(keys), "__bs_bucket", F.col(order)
+    tmp = df.select("*", *[x.cast("long").alias(f"__bs_s_{n}") for n, x in sums.items()],
+                    *[x.alias(f"__bs_l_{n}") for n, x in lasts.items()])
+    # 1. how wide a bucket of a key is
+    span = df.groupBy(*keys).agg(F.min(o).alias("__bs_lo"), F.max(o).alias("__bs_hi"),
+                                 F.ceil(F.count(F.lit(1)) / width).alias("__bs_n"))
+    step = F.greatest(F.ceil((F.col("__bs_hi") - F.col("__bs_lo") + 1) / F.col("__bs_n")), F.lit(1))
+    span = span.select(*keys, "__bs_lo", step.alias("__bs_step"))
+    tmp = _attach(tmp, span, keys).withColumn(
+        b, F.coalesce(F.floor((o - F.col("__bs_lo")) / F.col("__bs_step")).cast("long"), F.lit(-1)))
+    tmp = tmp.drop("__bs_lo", "__bs_step")
+    # 2. totals of the buckets before
+    place = F.struct(F.coalesce(o.cast("long"), F.lit(-(1 << 63))), *tiebreak)
+    total = tmp.groupBy(*keys, b).agg(
+        *[F.sum(f"__bs_s_{n}").alias(f"__bs_T_{n}") for n in sums],
+        *[F.max_by(f"__bs_l_{n}", F.when(F.col(f"__bs_l_{n}").isNotNull(), place)).alias(f"__bs_T_{n}")
+          for n in lasts])
     wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.select(
+    before = total.select(
         *keys, b,
         *[F.coalesce(F.sum(f"__bs_T_{n}").over(wb), F.lit(0)).alias(f"__bs_O_{n}") for n in sums],
         *[F.last(f"__bs_T_{n}", ignorenulls=True).over(wb).alias(f"__bs_O_{n}") for n in lasts])
-    # 3. join the small per-bucket side back (rows keep their partitioning)
-    out = x.join(seg, on=[*keys, b], how="left")
-    for n in sums:
-        out = out.withColumn(n, F.col(f"__bs_O_{n}") + F.coalesce(F.col(f"__bs_r_{n}"), F.lit(0)))
-    for n in lasts:
-        out = out.withColumn(n, F.coalesce(F.col(f"__bs_r_{n}"), F.col(f"__bs_O_{n}")))
-    drop = [c for c in out.columns if c.startswith("__bs_")]
-    return out.drop(*drop)
+    # 3. running values inside a bucket, then what came before it
+    run = Window.partitionBy(*keys, b).orderBy(*_cols([order, *tiebreak])) \
+        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    x = tmp.select(*df.columns, b,
+                   *[F.sum(f"__bs_s_{n}").over(run).alias(f"__bs_r_{n}") for n in sums],
+                   *[F.last(f"__bs_l_{n}", ignorenulls=True).over(run).alias(f"__bs_r_{n}") for n in lasts])
+    out = _attach(x, before, [*keys, b])
+    return out.select(
+        *[c for c in df.columns if c not in sums and c not in lasts],
+        *[(F.col(f"__bs_O_{n}") + F.coalesce(F.col(f"__bs_r_{n}"), F.lit(0))).alias(n) for n in sums],
+        *[F.coalesce(F.col(f"__bs_r_{n}"), F.col(f"__bs_O_{n}")).alias(n) for n in lasts])
+
+
+def _attach(rows: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of ``side`` (one row per key); null keys meet null keys."""
+    named = side.select(*[F.col(k).alias(f"__bs_k_{i}") for i, k in enumerate(keys)],
+                        *[c for c in side.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & rows[k].eqNullSafe(named[f"__bs_k_{i}"])
+    return rows.join(named, same, "left").drop(*[f"__bs_k_{i}" for i in range(len(keys))])
 
 
 def row_index(df: DataFrame, keys: Sequence[str], order: str, name: str = "row_idx",

@@ -9,10 +9,12 @@ last-event-wins scan: inside a block after line i iff the last block event
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import jtrim
+from tessera.functions.text import jtrim, substitute
 
 # Keywords of the script grammar (block openers / closer).
 BLOCK_CREATORS = ("create", "replace")
@@ -71,16 +73,18 @@ def statements(lines: DataFrame) -> DataFrame:
     close = F.when(inside, F.col("__end")).otherwise(~F.col("__open") & F.endswith(low, F.lit(";")))
     p = (p.withColumn("__close", close)
           .withColumn("__stmt", F.coalesce(F.sum(F.col("__close").cast("int")).over(before), F.lit(0))))
-    closed = (p.groupBy("file", "__stmt")
-              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "seg"))),
-                                            lambda x: x["seg"]), "\n").alias("__text"),
-                   F.max(F.struct("n", "__close", "comment")).alias("__last"))
-              .where(F.col("__last.__close"))
-              .select("file", F.col("__last.n").alias("n"), jtrim(F.col("__text")).alias("sql"),
-                      F.col("__last.comment").alias("comment")))
-    notes = (p.where(~F.col("__close") & F.col("comment").isNotNull())
-             .select("file", "n", F.lit("").alias("sql"), "comment"))
-    return closed.unionByName(notes).where((F.col("sql") != "") | F.col("comment").isNotNull())
+    # the lines of one statement number: its own lines up to the one that closes it. Notes are the other lines of
+    # the group with a comment; both come from the one aggregate
+    line = F.struct("n", "seg", "comment", F.col("__close").alias("close"))
+    g = p.groupBy("file", "__stmt").agg(F.array_sort(F.collect_list(line)).alias("l"))
+    last = F.element_at("l", -1)
+    sql = jtrim(F.array_join(F.transform("l", lambda x: x["seg"]), "\n"))
+    closed = F.when(last["close"], F.array(F.struct(last["n"].alias("n"), sql.alias("sql"),
+                                                    last["comment"].alias("comment")))).otherwise(F.array())
+    notes = F.transform(F.filter("l", lambda x: ~x["close"] & x["comment"].isNotNull()),
+                        lambda x: F.struct(x["n"].alias("n"), F.lit("").alias("sql"), x["comment"].alias("comment")))
+    out = g.select("file", F.explode(F.concat(closed, notes)).alias("s")).select("file", "s.n", "s.sql", "s.comment")
+    return out.where((F.col("sql") != "") | F.col("comment").isNotNull())
 
 
 def directives(steps: DataFrame) -> DataFrame:
@@ -96,14 +100,14 @@ def _word(tokens: Column, i: int) -> Column:
     return F.lower(F.try_element_at(tokens, F.lit(i)))
 
 
-def statement_class(steps: DataFrame) -> DataFrame:
-    """Kind of statement: create table / external / view / stream, use application, other.
+def statement_class(steps: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Kind of statement: create table / external / view / stream, use application, other (and the columns ``keep``).
 
     A ``create stream`` resets its topic unless the comment says ``no-reset``.
     """
     toks = F.split(F.col("sql"), r"\s+")
     w = (steps.where(F.col("sql") != "")
-         .select("file", "n", "comment", F.size(toks).alias("__k"), _word(toks, 1).alias("__t1"),
+         .select("file", "n", "comment", *keep, F.size(toks).alias("__k"), _word(toks, 1).alias("__t1"),
                  _word(toks, 2).alias("__t2"), _word(toks, 5).alias("__t5")))
     t1 = F.col("__t1")
     t2 = F.when(F.col("__t2") == "if", F.col("__t5")).otherwise(F.col("__t2"))
@@ -115,7 +119,7 @@ def statement_class(steps: DataFrame) -> DataFrame:
     kind = cond.when((t1 == "use") & (t2 == "application"), "use_application").otherwise("other")
     reset = (kind == "create_stream") & ~F.coalesce(F.contains(F.col("comment"), F.lit("no-reset")),
                                                    F.lit(False))
-    return w.select("file", "n", kind.alias("kind"), reset.alias("reset"))
+    return w.select("file", "n", *keep, kind.alias("kind"), reset.alias("reset"))
 
 
 CREATED_OBJECT_RX = r"(?is)create\s+(?:external\s+)?\S+\s+(?:if\s+not\s+exists\s+)?([^\s(]+)"
@@ -140,20 +144,11 @@ def app_of(sql: Column) -> Column:
     return F.when(v != "", v)
 
 
-def app_set(steps: DataFrame, default_app: Column) -> DataFrame:
-    """Distinct ``use application X;`` names per file plus the case's default app."""
-    used = steps.select("file", app_of(F.col("sql")).alias("app")).where(F.col("app").isNotNull())
-    default = steps.select("file", default_app.alias("app"))
-    return used.unionByName(default).distinct()
-
-
-def substitute(sql: Column, variables: Column) -> Column:
-    """``${name}`` -> value from the ``variables`` map; unknown names stay as written."""
-    names = F.regexp_extract_all(sql, F.lit(r"\$\{(\w+)\}"), F.lit(1))
-    return F.aggregate(
-        F.array_distinct(names), sql,
-        lambda acc, k: F.coalesce(
-            F.replace(acc, F.concat(F.lit("${"), k, F.lit("}")), F.try_element_at(variables, k)), acc))
+def app_set(steps: DataFrame, default_app: Column, variables: Column | None = None) -> DataFrame:
+    """Distinct ``use application X;`` names per file (variables resolved) plus the case's default app."""
+    sql = F.col("sql") if variables is None else substitute(F.col("sql"), variables)
+    apps = F.array_compact(F.array(app_of(sql), default_app))
+    return steps.select("file", F.explode(apps).alias("app")).distinct()
 
 
 def split_statement(steps: DataFrame) -> DataFrame:
@@ -182,8 +177,8 @@ def time_limit(lines: DataFrame, default_s: int = 30) -> DataFrame:
 def stream_ids(steps: DataFrame, prefix: Column) -> DataFrame:
     """The k-th ``stream`` directive of a case starts stream ``<prefix>stream<k>``,
     also bound to variable ``stream<k>``."""
-    d = directives(steps).where(F.col("key") == "stream").select("file", "n")
-    d = d.join(steps.select("file", "n", prefix.alias("__prefix")), ["file", "n"])
+    key = F.lower(jtrim(F.split(F.col("comment"), ":")[0]))
+    d = steps.where(key == "stream").select("file", "n", prefix.alias("__prefix"))
     k = d.withColumn("__k", F.row_number().over(Window.partitionBy("file").orderBy("n")))
     var = F.concat(F.lit("stream"), F.col("__k").cast("string"))
     return k.select("file", "n", var.alias("var"), F.concat(F.col("__prefix"), var).alias("stream_id"))
@@ -211,7 +206,7 @@ def failed_scripts(steps: DataFrame, failed: DataFrame, variables: Column) -> Da
 
 
 def write_failed_scripts(scripts: DataFrame, path: str) -> str:
-    """One folder per failed case holding its statements (parallel part files)."""
-    (scripts.select("file", F.col("sql").alias("value"))
-     .write.mode("overwrite").partitionBy("file").text(path))
+    """One folder per failed case holding its statements in order (one file a case: scripts are hand-written)."""
+    (scripts.repartition("file").sortWithinPartitions("file", "n")
+     .select("file", F.col("sql").alias("value")).write.mode("overwrite").partitionBy("file").text(path))
     return path

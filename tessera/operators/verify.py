@@ -4,26 +4,22 @@ Inputs
 ------
 out     keys..., row_idx, line       rendered result rows (positional)
 tgt     keys..., row_idx, pattern    golden target lines
+heads   keys...                      one row per target, also of those without lines or results
 
-``keys`` identify a target (e.g. ``case_id`` or ``suite, case, target_idx``).
-Exact and row-count checks are equi-joins on (keys, row_idx) plus keyed
-aggregates, so a giant case is spread over many tasks. Exclude tests only the
-first target line (a one-row-per-case side). The ordered include check is a
-greedy subsequence scan and is inherently sequential inside one case: it
-streams each case's rows in order through ``mapInPandas`` keeping only the
-case's target list in memory, never collecting the output rows.
+``keys`` identify a target (e.g. ``case_id`` or ``suite, case, target_idx``). ``verify_targets`` is the whole
+path: the first line of a target says how it is verified, all modes are one plan, and every target gives a
+verdict. Exact and row-count checks are one equi-join on (keys, row_idx) and one aggregate, so a giant case
+is spread over many tasks; the ordered include check cuts a case's rows into blocks whose effects compose.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import match_line
+from tessera.functions.text import _META, compile_pattern, match_compiled, match_line, tokens
 
 PASS = "Pass"
 LINE_COUNT_DIFF = "LineCountDiff"
@@ -34,33 +30,43 @@ DATA_NOT_RECEIVED = "DataNotReceived"
 UNEXPECTED_SUCCESS = "UnexpectedSuccess"
 
 
-def matched_pairs(out: DataFrame, tgt: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Positional pairs (keys, row_idx, line, pattern, matched)."""
-    return (out.join(tgt, [*keys, "row_idx"])
-            .withColumn("matched", match_line(F.col("line"), F.col("pattern"))))
+def _line_diffs(out: DataFrame, tgt: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, row_idx, line, pattern, differs) by position; one side is null beyond the shorter."""
+    t = tgt.select(*keys, "row_idx", "pattern", compile_pattern(F.col("pattern")).alias("__rx"))
+    both = F.col("line").isNotNull() & F.col("pattern").isNotNull()
+    return (out.select(*keys, "row_idx", "line").join(t, [*keys, "row_idx"], "full_outer")
+            .select(*keys, "row_idx", "line", "pattern",
+                    (both & (F.col("line") != F.col("pattern"))
+                     & ~match_compiled(F.col("line"), F.col("__rx"))).alias("differs")))
 
 
-def verify_exact(out: DataFrame, tgt: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
-    """Line counts equal, else LineCountDiff; every positional pair matches, else LinesNotMatch."""
+def verify_exact(out: DataFrame, tgt: DataFrame, keys: Sequence[str] = ("case_id",),
+                 heads: DataFrame | None = None) -> DataFrame:
+    """Line counts equal, else LineCountDiff; every positional pair matches, else LinesNotMatch.
+
+    One full outer join and one aggregate. ``diff_line`` and ``diff_pattern`` are the first differing pair.
+    With ``heads``, targets without any line on either side are there, too (and pass).
+    """
     keys = list(keys)
-    n_out = out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_out"))
-    n_tgt = tgt.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tgt"))
-    diffs = (matched_pairs(out, tgt, keys).groupBy(*keys)
-             .agg(F.count_if(~F.col("matched")).alias("n_diff"),
-                  F.min(F.when(~F.col("matched"), F.col("row_idx"))).alias("first_diff_idx")))
-    res = n_out.join(n_tgt, keys, "full_outer").join(diffs, keys, "left")
-    n_o, n_t = F.coalesce("n_out", F.lit(0)), F.coalesce("n_tgt", F.lit(0))
-    verdict = (F.when(n_o != n_t, LINE_COUNT_DIFF)
-                .when(F.coalesce("n_diff", F.lit(0)) > 0, LINES_NOT_MATCH).otherwise(PASS))
-    return res.select(*keys, n_o.alias("n_out"), n_t.alias("n_tgt"),
-                      F.coalesce("n_diff", F.lit(0)).alias("n_diff"), "first_diff_idx",
+    bad = F.when(F.col("differs"), F.col("row_idx"))
+    res = (_line_diffs(out, tgt, keys).groupBy(*keys)
+           .agg(F.count("line").alias("n_out"), F.count("pattern").alias("n_tgt"),
+                F.count_if("differs").alias("n_diff"), F.min(bad).alias("first_diff_idx"),
+                F.min_by(F.struct("line", "pattern"), bad).alias("__pair")))
+    if heads is not None:
+        res = heads.select(*keys).join(res, keys, "left")
+    n = {c: F.coalesce(c, F.lit(0)) for c in ("n_out", "n_tgt", "n_diff")}
+    verdict = (F.when(n["n_out"] != n["n_tgt"], LINE_COUNT_DIFF)
+                .when(n["n_diff"] > 0, LINES_NOT_MATCH).otherwise(PASS))
+    return res.select(*keys, *[x.alias(c) for c, x in n.items()], "first_diff_idx",
+                      F.col("__pair.line").alias("diff_line"), F.col("__pair.pattern").alias("diff_pattern"),
                       verdict.alias("verdict"))
 
 
 def exact_diffs(out: DataFrame, tgt: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
-    """The (output, target) pairs that do not match, as rows (never collected)."""
-    return (matched_pairs(out, tgt, keys).where(~F.col("matched"))
-            .select(*keys, "row_idx", "line", "pattern"))
+    """All (output, target) pairs that do not match, as rows (the failure report; never collected)."""
+    keys = list(keys)
+    return _line_diffs(out, tgt, keys).where("differs").drop("differs")
 
 
 def verify_rows(out: DataFrame, expected: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
@@ -73,29 +79,29 @@ def verify_rows(out: DataFrame, expected: DataFrame, keys: Sequence[str] = ("cas
                       F.when(n == F.col("expected_rows"), PASS).otherwise(LINE_COUNT_DIFF).alias("verdict"))
 
 
-def verify_exclude(out: DataFrame, tgt: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
-    """Pass iff no output line matches the case's first target line.
+def verify_exclude(out: DataFrame, tgt: DataFrame, keys: Sequence[str] = ("case_id",),
+                   heads: DataFrame | None = None) -> DataFrame:
+    """Pass iff no output line matches the target's first line.
 
-    (The reference's pointer only moves on a match, so only target line 0 is
-    ever tested.) The first-line side has one row per case.
+    (The reference's pointer only moves on a match, so only target line 0 is ever tested.) The
+    first-line side has one row per target; its pattern is judged there. Without lines a target passes.
     """
     keys = list(keys)
-    first = (tgt.groupBy(*keys).agg(F.min_by("pattern", "row_idx").alias("pattern")))
-    # the regex test is non-deterministic to the analyzer (reflection): project, then count
-    hits = (out.join(first, keys)
-            .withColumn("__m", match_line(F.col("line"), F.col("pattern")))
-            .groupBy(*keys).agg(F.count_if("__m").alias("n_hits")))
-    res = first.select(*keys).join(hits, keys, "left")
+    first = (tgt.groupBy(*keys).agg(F.min_by("pattern", "row_idx").alias("pattern"))
+             .select(*keys, compile_pattern(F.col("pattern")).alias("__rx")))
+    hits = (out.join(first, keys).where(match_compiled(F.col("line"), F.col("__rx")))
+            .groupBy(*keys).agg(F.count(F.lit(1)).alias("n_hits")))
+    res = (first if heads is None else heads).select(*keys).join(hits, keys, "left")
     n = F.coalesce("n_hits", F.lit(0))
     return res.select(*keys, n.alias("n_hits"),
                       F.when(n == 0, PASS).otherwise(LINES_EXCLUDE).alias("verdict"))
 
 
 def verify_error(outcome: DataFrame, tgt: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
-    """A step expected to fail: its one-line message is verified exactly.
+    """A step expected to fail: its message is verified like a result of one line.
 
     ``outcome``: keys, error (message, null when the step succeeded).
-    ``tgt``: keys, row_idx, pattern (the error target's lines).
+    ``tgt``: keys, row_idx, pattern (all lines of the error target).
     """
     keys = list(keys)
     t = tgt.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tgt"),
@@ -130,16 +136,59 @@ def target_mode(header: DataFrame, col: str = "header") -> DataFrame:
         F.when(mode == "data-received", F.try_element_at(words, F.lit(4))).alias("table"))
 
 
+def verify_targets(out: DataFrame, heads: DataFrame, tgt: DataFrame, keys: Sequence[str] = ("case_id",),
+                   lags: DataFrame | None = None) -> DataFrame:
+    """One verdict per row of ``heads``, each target verified in the mode its first line asks for.
+
+    ``lags`` (topic, verdict; from ``consumer_lag``) answers data-received targets; a topic that is not in it
+    has not received its data. Output: keys, mode, n_out, verdict, message (null where it passes).
+    """
+    keys = list(keys)
+    first = tgt.where(F.col("row_idx") == 0).select(*keys, F.col("pattern").alias("header"))
+    modes = target_mode(heads.select(*keys).join(first, keys, "left"))
+    pick = lambda df, mode: df.join(modes.where(F.col("mode") == mode).select(*keys), keys, "left_semi")
+    body = lambda mode: pick(tgt, mode).where(F.col("row_idx") > 0).withColumn("row_idx", F.col("row_idx") - 1)
+    of = lambda mode: modes.where(F.col("mode") == mode)
+
+    exact = verify_exact(pick(out, "match"), pick(tgt, "match"), keys, of("match"))
+    exact = exact.select(*keys, "verdict", F.when(F.col("verdict") == LINES_NOT_MATCH, F.concat_ws(
+        "", F.lit("line "), F.col("first_diff_idx").cast("string"), F.lit(": "), "diff_line", F.lit(" | "),
+        "diff_pattern")).when(F.col("verdict") == LINE_COUNT_DIFF, F.concat_ws(
+            "", F.col("n_out").cast("string"), F.lit(" lines, expected "), F.col("n_tgt").cast("string"))).alias("message"))
+    inc = verify_include(pick(out, "include"), body("include"), keys, of("include"))
+    inc = inc.select(*keys, "verdict", F.when(F.col("verdict") != PASS, F.concat_ws(
+        "", F.col("n_matched").cast("string"), F.lit(" of "), F.col("n_targets").cast("string"),
+        F.lit(" lines found in order"))).alias("message"))
+    exc = verify_exclude(pick(out, "exclude"), body("exclude"), keys, of("exclude"))
+    exc = exc.select(*keys, "verdict", F.when(F.col("verdict") != PASS, F.concat_ws(
+        "", F.col("n_hits").cast("string"), F.lit(" excluded lines"))).alias("message"))
+    counts = out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_out"))
+    got = modes.join(exact.unionByName(inc).unionByName(exc), keys, "left").join(counts, keys, "left")
+    n = F.coalesce("n_out", F.lit(0))
+    if lags is None:
+        got = got.withColumn("__lag", F.lit(None).cast("string"))
+    else:
+        got = got.join(lags.select(F.col("topic"), F.col("verdict").alias("__lag")).distinct(), "topic", "left")
+    verdict = (F.when(F.col("mode") == "rows", F.when(n == F.col("rows"), PASS).otherwise(LINE_COUNT_DIFF))
+                .when(F.col("mode") == "data-received", F.coalesce("__lag", F.lit(DATA_NOT_RECEIVED)))
+                .otherwise(F.col("verdict")))
+    message = (F.when((F.col("mode") == "rows") & ~n.eqNullSafe(F.col("rows")),
+                      F.concat_ws("", n.cast("string"), F.lit(" lines, expected "), F.col("rows").cast("string")))
+                .when((F.col("mode") == "data-received") & (verdict != PASS), F.lit("data has not all received"))
+                .otherwise(F.col("message")))
+    return got.select(*keys, "mode", n.alias("n_out"), verdict.alias("verdict"), message.alias("message"))
+
+
 def case_outcome(verdicts: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
-    """The first target (by index) that does not pass decides the case."""
+    """The first target (by index) that does not pass decides the case; its message goes with it if there is one."""
     keys = list(keys)
-    bad = F.col("verdict") != PASS
+    bad = F.when(F.col("verdict") != PASS, F.col("target_idx"))
+    note = F.col("message") if "message" in verdicts.columns else F.lit(None).cast("string")
     return (verdicts.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("n_targets"),
-                 F.min(F.when(bad, F.col("target_idx"))).alias("failed_target"),
-                 F.min_by(F.col("verdict"), F.when(bad, F.col("target_idx"))).alias("failed_verdict"))
-            .select(*keys, F.col("failed_target").isNull().alias("passed"),
-                    "failed_target", "failed_verdict",
+            .agg(F.count(F.lit(1)).alias("n_targets"), F.min(bad).alias("failed_target"),
+                 F.min_by(F.struct(F.col("verdict"), note.alias("message")), bad).alias("__first"))
+            .select(*keys, F.col("failed_target").isNull().alias("passed"), "failed_target",
+                    F.col("__first.verdict").alias("failed_verdict"), F.col("__first.message").alias("failed_message"),
                     F.coalesce("failed_target", "n_targets").alias("targets_passed")))
 
 
@@ -171,80 +220,61 @@ def eventually_pass(snapshots: DataFrame, n_targets: int, limit_ms: int,
 
 
 # ------------------------------------------------------------------ include
-@lru_cache(maxsize=4096)
-def _compiled(p: str):
-    import regex
-    try:
-        return regex.compile(p, flags=regex.VERSION0)
-    except Exception:  # noqa: BLE001 - an invalid pattern never matches
-        return None
-
-
-def _tokens(s) -> list[str]:
-    if s is None:
-        return []
-    import re
-    return [t.strip() for t in re.split(r"[ \t\n\x0b\f\r]+", s) if t.strip()]
-
-
-def py_match_line(line, pattern) -> bool:
-    lt, pt = _tokens(line), _tokens(pattern)
-    if not lt and not pt:
-        return True
-    if len(lt) != len(pt):
-        return False
-    for w, p in zip(lt, pt):
-        if w == p:
-            continue
-        rx = _compiled(p)
-        if rx is None or rx.fullmatch(w) is None:
-            return False
-    return True
-
-
-def verify_include(out: DataFrame, tgt: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
+BLOCKS = 256  # at most so many blocks a target, of at least MIN_BLOCK matched rows
+MIN_BLOCK = 4096
+
+
+def matched_rows(out: DataFrame, tgt: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, row_idx, classes): output rows that match some target line, by the lines' class numbers.
+
+    Equal target lines are one class. Lines that match as text meet by an equi-join on their tokens; only target
+    lines with regular expressions are tested against their case's rows one by one.
+    """
+    keys = list(keys)
+    key = lambda c: F.array_join(tokens(F.col(c)), " ")
+    lines = tgt.select(*keys, "row_idx", "pattern").groupBy(*keys, "pattern").agg(F.min("row_idx").alias("class"))
+    lines = lines.select(*keys, "class", key("pattern").alias("__text"), F.col("pattern").rlike(_META).alias("__meta"),
+                         compile_pattern(F.col("pattern")).alias("__rx"))
+    rows = out.select(*keys, "row_idx", "line", key("line").alias("__text"))
+    plain = rows.join(lines.drop("__meta", "__rx"), [*keys, "__text"]).select(*keys, "row_idx", "class")
+    rx = lines.where("__meta").select(*keys, "class", "__rx", F.col("__text").alias("__own"))
+    other = (rows.join(rx, keys).where((F.col("__text") != F.col("__own")) & match_compiled(F.col("line"), F.col("__rx")))
+             .select(*keys, "row_idx", "class"))
+    return plain.unionByName(other).groupBy(*keys, "row_idx").agg(F.collect_set("class").alias("classes"))
+
+
+def verify_include(out: DataFrame, tgt: DataFrame, keys: Sequence[str] = ("case_id",),
+                   heads: DataFrame | None = None) -> DataFrame:
     """Target lines must occur in the output in order (greedy subsequence).
 
-    Per case: targets first (tag 0), then rows (tag 1), each in index order,
-    co-located by a hash exchange on the case keys and sorted inside the
-    partition; the scan keeps one pointer and the case's target list.
-    Output: keys, n_targets, n_matched, verdict.
+    The matched rows of a target are cut into blocks. A block maps every pointer it may be entered with to the one
+    it is left with, in its own task; the maps of a target's blocks (at most ``BLOCKS``) are then applied in
+    order. Output: keys, n_targets, n_matched, verdict; without lines a target passes.
     """
     keys = list(keys)
-    t = tgt.select(*keys, F.lit(0).alias("__tag"), F.col("row_idx").alias("__idx"),
-                   F.col("pattern").alias("__text"))
-    o = out.select(*keys, F.lit(1).alias("__tag"), F.col("row_idx").alias("__idx"),
-                   F.col("line").alias("__text"))
-    u = (t.unionByName(o).repartition(*keys)
-         .sortWithinPartitions(*keys, "__tag", "__idx"))
-    key_fields = [f for f in u.schema.fields if f.name in keys]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
-    schema = f"{ddl}, n_targets long, n_matched long, verdict string"
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows_out: list[tuple] = []
-        cur, pats, p, has_tgt = None, [], 0, False
-
-        def flush():
-            if cur is not None and has_tgt:
-                rows_out.append((*cur, len(pats), p, PASS if p == len(pats) else LINES_INCLUDE))
-
-        for pdf in batches:
-            kv = list(zip(*[pdf[k] for k in keys]))
-            for key, tag, text in zip(kv, pdf["__tag"], pdf["__text"]):
-                if key != cur:
-                    flush()
-                    cur, pats, p, has_tgt = key, [], 0, False
-                if tag == 0:
-                    pats.append(text)
-                    has_tgt = True
-                elif p < len(pats) and py_match_line(text, pats[p]):
-                    p += 1
-            if len(rows_out) >= 10000:
-                yield pd.DataFrame(rows_out, columns=[*keys, "n_targets", "n_matched", "verdict"])
-                rows_out = []
-        flush()
-        if rows_out:
-            yield pd.DataFrame(rows_out, columns=[*keys, "n_targets", "n_matched", "verdict"])
-
-    return u.mapInPandas(scan, schema)
+    klass = tgt.groupBy(*keys, "pattern").agg(F.min("row_idx").alias("class"))
+    # a golden file's lines as class numbers, in order
+    want = (tgt.select(*keys, "row_idx", "pattern").join(klass, [*keys, "pattern"])
+            .groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "class"))),
+                                            lambda x: x["class"]).alias("__want")))
+    rows = matched_rows(out, tgt, keys)
+    span = rows.groupBy(*keys).agg(
+        F.min("row_idx").alias("__lo"), F.max("row_idx").alias("__hi"),
+        F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.ceil(F.count(F.lit(1)) / MIN_BLOCK))).alias("__n"))
+    cut = rows.join(span, keys).withColumn(
+        "__block", F.floor((F.col("row_idx") - F.col("__lo")) * F.col("__n") / (F.col("__hi") - F.col("__lo") + 1)))
+    blocks = (cut.groupBy(*keys, "__block")
+              .agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "classes"))),
+                               lambda x: x["classes"]).alias("__rows"))
+              .join(want, keys))
+    step = lambda p, r: F.when(F.array_contains(r, F.get("__want", p)), p + 1).otherwise(p)
+    maps = blocks.select(*keys, "__block", F.transform(
+        F.sequence(F.lit(0), F.size("__want")), lambda p: F.aggregate("__rows", p, step)).alias("__to"))
+    ends = (maps.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__block", "__to"))),
+                                                lambda x: x["__to"]).alias("__maps"))
+            .select(*keys, F.aggregate("__maps", F.lit(0), lambda p, m: F.get(m, p)).alias("n_matched")))
+    sizes = want.select(*keys, F.size("__want").alias("n_targets"))
+    res = (sizes if heads is None else heads.select(*keys).join(sizes, keys, "left")).join(ends, keys, "left")
+    n_t, n_m = (F.coalesce(c, F.lit(0)).cast("long") for c in ("n_targets", "n_matched"))
+    return res.select(*keys, n_t.alias("n_targets"), n_m.alias("n_matched"),
+                      F.when(n_t == n_m, PASS).otherwise(LINES_INCLUDE).alias("verdict"))

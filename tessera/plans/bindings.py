@@ -21,8 +21,8 @@ from tessera.session import read_table
 _CUTOFF = "TIMESTAMP_NTZ '1998-04-01 00:00:00'"
 
 
-def jobs(spark: SparkSession, sf: str) -> DataFrame:
-    o = read_table(spark, sf, "orders")
+def jobs(spark: SparkSession, sf: str, orders: DataFrame | None = None) -> DataFrame:
+    o = orders if orders is not None else read_table(spark, sf, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     unfinished = (k % 211) == 5
     return o.select(
@@ -97,6 +97,7 @@ def script_lines(spark: SparkSession, sf: str) -> DataFrame:
              .when(ln == 3, "begin")
              .when(ln == 4, "select 1;")
              .when(ln == 5, "end;")
+             .when((ln == 6) & (F.col("l_suppkey") % 3 == 0), "use application $" + "{app}; -- time:60")
              .when(ln == 6, F.concat(F.lit("use application app"),
                                      (F.col("l_suppkey") % 3).cast("string"),
                                      F.lit("; -- time:60")))
@@ -128,13 +129,19 @@ def stream_script_lines(spark: SparkSession, sf: str) -> DataFrame:
     return li.select(F.col("l_orderkey").alias("file"), F.col("pos").alias("n"), line.alias("line"))
 
 
-def result_lines(spark: SparkSession, sf: str) -> DataFrame:
-    o = read_table(spark, sf, "orders")
-    base = o.select(
+def rendered_results(orders: DataFrame) -> DataFrame:
+    return orders.select(
         (F.col("o_custkey") % 200).alias("case_id"), "o_orderkey",
         F.concat_ws(" ", F.col("o_orderkey").cast("string"), F.col("o_orderstatus"),
                     F.floor("o_totalprice").cast("long").cast("string")).alias("line"))
-    return row_index(base, ["case_id"], "o_orderkey").select("case_id", "row_idx", "o_orderkey", "line")
+
+
+def numbered_results(rendered: DataFrame) -> DataFrame:
+    return row_index(rendered, ["case_id"], "o_orderkey").select("case_id", "row_idx", "o_orderkey", "line")
+
+
+def result_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return numbered_results(rendered_results(read_table(spark, sf, "orders")))
 
 
 def target_lines(spark: SparkSession, sf: str, results: DataFrame | None = None) -> DataFrame:

@@ -1,16 +1,20 @@
 """Run annotated SQL cases on Spark and verify their outputs.
 
-Only the statements (the cases' program text) pass through the driver, which
-issues them in order with ``spark.sql``; every result stays a DataFrame:
-rendered to lines, positioned, and verified against the golden targets by
-the distributed verify operators. A step's time limit cancels its jobs
-through a job tag. Spark's own ``${var}`` substitution is switched off
-while case text runs (cases resolve their variables themselves).
+Only the statements (the cases' program text) pass through the driver, which issues them in order with
+``spark.sql``; every result stays a DataFrame: rendered to lines, positioned, and verified against the golden
+targets by ``verify_targets``, in the mode each target asks for. A step's time limit cancels its jobs through a
+job tag. Spark's own ``${var}`` substitution is switched off while case text runs (cases resolve their
+variables themselves).
+
+``run_cases`` issues all steps once and verifies all targets in one plan. ``poll_case`` is the way of a live case:
+its steps are repeated, from the first that has not passed, until all pass or the case's limit is over.
 """
 
 from __future__ import annotations
 
 import threading
+import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +23,11 @@ from pyspark.sql import functions as F
 from tessera.functions.text import render_line
 from tessera.operators import verify as vf
 from tessera.operators.scan import row_index
+from tessera.session import scratch_path
+
+KEYS = ["case", "target_idx"]
+OUT_SCHEMA = "case string, target_idx int, row_idx long, line string"
+ERROR = "Error"
 
 
 @dataclass
@@ -27,90 +36,126 @@ class Step:
     sql: str
     directive: str | None = None
 
+    @property
+    def checked(self) -> str | None:
+        """``target`` or ``error`` where the step's outcome is verified (target first)."""
+        return next((k for k in ("target", "error") if k in (self.directive or "")), None)
 
-def _error_line(e: Exception) -> str:
-    cond = None
-    for attr in ("getCondition", "getErrorClass"):
-        fn = getattr(e, attr, None)
-        if fn is not None:
-            try:
-                cond = fn()
-            except Exception:  # noqa: BLE001
-                cond = None
-            if cond:
-                break
-    return cond or (str(e).splitlines() or [""])[0]
+
+def error_texts(e: Exception) -> list[str]:
+    """What an expected error may be given as: the message's first line, or its error condition."""
+    message = (str(e).strip().splitlines() or [""])[0].strip()
+    condition = getattr(e, "getCondition", lambda: None)()
+    return [message] + ([condition] if condition and condition != message else [])
 
 
-def _lines(df: DataFrame, case: str, target_idx: int) -> DataFrame:
-    """Rendered result lines in output order (checkpointed: the order and ids stay fixed)."""
-    rendered = df.select(render_line(list(df.columns)).alias("line")).checkpoint(eager=True)
-    return rendered.select(F.lit(case).alias("case"), F.lit(target_idx).alias("target_idx"),
-                           F.monotonically_increasing_id().alias("__mid"), "line")
+def _issue(spark: SparkSession, sql: str, limit_s: float, sink: str | None) -> DataFrame | None:
+    """Run a statement under its time limit; with ``sink``, its rendered lines as a table in output order."""
+    tag = f"tessera-case-{abs(hash((sql, sink))) % (1 << 30)}"
+    spark.addTag(tag)
+    timer = threading.Timer(limit_s, lambda: spark.interruptTag(tag))
+    timer.start()
+    try:
+        df = spark.sql(sql)
+        if sink is None:
+            return None
+        # written once: line order and numbers stay fixed, and a lost executor costs nothing
+        (df.select(render_line(list(df.columns)).alias("line"))
+         .withColumn("at", F.monotonically_increasing_id()).write.parquet(sink))
+        return spark.read.schema("line string, at long").parquet(sink)
+    finally:
+        timer.cancel()
+        spark.removeTag(tag)
 
 
-def run_cases(spark: SparkSession, steps: list[Step], targets: DataFrame,
-              limit_s: int = 30) -> DataFrame:
-    """Execute each case's steps in order; verify ``target`` / ``error`` steps.
+def run_cases(spark: SparkSession, steps: list[Step], targets: DataFrame, heads: DataFrame | None = None,
+              limit_s: float = 30, lags: DataFrame | None = None, threads: int = 4) -> DataFrame:
+    """Execute each case's steps in order; verify ``target`` and ``error`` steps.
 
-    ``targets``: case, target_idx, row_idx, pattern. Statements run one by
-    one (each under its time limit); all outputs and error messages are then
-    verified together in one plan. Returns (case, target_idx, verdict).
+    ``targets``: case, target_idx, row_idx, pattern. ``heads`` (case, target_idx): all targets; without it, the steps
+    that ask for one. Cases run ``threads`` at a time. A step without any golden line expects an empty result. Returns (case, target_idx,
+    verdict, message), one row per checked step.
     """
     old = spark.conf.get("spark.sql.variable.substitute", "true")
     spark.conf.set("spark.sql.variable.substitute", "false")
-    outputs: list[DataFrame] = []
-    errors: list[tuple] = []
-    counters: dict[str, int] = {}
-    try:
-        for st in steps:
-            kind = st.directive or ""
-            checked = "target" in kind or "error" in kind
-            k = counters.get(st.case, 0)
-            tag = f"tessera-case-{abs(hash((st.case, st.sql))) % (1 << 30)}"
-            spark.addTag(tag)
-            timer = threading.Timer(limit_s, lambda t=tag: spark.interruptTag(t))
-            timer.start()
-            out, err = None, None
+    folder = scratch_path(spark, "cases")
+    cases: dict[str, list[tuple[int, Step]]] = {}
+    for no, st in enumerate(steps):
+        cases.setdefault(st.case, []).append((no, st))
+
+    def run_one(own: list[tuple[int, Step]]) -> list[tuple]:
+        out: list[tuple] = []
+        for no, st in own:
+            kind, texts = st.checked, []
             try:
-                df = spark.sql(st.sql)
-                if checked:
-                    out = _lines(df, st.case, k)
+                _issue(spark, st.sql, limit_s, f"{folder}/case={no}" if kind else None)
             except Exception as e:  # noqa: BLE001 - a failing step is data here
-                err = _error_line(e)
-            finally:
-                timer.cancel()
-                spark.removeTag(tag)
-            if not checked:
-                continue
-            counters[st.case] = k + 1
-            if "target" in kind:
-                if out is not None:
-                    outputs.append(out)
-                else:
-                    errors.append((st.case, k, "target", err))
-            else:
-                errors.append((st.case, k, "error", None if out is not None else err))
+                texts = error_texts(e)
+            if kind:
+                out.append((st.case, len(out), no, kind, texts))
+        return out
+
+    try:
+        with ThreadPoolExecutor(max(1, threads)) as pool:  # a case's own steps stay in order
+            issued = [x for out in pool.map(run_one, cases.values()) for x in out]
     finally:
         spark.conf.set("spark.sql.variable.substitute", old)
-    keys = ["case", "target_idx"]
-    parts = []
-    if outputs:
-        lines = outputs[0]
-        for o in outputs[1:]:
-            lines = lines.unionByName(o)
-        lines = row_index(lines, keys, "__mid")
-        expected = targets.join(lines.select(*keys).distinct(), keys, "left_semi")
-        parts.append(vf.verify_exact(lines.drop("__mid"), expected, keys).select(*keys, "verdict"))
-    if errors:
-        ev = spark.createDataFrame(errors, "case string, target_idx int, kind string, error string")
-        failed_targets = ev.where(F.col("kind") == "target").select(*keys, F.lit("Error").alias("verdict"))
-        outcome = ev.where(F.col("kind") == "error").select(*keys, "error")
-        parts.append(failed_targets)
-        parts.append(vf.verify_error(outcome, targets, keys).select(*keys, "verdict"))
-    if not parts:
-        return spark.createDataFrame([], "case string, target_idx int, verdict string")
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res.select("case", F.col("target_idx").cast("int").alias("target_idx"), "verdict")
+    done = spark.createDataFrame(issued, "case string, target_idx int, no int, kind string, texts array<string>")
+    if heads is not None:
+        done = done.join(heads.select("case", F.col("target_idx").cast("int").alias("target_idx")).distinct(),
+                         KEYS, "left_semi")
+    targets = targets.withColumn("target_idx", F.col("target_idx").cast("int"))
+    ran = done.where("size(texts) = 0")
+    failed = done.where("size(texts) > 0")
+    checks = _results(spark, folder, issued).join(ran.where("kind = 'target'").select("no", *KEYS), "no")
+    out = row_index(checks.select(*KEYS, "at", "line"), KEYS, "at").drop("at")
+    good = vf.verify_targets(out, ran.where("kind = 'target'").select(*KEYS), targets, KEYS, lags)
+    # an expected error is verified like a result of one line, as its message or as its condition
+    said = failed.where("kind = 'error'").select(*KEYS, F.posexplode("texts").alias("way", "line"))
+    way = [*KEYS, "way"]
+    ways = said.select(*way)
+    errors = vf.verify_targets(said.withColumn("row_idx", F.lit(0).cast("long")), ways, targets.join(ways, KEYS), way, lags)
+    first = F.struct(F.col("verdict") != vf.PASS, F.col("way"))
+    errors = errors.groupBy(*KEYS).agg(F.min_by("verdict", first).alias("verdict"),
+                                       F.min_by("message", first).alias("message"))
+    other = failed.where("kind = 'target'").select(*KEYS, F.lit(ERROR).alias("verdict"), F.col("texts")[0].alias("message"))
+    passed = ran.where("kind = 'error'").select(*KEYS, F.lit(vf.UNEXPECTED_SUCCESS).alias("verdict"),
+                                                F.lit("the step succeeded").alias("message"))
+    cols = [*KEYS, "verdict", "message"]
+    return good.select(*cols).unionByName(errors.select(*cols)).unionByName(other).unionByName(passed)
+
+
+def _results(spark: SparkSession, folder: str, issued: list[tuple]) -> DataFrame:
+    """All results written below ``folder`` as one scan: (no, at, line)."""
+    schema = "line string, at long, `case` int"
+    if not any(not texts for *_, texts in issued):
+        return spark.createDataFrame([], "no int, at long, line string")
+    return spark.read.schema(schema).parquet(folder).select(F.col("case").alias("no"), "at", "line")
+
+
+def poll_case(spark: SparkSession, steps: list[Step], targets: DataFrame, limit_s: float = 30,
+              interval_s: float = 2, lags=None) -> tuple[bool, int, str | None]:
+    """Repeat one case until it passes or ``limit_s`` is over: (passed, targets passed, last message).
+
+    Targets that have passed stay passed: a new round begins with the first step that has not.
+    """
+    end, at, passed = time.monotonic() + limit_s, 0, 0
+    while True:
+        message = None
+        for i in range(at, len(steps)):
+            at = i
+            left = max(end - time.monotonic(), 0.1)
+            if steps[i].checked is None:
+                run_cases(spark, [steps[i]], targets.limit(0), limit_s=left)
+                continue
+            own = targets.where(F.col("target_idx") == passed).withColumn("target_idx", F.lit(0))
+            got = run_cases(spark, [steps[i]], own, limit_s=left, lags=lags).first()
+            if got["verdict"] != vf.PASS:
+                message = f"target {passed}: {got['verdict']}" + (f" ({got['message']})" if got["message"] else "")
+                break
+            passed += 1
+        else:
+            return True, passed, None
+        if time.monotonic() + interval_s > end:
+            return False, passed, message
+        time.sleep(interval_s)

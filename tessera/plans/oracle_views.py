@@ -46,7 +46,8 @@ FROM lineitem""",
 SELECT l_orderkey AS file, pos AS n,
        CASE l_linenumber WHEN 1 THEN concat('create table if not exists $', '{prefix}t', CAST(l_partkey AS VARCHAR), '(')
             WHEN 2 THEN 'a int); -- target' WHEN 3 THEN 'begin' WHEN 4 THEN 'select 1;' WHEN 5 THEN 'end;'
-            WHEN 6 THEN concat('use application app', CAST(l_suppkey % 3 AS VARCHAR), '; -- time:60')
+            WHEN 6 THEN concat('use application ', CASE l_suppkey % 3 WHEN 0 THEN concat('$', '{app}')
+                               ELSE concat('app', CAST(l_suppkey % 3 AS VARCHAR)) END, '; -- time:60')
             ELSE concat('select count(*) from t', CAST(l_suppkey AS VARCHAR), '; -- error') END AS line
 FROM line_pos""",
     "stream_script_lines": """

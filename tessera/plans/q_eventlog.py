@@ -9,7 +9,7 @@ from tessera.plans import bindings as b
 from tessera.plans.oracle_views import with_views
 from tessera.plans.registry import register
 from tessera.session import scratch_path
-from tessera.sources.eventlog import read_event_log, write_event_log
+from tessera.sources.eventlog import event_lines, parse_event_lines, read_event_log, write_event_log
 
 # ------------------------------------------------------------------ SQL flavour
 KEPT = """
@@ -158,29 +158,33 @@ def q_stream_stage_regression(spark, sf):
 
 
 # ------------------------------------------------------------------ through JSON event logs
-_LOGS: dict[tuple[str, str], str] = {}
+def _lines(spark, sf):
+    """The bindings as listener JSON, some lines broken."""
+    j = b.jobs(spark, sf)
+    return event_lines(j, b.stages(spark, sf, j))
 
 
 def _log(spark, sf):
-    """Render the bindings as listener JSON (one folder per run) and scan them back.
-
-    The log is an input fixture: it is written once per application and data
-    folder, and every log query scans the same files.
-    """
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _LOGS:
-        j = b.jobs(spark, sf)
-        _LOGS[key] = write_event_log(j, b.stages(spark, sf, j), scratch_path(spark, "eventlog"))
-    return read_event_log(spark, _LOGS[key])
+    return parse_event_lines(_lines(spark, sf))
 
 
 @register("event_log_scan", with_views("""
-SELECT run, 'SparkListenerJobStart' AS event, count(*) AS n_events FROM jobs GROUP BY run
-UNION ALL SELECT run, 'SparkListenerJobEnd', count(*) FROM jobs WHERE result IS NOT NULL GROUP BY run
-UNION ALL SELECT run, 'SparkListenerStageCompleted', count(*) FROM stages GROUP BY run""", "stages"))
+SELECT j.run, 'SparkListenerJobStart' AS event, count(*) AS n_events, CAST(sum(job_id) AS BIGINT) AS job_ids,
+       CAST(NULL AS BIGINT) AS stage_ids, CAST(any_value(s.n) AS BIGINT) AS links,
+       CAST(max(length(sql_text)) AS INTEGER) AS longest_text, CAST(NULL AS VARCHAR) AS last_name
+FROM jobs j LEFT JOIN (SELECT run, count(*) AS n FROM stages GROUP BY run) s ON j.run = s.run GROUP BY j.run
+UNION ALL SELECT run, 'SparkListenerJobEnd', count(*), CAST(sum(job_id) AS BIGINT), NULL, NULL, NULL, NULL
+FROM jobs WHERE result IS NOT NULL GROUP BY run
+UNION ALL SELECT run, 'SparkListenerStageCompleted', count(*), NULL, CAST(sum(stage_id) AS BIGINT), NULL, NULL, max(name)
+FROM stages GROUP BY run""", "stages"))
 def q_event_log_scan(spark, sf):
-    return (_log(spark, sf).groupBy("run", F.col("Event").alias("event"))
-            .agg(F.count(F.lit(1)).alias("n_events")))
+    j = b.jobs(spark, sf)
+    log = read_event_log(spark, write_event_log(j, b.stages(spark, sf, j), scratch_path(spark, "eventlog")))
+    return (log.groupBy("run", F.col("Event").alias("event"))
+            .agg(F.count(F.lit(1)).alias("n_events"), F.sum("Job ID").alias("job_ids"),
+                 F.sum("Stage Info.Stage ID").alias("stage_ids"), F.sum(F.size("Stage IDs").cast("long")).alias("links"),
+                 F.max(F.length(F.element_at("Properties", "spark.job.description"))).alias("longest_text"),
+                 F.max("Stage Info.Stage Name").alias("last_name")))
 
 
 @register("job_fact", with_views(
@@ -191,8 +195,7 @@ def q_job_fact(spark, sf):
 
 @register("stage_fact", with_views("SELECT * FROM stages", "stages"))
 def q_stage_fact(spark, sf):
-    log = _log(spark, sf)
-    return ev.stage_fact(log, ev.job_fact(log))
+    return ev.stage_fact(_log(spark, sf))
 
 
 @register("stream_job_fact", with_views(

@@ -112,31 +112,32 @@ SELECT k.file, k.n, NULLIF(regexp_extract(s.sql, '{sc.CREATED_OBJECT_RX}', 1), '
 FROM ({_KIND.format(src="sst")}) k JOIN sst s ON k.file = s.file AND k.n = s.n
 WHERE k.kind = 'create_stream'""", "stream_script_lines", extra=SST))
 def q_topic_extract(spark, sf):
-    st = _sst(spark, sf)
-    k = sc.statement_class(st).where(F.col("kind") == "create_stream")
-    return (k.join(st, ["file", "n"])
-            .select("file", "n", sc.created_object(F.col("sql")).alias("object"),
-                    sc.topic_of(F.col("sql")).alias("topic"), "reset"))
+    st = sc.statement_class(_sst(spark, sf), keep=["sql"]).where(F.col("kind") == "create_stream")
+    return st.select("file", "n", sc.created_object(F.col("sql")).alias("object"),
+                     sc.topic_of(F.col("sql")).alias("topic"), "reset")
+
+
+def _vars():
+    case = F.concat(F.lit("scripts_case"), F.col("file").cast("string"))
+    return F.create_map(F.lit("prefix"), F.concat(case, F.lit("_")), F.lit("app"),
+                        F.concat(case, F.lit("_${database}")), F.lit("database"), F.lit("db"))
+
+
+# the app's value holds a name itself, which must stay: it is put in last
+_SUBST = """replace(replace(replace(sql, '$' || '{database}', 'db'),
+        '$' || '{prefix}', concat('scripts_case', CAST(file AS VARCHAR), '_')),
+        '$' || '{app}', concat('scripts_case', CAST(file AS VARCHAR), '_$', '{database}'))"""
 
 
 @register("app_set", with_views(f"""
 SELECT DISTINCT file, app FROM (
-  SELECT file, NULLIF(regexp_extract(sql, '{sc.USE_APP_RX}', 1), '') AS app FROM st
+  SELECT file, CASE WHEN starts_with(s, 'use application ') AND suffix(s, ';') THEN substr(s, 17, length(s) - 17) END AS app
+  FROM (SELECT file, {_SUBST} AS s FROM st) r
   UNION ALL SELECT file, concat('scripts_case', CAST(file AS VARCHAR)) FROM st) x
 WHERE app IS NOT NULL""", "script_lines", extra=ST))
 def q_app_set(spark, sf):
     st = _st(spark, sf)
-    return sc.app_set(st, F.concat(F.lit("scripts_case"), F.col("file").cast("string")))
-
-
-def _vars():
-    case = F.concat(F.lit("scripts_case"), F.col("file").cast("string"))
-    return F.create_map(F.lit("prefix"), F.concat(case, F.lit("_")), F.lit("app"), case,
-                        F.lit("database"), F.lit("db"))
-
-
-_SUBST = """replace(replace(replace(sql, '$' || '{prefix}', concat('scripts_case', CAST(file AS VARCHAR), '_')),
-        '$' || '{app}', concat('scripts_case', CAST(file AS VARCHAR))), '$' || '{database}', 'db')"""
+    return sc.app_set(st, F.concat(F.lit("scripts_case"), F.col("file").cast("string")), _vars())
 
 
 @register("substitute_vars", with_views(f"SELECT file, n, {_SUBST} AS sql FROM st WHERE sql <> ''",

@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import testevents as te
-from tessera.operators.generate import gen_table
 from tessera.plans import bindings as b
 from tessera.plans.oracle_views import with_views
-from tessera.plans.q_generate import SEED, _n, csv_line, sample_test
+from tessera.plans.q_generate import SAMPLE_SQL, csv_line, generated, sample_test
 from tessera.plans.q_testevents import CTES
 from tessera.plans.registry import register
 from tessera.session import read_table, scratch_path, share
@@ -140,37 +139,50 @@ def q_latest_run(spark, sf):
 def golden_lines(spark, sf):
     """One golden file per result case: targets of 10 lines fenced by ### lines.
 
-    Cases with id % 13 = 0 have no fences (whole file = one target); for
-    id % 11 = 0 the last target is left unclosed.
+    Cases with id % 13 = 0 have no fences (whole file = one target); for id % 11 = 0 the last target is left
+    unclosed; for id % 7 = 2 a target without lines comes first.
     """
     r = b.result_lines(spark, sf).select("case_id", "row_idx", "line")
-    t = (F.col("row_idx") / 10).cast("long")
-    content = r.select(F.col("case_id").alias("file"),
-                       (t * 100 + 1 + F.col("row_idx") % 10).alias("n"), "line")
-    tg = r.groupBy("case_id", t.alias("t")).agg(F.lit(1).alias("__x"))
-    last = r.groupBy("case_id").agg(F.max(t).alias("__last"))
-    tg = tg.join(last, "case_id").where(F.col("case_id") % 13 != 0)
-    starts = tg.select(F.col("case_id").alias("file"), (F.col("t") * 100).alias("n"),
-                       F.concat(F.lit("### target "), F.col("t").cast("string"), F.lit(" start")).alias("line"))
-    ends = (tg.where(~((F.col("case_id") % 11 == 0) & (F.col("t") == F.col("__last"))))
-            .select(F.col("case_id").alias("file"), (F.col("t") * 100 + 99).alias("n"),
-                    F.concat(F.lit("### target "), F.col("t").cast("string"), F.lit(" end")).alias("line")))
-    return content.unionByName(starts).unionByName(ends)
+    t, file = F.floor(F.col("row_idx") / 10), F.col("case_id").alias("file")
+    content = r.select(file, (t * 100 + 1 + F.col("row_idx") % 10).alias("n"),
+                       F.concat(F.col("line"), F.lit(" ${app}")).alias("line"))
+    last = r.where(F.col("case_id") % 13 != 0).groupBy("case_id").agg(F.max(t).alias("last"))
+    fence = lambda k, n, word: F.struct(n.cast("long").alias("n"), F.concat(
+        F.lit("### target "), k.cast("string"), F.lit(f" {word}")).alias("line"))
+    closed = lambda k: ~((F.col("case_id") % 11 == 0) & (k == F.col("last")))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda k: F.array(
+        fence(k, k * 100, "start"), F.when(closed(k), fence(k, k * 100 + 99, "end")))))
+    empty = F.when(F.col("case_id") % 7 == 2, F.array(fence(F.lit("none"), F.lit(-2), "start"),
+                                                      fence(F.lit("none"), F.lit(-1), "end"))).otherwise(F.array())
+    fences = last.select(file, F.explode(F.array_compact(F.concat(pairs, empty))).alias("f")).select("file", "f.n", "f.line")
+    return content.unionByName(fences)
 
 
 @register("target_scan", with_views("""
-SELECT case_id AS file, CAST(0 AS BIGINT) AS target_idx, row_idx, line FROM result_lines WHERE case_id % 13 = 0
+SELECT case_id AS file, target_idx, row_idx, concat(line, ' app_', CAST(case_id AS VARCHAR)) AS line FROM (
+  SELECT case_id, 0 AS target_idx, row_idx, line FROM result_lines WHERE case_id % 13 = 0
+  UNION ALL
+  SELECT r.case_id, r.row_idx // 10 + m.shift, r.row_idx % 10, r.line FROM result_lines r JOIN m ON r.case_id = m.case_id
+  WHERE r.case_id % 13 <> 0 AND NOT (r.case_id % 11 = 0 AND r.row_idx // 10 = m.last)
+  UNION ALL
+  SELECT r.case_id, 0, r.row_idx + 1, r.line FROM result_lines r JOIN m ON r.case_id = m.case_id
+  WHERE r.case_id % 13 <> 0 AND r.case_id % 11 = 0 AND m.last = 0 AND m.shift = 0) x
 UNION ALL
-SELECT case_id, 0, 0, '### target 0 start' FROM m WHERE case_id % 13 <> 0 AND case_id % 11 = 0 AND last = 0
+SELECT case_id, 0, 0, '### target 0 start' FROM m WHERE case_id % 13 <> 0 AND case_id % 11 = 0 AND last = 0 AND shift = 0
 UNION ALL
-SELECT r.case_id, 0, r.row_idx + 1, r.line FROM result_lines r JOIN m ON r.case_id = m.case_id
-WHERE r.case_id % 13 <> 0 AND r.case_id % 11 = 0 AND m.last = 0
+SELECT case_id, unnest(range(CASE WHEN case_id % 13 = 0 OR (case_id % 11 = 0 AND last = 0 AND shift = 0) THEN 1
+                                  ELSE last + 1 + shift - CASE WHEN case_id % 11 = 0 THEN 1 ELSE 0 END END)), -1, NULL FROM m
 UNION ALL
-SELECT r.case_id, r.row_idx // 10, r.row_idx % 10, r.line FROM result_lines r JOIN m ON r.case_id = m.case_id
-WHERE r.case_id % 13 <> 0 AND NOT (r.case_id % 11 = 0 AND r.row_idx // 10 = m.last)""", "result_lines",
-    extra={"m": "SELECT case_id, max(row_idx // 10) AS last FROM result_lines GROUP BY case_id"}))
+SELECT 1000 + n_nationkey, 0, -1, NULL FROM nation""", "result_lines",
+    extra={"m": "SELECT case_id, max(row_idx // 10) AS last, CASE WHEN case_id % 7 = 2 AND case_id % 13 <> 0 THEN 1 ELSE 0 END "
+                "AS shift FROM result_lines GROUP BY case_id"}))
 def q_target_scan(spark, sf):
-    return read_targets(golden_lines(spark, sf))
+    """Targets of all golden files, variables resolved; the nations' files are there but hold no line."""
+    lines = golden_lines(spark, sf)
+    app = F.concat(F.lit("app_"), F.col("file").cast("string"))
+    files = (read_table(spark, sf, "nation").select((F.col("n_nationkey") + 1000).cast("long").alias("file"))
+             .union(lines.select("file")))
+    return read_targets(lines, F.create_map(F.lit("app"), app), files)
 
 
 # ------------------------------------------------------------------ JUnit reports
@@ -216,24 +228,31 @@ def q_junit_sink(spark, sf):
 
 # ------------------------------------------------------------------ topics
 @register("stream_sink_partitioned", """
-SELECT 'test' AS topic, CAST(id % 4 AS INTEGER) AS "partition", count(*) AS n_lines
-FROM range((SELECT count(*) FROM orders)) r(id) GROUP BY id % 4""")
+SELECT 'test' AS topic, CAST(o_orderkey % 4 AS INTEGER) AS "partition", count(*) AS n_lines,
+       min(concat_ws(',', CAST(l1 AS VARCHAR), l3, strftime(l4, '%Y-%m-%d %H:%M:%S'))) AS first_line,
+       max(concat_ws(',', CAST(l1 AS VARCHAR), l3, strftime(l4, '%Y-%m-%d %H:%M:%S'))) AS last_line
+FROM orders JOIN (""" + SAMPLE_SQL + """) g ON g.id = o_orderkey GROUP BY o_orderkey % 4""")
 def q_stream_sink_partitioned(spark, sf):
-    df = gen_table(spark, sample_test(), n=_n(spark, sf), seed=SEED)
-    lines = df.select("id", csv_line(df, ["l1", "l2", "l3", "l4"]).alias("value"))
+    df = generated(spark, sf, sample_test())
+    lines = df.select("id", csv_line(df, ["l1", "l3", "l4"]).alias("value"))
     path = to_stream(lines, "test", scratch_path(spark, "topics"))
     return (spark.read.parquet(path).groupBy("topic", "partition")
-            .agg(F.count(F.lit(1)).alias("n_lines")))
+            .agg(F.count(F.lit(1)).alias("n_lines"), F.min("value").alias("first_line"),
+                 F.max("value").alias("last_line")))
 
 
 @register("files_to_stream", """
-SELECT o_orderpriority AS topic, count(*) AS n_lines FROM orders GROUP BY o_orderpriority""")
+SELECT o_orderpriority AS topic, count(*) AS n_lines, min(concat_ws(',', CAST(o_orderkey AS VARCHAR), o_orderstatus)) AS first_line,
+       max(concat_ws(',', CAST(o_orderkey AS VARCHAR), o_orderstatus)) AS last_line
+FROM orders GROUP BY o_orderpriority""")
 def q_files_to_stream(spark, sf):
     o = read_table(spark, sf, "orders")
     folder = scratch_path(spark, "replay-src")
     (o.select(F.col("o_orderpriority").alias("topic"),
               F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("value"))
      .write.mode("overwrite").partitionBy("topic").text(folder))
+    # Spark's writers name the files themselves, so here a file's folder names its topic
+    topic = F.url_decode(F.regexp_replace(F.element_at(F.split(F.col("path"), "/"), -2), r"^[^=]*=", ""))
     rep = replay_files(spark, folder)
-    topic = F.url_decode(F.regexp_replace("topic", r"^[^=]*=", ""))
-    return rep.groupBy(topic.alias("topic")).agg(F.count(F.lit(1)).alias("n_lines"))
+    return rep.groupBy(topic.alias("topic")).agg(F.count(F.lit(1)).alias("n_lines"), F.min("value").alias("first_line"),
+                                                 F.max("value").alias("last_line"))

@@ -5,70 +5,102 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import verify as vf
-from tessera.operators.generate import gen_sql, gen_table
+from tessera.operators.generate import gen_table
 from tessera.plans import bindings as b
 from tessera.plans.case_runner import Step, run_cases
 from tessera.plans.oracle_views import with_views
-from tessera.plans.q_generate import SEED, sample_test
+from tessera.plans.q_generate import SAMPLE_SQL, SEED, sample_test
 from tessera.plans.q_verify import EXACT_SQL
-from tessera.plans.registry import ORACLES, register
+from tessera.plans.registry import register
 from tessera.session import read_table
 from tessera.streaming import jobs as sj
 
 
-@register("stream_generate", f"SELECT id, l1, l2, l3, l4 FROM ({gen_sql(sample_test(), '', SEED, ids_sql='SELECT o_orderkey AS id FROM orders')}) g")
+@register("stream_generate", SAMPLE_SQL)
 def q_stream_generate(spark, sf):
-    o = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    ids = sj.parquet_stream(spark, o, "gen-ids")
-    return sj.drain(gen_table(spark, sample_test(), seed=SEED, ids=ids), "gen")
+    orders = sj.table_stream(spark, sf, "orders")
+    return sj.drain(gen_table(spark, sample_test(), seed=SEED, ids=orders, id_col="o_orderkey"), "gen", spark)
+
+
+def _runs(jobs):
+    """Two runs that both count their jobs from 0, with times after the initial (epoch) watermark."""
+    o = F.lit(sj.ORIGIN_MS)
+    return jobs.select(F.concat(F.lit("r"), (F.col("job_id") % 2).cast("string")).alias("run"),
+                       F.expr("job_id div 2").alias("job_id"),
+                       F.timestamp_millis(F.col("submit_ms") + o).alias("start_ts"),
+                       F.timestamp_millis(F.col("finish_ms") + o).alias("end_ts"))
 
 
 @register("stream_job_pairs", with_views("""
-SELECT job_id, submit_ms, finish_ms, finish_ms - submit_ms AS elapsed_ms FROM jobs
-WHERE finish_ms IS NOT NULL AND finish_ms - submit_ms BETWEEN 0 AND 600000""", "jobs"))
+SELECT concat('r', CAST(job_id % 2 AS VARCHAR)) AS run, job_id // 2 AS job_id, submit_ms,
+       CASE WHEN finish_ms - submit_ms BETWEEN 0 AND 120000 THEN finish_ms END AS finish_ms,
+       CASE WHEN finish_ms - submit_ms BETWEEN 0 AND 120000 THEN finish_ms - submit_ms END AS elapsed_ms FROM jobs""", "jobs"))
 def q_stream_job_pairs(spark, sf):
-    j = b.jobs(spark, sf)
-    o = F.lit(sj.ORIGIN_MS)  # event times start after the initial (epoch) watermark
-    starts = sj.parquet_stream(spark, j.select("job_id", F.timestamp_millis(F.col("submit_ms") + o)
-                                               .alias("start_ts")), "job-starts")
-    ends = sj.parquet_stream(spark, j.where(F.col("finish_ms").isNotNull())
-                             .select("job_id", F.timestamp_millis(F.col("finish_ms") + o).alias("end_ts")),
-                             "job-ends")
-    p = sj.drain(sj.job_pairs(starts, ends, "10 minutes"), "job-pairs")
-    return p.select("job_id", (F.unix_millis("start_ts") - o).alias("submit_ms"),
+    """Jobs that take longer than the bound, and unfinished ones, stay without an end."""
+    orders = sj.table_stream(spark, sf, "orders")
+    j = _runs(b.jobs(spark, sf, orders))
+    p = sj.drain(sj.job_pairs(j.drop("end_ts"), j.where(F.col("end_ts").isNotNull()).drop("start_ts"), "2 minutes"),
+                 "job-pairs", spark)
+    p = sj.close_pairs(p, _runs(b.jobs(spark, sf)).drop("end_ts"))
+    o = F.lit(sj.ORIGIN_MS)
+    return p.select("run", "job_id", (F.unix_millis("start_ts") - o).alias("submit_ms"),
                     (F.unix_millis("end_ts") - o).alias("finish_ms"),
                     (F.unix_millis("end_ts") - F.unix_millis("start_ts")).alias("elapsed_ms"))
 
 
-@register("stream_eventually", ORACLES["eventually_pass"])
+@register("stream_eventually", """
+WITH s AS (SELECT user_id AS case_id, event_id * 37 % 60000 // 500 * 500 AS poll_ms,
+                  CASE event_type WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 WHEN 'view' THEN 2 END AS k FROM events),
+ t0 AS (SELECT case_id, min(poll_ms) AS t FROM s WHERE k = 0 AND poll_ms <= 30000 GROUP BY case_id),
+ t1 AS (SELECT s.case_id, min(poll_ms) AS t FROM s JOIN t0 ON s.case_id = t0.case_id
+        WHERE k = 1 AND poll_ms >= t0.t AND poll_ms <= 30000 GROUP BY s.case_id),
+ t2 AS (SELECT s.case_id, min(poll_ms) AS t FROM s JOIN t1 ON s.case_id = t1.case_id
+        WHERE k = 2 AND poll_ms >= t1.t AND poll_ms <= 30000 GROUP BY s.case_id)
+SELECT c.case_id, CASE WHEN t2.t IS NOT NULL THEN 3 WHEN t1.t IS NOT NULL THEN 2 WHEN t0.t IS NOT NULL THEN 1 ELSE 0 END AS reached,
+       t2.t IS NOT NULL AS passed, t2.t AS pass_ms
+FROM (SELECT DISTINCT case_id FROM s) c LEFT JOIN t0 ON c.case_id = t0.case_id
+LEFT JOIN t1 ON c.case_id = t1.case_id LEFT JOIN t2 ON c.case_id = t2.case_id""")
 def q_stream_eventually(spark, sf):
-    s = sj.parquet_stream(spark, b.snapshots(spark, sf), "snapshots")
-    return sj.drain(sj.eventually(s, n_targets=3, limit_ms=30000), "eventually")
+    """Polls twice a second that may pass several targets, some past the limit."""
+    e = sj.table_stream(spark, sf, "events")
+    target = (F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "purchase", 1)
+               .when(F.col("event_type") == "view", 2))
+    s = e.select(F.col("user_id").alias("case_id"), F.expr("(event_id * 37 % 60000) div 500 * 500").alias("poll_ms"),
+                 target.alias("passing_target"))
+    return sj.latest(sj.drain(sj.eventually(s, n_targets=3, limit_ms=30000), "eventually", spark))
 
 
 @register("stream_verify", EXACT_SQL)
 def q_stream_verify(spark, sf):
-    r = b.result_lines(spark, sf)
-    drained = sj.drain(sj.parquet_stream(spark, r, "results"), "results")
-    return vf.verify_exact(drained, b.target_lines(spark, sf, r))
+    """Result lines arrive as a stream; they are numbered and verified when it has drained."""
+    orders = sj.table_stream(spark, sf, "orders")
+    got = b.numbered_results(sj.drain(b.rendered_results(orders), "results", spark))
+    return vf.verify_exact(got, b.target_lines(spark, sf))
 
 
 @register("sql_case", """
-SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS "case", 0 AS target_idx,
-       CASE WHEN (SELECT count(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal < 0) = 0
-            THEN 'Pass' ELSE 'LinesNotMatch' END AS verdict
-FROM nation n
-UNION ALL
-SELECT 'n' || CAST(n_nationkey AS VARCHAR), 1, 'Pass' FROM nation""")
+WITH n AS (SELECT n_nationkey AS k, 'n' || CAST(n_nationkey AS VARCHAR) AS "case",
+                  (SELECT count(*) FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal < 0) AS poor
+           FROM nation n)
+SELECT "case", 0 AS target_idx, CASE WHEN poor = 0 THEN 'Pass' ELSE 'LinesNotMatch' END AS verdict FROM n
+UNION ALL SELECT "case", 1, CASE WHEN poor = 0 THEN 'Pass' ELSE 'LineCountDiff' END FROM n
+UNION ALL SELECT "case", 2, CASE WHEN poor = 0 THEN 'Pass' ELSE 'LineCountDiff' END FROM n
+UNION ALL SELECT "case", 3, CASE WHEN poor > 0 THEN 'Pass' ELSE 'LinesInclude' END FROM n
+UNION ALL SELECT "case", 4, 'Pass' FROM n
+UNION ALL SELECT "case", 5, 'LineCountDiff' FROM n""")
 def q_sql_case(spark, sf):
+    """Cases of all nations: a count, an empty target, row counts, inclusion, an expected error, a missing row."""
     read_table(spark, sf, "customer").createOrReplaceTempView("customer")
-    nations = [r["n_nationkey"] for r in read_table(spark, sf, "nation").select("n_nationkey").collect()]
     steps, tgt = [], []
-    for k in sorted(nations):
-        case = f"n{k}"
-        steps.append(Step(case, f"select count(*) from customer where c_nationkey = {k} and c_acctbal < 0",
-                          "target"))
-        steps.append(Step(case, f"select * from missing_table_{k}", "error"))
-        tgt += [(case, 0, 0, "0"), (case, 1, 0, "TABLE_OR_VIEW_NOT_FOUND")]
+    for k in range(25):  # the statements are the program: one case a nation
+        case, poor = f"n{k}", f"from customer where c_nationkey = {k} and c_acctbal < 0"
+        for i, (sql, kind, lines) in enumerate([
+                (f"select count(*) {poor}", "target", ["0"]), (f"select c_custkey {poor}", "target", []),
+                (f"select c_custkey {poor}", "target", ["# rows 0"]),
+                (f"select 'x', c_custkey {poor}", "target", ["# include", "x [0-9]++"]),
+                (f"select * from missing_table_{k}", "error", ["TABLE_OR_VIEW_NOT_FOUND"]),
+                ("select 1 where 1 = 0", "target", ["1"])]):
+            steps.append(Step(case, sql, kind))
+            tgt += [(case, i, j, x) for j, x in enumerate(lines)]
     targets = spark.createDataFrame(tgt, "case string, target_idx int, row_idx long, pattern string")
-    return run_cases(spark, steps, targets)
+    return run_cases(spark, steps, targets).drop("message")

@@ -48,18 +48,18 @@ def q_match_line(spark, sf):
 
 def _exact_sql(keys: str, out: str, tgt: str) -> str:
     on = " AND ".join(f"o.{k} = t.{k}" for k in keys.split(", "))
+    mine = ", ".join("o." + k for k in keys.split(", "))
     return f"""
 SELECT {keys}, coalesce(n_out, 0) AS n_out, coalesce(n_tgt, 0) AS n_tgt, coalesce(n_diff, 0) AS n_diff,
-       first_diff_idx,
+       first_diff_idx, diff_line, diff_pattern,
        CASE WHEN coalesce(n_out, 0) <> coalesce(n_tgt, 0) THEN 'LineCountDiff'
             WHEN coalesce(n_diff, 0) > 0 THEN 'LinesNotMatch' ELSE 'Pass' END AS verdict
 FROM (SELECT {keys}, count(*) AS n_out FROM {out} GROUP BY {keys}) a
 FULL OUTER JOIN (SELECT {keys}, count(*) AS n_tgt FROM {tgt} GROUP BY {keys}) c USING ({keys})
-LEFT JOIN (SELECT {', '.join('o.' + k for k in keys.split(', '))},
-                  count(*) FILTER (WHERE NOT {duck_match('o.line', 't.pattern')}) AS n_diff,
-                  min(o.row_idx) FILTER (WHERE NOT {duck_match('o.line', 't.pattern')}) AS first_diff_idx
+LEFT JOIN (SELECT {mine}, count(*) AS n_diff, min(o.row_idx) AS first_diff_idx,
+                  arg_min(o.line, o.row_idx) AS diff_line, arg_min(t.pattern, o.row_idx) AS diff_pattern
            FROM {out} o JOIN {tgt} t ON {on} AND o.row_idx = t.row_idx
-           GROUP BY {', '.join('o.' + k for k in keys.split(', '))}) d USING ({keys})"""
+           WHERE NOT {duck_match('o.line', 't.pattern')} GROUP BY {mine}) d USING ({keys})"""
 
 
 EXACT_SQL = with_views(_exact_sql("case_id", "result_lines", "target_lines"), "target_lines")
@@ -86,7 +86,7 @@ def q_verify_rows(spark, sf):
 @register("verify_include", with_views(f"""
 SELECT t.case_id, t.n_targets, coalesce(f.n_matched, 0) AS n_matched,
        CASE WHEN coalesce(f.n_matched, 0) = t.n_targets THEN 'Pass' ELSE 'LinesInclude' END AS verdict
-FROM (SELECT case_id, count(*) AS n_targets FROM inc GROUP BY case_id) t
+FROM (SELECT h.case_id, count(inc.case_id) AS n_targets FROM all_cases h LEFT JOIN inc USING (case_id) GROUP BY h.case_id) t
 LEFT JOIN (SELECT case_id, list_reduce(list(ks ORDER BY row_idx),
                     lambda a, v: CASE WHEN list_contains(v, a) THEN a + 1 ELSE a END, CAST(0 AS BIGINT)) AS n_matched
            FROM (SELECT r.case_id, r.row_idx, list(i.k) AS ks
@@ -94,68 +94,98 @@ LEFT JOIN (SELECT case_id, list_reduce(list(ks ORDER BY row_idx),
                  WHERE {duck_match('r.line', 'i.pattern')}
                  GROUP BY r.case_id, r.row_idx) p
            GROUP BY case_id) f ON t.case_id = f.case_id""", "target_lines",
-    extra={"inc": "SELECT case_id, row_idx, pattern, row_number() OVER (PARTITION BY case_id ORDER BY row_idx) - 1 AS k "
-                  "FROM target_lines WHERE row_idx % 5 = 0"}))
+    extra={"all_cases": "SELECT DISTINCT case_id FROM result_lines",
+           "inc": "SELECT case_id, row_idx, pattern, row_number() OVER (PARTITION BY case_id ORDER BY row_idx) - 1 AS k "
+                  "FROM target_lines WHERE case_id % 19 <> 5"}))
 def q_verify_include(spark, sf):
+    """All target lines; cases with id % 19 = 5 have an empty target."""
     r, t = _rt(spark, sf)
-    return vf.verify_include(r, t.where(F.col("row_idx") % 5 == 0))
+    heads = r.select("case_id").distinct()
+    return vf.verify_include(r, t.where(F.col("case_id") % 19 != 5), heads=heads)
 
 
 @register("verify_exclude", with_views(f"""
-SELECT f.case_id, coalesce(h.n_hits, 0) AS n_hits,
+SELECT a.case_id, coalesce(h.n_hits, 0) AS n_hits,
        CASE WHEN coalesce(h.n_hits, 0) = 0 THEN 'Pass' ELSE 'LinesExclude' END AS verdict
-FROM firsts f LEFT JOIN (
+FROM (SELECT DISTINCT case_id FROM result_lines) a LEFT JOIN (
   SELECT r.case_id, count(*) FILTER (WHERE {duck_match('r.line', 'f.pattern')}) AS n_hits
-  FROM result_lines r JOIN firsts f ON r.case_id = f.case_id GROUP BY r.case_id) h ON f.case_id = h.case_id""",
+  FROM result_lines r JOIN firsts f ON r.case_id = f.case_id GROUP BY r.case_id) h ON a.case_id = h.case_id""",
     "target_lines",
     extra={"firsts": "SELECT (case_id + 199) % 200 AS case_id, arg_min(pattern, row_idx) AS pattern "
-                     "FROM target_lines GROUP BY case_id"}))
+                     "FROM target_lines WHERE case_id % 19 <> 5 GROUP BY case_id"}))
 def q_verify_exclude(spark, sf):
+    """The neighbour's lines must not occur; neighbours with id % 19 = 5 have an empty target."""
     r, t = _rt(spark, sf)
-    shifted = t.select(((F.col("case_id") + 199) % 200).alias("case_id"), "row_idx", "pattern")
-    return vf.verify_exclude(r, shifted)
+    shifted = t.where(F.col("case_id") % 19 != 5).select(
+        ((F.col("case_id") + 199) % 200).alias("case_id"), "row_idx", "pattern")
+    return vf.verify_exclude(r, shifted, heads=r.select("case_id").distinct())
 
 
 @register("verify_error", with_views(f"""
-SELECT o.case_id, o.error,
-       CASE WHEN o.error IS NULL THEN 'UnexpectedSuccess' WHEN t.pattern IS NULL THEN 'LineCountDiff'
+SELECT o.case_id, o.target_idx, o.error,
+       CASE WHEN o.error IS NULL THEN 'UnexpectedSuccess' WHEN coalesce(t.n, 0) <> 1 THEN 'LineCountDiff'
             WHEN {duck_match('o.error', 't.pattern')} THEN 'Pass' ELSE 'LinesNotMatch' END AS verdict
-FROM (SELECT case_id, CASE WHEN split_part(line, ' ', 2) = 'F' THEN line END AS error
-      FROM result_lines WHERE row_idx = 0) o
-LEFT JOIN (SELECT case_id, arg_min(pattern, row_idx) AS pattern FROM target_lines GROUP BY case_id) t
-  ON o.case_id = t.case_id""", "target_lines"))
+FROM (SELECT case_id, row_idx AS target_idx, CASE WHEN split_part(line, ' ', 2) = 'F' THEN line END AS error
+      FROM result_lines) o
+LEFT JOIN (SELECT case_id, row_idx // (1 + case_id % 3) AS target_idx, count(*) AS n, arg_min(pattern, row_idx) AS pattern
+           FROM target_lines GROUP BY ALL) t
+  ON o.case_id = t.case_id AND o.target_idx = t.target_idx""", "target_lines"))
 def q_verify_error(spark, sf):
+    """Every result line is the outcome of a step; its target has one to three lines (one is right)."""
     r, t = _rt(spark, sf)
-    outcome = r.where(F.col("row_idx") == 0).select(
-        "case_id", F.when(F.split("line", " ")[1] == "F", F.col("line")).alias("error"))
-    first = t.groupBy("case_id").agg(F.min_by("pattern", "row_idx").alias("pattern")) \
-             .withColumn("row_idx", F.lit(0))
-    return vf.verify_error(outcome, first)
+    outcome = r.select("case_id", F.col("row_idx").alias("target_idx"),
+                       F.when(F.split("line", " ")[1] == "F", F.col("line")).alias("error"))
+    tgt = t.withColumn("target_idx", F.floor(F.col("row_idx") / (1 + F.col("case_id") % 3)))
+    return vf.verify_error(outcome, tgt, ["case_id", "target_idx"])
 
 
 _HEADER = ("CASE WHEN o_orderkey % 5 = 0 THEN concat(CAST(o_orderkey AS VARCHAR), ' ', o_orderstatus) "
            "WHEN o_orderstatus = 'F' THEN concat('# include ', o_orderpriority) "
+           "WHEN o_orderstatus = 'O' AND o_custkey % 2 = 0 THEN '# include then exclude' "
            "WHEN o_orderstatus = 'O' THEN concat('# exclude then include rows ', CAST(o_custkey % 9 AS VARCHAR)) "
            "WHEN o_orderkey % 3 = 0 THEN concat('#rows', CAST(o_custkey AS VARCHAR), ' x') "
-           "ELSE concat('#data-received topic_', CAST(o_custkey % 7 AS VARCHAR), ' tbl', "
+           "ELSE concat('# data-received topic_', CAST(o_custkey % 7 AS VARCHAR), ' tbl', "
            "CAST(o_orderkey % 3 AS VARCHAR), ' exclude') END")
 
 
+# results of every order line by case, and a target for every order: header, then lines by its mode
+_HEADS = f"""SELECT o_orderkey AS target_id, CASE WHEN o_orderkey % 23 = 1 THEN NULL ELSE {_HEADER} END AS header,
+       o_orderkey % 3 AS n_out, o_orderkey, o_orderstatus FROM orders"""
+
+
 @register("verify_dispatch", f"""
-SELECT target_id, header, mode,
-       CASE WHEN mode = 'rows' THEN TRY_CAST(trim(substring(header, instr(header, 'rows') + 4)) AS INTEGER) END AS rows,
-       CASE WHEN mode = 'data-received' THEN regexp_split_to_array(header, '\\s+')[3] END AS topic,
-       CASE WHEN mode = 'data-received' THEN regexp_split_to_array(header, '\\s+')[4] END AS "table"
-FROM (SELECT target_id, header,
-             CASE WHEN NOT starts_with(header, '#') THEN 'match' WHEN instr(header, 'rows') > 1 THEN 'rows'
+SELECT target_id, mode, n_out,
+       CASE mode WHEN 'rows' THEN CASE WHEN n_out = n THEN 'Pass' ELSE 'LineCountDiff' END
+                 WHEN 'data-received' THEN CASE WHEN topic = 'topic_3' THEN 'Pass' ELSE 'DataNotReceived' END
+                 WHEN 'include' THEN CASE WHEN n_out >= 1 THEN 'Pass' ELSE 'LinesInclude' END
+                 WHEN 'exclude' THEN CASE WHEN n_out = 0 THEN 'Pass' ELSE 'LinesExclude' END
+                 ELSE CASE WHEN n_out <> n_tgt THEN 'LineCountDiff' WHEN n_out > 0 AND bad THEN 'LinesNotMatch'
+                           ELSE 'Pass' END END AS verdict
+FROM (SELECT target_id, n_out,
+             CASE WHEN header IS NULL OR NOT starts_with(header, '#') THEN 'match' WHEN instr(header, 'rows') > 1 THEN 'rows'
                   WHEN instr(header, 'data-received') > 1 THEN 'data-received'
                   WHEN instr(header, 'exclude') > 1 THEN 'exclude'
-                  WHEN instr(header, 'include') > 1 THEN 'include' ELSE 'match' END AS mode
-      FROM (SELECT o_orderkey AS target_id, {_HEADER} AS header FROM orders) h) m""")
+                  WHEN instr(header, 'include') > 1 THEN 'include' ELSE 'match' END AS mode,
+             TRY_CAST(trim(substring(header, instr(header, 'rows') + 4)) AS INTEGER) AS n,
+             regexp_split_to_array(header, '\\s+')[3] AS topic,
+             CASE WHEN header IS NULL THEN 0 ELSE 1 END AS n_tgt,
+             header IS DISTINCT FROM concat(CAST(o_orderkey AS VARCHAR), ' ', o_orderstatus) AS bad
+      FROM ({_HEADS}) h) m""")
 def q_verify_dispatch(spark, sf):
-    o = read_table(spark, sf, "orders")
-    return vf.target_mode(o.select(F.col("o_orderkey").alias("target_id"),
-                                   F.expr(_HEADER.replace("VARCHAR", "STRING")).alias("header")))
+    """A target for every order, verified in the mode its first line asks for; some have no line, some no result."""
+    t = F.expr(_HEADER.replace("VARCHAR", "STRING"))
+    o = read_table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("target_id"), F.when(F.col("o_orderkey") % 23 != 1, t).alias("header"),
+        F.concat_ws(" ", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("line"))
+    n = F.col("target_id") % 3
+    out = o.where(n > 0).select("target_id", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("row_idx"), "line")
+    head = o.where(F.col("header").isNotNull()).select("target_id", F.lit(0).cast("long").alias("row_idx"),
+                                                       F.col("header").alias("pattern"))
+    modal = F.startswith("header", F.lit("#")) & (F.instr("header", "rows") < 2) & (F.instr("header", "received") < 2)
+    body = o.where(modal).select("target_id", F.lit(1).cast("long").alias("row_idx"),
+                                 F.regexp_replace("line", "^[0-9]+", "[0-9]++").alias("pattern"))
+    lags = o.select(F.lit("topic_3").alias("topic"), F.lit("Pass").alias("verdict")).limit(1)
+    return vf.verify_targets(out, o.select("target_id"), head.unionByName(body), ["target_id"], lags).drop("message")
 
 
 @register("consumer_lag", with_views("""
@@ -172,8 +202,8 @@ def q_consumer_lag(spark, sf):
 
 
 _TARGETED = {
-    "rt": "SELECT case_id, row_idx // 10 AS target_idx, row_idx, line FROM result_lines",
-    "tt": "SELECT case_id, row_idx // 10 AS target_idx, row_idx, pattern FROM target_lines",
+    "rt": "SELECT case_id, row_idx // 10 AS target_idx, row_idx % 10 AS row_idx, line FROM result_lines",
+    "tt": "SELECT case_id, row_idx // 10 AS target_idx, row_idx % 10 AS row_idx, pattern FROM target_lines",
 }
 _VERDICTS = _exact_sql("case_id, target_idx", "rt", "tt")
 
@@ -182,14 +212,18 @@ _VERDICTS = _exact_sql("case_id, target_idx", "rt", "tt")
 SELECT case_id, min(target_idx) FILTER (WHERE verdict <> 'Pass') IS NULL AS passed,
        min(target_idx) FILTER (WHERE verdict <> 'Pass') AS failed_target,
        arg_min(verdict, target_idx) FILTER (WHERE verdict <> 'Pass') AS failed_verdict,
+       arg_min(CASE verdict WHEN 'LineCountDiff' THEN concat(CAST(n_out AS VARCHAR), ' lines, expected ', CAST(n_tgt AS VARCHAR))
+                    ELSE concat('line ', CAST(first_diff_idx AS VARCHAR), ': ', diff_line, ' | ', diff_pattern) END, target_idx)
+         FILTER (WHERE verdict <> 'Pass') AS failed_message,
        coalesce(min(target_idx) FILTER (WHERE verdict <> 'Pass'), count(*)) AS targets_passed
 FROM verdicts GROUP BY case_id""", "target_lines", extra={**_TARGETED, "verdicts": _VERDICTS}))
 def q_case_outcome(spark, sf):
     r, t = _rt(spark, sf)
-    ti = (F.col("row_idx") / 10).cast("long")
-    verdicts = vf.verify_exact(r.withColumn("target_idx", ti), t.withColumn("target_idx", ti),
-                               keys=["case_id", "target_idx"])
-    return vf.case_outcome(verdicts)
+    cut = lambda df: df.withColumns({"target_idx": F.floor(F.col("row_idx") / 10), "row_idx": F.col("row_idx") % 10})
+    keys = ["case_id", "target_idx"]
+    out, tgt = cut(r), cut(t)
+    heads = out.select(*keys).distinct()
+    return vf.case_outcome(vf.verify_targets(out, heads, tgt, keys))
 
 
 @register("eventually_pass", with_views("""

@@ -1,10 +1,10 @@
 """Spark listener event logs as JSON lines.
 
-``read_event_log`` scans JSON-line files with an explicit schema (no
-inference pass); unparsable lines become all-null rows and are dropped, as
-the reference skips them. A ``run=<name>`` folder level becomes the ``run``
-column. ``write_event_log`` renders canonical jobs/stages as the three event
-kinds the analytics use, one folder per run, in parallel part files.
+``read_event_log`` scans JSON-line files with an explicit schema (no inference pass); unparsable lines become
+all-null rows and are dropped, as the reference skips them. Logs may lie as they were written: ``EVENT*`` files in
+a folder per run, stock single files (``app-..``, ``local-..``, ``application_..``), stock rolled logs
+(``eventlog_v2_<app>/events_N_<app>``), or part files below ``run=<name>`` folders. ``write_event_log``
+renders canonical jobs/stages as the three event kinds the analytics use, one folder per run, in parallel part files.
 """
 
 from __future__ import annotations
@@ -22,11 +22,30 @@ EVENT_SCHEMA = (
 )
 
 
-def read_event_log(spark: SparkSession, path: str, file_prefix: str | None = None) -> DataFrame:
-    r = spark.read.schema(EVENT_SCHEMA).option("mode", "PERMISSIVE")
-    if file_prefix:
-        r = r.option("pathGlobFilter", f"{file_prefix}*")
-    return r.json(path).where(F.col("Event").isNotNull())
+LOG_FILES = "{EVENT*,events_*,app-*,local-*,application_*,part-*}"
+
+
+def run_of(path):
+    """The run a log file belongs to: its ``run=`` folder, else the folder of ``EVENT*`` and rolled files, else the
+    file's own name (without ``.inprogress``)."""
+    folder, name = F.element_at(F.split(path, "/"), -2), F.element_at(F.split(path, "/"), -1)
+    named = F.regexp_extract(path, r"/run=([^/]+)/", 1)
+    return (F.when(named != "", F.url_decode(named))
+             .when(name.rlike("^(EVENT|events_|part-)"), F.regexp_replace(folder, "^eventlog_v2_", ""))
+             .otherwise(F.regexp_replace(name, r"\.inprogress$", "")))
+
+
+def read_event_log(spark: SparkSession, path: str, files: str = LOG_FILES) -> DataFrame:
+    """Events of all log files below ``path``, with the ``run`` each belongs to."""
+    raw = (spark.read.schema(EVENT_SCHEMA).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true")
+           .option("pathGlobFilter", files).json(path))
+    return raw.select(run_of(F.col("_metadata.file_path")).alias("run"), "*").where(F.col("Event").isNotNull())
+
+
+def parse_event_lines(lines: DataFrame) -> DataFrame:
+    """(run, value) JSON lines as events, unparsable ones dropped."""
+    e = lines.select("run", F.from_json("value", EVENT_SCHEMA, {"mode": "PERMISSIVE"}).alias("e"))
+    return e.select("run", "e.*").where(F.col("Event").isNotNull())
 
 
 def event_lines(jobs: DataFrame, stages: DataFrame, owner_key: str = "jobOwner") -> DataFrame:

@@ -118,11 +118,13 @@ def run_stamp(path: Column) -> Column:
 def latest_run(run_dirs: DataFrame, stream_ids: DataFrame, path_col: str = "path") -> DataFrame:
     """Per stream id, the greatest run folder whose name starts with it.
 
-    ``startswith`` becomes an equi-join on the prefixes of each folder name
-    (bounded by the name length); the per-id ``max`` is map-side combined.
+    ``startswith`` becomes an equi-join on prefixes of the folder names, of only those lengths that ids have (a
+    handful); the per-id ``max`` is map-side combined.
     """
+    ids = stream_ids.select("stream_id").distinct()
     name = F.element_at(F.split(F.col(path_col), "/"), -1)
-    pref = run_dirs.select(path_col, F.explode(F.transform(
-        F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, 1, i))).alias("stream_id"))
-    return (pref.join(stream_ids.select("stream_id").distinct(), "stream_id")
-            .groupBy("stream_id").agg(F.max(path_col).alias("latest_path")))
+    lengths = ids.agg(F.collect_set(F.length("stream_id")).alias("__lengths"))  # one row
+    pref = (run_dirs.select(path_col, name.alias("__name")).join(F.broadcast(lengths))
+            .select(path_col, F.explode(F.transform(F.filter("__lengths", lambda n: n <= F.length("__name")),
+                                                    lambda n: F.substring("__name", F.lit(1), n))).alias("stream_id")))
+    return pref.join(ids, "stream_id").groupBy("stream_id").agg(F.max(path_col).alias("latest_path"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import jtrim
-from tessera.operators.generate import KINDS, TYPES, ColumnSpec, Rule, TableSpec
+from tessera.operators.generate import KINDS, TYPES, ColumnSpec, Rule, TableSpec, gen_table
 
 
 def read_spec_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -66,7 +66,9 @@ def parse_specs(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     parts = F.split(F.substring("tok", 7, 1 << 30), ":")
     tables = (s.where("__is_table")
               .select("file", "table_no", jtrim(parts[0]).alias("table"),
-                      F.expr("try_cast(trim(split(substring(tok, 7), ':')[1]) AS INT)").alias("n_rows")))
+                      F.expr("try_cast(trim(split(substring(tok, 7), ':')[1]) AS BIGINT)").alias("n_rows"))
+              .withColumn("n_rows", F.coalesce("n_rows", F.raise_error(F.concat(
+                  F.lit("no row count for table "), F.col("table"))).cast("long"))))
 
     decl = (s.where("in_row").withColumn("__b", F.when(F.startswith("tok", F.lit("row:{")),
                                                        F.substring("tok", 6, 1 << 30)).otherwise(F.col("tok")))
@@ -78,25 +80,21 @@ def parse_specs(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                                            lambda x: F.lower(jtrim(x))))
             .where(F.size("__w") == 2)
             .select("file", "table_no", "n", "k", F.col("__w")[0].alias("col"), F.col("__w")[1].alias("type")))
-    columns = (decl.where(F.col("type").isin(*TYPES))
+    columns = (decl.withColumn("type", F.when(F.col("type").isin(*TYPES), F.col("type")).otherwise(
+                   F.raise_error(F.concat(F.lit("unknown column type "), F.col("type")))))
                .withColumn("pos", F.row_number().over(
                    Window.partitionBy("file", "table_no").orderBy("n", "k")) - 1)
                .select("file", "table_no", "pos", "col", "type"))
 
     r = s.where("is_rule").select("file", "table_no", "n", "tok")
-    # (cols) kind (values): positions as in the grammar's indexOf walk
-    cols_s = F.expr("substring(tok, instr(tok, '(') + 1, instr(tok, ')') - instr(tok, '(') - 1)")
-    kind_s = F.lower(jtrim(F.expr("substring(tok, instr(tok, ')') + 1, "
-                                  "locate('(', tok, instr(tok, ')') + 1) - instr(tok, ')') - 1)")))
-    vals_s = F.expr("substring(tok, locate('(', tok, instr(tok, ')') + 1) + 1, "
-                    "locate(')', tok, instr(tok, ')') + 1) - locate('(', tok, instr(tok, ')') + 1) - 1)")
-    r = (r.select("file", "table_no", "n",
-                  F.transform(F.filter(F.split(cols_s, ","), lambda x: F.length(x) > 0),
-                              lambda x: jtrim(x)).alias("__cols"),
-                  kind_s.alias("kind"),
-                  F.transform(F.filter(F.split(vals_s, ";"), lambda x: F.length(x) > 0),
-                              lambda x: jtrim(x)).alias("__groups"))
-         .where(F.col("kind").isin(*KINDS)))
+    shape = r"^[^(]*\(([^)]*)\)([^(]*)\(([^)]*)\)"  # (columns) kind (values)
+    words = lambda group, sep: F.transform(F.filter(F.split(F.regexp_extract("tok", shape, group), sep),
+                                                    lambda x: F.length(x) > 0), jtrim)
+    r = (r.where(F.col("tok").rlike(shape))
+         .select("file", "table_no", "n", words(1, ",").alias("__cols"),
+                 F.lower(jtrim(F.regexp_extract("tok", shape, 2))).alias("kind"), words(3, ";").alias("__groups"))
+         .withColumn("kind", F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise(
+             F.raise_error(F.concat(F.lit("unknown rule kind "), F.col("kind"))))))
     g = r.select("file", "table_no", "n", "kind", "__cols",
                  F.posexplode("__groups").alias("group_idx", "__g"))
     e = g.select("file", "table_no", "n", "kind", "group_idx", "__cols",
@@ -125,22 +123,34 @@ def merge_rules(rules: DataFrame) -> DataFrame:
         Window.partitionBy("file", "table_no", "col").orderBy("__first")) - 1).cast("long")).drop("__first")
 
 
+MAX_SPEC_ROWS = 100_000
+
+
 def specs_from_frames(tables: DataFrame, columns: DataFrame, merged: DataFrame) -> list[TableSpec]:
-    """Bring the (small) parsed spec to the driver as ``TableSpec`` objects."""
-    out = []
-    cols = {}
-    for r in columns.collect():
+    """A hand-written script's specs as ``TableSpec`` objects (refused beyond ``MAX_SPEC_ROWS`` rows)."""
+    def rows(df):
+        got = df.limit(MAX_SPEC_ROWS + 1).collect()
+        if len(got) > MAX_SPEC_ROWS:
+            raise ValueError(f"more than {MAX_SPEC_ROWS} rows of specs: generate from the frames instead")
+        return got
+
+    cols, rules = {}, {}
+    for r in rows(columns):
         cols.setdefault((r["file"], r["table_no"]), []).append(r)
-    rules = {}
-    for r in merged.collect():
+    for r in rows(merged):
         rules.setdefault((r["file"], r["table_no"], r["col"]), []).append(r)
-    for t in tables.orderBy("file", "table_no").collect():
+    out = []
+    for t in sorted(rows(tables), key=lambda t: (t["file"], t["table_no"])):
         key = (t["file"], t["table_no"])
-        spec = TableSpec(t["table"], t["n_rows"] or 0)
+        spec = TableSpec(t["table"], t["n_rows"])
         for c in sorted(cols.get(key, []), key=lambda x: x["pos"]):
-            cs = ColumnSpec(c["col"], c["type"])
-            for rr in sorted(rules.get((*key, c["col"]), []), key=lambda x: x["rank"]):
-                cs.rules.append(Rule(rr["value"], rr["freq"], rr["kind"]))
-            spec.columns.append(cs)
+            own = sorted(rules.get((*key, c["col"]), []), key=lambda x: x["rank"])
+            spec.columns.append(ColumnSpec(c["col"], c["type"], [Rule(x["value"], x["freq"], x["kind"]) for x in own]))
         out.append(spec)
     return out
+
+
+def generate_script(spark: SparkSession, path: str, seed: int = 42) -> dict[str, DataFrame]:
+    """The tables that a spec script (or a folder of them) describes, by name."""
+    tables, columns, rules = parse_specs(read_spec_lines(spark, path))
+    return {s.name: gen_table(spark, s, seed=seed) for s in specs_from_frames(tables, columns, merge_rules(rules))}

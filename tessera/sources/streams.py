@@ -1,11 +1,10 @@
 """Stream sinks and replays.
 
 ``to_stream`` sends lines to a topic with the partition chosen round-robin
-by row number (null key, all-replica acks when Kafka is the sink). The Kafka
-connector is optional: without it the same function writes a file sink
-partitioned by (topic, partition). ``replay_files`` turns a folder of text
-files into a stream whose topic is the file's folder name, drained with
-``availableNow`` into a sink folder.
+by row number (null key, all-replica acks when Kafka is the sink), to a Kafka
+server if one is given, else to a file sink partitioned by (topic, partition).
+``replay_files`` turns a folder of text files into a stream whose topic is the
+file's name, drained with ``availableNow`` into a sink folder.
 """
 
 from __future__ import annotations
@@ -30,7 +29,9 @@ def to_stream(df: DataFrame, topic: str, path: str | None = None, parts: int = 4
     out = df.select(F.lit(topic).alias("topic"), (F.col(row_col) % parts).cast("int").alias("partition"),
                     F.lit(None).cast("string").alias("key"), F.col("value"))
     spark = df.sparkSession
-    if bootstrap and kafka_available(spark):
+    if bootstrap:
+        if not kafka_available(spark):
+            raise RuntimeError("a Kafka server is given, but Spark's Kafka connector is not on the classpath")
         (out.write.format("kafka").option("kafka.bootstrap.servers", bootstrap)
          .option("kafka.acks", "all").save())
         return None
@@ -41,12 +42,11 @@ def to_stream(df: DataFrame, topic: str, path: str | None = None, parts: int = 4
 
 def replay_files(spark: SparkSession, folder: str, sink: str | None = None,
                  checkpoint: str | None = None) -> DataFrame:
-    """Stream every text file below ``folder`` (one folder per topic) and drain it."""
+    """Stream every text file below ``folder`` and drain it: (topic, path, value), the topic being the file's name."""
     sink = sink or scratch_path(spark, "replay")
     checkpoint = checkpoint or scratch_path(spark, "replay-ckpt")
     s = (spark.readStream.format("text").option("recursiveFileLookup", "true").load(folder)
-         .select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("topic"),
-                 F.col("_metadata.file_name").alias("file"), "value"))
+         .select(F.col("_metadata.file_name").alias("topic"), F.col("_metadata.file_path").alias("path"), "value"))
     q = (s.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()

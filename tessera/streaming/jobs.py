@@ -1,8 +1,8 @@
 """Streaming forms of the operators (bounded replays run with ``availableNow``).
 
-Each function starts a query to a fresh sink folder below the shared
-checkpoint folder, waits for it to drain, and returns the sink as a batch
-DataFrame.
+``drain`` starts a query to a fresh sink folder below the shared checkpoint folder, waits for it, and returns the
+sink as a batch DataFrame. Tables are streamed from where they are. Streams run in a session of their own, so
+their settings touch no other query.
 """
 
 from __future__ import annotations
@@ -14,45 +14,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.session import scratch_path
+from tessera.session import scratch_path, table_path
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run ``stream`` to a parquet sink with ``availableNow`` and read the sink back."""
-    spark = stream.sparkSession
-    sink, ckpt = scratch_path(spark, f"{name}-sink"), scratch_path(spark, f"{name}-ckpt")
-    # state-store partitions are fixed when a query first starts: one per core of the cluster
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(max(1, spark.sparkContext.defaultParallelism)))
-    try:
-        q = (stream.writeStream.format("parquet").outputMode(mode).option("path", sink)
-             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-        q.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
-    return spark.read.parquet(sink)
+def streaming_session(spark: SparkSession) -> SparkSession:
+    """A session whose stateful streams have one state partition per core (fixed when a query first starts)."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", str(max(1, spark.sparkContext.defaultParallelism)))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    return own
+
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's parquet file (or folder of files) as a stream, in a streaming session."""
+    path = table_path(sf_dir, name)
+    table = spark.read.parquet(path)
+    reader = streaming_session(spark).readStream.schema(table.schema)
+    if all(f.rstrip("/").endswith(f"/{name}.parquet") for f in table.inputFiles()):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(path)
 
-def parquet_stream(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Land a batch frame as parquet files and open them as a file stream."""
-    path = scratch_path(spark, f"{name}-src")
-    df.write.mode("overwrite").parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+
+def drain(stream: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
+    """Run ``stream`` to a parquet sink with ``availableNow`` and read the sink back (in ``spark``)."""
+    own = stream.sparkSession
+    spark = spark or own
+    sink, ckpt = scratch_path(spark, f"{name}-sink"), scratch_path(spark, f"{name}-ckpt")
+    q = (stream.writeStream.format("parquet").outputMode("append").option("path", sink)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(sink)
 
 
 def job_pairs(starts: DataFrame, ends: DataFrame, bound: str = "10 minutes") -> DataFrame:
-    """JobStart/JobEnd pairing with a bound on how late an end may come.
+    """JobStart/JobEnd pairing per (run, job_id), with a bound on how late an end may come.
 
-    Both sides carry watermarks, so the join state is purged once an end can
-    no longer arrive in time; the interval condition makes the join
-    stream-stream safe.
+    A left outer join: a start whose end has not come within the bound goes out alone once the watermark has
+    passed it. Both sides carry watermarks, so the join state is purged then.
     """
     s = starts.withWatermark("start_ts", bound).alias("s")
     e = ends.withWatermark("end_ts", bound).alias("e")
-    cond = ((F.col("s.job_id") == F.col("e.job_id"))
+    cond = ((F.col("s.run") == F.col("e.run")) & (F.col("s.job_id") == F.col("e.job_id"))
             & (F.col("e.end_ts") >= F.col("s.start_ts"))
             & (F.col("e.end_ts") <= F.col("s.start_ts") + F.expr(f"INTERVAL {bound}")))
-    return s.join(e, cond).select(F.col("s.job_id").alias("job_id"), "s.start_ts", "e.end_ts")
+    return s.join(e, cond, "left_outer").select("s.run", "s.job_id", "s.start_ts", "e.end_ts")
+
+
+def close_pairs(sink: DataFrame, starts: DataFrame) -> DataFrame:
+    """The end of a bounded replay: starts that the watermark has not reached are still open."""
+    still = starts.join(sink, ["run", "job_id"], "left_anti")
+    return sink.unionByName(still.select("run", "job_id", "start_ts", F.lit(None).cast("timestamp").alias("end_ts")))
 
 
 ORIGIN_MS = 946684800000  # event time of poll 0 (2000-01-01): the initial watermark is the epoch
@@ -60,44 +71,42 @@ ORIGIN_MS = 946684800000  # event time of poll 0 (2000-01-01): the initial water
 
 def eventually(snapshots: DataFrame, n_targets: int, limit_ms: int, delay: str = "0 seconds",
                origin_ms: int = ORIGIN_MS) -> DataFrame:
-    """Sticky polling as a stateful stream keyed by case.
+    """Sticky polling as a stateful stream keyed by case: a row when a case is first seen and whenever it gets on.
 
-    State per case: the pointer of the next target to pass and a done flag.
-    A case emits once: when its last target passes, or on its event-time
-    timeout at the limit. Event time of a poll is ``origin_ms + poll_ms``.
+    Polls of a trigger are taken by (poll_ms, passing_target), so one poll may pass several targets; polls past
+    the limit pass nothing. State per case: the number of targets passed, dropped at the limit's event time.
+    ``latest`` reads the outcome from the rows: no case waits for a timer to show up.
     """
     snapshots = snapshots.withColumn("ts", F.timestamp_millis(F.col("poll_ms") + F.lit(origin_ms)))
     out_schema = "case_id long, reached int, passed boolean, pass_ms long"
-    state_schema = "pointer int, done boolean"
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        case_id = int(key[0])
         if state.hasTimedOut:
-            pointer, done = state.get if state.exists else (0, False)
             state.remove()
-            if not done:
-                yield pd.DataFrame([(case_id, int(pointer), False, None)],
-                                   columns=["case_id", "reached", "passed", "pass_ms"])
             return
-        pointer, done = state.get if state.exists else (0, False)
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("poll_ms")
-        emitted = None
-        if not done:
-            for poll, tgt in zip(rows["poll_ms"], rows["passing_target"]):
-                if poll > limit_ms:
-                    break
-                if not pd.isna(tgt) and int(tgt) == pointer:
-                    pointer += 1
-                    if pointer == n_targets:
-                        done = True
-                        emitted = (case_id, pointer, True, int(poll))
-                        break
-        state.update((int(pointer), bool(done)))
-        wm = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(origin_ms + limit_ms + 1, wm + 1))
-        if emitted:
-            yield pd.DataFrame([emitted], columns=["case_id", "reached", "passed", "pass_ms"])
+        known = state.exists
+        start = pointer = state.get[0] if known else 0
+        polls: list[tuple[int, int]] = []
+        for b in batches:
+            b = b[b["passing_target"].notna() & (b["poll_ms"] <= limit_ms)]
+            polls += zip(b["poll_ms"].tolist(), b["passing_target"].astype(int).tolist())
+        at = None
+        for poll, target in sorted(polls):
+            if pointer < n_targets and target == pointer:
+                pointer += 1
+                at = poll
+        state.update((pointer,))
+        state.setTimeoutTimestamp(max(origin_ms + limit_ms + 1, state.getCurrentWatermarkMs() + 1))
+        if not known or pointer > start:
+            done = pointer == n_targets
+            yield pd.DataFrame({"case_id": [int(key[0])], "reached": [pointer], "passed": [done],
+                                "pass_ms": pd.array([at if done else None], dtype="Int64")})
 
     return (snapshots.withWatermark("ts", delay).groupBy("case_id")
-            .applyInPandasWithState(step, out_schema, state_schema, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+            .applyInPandasWithState(step, out_schema, "pointer int", "append", GroupStateTimeout.EventTimeTimeout))
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """The outcome of every case from the rows of ``eventually``."""
+    return rows.groupBy("case_id").agg(F.max("reached").alias("reached"), F.max("passed").alias("passed"),
+                                       F.max("pass_ms").alias("pass_ms"))

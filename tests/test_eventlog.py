@@ -33,3 +33,29 @@ def test_stream_averages_use_integer_division(spark):
     ], JOBS)
     m = ev.stream_metrics(jobs).first()
     assert (m.batches, m.ms_per_batch, m.span_ms) == (3, 7, 16)
+
+
+def test_stock_logs_by_their_paths(spark, tmp_path):
+    """Logs as Spark writes them: a single file, a rolled log, EVENT files in a folder per run."""
+    from tessera.sources.eventlog import read_event_log
+    lines = [
+        '{"Event":"SparkListenerJobStart","Job ID":0,"Submission Time":100,"Stage IDs":[0,1],"Properties":'
+        '{"spark.job.description":"select 1","sql.streaming.queryId":"null"}}',
+        '{"Event":"SparkListenerStageCompleted","Stage Info":{"Stage ID":1,"Stage Attempt ID":0,"Stage Name":"old",'
+        '"Submission Time":1,"Completion Time":2}}',
+        '{"Event":"SparkListenerStageCompleted","Stage Info":{"Stage ID":1,"Stage Attempt ID":1,"Stage Name":"new",'
+        '"Submission Time":110,"Completion Time":150}}',
+        '{"Event":"SparkListenerJobEnd","Job ID":0,"Completion Time":160,"Job Result":{"Result":"JobSucceeded"}}',
+        '{broken', ""]
+    text = "\n".join(lines)
+    for f in ("local-17", "app-2.inprogress", "eventlog_v2_app-3/events_1_app-3", "logs/run-x/EVENT_LOG_1", "run=a b/part-0"):
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text(text)
+    (tmp_path / "eventlog_v2_app-3/appstatus_app-3").write_text("")
+    log = read_event_log(spark, str(tmp_path))
+    jobs = ev.job_fact(log)
+    assert sorted(r.run for r in jobs.collect()) == ["a b", "app-2", "app-3", "local-17", "run-x"]
+    j = jobs.where("run = 'local-17'").first()
+    assert (j.sql_text, j.stream_id, j.submit_ms, j.finish_ms, j.result) == ("select 1", None, 100, 160, "JobSucceeded")
+    s = ev.stage_fact(log).where("run = 'app-3'").collect()
+    assert [(r.job_id, r.stage_id, r.name, r.complete_ms, r.sql_text) for r in s] == [(0, 1, "new", 150, "select 1")]

@@ -1,10 +1,12 @@
+import math
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators.generate import ColumnSpec, Rule, TableSpec, gen_table
 from tessera.plans.q_generate import rules_spec, sample_test
-from tessera.sources.specs import merge_rules, parse_specs
+from tessera.sources.specs import generate_script, merge_rules, parse_specs
 
 SAMPLE = """table: test : 20
 row:{ l1 int, l2 float, l3 string,l4 timestamp}
@@ -35,18 +37,64 @@ def test_values_do_not_depend_on_partitioning(spark):
     assert sorted(a) == sorted(b)
 
 
+def _phi(x):
+    return 0.5 * (1 + math.erf(x / math.sqrt(2)))
+
+
 def test_except_and_include_rules(spark):
     df = gen_table(spark, rules_spec(), n=20000)
-    assert df.where("a IN (4, 5) OR b IN (0.0, 10.0)").count() == 0
+    assert df.where("a IN (4, 5) OR b IN (0.0, 5.0, 10.0) OR c <> 10 OR d IN (0.005, 0.005001)").count() == 0
     share = df.where("a = 7").count() / 20000
-    from tessera.functions.gen_exprs import int_normal_probs
-    p = int_normal_probs(10.0)
-    expected = 0.1 + 0.9 * p[7] / (1 - p[4] - p[5])   # include hit, else redraw outside {4, 5}
-    assert abs(share - expected) < 0.015
+    p7, p45 = _phi((8 - 5) * 0.3) - _phi((7 - 5) * 0.3), _phi((6 - 5) * 0.3) - _phi((4 - 5) * 0.3)
+    assert abs(share - (0.1 + 0.9 * p7 / (1 - p45))) < 0.012   # include hit, else drawn outside {4, 5}
     excluded = [datetime(1970, 1, 1, 7, 0, 1), datetime(1970, 1, 1, 7, 0, 3)]
     assert df.where(F.col("ts").isin(excluded)).count() == 0
 
 
+def test_normal_has_the_right_distribution(spark):
+    df = gen_table(spark, TableSpec("t", 0, [ColumnSpec("x", "float"), ColumnSpec("k", "int")]), n=40000)
+    for v in (0.0, 2.0, 5.0, 8.0):
+        got = df.where(F.col("x") <= v).count() / 40000
+        assert abs(got - _phi((v - 5) * 0.3)) < 0.01
+    for v in range(11):
+        want = _phi(-1.2) if v == 0 else _phi(-1.5) if v == 10 else _phi((v - 4) * 0.3) - _phi((v - 5) * 0.3)
+        assert abs(df.where(F.col("k") == v).count() / 40000 - want) < 0.01
+
+
+def test_excluding_everything_is_refused(spark):
+    every = ColumnSpec("k", "int", [Rule(str(v), None, "except") for v in range(11)])
+    with pytest.raises(ValueError, match="every value"):
+        gen_table(spark, TableSpec("t", 5, [every]))
+    one = ColumnSpec("k", "int", [Rule(str(v), None, "except") for v in range(1, 11)])
+    assert gen_table(spark, TableSpec("t", 500, [one])).where("k <> 0").count() == 0
+    with pytest.raises(ValueError, match="unknown rule kind"):
+        ColumnSpec("k", "int", [Rule("1", None, "sometimes")])
+
+
+def test_script_to_rows(spark, tmp_path):
+    (tmp_path / "spec.txt").write_text(SAMPLE)
+    tables = generate_script(spark, str(tmp_path))
+    assert {k: (v.columns, v.count()) for k, v in tables.items()} == {
+        "test": (["id", "l1", "l2", "l3", "l4"], 20), "test2": (["id", "l1", "l2", "l3", "l4"], 15)}
+    assert tables["test2"].where("l2 = 1").count() == 0
+
+
+@pytest.mark.parametrize("text, error", [
+    ("table: t : 3\nrow:{ a blob}\nend;", "unknown column type"),
+    ("table: t : 3\nrow:{ a int}\n(a) maybe (1 0.5)\nend;", "unknown rule kind"),
+    ("table: t : many\nrow:{ a int}\nend;", "no row count")])
+def test_broken_specs_are_refused(spark, tmp_path, text, error):
+    (tmp_path / "spec.txt").write_text(text)
+    with pytest.raises(Exception, match=error):
+        generate_script(spark, str(tmp_path))
+
+
+def test_row_counts_beyond_an_int(spark):
+    lines = spark.createDataFrame([("f", 0, "table: big : 3000000000"), ("f", 1, "row:{ a int}"), ("f", 2, "end;")],
+                                  "file string, n long, line string")
+    assert parse_specs(lines)[0].first().n_rows == 3_000_000_000
+
+
 def test_ramp_draws_skip_include_hits(spark):
     spec = TableSpec("t", 0, [ColumnSpec("ts", "timestamp",
                                          [Rule("1970-01-01 09:00:00", 0.5, "include")])])

@@ -42,3 +42,19 @@ def test_scan_is_repartition_invariant(spark):
     b = row_index(df.repartition(13).orderBy(F.rand(3)), ["k"], "pos", width=32) \
         .select("k", "pos", "row_idx").collect()
     assert sorted(a) == sorted(b)
+
+
+def test_sparse_giant_key_null_keys_and_null_order(spark):
+    rows = [(0, i * 100_000, i % 3) for i in range(4000)] + [(None, i, 1) for i in range(50)] + [(1, None, 1), (1, 5, 1)]
+    df = spark.createDataFrame(rows, "k long, pos long, v int")
+    got = row_index(df, ["k"], "pos", width=500)
+    want = df.select("*", (F.row_number().over(Window.partitionBy("k").orderBy("pos")) - 1).cast("long").alias("row_idx"))
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+
+
+def test_building_a_scan_runs_no_job(spark):
+    df = _frame(spark, 50)
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    row_index(row_index(df, ["k"], "pos"), ["v"], "pos", name="again")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before

@@ -55,3 +55,42 @@ def test_case_outcome_first_failure_decides(spark):
                                (2, 0, "Pass")], "case_id long, target_idx long, verdict string")
     got = {r.case_id: (r.passed, r.failed_target, r.failed_verdict) for r in vf.case_outcome(v).collect()}
     assert got == {1: (False, 1, "LinesNotMatch"), 2: (True, None, None)}
+
+
+def test_include_in_blocks_equals_a_plain_scan(spark, monkeypatch):
+    import random
+    monkeypatch.setattr(vf, "MIN_BLOCK", 5)
+    r = random.Random(2)
+    words = ["a", "b", "c 1", "c 2", "x y"]
+    out, tgt = {}, {}
+    for case in range(12):
+        out[case] = [r.choice(words) for _ in range(r.randint(0, 60))]
+        tgt[case] = [r.choice(words + ["c [0-9]++", "[a-z&&[^b]]", "(", "q"]) for _ in range(r.randint(0, 12))]
+    line = lambda w, p: {"c [0-9]++": w.startswith("c "), "[a-z&&[^b]]": w == "a"}.get(p, w == p)
+    want = {}
+    for case in out:
+        p = 0
+        for w in out[case]:
+            if p < len(tgt[case]) and line(w, tgt[case][p]):
+                p += 1
+        want[case] = (len(tgt[case]), p, "Pass" if p == len(tgt[case]) else "LinesInclude")
+    o = _out(spark, [(c, i * 7, w) for c, ws in out.items() for i, w in enumerate(ws)])
+    t = _tgt(spark, [(c, i, w) for c, ws in tgt.items() for i, w in enumerate(ws)])
+    heads = spark.createDataFrame([(c,) for c in out], "case_id long")
+    got = vf.verify_include(o, t, heads=heads)
+    assert {r.case_id: (r.n_targets, r.n_matched, r.verdict) for r in got.collect()} == want
+    assert "Python" not in got._jdf.queryExecution().toString()
+
+
+def test_every_target_gets_a_verdict(spark):
+    heads = spark.createDataFrame([(i,) for i in range(9)], "case_id long")
+    out = _out(spark, [(0, 0, "a"), (2, 0, "a"), (2, 1, "b"), (3, 0, "x"), (4, 0, "x"), (6, 0, "1"), (8, 0, "z")])
+    tgt = _tgt(spark, [(0, 0, "a"), (2, 0, "# rows 2"), (3, 0, "# include"), (3, 1, "x"), (4, 0, "# exclude"), (4, 1, "x"),
+                       (5, 0, "# data-received t tab"), (6, 0, "# plain comment"), (7, 0, "# include")])
+    got = {r.case_id: (r.mode, r.verdict, r.message) for r in vf.verify_targets(out, heads, tgt).collect()}
+    assert got == {
+        0: ("match", "Pass", None), 1: ("match", "Pass", None), 2: ("rows", "Pass", None), 3: ("include", "Pass", None),
+        4: ("exclude", "LinesExclude", "1 excluded lines"),
+        5: ("data-received", "DataNotReceived", "data has not all received"),
+        6: ("match", "LinesNotMatch", "line 0: 1 | # plain comment"), 7: ("include", "Pass", None),
+        8: ("match", "LineCountDiff", "1 lines, expected 0")}
