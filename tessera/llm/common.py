@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.session import scratch_path
@@ -95,5 +95,19 @@ def input_bytes(df: DataFrame, text: str) -> int:
     return int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
 
 
+def least_hashes(rows: DataFrame, label: str, key: str, n: int) -> DataFrame:
+    """The ``n`` rows of each label with the least hashes of ``key`` (distinct keys are expected).
+
+    A label's rows are first thinned to about twice as many by the hash itself, so the ranking sees a bounded
+    number of rows however common a label is.
+    """
+    hashed = rows.withColumn("_h", F.xxhash64(key))
+    count = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.col("_h") / float(1 << 64) + 0.5  # even over [0, 1)
+    few = hashed.join(count, label).where(share * F.col("_n") < 2 * n + 100)
+    order = Window.partitionBy(label).orderBy("_h", key)
+    return few.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_h", "_n", "_r")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -23,10 +23,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import flat_words, held_out, ranges, save, slices
+from tessera.llm.common import flat_words, held_out, least_hashes, ranges, save, slices
 
 STATS = ("n_chars", "n_words", "mean_word", "long_words", "short_words", "upper", "digit", "punct", "symbol",
          "space", "non_ascii", "upper_words", "mark_words", "symbol_words", "unique_words", "top_word",
@@ -220,8 +220,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str, per_class: int = 40
     own = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
            .where("doc_id is not null and y in (0, 1)").where(~held_out(F.col("doc_id")))
            .groupBy("doc_id").agg(F.max("y").alias("y")))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = own.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).drop("n")
+    sample = least_hashes(own, "y", "doc_id", per_class)
     # at most per_class ids a label; of rows that repeat an id, one
     got = (stats.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("stats").alias("stats"))
            .orderBy("doc_id").toPandas())

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import ann, langid, quality, toxicity, urlfilter
-from tessera.llm.common import held_out
+from tessera.llm.common import held_out, least_hashes
 from tests.llm.fixtures import awkward_docs, frame, vocabulary
 
 F = pytest.importorskip("pyspark.sql.functions")
@@ -25,6 +25,13 @@ def test_held_out(spark):
     assert spark.sql("select cast(null as long) id").select(held_out(F.col("id")).alias("h")).first().h is False
 
 
+def test_least_hashes(spark):
+    rows = spark.range(5000).selectExpr("id", "if(id % 50 = 0, 1, 0) y")
+    got = Counter(r.y for r in least_hashes(rows, "y", "id", 300).collect())
+    assert got == {0: 300, 1: 100}
+    assert least_hashes(rows, "y", "id", 300).exceptAll(least_hashes(rows.repartition(7), "y", "id", 300)).count() == 0
+
+
 # toxicity
 
 def _toxic_rows(n=240, seed=3):
