@@ -25,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import distinct, flat_words, held_out, slices
+from tessera.llm.common import distinct, flat_words, held_out, least_hashes, slices
 
 BITS = 22
 HEADS = (4, 5)
@@ -156,8 +156,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, per_class:
     own = (labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
            .where("id is not null and label is not null").where(~held_out(F.col("id")))
            .groupBy("id").agg(F.max("label").alias("label")))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    sample = own.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).select("id", "label")
+    sample = least_hashes(own, "label", "id", per_class)
     # at most per_class rows a label
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")) \
         .join(F.broadcast(sample), "id")
