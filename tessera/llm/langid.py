@@ -23,10 +23,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import distinct, held_out, slices
+from tessera.llm.common import distinct, held_out, least_hashes, slices
 
 BITS = 15
 DIMS = 1 << BITS
@@ -144,9 +144,7 @@ def fit(docs: DataFrame, label_col: str = "lang", per_class: int = 800, id_col:
     idf = np.log((1 + n) / (1 + df)) + 1
     # the least hashes of each label, picked without their texts, then joined back: at most per_class a label
     keyed = rows.withColumn("h", F.xxhash64("id", "text"))
-    order = Window.partitionBy("label").orderBy("h")
-    pick = (keyed.select("label", "h").distinct().withColumn("n", F.row_number().over(order))
-            .where(F.col("n") <= per_class).select("label", "h"))
+    pick = least_hashes(keyed.select("label", "h").distinct(), "label", "h", per_class)
     sample = keyed.join(F.broadcast(pick), ["label", "h"])
 
     def run(batches):
