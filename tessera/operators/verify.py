@@ -224,17 +224,23 @@ BLOCKS = 256  # at most so many blocks a target, of at least MIN_BLOCK matched r
 MIN_BLOCK = 4096
 
 
-def matched_rows(out: DataFrame, tgt: DataFrame, keys: Sequence[str]) -> DataFrame:
+def golden_lists(tgt: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, patterns): a target's lines in order, one row per target (golden files are written by hand)."""
+    line = F.array_sort(F.collect_list(F.struct("row_idx", "pattern")))
+    return tgt.groupBy(*keys).agg(F.transform(line, lambda x: x["pattern"]).alias("patterns"))
+
+
+def matched_rows(out: DataFrame, lists: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, row_idx, classes): output rows that match some target line, by the lines' class numbers.
 
-    Equal target lines are one class. Lines that match as text meet by an equi-join on their tokens; only target
-    lines with regular expressions are tested against their case's rows one by one.
+    Equal target lines are one class: the place of the first. Lines that match as text meet by an equi-join on
+    their tokens; only target lines with regular expressions are tested against their target's rows one by one.
     """
     keys = list(keys)
     key = lambda c: F.array_join(tokens(F.col(c)), " ")
-    lines = tgt.select(*keys, "row_idx", "pattern").groupBy(*keys, "pattern").agg(F.min("row_idx").alias("class"))
-    lines = lines.select(*keys, "class", key("pattern").alias("__text"), F.col("pattern").rlike(_META).alias("__meta"),
-                         compile_pattern(F.col("pattern")).alias("__rx"))
+    lines = lists.select(*keys, "patterns", F.explode(F.array_distinct("patterns")).alias("pattern"))
+    lines = lines.select(*keys, F.array_position("patterns", F.col("pattern")).alias("class"), key("pattern").alias("__text"),
+                         F.col("pattern").rlike(_META).alias("__meta"), compile_pattern(F.col("pattern")).alias("__rx"))
     rows = out.select(*keys, "row_idx", "line", key("line").alias("__text"))
     plain = rows.join(lines.drop("__meta", "__rx"), [*keys, "__text"]).select(*keys, "row_idx", "class")
     rx = lines.where("__meta").select(*keys, "class", "__rx", F.col("__text").alias("__own"))
@@ -252,12 +258,9 @@ def verify_include(out: DataFrame, tgt: DataFrame, keys: Sequence[str] = ("case_
     order. Output: keys, n_targets, n_matched, verdict; without lines a target passes.
     """
     keys = list(keys)
-    klass = tgt.groupBy(*keys, "pattern").agg(F.min("row_idx").alias("class"))
-    # a golden file's lines as class numbers, in order
-    want = (tgt.select(*keys, "row_idx", "pattern").join(klass, [*keys, "pattern"])
-            .groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "class"))),
-                                            lambda x: x["class"]).alias("__want")))
-    rows = matched_rows(out, tgt, keys)
+    lists = golden_lists(tgt, keys)
+    want = lists.select(*keys, F.transform("patterns", lambda p: F.array_position("patterns", p)).alias("__want"))
+    rows = matched_rows(out, lists, keys)
     span = rows.groupBy(*keys).agg(
         F.min("row_idx").alias("__lo"), F.max("row_idx").alias("__hi"),
         F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.ceil(F.count(F.lit(1)) / MIN_BLOCK))).alias("__n"))

@@ -9,7 +9,7 @@ from tessera.operators import verify as vf
 from tessera.plans import bindings as b
 from tessera.plans.oracle_views import duck_match, with_views
 from tessera.plans.registry import register
-from tessera.session import read_table
+from tessera.session import read_table, share
 
 _CELL3 = ("CASE WHEN o_orderpriority LIKE '1%' THEN '' WHEN o_orderpriority LIKE '2%' THEN NULL "
           "WHEN o_orderpriority LIKE '3%' THEN '   ' ELSE o_orderpriority END")
@@ -218,7 +218,8 @@ SELECT case_id, min(target_idx) FILTER (WHERE verdict <> 'Pass') IS NULL AS pass
        coalesce(min(target_idx) FILTER (WHERE verdict <> 'Pass'), count(*)) AS targets_passed
 FROM verdicts GROUP BY case_id""", "target_lines", extra={**_TARGETED, "verdicts": _VERDICTS}))
 def q_case_outcome(spark, sf):
-    r, t = _rt(spark, sf)
+    r = share(b.result_lines(spark, sf))  # results are stored data: numbered once, verified in four modes
+    t = b.target_lines(spark, sf, r)
     cut = lambda df: df.withColumns({"target_idx": F.floor(F.col("row_idx") / 10), "row_idx": F.col("row_idx") % 10})
     keys = ["case_id", "target_idx"]
     out, tgt = cut(r), cut(t)
