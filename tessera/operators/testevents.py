@@ -31,10 +31,6 @@ STATUS = {"TestSucceeded": "succeeded", "TestFailed": "failed",
 SKIPPED = ("ignored", "pending", "canceled")
 
 
-def _us(c):
-    return F.unix_micros(F.col(c).cast("timestamp"))
-
-
 def _ms_between(start: str, end: str):
     """Whole milliseconds between two timestamps (micro difference, truncated)."""
     return F.expr(f"(unix_micros(CAST({end} AS TIMESTAMP)) - unix_micros(CAST({start} AS TIMESTAMP))) div 1000")
@@ -77,7 +73,8 @@ def test_pairs(num: DataFrame) -> DataFrame:
     g = (num.where(F.col("test_no") > 0).groupBy("suite", "test_no")
          .agg(F.min(st).alias("start_ordinal"), F.min_by("ts", st).alias("__start_ts"),
               F.min(te).alias("end_ordinal"), F.min_by("ts", te).alias("__end_ts"),
-              F.min_by("kind", te).alias("__term"), F.count_if(is_term).alias("__n_term")))
+              F.min_by("kind", te).alias("__term"), F.min_by("message", te).alias("message"),
+              F.count_if(is_term).alias("__n_term")))
     status = F.lit(None).cast("string")
     for k, v in STATUS.items():
         status = F.when(F.col("__term") == k, v).otherwise(status)
@@ -86,7 +83,7 @@ def test_pairs(num: DataFrame) -> DataFrame:
     return g.select("suite", "test_no", "start_ordinal", "end_ordinal", status.alias("status"),
                     F.when(timed, dur).when(F.col("__term").isNotNull(), F.lit(0)).alias("duration_ms"),
                     F.col("end_ordinal").isNotNull().alias("finished"),
-                    F.greatest(F.col("__n_term") - 1, F.lit(0)).alias("extra_terminals"))
+                    F.greatest(F.col("__n_term") - 1, F.lit(0)).alias("extra_terminals"), "message")
 
 
 def _ignored(num: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -118,9 +115,9 @@ def test_infos(num: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
             .select("suite", "test_no", "ordinal", "message"))
 
 
-def suite_rollup(events: DataFrame) -> DataFrame:
-    """Per suite: tests, failures, errors (aborted), skipped, time, unexpected events."""
-    num = numbered(events)
+def suite_rollup(events: DataFrame, num: DataFrame | None = None) -> DataFrame:
+    """Per suite: tests, failures, errors (aborted), skipped, time, unexpected events. ``num``: ``numbered(events)``."""
+    num = num if num is not None else numbered(events)
     pairs = test_pairs(num)
     status = test_status(num, pairs)
     per_status = status.groupBy("suite").agg(

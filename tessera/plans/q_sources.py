@@ -188,42 +188,52 @@ def q_target_scan(spark, sf):
 # ------------------------------------------------------------------ JUnit reports
 _JUNIT_SQL = with_views("""
 SELECT s.suite, coalesce(st.tests, 0) AS tests, coalesce(st.failures, 0) AS failures,
-       coalesce(bd.errors, 0) AS errors, st.tests AS cases, st.failures AS failed_cases,
-       st.skipped AS skipped_cases
+       coalesce(bd.errors, 0) AS errors, CAST(bd.time_ms AS BIGINT) AS time_ms, st.tests AS cases, st.failures AS failed_cases,
+       st.skipped AS skipped_cases, st.last_name, st.last_failure, CAST(st.ms AS BIGINT) AS case_ms,
+       coalesce(i.infos, 0) AS infos
 FROM (SELECT DISTINCT suite FROM test_events WHERE suite IS NOT NULL) s
-LEFT JOIN (SELECT suite, count(*) AS tests, count(*) FILTER (WHERE status = 'failed') AS failures,
-                  count(*) FILTER (WHERE status IN ('ignored', 'pending', 'canceled')) AS skipped
-           FROM status GROUP BY suite) st ON s.suite = st.suite
-LEFT JOIN (SELECT suite, count(*) FILTER (WHERE aborted) AS errors FROM bounds GROUP BY suite) bd
-  ON s.suite = bd.suite""", "test_events", extra=CTES)
+LEFT JOIN (SELECT x.suite, count(*) AS tests, count(*) FILTER (WHERE x.status = 'failed') AS failures,
+                  count(*) FILTER (WHERE x.status IN ('ignored', 'pending', 'canceled')) AS skipped,
+                  max('test' || CAST(x.ordinal AS VARCHAR)) AS last_name,
+                  max(p.message) FILTER (WHERE x.status = 'failed') AS last_failure,
+                  sum(coalesce(p.duration_ms, 0)) AS ms
+           FROM status x LEFT JOIN pairs p ON x.suite = p.suite AND x.ordinal = p.start_ordinal GROUP BY x.suite) st
+  ON s.suite = st.suite
+LEFT JOIN (SELECT suite, count(*) FILTER (WHERE aborted) AS errors, sum(time_ms) AS time_ms FROM bounds GROUP BY suite) bd
+  ON s.suite = bd.suite
+LEFT JOIN (SELECT n.suite, count(*) AS infos FROM num n JOIN pairs p ON n.suite = p.suite AND n.test_no = p.test_no
+           WHERE n.kind = 'InfoProvided' AND n.message IS NOT NULL AND (p.end_ordinal IS NULL OR n.ordinal < p.end_ordinal)
+           GROUP BY n.suite) i
+  ON s.suite = i.suite""", "test_events", extra=CTES)
 
 
 @register("junit_sink", _JUNIT_SQL)
 def q_junit_sink(spark, sf):
+    """Reports of all suites, written and read again."""
     ev = b.test_events(spark, sf)
-    roll = te.suite_rollup(ev)
-    start = ev.where(F.col("kind") == te.SUITE_START).select("suite", F.col("ts").alias("timestamp"))
-    suites = roll.join(start, "suite", "left").select(
-        F.col("suite").cast("string").alias("suite"), "tests", "failures", "errors",
-        F.coalesce("time_ms", F.lit(0)).alias("time_ms"), "timestamp")
-    num = te.numbered(ev)
+    num = share(te.numbered(ev))  # one pass over the events feeds suites, cases and infos
     pairs = te.test_pairs(num)
-    status = te.test_status(num, pairs)
-    cases = (status.join(pairs.select("suite", F.col("start_ordinal").alias("ordinal"), "duration_ms"),
-                         ["suite", "ordinal"], "left")
-             .select(F.col("suite").cast("string").alias("suite"),
-                     F.concat(F.lit("test"), F.col("ordinal").cast("string")).alias("name"),
-                     F.coalesce("duration_ms", F.lit(0)).alias("time_ms"), "status",
-                     F.lit("test failed").alias("message")))
-    path = write_junit(suites, cases, scratch_path(spark, "junit"))
-    s, c = read_junit(spark, path)
+    start = num.where(F.col("kind") == te.SUITE_START).select("suite", F.col("ts").alias("timestamp"))
+    text = F.col("suite").cast("string").alias("suite")
+    suites = te.suite_rollup(ev, num).join(start, "suite", "left").select(
+        text, "tests", "failures", "errors", F.coalesce("time_ms", F.lit(0)).alias("time_ms"), "timestamp")
+    infos = (te.test_infos(num, pairs).where(F.col("message").isNotNull()).groupBy("suite", "test_no")
+             .agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "message"))), lambda x: x["message"]).alias("infos")))
+    own = pairs.join(infos, ["suite", "test_no"], "left").select(
+        "suite", F.col("start_ordinal").alias("ordinal"), "duration_ms", "message", "infos")
+    cases = (te.test_status(num, pairs).join(own, ["suite", "ordinal"], "left")
+             .select(text, "ordinal", F.concat(F.lit("test"), F.col("ordinal").cast("string")).alias("name"),
+                     F.coalesce("duration_ms", F.lit(0)).alias("time_ms"), "status", "message", "infos"))
+    s, c = read_junit(spark, write_junit(suites, cases, scratch_path(spark, "junit")))
     per_case = c.groupBy(F.col("suite").cast("long").alias("suite")).agg(
-        F.count(F.lit(1)).alias("cases"),
-        F.count("failure").alias("failed_cases"), F.count("skipped").alias("skipped_cases"))
-    return (s.select(F.col("_name").cast("long").alias("suite"), F.col("_tests").cast("long").alias("tests"),
-                     F.col("_failures").cast("long").alias("failures"),
-                     F.col("_errors").cast("long").alias("errors"))
-            .join(per_case, "suite", "left"))
+        F.count(F.lit(1)).alias("cases"), F.count("failure").alias("failed_cases"),
+        F.count("skipped").alias("skipped_cases"), F.max("_name").alias("last_name"),
+        F.max("failure._message").alias("last_failure"), F.sum(F.round(F.col("_time") * 1000).cast("long")).alias("case_ms"),
+        F.sum(F.coalesce(F.size(F.split("system-out", "\n")), F.lit(0)).cast("long")).alias("infos"))
+    return (s.select(F.col("_name").cast("long").alias("suite"), F.col("_tests").alias("tests"),
+                     F.col("_failures").alias("failures"), F.col("_errors").alias("errors"),
+                     F.round(F.col("_time") * 1000).cast("long").alias("time_ms"))
+            .join(per_case, "suite", "left").withColumn("infos", F.coalesce("infos", F.lit(0))))
 
 
 # ------------------------------------------------------------------ topics

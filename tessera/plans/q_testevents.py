@@ -17,13 +17,14 @@ SELECT suite, test_no, start_ordinal, end_ordinal,
                  WHEN 'TestPending' THEN 'pending' WHEN 'TestCanceled' THEN 'canceled' END AS status,
        CASE WHEN term IN ('TestSucceeded', 'TestFailed') THEN (epoch_us(end_ts) - epoch_us(start_ts)) // 1000
             WHEN term IS NOT NULL THEN 0 END AS duration_ms,
-       end_ordinal IS NOT NULL AS finished, greatest(n_term - 1, 0) AS extra_terminals
+       end_ordinal IS NOT NULL AS finished, greatest(n_term - 1, 0) AS extra_terminals, message
 FROM (SELECT suite, test_no,
              min(ordinal) FILTER (WHERE kind = 'TestStarting') AS start_ordinal,
              arg_min(ts, ordinal) FILTER (WHERE kind = 'TestStarting') AS start_ts,
              min(ordinal) FILTER (WHERE kind IN {_TERMS}) AS end_ordinal,
              arg_min(ts, ordinal) FILTER (WHERE kind IN {_TERMS}) AS end_ts,
              arg_min(kind, ordinal) FILTER (WHERE kind IN {_TERMS}) AS term,
+             min_by(coalesce(message, ''), ordinal) FILTER (WHERE kind IN {_TERMS}) AS message,
              count(*) FILTER (WHERE kind IN {_TERMS}) AS n_term
       FROM num WHERE test_no > 0 GROUP BY suite, test_no) g"""
 IGN = """
