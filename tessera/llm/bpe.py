@@ -19,6 +19,7 @@ then the new ones replace them.
 from __future__ import annotations
 
 import base64
+import gc
 import re
 
 import numpy as np
@@ -153,12 +154,12 @@ class Encoder:
                     elif done < len(line):
                         queue.open(rank, line[done:])
                     break
-        out, vocab = [], self.ranks
+        out, ranks = [], self.ranks
         for e, k in zip(ends.tolist(), sizes.tolist()):
             i, ids = e - k, []
             while i < e:
                 j = nxt[i]
-                ids.append(vocab[data[i:j]])
+                ids.append(ranks[data[i:j]])
                 i = j
             out.append(ids)
         return out
@@ -181,11 +182,24 @@ class Encoder:
         self._merge_line(line)
 
     def _merge_line(self, line: list[tuple[str, bytes]]) -> None:
-        for (w, _), ids in zip(line, self.merge([raw for _, raw in line])):
-            self.words[w] = np.array(ids, np.int32).tobytes()
+        ids = self.merge([raw for _, raw in line])
+        flat, at = np.array([i for x in ids for i in x], np.int32).tobytes(), 0
+        for (w, _), x in zip(line, ids):
+            self.words[w] = flat[at:at + 4 * len(x)]
+            at += 4 * len(x)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian int32 bytes."""
+        # very many short lists and no cycles: the cycle collector would only walk them over and over
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_many(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_many(self, texts: list[str]) -> list[bytes]:
         split, words, pieces = self.split, self.words, self.pieces
         if len(words) > CACHE:
             words.clear()
