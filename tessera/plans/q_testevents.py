@@ -6,6 +6,7 @@ from tessera.operators import testevents as te
 from tessera.plans import bindings as b
 from tessera.plans.oracle_views import with_views
 from tessera.plans.registry import register
+from tessera.session import share
 
 _TERMS = "('TestSucceeded', 'TestFailed', 'TestPending', 'TestCanceled')"
 NUM = """SELECT *, CAST(sum(CASE WHEN kind = 'TestStarting' THEN 1 ELSE 0 END) OVER (
@@ -91,4 +92,5 @@ LEFT JOIN (SELECT suite, CAST(sum(extra_terminals) AS BIGINT) AS x FROM pairs GR
 LEFT JOIN (SELECT suite, count(*) AS y FROM ign WHERE NOT standalone GROUP BY suite) y ON s.suite = y.suite""",
     "test_events", extra=CTES))
 def q_suite_rollup(spark, sf):
-    return te.suite_rollup(b.test_events(spark, sf))
+    ev = b.test_events(spark, sf)
+    return te.suite_rollup(ev, share(te.numbered(ev)))  # one pass, used by five aggregates

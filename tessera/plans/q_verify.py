@@ -99,7 +99,8 @@ LEFT JOIN (SELECT case_id, list_reduce(list(ks ORDER BY row_idx),
                   "FROM target_lines WHERE case_id % 19 <> 5"}))
 def q_verify_include(spark, sf):
     """All target lines; cases with id % 19 = 5 have an empty target."""
-    r, t = _rt(spark, sf)
+    r = share(b.result_lines(spark, sf))
+    t = b.target_lines(spark, sf, r)
     heads = r.select("case_id").distinct()
     return vf.verify_include(r, t.where(F.col("case_id") % 19 != 5), heads=heads)
 

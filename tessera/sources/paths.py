@@ -33,39 +33,36 @@ def _ancestors(rel: Column) -> Column:
                   ).otherwise(F.array().cast("array<string>"))
 
 
+def _parent(path: Column) -> Column:
+    return F.regexp_extract(path, r"^(.*)/[^/]+$", 1)
+
+
 def find_suites(files: DataFrame, path_col: str = "path") -> DataFrame:
     """Suites among relative file paths: (suite_dir, suite, parallel, n_cases).
 
     ``suite`` = relative folder with '/' -> '_'; ``parallel`` when ``p.txt`` is
     present; ``n_cases`` counts files in ``sql/`` whose name ends with ``sql``.
+    Every file says what it tells about which folder; one keyed aggregate gathers that.
     """
     rel = F.col(path_col)
-    files = share(files.select(path_col))
-    dirs = files.select(F.explode(_ancestors(rel)).alias("dir"))
-    name = F.element_at(F.split("dir", "/"), -1)
-    parent = F.regexp_extract("dir", r"^(.*)/[^/]+$", 1)
-    marks = (dirs.where(name.isin("sql", "result") & (parent != ""))
-             .select(parent.alias("suite_dir"), name.alias("kind")).distinct())
-    cand = share(marks.groupBy("suite_dir").agg(F.count_distinct("kind").alias("__k"))
-                 .where(F.col("__k") == 2).select("suite_dir"))
+    folder, name = _parent(rel), F.element_at(F.split(rel, "/"), -1)
+    tells = lambda d, sql=False, result=False, p=False, n=0: F.struct(
+        d.alias("suite_dir"), F.lit(sql).alias("sql"), F.lit(result).alias("result"), F.lit(p).alias("p"), F.lit(n).alias("n"))
+    marks = [F.when(F.endswith(a, F.lit(f"/{k}")), tells(_parent(a), **{k: True}))
+             for k in ("sql", "result") for a in (F.col("anc"),)]
+    above = files.select(rel, F.explode(_ancestors(rel)).alias("anc"))
+    told = above.select(F.explode(F.array_compact(F.array(*marks))).alias("t")).unionByName(files.select(F.explode(
+        F.array_compact(F.array(
+            F.when(name == "p.txt", tells(folder, p=True)),
+            F.when(F.endswith(folder, F.lit("/sql")) & F.endswith(name, F.lit("sql")), tells(_parent(folder), n=1))))).alias("t")))
+    cand = (told.select("t.*").where("suite_dir <> ''").groupBy("suite_dir")
+            .agg(F.bool_or("sql").alias("sql"), F.bool_or("result").alias("result"), F.bool_or("p").alias("parallel"),
+                 F.sum("n").alias("n_cases")).where(F.col("sql") & F.col("result")))
     # discovery stops below a suite: drop candidates with a candidate ancestor
     anc = cand.select("suite_dir", F.explode(_ancestors(F.col("suite_dir"))).alias("anc"))
     nested = anc.join(cand.select(F.col("suite_dir").alias("anc")), "anc", "left_semi").select("suite_dir")
-    suites = cand.join(nested, "suite_dir", "left_anti")
-    fdir = F.regexp_extract(rel, r"^(.*)/[^/]+$", 1)
-    fname = F.element_at(F.split(rel, "/"), -1)
-    flags = files.select(
-        F.when(fname == "p.txt", fdir).alias("p_dir"),
-        F.when(F.endswith(fdir, F.lit("/sql")) & F.endswith(fname, F.lit("sql")),
-               F.regexp_extract(fdir, r"^(.*)/sql$", 1)).alias("c_dir"))
-    par = flags.where(F.col("p_dir").isNotNull()).select(F.col("p_dir").alias("suite_dir")).distinct() \
-               .withColumn("parallel", F.lit(True))
-    cases = (flags.where(F.col("c_dir").isNotNull()).groupBy(F.col("c_dir").alias("suite_dir"))
-             .agg(F.count(F.lit(1)).alias("n_cases")))
-    return (suites.join(par, "suite_dir", "left").join(cases, "suite_dir", "left")
-            .select("suite_dir", F.regexp_replace("suite_dir", "/", "_").alias("suite"),
-                    F.coalesce("parallel", F.lit(False)).alias("parallel"),
-                    F.coalesce("n_cases", F.lit(0)).alias("n_cases")))
+    return (cand.join(nested, "suite_dir", "left_anti")
+            .select("suite_dir", F.regexp_replace("suite_dir", "/", "_").alias("suite"), "parallel", "n_cases"))
 
 
 def suite_cases(files: DataFrame, suites: DataFrame, path_col: str = "path") -> DataFrame:
@@ -87,26 +84,21 @@ def filter_cases(cases: DataFrame, include: DataFrame | None) -> DataFrame:
     """
     if include is None:
         return cases
-    cases, include = share(cases), share(include)
-    suites = cases.select("suite_dir").distinct()
+    cases = share(cases)  # a table: the list is matched with it in several ways
     # suite / folder lines: equi-join on each suite's folder and its ancestors
-    scopes = suites.select("suite_dir", F.explode(F.array_union(
+    scopes = cases.select("suite_dir").distinct().select("suite_dir", F.explode(F.array_union(
         F.array("suite_dir"), _ancestors(F.col("suite_dir")))).alias("line"))
-    scopes = share(scopes)
-    resets = (include.join(scopes, "line")
-              .groupBy("suite_dir").agg(F.max("line_no").alias("__reset")))
-    case_lines = include.select(
-        "line_no", F.regexp_extract("line", r"^(.*)/[^/]+$", 1).alias("suite_dir"),
-        F.element_at(F.split("line", "/"), -1).alias("case"))
-    case_lines = case_lines.join(include.join(scopes, "line", "left_semi").select("line_no"),
-                                 "line_no", "left_anti")
+    resets = include.join(scopes, "line").groupBy("suite_dir").agg(F.max("line_no").alias("__reset"))
+    case_lines = include.join(scopes.select("line"), "line", "left_anti").select(
+        "line_no", _parent(F.col("line")).alias("suite_dir"), F.element_at(F.split("line", "/"), -1).alias("case"))
     picked = (case_lines.join(resets, "suite_dir", "left")
               .where(F.col("__reset").isNull() | (F.col("line_no") > F.col("__reset")))
-              .select("suite_dir", "case").distinct())
-    has_pick = picked.select("suite_dir").distinct()
-    all_of = resets.join(has_pick, "suite_dir", "left_anti").select("suite_dir")
-    return (cases.join(all_of, "suite_dir", "left_semi")
-            .unionByName(cases.join(picked, ["suite_dir", "case"], "left_semi")))
+              .groupBy("suite_dir", "case").agg(F.lit(True).alias("__picked")))
+    some = picked.groupBy("suite_dir").agg(F.lit(True).alias("__some"))
+    return (cases.join(resets, "suite_dir", "left").join(some, "suite_dir", "left")
+            .join(picked, ["suite_dir", "case"], "left")
+            .where(F.col("__picked") | (F.col("__reset").isNotNull() & F.col("__some").isNull()))
+            .select("suite_dir", "case"))
 
 
 def run_stamp(path: Column) -> Column:
