@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tessera.session import scratch_path
 
 SLICE_BYTES = 4 << 20
+MAX_BROADCAST_LABELS = 10_000
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -103,6 +104,8 @@ def least_hashes(rows: DataFrame, label: str, key: str, n: int) -> DataFrame:
     """
     hashed = rows.withColumn("_h", F.xxhash64(key))
     count = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    if count.limit(MAX_BROADCAST_LABELS + 1).count() <= MAX_BROADCAST_LABELS:
+        count = F.broadcast(count)  # else rows would be dealt by label before they are thinned
     share = F.col("_h") / float(1 << 64) + 0.5  # even over [0, 1)
     few = hashed.join(count, label).where(share * F.col("_n") < 2 * n + 100)
     order = Window.partitionBy(label).orderBy("_h", key)
