@@ -271,8 +271,10 @@ def verify_include(out: DataFrame, tgt: DataFrame, keys: Sequence[str] = ("case_
                                lambda x: x["classes"]).alias("__rows"))
               .join(want, keys))
     step = lambda p, r: F.when(F.array_contains(r, F.get("__want", p)), p + 1).otherwise(p)
+    # the first block can only be entered with pointer 0
+    last = F.when(F.col("__block") == 0, F.lit(0)).otherwise(F.size("__want"))
     maps = blocks.select(*keys, "__block", F.transform(
-        F.sequence(F.lit(0), F.size("__want")), lambda p: F.aggregate("__rows", p, step)).alias("__to"))
+        F.sequence(F.lit(0), last), lambda p: F.aggregate("__rows", p, step)).alias("__to"))
     ends = (maps.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__block", "__to"))),
                                                 lambda x: x["__to"]).alias("__maps"))
             .select(*keys, F.aggregate("__maps", F.lit(0), lambda p, m: F.get(m, p)).alias("n_matched")))
