@@ -1,13 +1,18 @@
 """Approximate nearest neighbours by cross-polytope hashing with multiprobe.
 
-Largest inner products become nearest directions: every vector is scaled by the largest norm and
-gets one more coordinate that makes it a unit vector; a query is scaled to one with 0 there. A table
+Vectors are filed by direction, each scaled by its own norm, so no vector's length moves another one. A table
 turns unit vectors by a fast pseudo-rotation (three rounds of random signs and a Hadamard
 transform) and files each under its nearest signed axis. A query probes the ``probes`` signed axes, over
 all tables, where its own coordinates are largest; the vectors filed there are its candidates, and
 every candidate is scored exactly, on the original vectors, in double precision and in one fixed
 order of additions, so that equal vectors tie exactly.
 
+Probing meets a vector with a probability that grows with its cosine to the query; ``reach`` is the cosine from
+which it is ``sure``. Vectors also lie in ranges of norms (``RANGES`` to a doubling). By the Cauchy-Schwarz
+inequality a vector of a range whose largest norm is m beats a query's k-th score s only from a cosine of
+s / (|q| m) on; where that is below the reach, or the query has fewer than ``k`` candidates, the query
+is held against the whole range. So short and long vectors are found as surely as equal ones.
+
 Buckets are cut into blocks of ``block`` vectors and ``block`` queries (salted by id), so a
 direction that a third of all vectors share is many blocks, all of which its queries visit: nothing is
 capped. A block gives at most ``k`` rows a query. Up to ``small`` vectors one table is probed on every axis,
@@ -15,7 +20,7 @@ which is exact.
 
 Defined results: vectors null, zero, with null or non-finite components, with a null id or not of the
 most frequent dimension take no part; rows equal in id and vector count once, and rows of one id are no
-neighbours of each other; fewer candidates than ``k`` give as many rows; no query or no vector gives no
+neighbours of each other; fewer other vectors than ``k`` give as many rows; no query or no vector gives no
 row; other columns are ignored, whatever their names.
 """
 
@@ -30,6 +35,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import save
 
 SEED = 20
+RANGES = 4
 
 
 def _signs(table: int, dim: int) -> np.ndarray:
@@ -54,17 +60,14 @@ def rotate(x: np.ndarray, table: int) -> np.ndarray:
     return x
 
 
-def unit(v: np.ndarray, largest: float, query: bool) -> np.ndarray:
-    """Unit vectors of the next power of two above the dimension."""
+def unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the next power of two above the dimension, and the binary logarithms of the norms."""
     n, d = v.shape
+    most = np.abs(v).max(axis=1, keepdims=True)
+    norm = np.sqrt(((v / most) ** 2).sum(axis=1, keepdims=True))
     out = np.zeros((n, 1 << d.bit_length()))
-    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-    if query:
-        out[:, :d] = v / norm
-    else:
-        out[:, :d] = v / largest
-        out[:, d] = np.sqrt(np.maximum(1 - (norm[:, 0] / largest) ** 2, 0))
-    return out
+    out[:, :d] = v / most / norm
+    return out, (np.log2(most) + np.log2(norm))[:, 0]
 
 
 def axes(x: np.ndarray, tables: int) -> np.ndarray:
@@ -90,6 +93,31 @@ def probe_axes(x: np.ndarray, tables: int, probes: int) -> np.ndarray:
     return np.argpartition(-every, probes, axis=1)[:, :probes]
 
 
+def reach(dim: int, tables: int, probes: int, sure: float, pairs: int = 500) -> float:
+    """The least cosine (in steps of 0.02) from which on probing meets a vector with probability ``sure``; inf: none.
+
+    Measured on random pairs: the tables' rotations make every direction alike.
+    """
+    q, w = np.random.default_rng([SEED, dim]).normal(size=(2, pairs, dim))
+    q, _ = unit(q)
+    w, _ = unit(w - (w * q[:, :dim]).sum(axis=1, keepdims=True) * q[:, :dim])
+    n, d = q.shape
+    probed = np.zeros((n, tables * 2 * d), bool)
+    np.put_along_axis(probed, probe_axes(q, tables, probes), True, axis=1)
+    turned = [(rotate(q, t), rotate(w, t)) for t in range(tables)]
+    least = float("inf")
+    for c in np.arange(50, -1, -1) / 50:
+        met = np.zeros(n, bool)
+        for t, (a, b) in enumerate(turned):
+            v = c * a + np.sqrt(1 - c * c) * b
+            at = np.abs(v).argmax(axis=1)
+            met |= probed[np.arange(n), t * 2 * d + at + d * (v[np.arange(n), at] < 0)]
+        if met.mean() < sure:
+            break
+        least = float(c)
+    return least
+
+
 def exact_top(q: np.ndarray, q_id: np.ndarray, v: np.ndarray, v_id: np.ndarray, k: int):
     """(query number, vector number, score): each query's k best vectors of another id; ties to smaller ids."""
     out = []
@@ -121,7 +149,7 @@ def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 16, probes: int = 160,
-           block: int = 4096, small: int = 4096, id_col: str = "vec_id",
+           block: int = 4096, small: int = 4096, sure: float = 0.95, id_col: str = "vec_id",
            vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where ``is_query`` (a condition on the id column) holds."""
     v = F.col("v")
@@ -129,15 +157,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 16,
                            F.coalesce(is_query, F.lit(False)).alias("q"))
             .where(F.col("id").isNotNull() & v.isNotNull()
                    & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-                   & F.exists(v, lambda x: x != 0))
-            .withColumn("norm2", F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)))
-    kinds = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max("norm2").alias("most")) \
+                   & F.exists(v, lambda x: x != 0)))
+    kinds = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")) \
         .orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not kinds:
         return vectors.sparkSession.createDataFrame([], schema)
-    dim, n, most = kinds[0]
-    largest = float(np.sqrt(most))
+    dim, n = kinds[0]
     width = 2 * (1 << int(dim).bit_length())  # signed axes of a table
     if n <= small:
         tables, probes = 1, width
@@ -147,40 +173,37 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 16,
         x = np.asarray(b.column("v").flatten()).reshape(b.num_rows, -1).astype(np.float64)
         return x, pa.array([r.tobytes() for r in x], pa.binary())
 
+    def lists(a):
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)),
+                                        pa.array(a.ravel().astype(np.int32)))
+
     def filed(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 b = whole.slice(lo, 2000)
                 x, raw = unpacked(b)
-                a = axes(unit(x, largest, False), tables) + np.arange(tables) * width
+                u, length = unit(x)
+                a = axes(u, tables) + np.arange(tables) * width
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), raw, pa.ListArray.from_arrays(
-                        pa.array(np.arange(0, a.size + 1, tables, dtype=np.int32)),
-                        pa.array(a.ravel().astype(np.int32)))], ["id", "x", "buckets"])
+                    [b.column("id"), raw, pa.array(length), pa.array(np.floor(length * RANGES).astype(np.int32)), lists(a)],
+                    ["id", "x", "length", "range", "buckets"])
 
     def probing(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 b = whole.slice(lo, 500)
                 x, raw = unpacked(b)
-                a = probe_axes(unit(x, largest, True), tables, probes)
+                u, length = unit(x)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), raw, pa.ListArray.from_arrays(
-                        pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)),
-                        pa.array(a.ravel().astype(np.int32)))], ["id", "x", "buckets"])
-
-    shape = "id long, x binary, buckets array<int>"
-    index = save(rows.mapInArrow(filed, shape), "ann-index").select("id", "x", F.explode("buckets").alias("bucket"))
-    asks = save(rows.where("q").mapInArrow(probing, shape), "ann-queries").select(
-        "id", "x", F.explode("buckets").alias("bucket"))
-    # tables * signed axes rows at most, whatever the data's size
-    cuts = lambda df, name: df.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    sizes = F.broadcast(save(cuts(index, "vb").join(cuts(asks, "qb"), "bucket"), "ann-sizes"))
-    side = lambda df, own, other: (
-        df.join(sizes, "bucket").withColumn(own, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
-        .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("bucket", "vb", "qb", "id", "x"))
-    left = side(asks, "qb", "vb").groupBy("bucket", "vb", "qb")
-    right = side(index, "vb", "qb").groupBy("bucket", "vb", "qb")
+                    [b.column("id"), raw, pa.array(length), pa.array(marks(raw)), lists(probe_axes(u, tables, probes))],
+                    ["id", "x", "length", "q", "buckets"])
+
+    def marks(raw):
+        return np.array([xxhash.xxh3_64_intdigest(x) for x in raw.to_pylist()], np.uint64).view(np.int64)
+
+    index = save(rows.mapInArrow(filed, "id long, x binary, length double, range int, buckets array<int>"), "ann-index")
+    asks = save(rows.where("q").mapInArrow(probing, "id long, x binary, length double, q long, buckets array<int>"),
+                "ann-queries")
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         if not len(a) or not len(b):
@@ -188,12 +211,34 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 16,
                              "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         q_id, v_id = (t.column("id").to_numpy() for t in (a, b))
         i, j, score = exact_top(_matrix(a.column("x")), q_id, _matrix(b.column("x")), v_id, k)
-        mark = np.array([xxhash.xxh3_64_intdigest(x) for x in a.column("x").to_pylist()], np.uint64).view(np.int64)
-        return pa.table({"query_id": pa.array(q_id[i]), "q": pa.array(mark[i]), "vec_id": pa.array(v_id[j]),
+        return pa.table({"query_id": pa.array(q_id[i]), "q": pa.array(marks(a.column("x"))[i]), "vec_id": pa.array(v_id[j]),
                          "score": pa.array(score)})
 
-    found = left.cogroup(right).applyInArrow(best, "query_id long, q long, vec_id long, score double")
+    def scored(asks, index):
+        """The ``k`` best of every block for every query that visits it; (id, x, bucket) on both sides."""
+        # a row a bucket: tables * signed axes or ranges of norms, whatever the data's size
+        cuts = lambda df, name: df.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+        sizes = F.broadcast(save(cuts(index, "vb").join(cuts(asks, "qb"), "bucket"), "ann-sizes"))
+        side = lambda df, own, other: (
+            df.join(sizes, "bucket").withColumn(own, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("bucket", "vb", "qb", "id", "x"))
+        left = side(asks, "qb", "vb").groupBy("bucket", "vb", "qb")
+        right = side(index, "vb", "qb").groupBy("bucket", "vb", "qb")
+        return left.cogroup(right).applyInArrow(best, "query_id long, q long, vec_id long, score double")
+
     # a vector may be met in several tables; a query's rows are at most k a block it visits
     place = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
-    return (found.distinct().withColumn("rank", F.row_number().over(place).cast("int")).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    ranked = lambda df: df.distinct().withColumn("rank", F.row_number().over(place).cast("int")).where(F.col("rank") <= k)  # noqa: E731,E501
+    by_bucket = lambda df: df.select("id", "x", F.explode("buckets").alias("bucket"))
+    met = save(ranked(scored(by_bucket(asks), by_bucket(index))), "ann-met")
+
+    # ranges of norms in which a vector outside the reach of a query's probes could be among its k best
+    ranges = F.broadcast(index.groupBy("range").agg(F.max("length").alias("longest")))
+    last = met.where(F.col("rank") == k).select(F.col("query_id").alias("id"), "q", "score")
+    least = reach(int(dim), tables, probes, sure)
+    bound = F.col("length") + F.col("longest") + F.lit(float(np.log2(least)) if least else float("-inf")) + 1e-9
+    short = F.col("score").isNull() | (F.col("score") <= 0) | (F.log2("score") < bound)
+    open_asks = save(asks.drop("buckets").join(last, ["id", "q"], "left").join(ranges, short)
+                     .select("id", "x", F.col("range").alias("bucket")), "ann-open")
+    whole = scored(open_asks, index.select("id", "x", F.col("range").alias("bucket")))
+    return ranked(met.drop("rank").unionByName(whole)).select("query_id", "rank", "vec_id", "score")

@@ -250,6 +250,24 @@ def test_ann_recall(spark, scaled):
     assert len(found) == len(want)
 
 
+@pytest.mark.parametrize("norms", ["one long", "lognormal"])
+def test_ann_recall_with_uneven_norms(spark, norms):
+    r = np.random.default_rng(4)
+    v = r.normal(size=(5000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if norms == "one long":
+        v[7] *= 100
+    else:
+        v *= r.lognormal(0, 1, (len(v), 1))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 50 == 0, k=20, small=0, block=1000).collect()
+    assert len(got) == 100 * 20
+    score = v[::50] @ v.T
+    score[np.arange(100), np.arange(0, 5000, 50)] = -np.inf
+    want = {(q * 50, int(j)) for q, s in enumerate(score) for j in np.argsort(-s)[:20]}
+    assert len(want & {(x.query_id, x.vec_id) for x in got}) / len(want) >= 0.95
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(10, 32))
     assert np.allclose(np.linalg.norm(ann.rotate(x, 3), axis=1), np.linalg.norm(x, axis=1))
