@@ -167,7 +167,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 16,
     width = 2 * (1 << int(dim).bit_length())  # signed axes of a table
     if n <= small:
         tables, probes = 1, width
-    rows = rows.where(F.size("v") == dim).select("id", "q", "v")
+    # before blocks are cut: copies have one salt, and would take up the k places of their block
+    rows = rows.where(F.size("v") == dim).select("id", "q", "v").dropDuplicates(["id", "v"])
 
     def unpacked(b):
         x = np.asarray(b.column("v").flatten()).reshape(b.num_rows, -1).astype(np.float64)

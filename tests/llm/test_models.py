@@ -268,6 +268,15 @@ def test_ann_recall_with_uneven_norms(spark, norms):
     assert len(want & {(x.query_id, x.vec_id) for x in got}) / len(want) >= 0.95
 
 
+def test_ann_repeated_rows_count_once(spark):
+    rows = _vectors(400, 3)
+    df = spark.createDataFrame(rows * 25, "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 20 == 0, k=20).collect()
+    want = {(q, r + 1, j) for q, x in _plain_nearest(rows, 20, 20).items() for r, (j, _) in enumerate(x)}
+    assert len(got) == len(want)
+    assert len(want & {(x.query_id, x.rank, x.vec_id) for x in got}) / len(want) >= 0.99
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(10, 32))
     assert np.allclose(np.linalg.norm(ann.rotate(x, 3), axis=1), np.linalg.norm(x, axis=1))
