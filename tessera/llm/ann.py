@@ -15,8 +15,7 @@ is held against the whole range. So short and long vectors are found as surely a
 
 Buckets are cut into blocks of ``block`` vectors and ``block`` queries (salted by id), so a
 direction that a third of all vectors share is many blocks, all of which its queries visit: nothing is
-capped. A block gives at most ``k`` rows a query. Up to ``small`` vectors one table is probed on every axis,
-which is exact.
+capped. A block gives at most ``k`` rows a query.
 
 Defined results: vectors null, zero, with null or non-finite components, with a null id or not of the
 most frequent dimension take no part; rows equal in id and vector count once, and rows of one id are no
@@ -149,9 +148,12 @@ def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 16, probes: int = 160,
-           block: int = 4096, small: int = 4096, sure: float = 0.95, id_col: str = "vec_id",
+           block: int = 4096, small: int = 0, sure: float = 0.95, id_col: str = "vec_id",
            vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows where ``is_query`` (a condition on the id column) holds."""
+    """(query_id, rank, vec_id, score) for the rows where ``is_query`` (a condition on the id column) holds.
+
+    ``small`` is taken for older callers and has no effect: tables of all sizes are searched alike.
+    """
     v = F.col("v")
     rows = (vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"),
                            F.coalesce(is_query, F.lit(False)).alias("q"))
@@ -163,10 +165,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 16,
     schema = "query_id long, rank int, vec_id long, score double"
     if not kinds:
         return vectors.sparkSession.createDataFrame([], schema)
-    dim, n = kinds[0]
+    dim = kinds[0][0]
     width = 2 * (1 << int(dim).bit_length())  # signed axes of a table
-    if n <= small:
-        tables, probes = 1, width
     # before blocks are cut: copies have one salt, and would take up the k places of their block
     rows = rows.where(F.size("v") == dim).select("id", "q", "v").dropDuplicates(["id", "v"])
 

@@ -277,6 +277,14 @@ def test_ann_repeated_rows_count_once(spark):
     assert len(want & {(x.query_id, x.rank, x.vec_id) for x in got}) / len(want) >= 0.99
 
 
+def test_ann_small_tables_are_probed_alike(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(ann, "reach", lambda dim, *a, f=ann.reach: asked.append(a) or f(dim, *a))
+    df = spark.createDataFrame(_vectors(60), "vec_id long, embedding array<double>")
+    assert ann.search(df, F.col("vec_id") % 20 == 0, k=20).count() == 60
+    assert asked == [(16, 160, 0.95)]
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(10, 32))
     assert np.allclose(np.linalg.norm(ann.rotate(x, 3), axis=1), np.linalg.norm(x, axis=1))
