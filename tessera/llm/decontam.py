@@ -12,7 +12,9 @@ Retrieval gives all items above the threshold, in two steps that share the block
 * in the passages that are left, WAND with block maxima: cursors in item order, a pivot by the
   terms' maxima, a check by block maxima, whole scoring only of items that may pass.
 Each item found is verified in the passage: of the distinct word shingles of its question and of
-its answer, the shares given must occur in the passage.
+its answer, the shares given must occur in the passage. Where the answer is only assumed, an item with changed
+words counts as well: in a stretch of the passage not much longer than the item must be ``edited_share`` of the
+distinct shingles of the item as a whole and the answer's share of its distinct words.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``, ASCII-lower-cased, without leading and trailing ASCII
 punctuation. Without an answer column, the last third of an item's words is its answer.
@@ -60,6 +62,7 @@ class Index:
     item_ids: list
     questions: list  # sets of shingles of term numbers
     answers: list
+    wholes: list | None  # with assumed answers: (shingles, answer's terms, words) of every item
     start: np.ndarray  # postings of term t: start[t]:start[t+1]
     items: np.ndarray
     impacts: np.ndarray
@@ -79,8 +82,8 @@ class Index:
     block_top: dict  # term * blocks + block: largest impact
 
 
-def build_index(items: list[tuple], shingle: int, block: int = 2) -> Index:
-    """``items``: (id, question words, answer words)."""
+def build_index(items: list[tuple], shingle: int, block: int = 2, assumed: bool = False) -> Index:
+    """``items``: (id, question words, answer words); ``assumed``: the answers are no more than a guess."""
     vocab: dict[str, int] = {}
     docs = [(i, [vocab.setdefault(w, len(vocab)) for w in q], [vocab.setdefault(w, len(vocab)) for w in a])
             for i, q, a in items if q or a]
@@ -111,7 +114,8 @@ def build_index(items: list[tuple], shingle: int, block: int = 2) -> Index:
     sh = lambda ids: _shingles(ids, shingle)
     blocks = -(-n // block)
     return Index(
-        list(vocab), [d[0] for d in docs], [sh(q) for _, q, _ in docs], [sh(a) for _, _, a in docs], start, it, imp,
+        list(vocab), [d[0] for d in docs], [sh(q) for _, q, _ in docs], [sh(a) for _, _, a in docs],
+        [(sh(q + a), set(a), len(q + a)) for _, q, a in docs] if assumed else None, start, it, imp,
         np.array(b_start), np.array(b_block, np.int64), np.array(b_top), block,
         np.array([max(x for _, x in p) for p in post] or [0.0]), np.diff(b_start) * 5 > blocks, blocks,
         max([len(q) + len(a) for _, q, a in docs], default=0),
@@ -185,8 +189,20 @@ def _overlap(want: set, have: dict) -> float:
     return len(want & have[size]) / len(want)
 
 
+def _edited(whole: tuple, words: list, share: float, a_share: float) -> bool:
+    """Whether a stretch of ``words`` holds the shares of an item's shingles and of its answer's words."""
+    want, answer, n = whole
+    size, room = len(next(iter(want))), n + max(n // 4, 2)
+    hits = [(i, s) for i in range(len(words) - size + 1) if (s := tuple(words[i:i + size])) in want]
+    if len({s for _, s in hits}) < share * len(want):
+        return False
+    return any(len({s for j, s in hits[h:h + room] if j <= i + room - size}) >= share * len(want)
+               and len(answer.intersection(words[i:i + room])) >= a_share * len(answer)
+               for h, (i, _) in enumerate(hits))
+
+
 def search_slice(ix: Index, ids: np.ndarray, at: np.ndarray, width: int, least: float,
-                 q_share: float, a_share: float) -> list[tuple]:
+                 q_share: float, a_share: float, edited_share: float) -> list[tuple]:
     """(row, item, passage start, score, question share, answer share) of every verified match."""
     half = width // 2
     n = np.diff(at)
@@ -244,7 +260,7 @@ def search_slice(ix: Index, ids: np.ndarray, at: np.ndarray, width: int, least:
         have = {k: {tuple(words[i:i + k]) for i in range(len(words) - k + 1)} for k in ix.sizes}
         for item, score in found:
             q, a = _overlap(ix.questions[item], have), _overlap(ix.answers[item], have)
-            if q >= q_share and a >= a_share:
+            if q >= q_share and a >= a_share or ix.wholes and _edited(ix.wholes[item], words, edited_share, a_share):
                 out.append((row, item, s, score, q, a))
     return out
 
@@ -270,7 +286,7 @@ def read_items(items: DataFrame, id_col: str, question_col: str, answer_col: str
 
 
 def find_items(docs: DataFrame, items: DataFrame, least: float = 0.7, q_share: float = 0.6,
-               a_share: float = 0.6, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text",
+               a_share: float = 0.6, edited_share: float = 0.5, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text",
                item_id_col: str = "item_id", question_col: str = "text", answer_col: str | None = None,
                max_index_bytes: int = 64 << 20, keep: bool = False) -> DataFrame:
     """One row per document and item found in it: (doc_id, item_id, passages, score, question_share,
@@ -278,7 +294,8 @@ def find_items(docs: DataFrame, items: DataFrame, least: float = 0.7, q_share: f
 
     ``keep``: instead give every input row, with an added column ``leaked`` (the item ids found).
     """
-    ix = build_index(read_items(items, item_id_col, question_col, answer_col, max_index_bytes), shingle)
+    ix = build_index(read_items(items, item_id_col, question_col, answer_col, max_index_bytes), shingle,
+                     assumed=not answer_col)
     width = 2 * max(ix.longest, 16)
     shared = docs.sparkSession.sparkContext.broadcast(ix)  # at most max_index_bytes of text
 
@@ -290,7 +307,7 @@ def find_items(docs: DataFrame, items: DataFrame, least: float = 0.7, q_share: f
         real = np.asarray(pc.binary_length(words)) > 0
         before = np.zeros(len(real) + 1, np.int64)
         np.cumsum(real, out=before[1:])
-        return search_slice(ix, ids[real], before[at], width, least, q_share, a_share)
+        return search_slice(ix, ids[real], before[at], width, least, q_share, a_share, edited_share)
 
     def pairs(batches):
         for b in slices(batches, text_col):

@@ -14,7 +14,7 @@ import xxhash
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from tessera.llm import bpe, decontam, pii, simhash, substr  # noqa: E402
-from tests.llm.fixtures import WORD, awkward_docs, frame  # noqa: E402
+from tests.llm.fixtures import WORD, awkward_docs, frame, vocabulary  # noqa: E402
 
 
 def plain_fingerprint(text):
@@ -248,6 +248,20 @@ def test_decontamination_equals_plain(spark):
     assert not [x for x in found if x[1] in (50, 51, 52, 54)]
 
 
+def test_decontamination_finds_edited_items(spark):
+    words = vocabulary(400, 11)
+    short, long = words[:15], words[20:57]
+    items = [(1, " ".join(short)), (2, " ".join(long))] + [(10 + i, " ".join(words[60 + i * 15:75 + i * 15])) for i in range(20)]
+    around = lambda w: " ".join(words[360:380] + w + words[380:400])
+    rows = [(i, around(short[:i] + ["changed"] + short[i + 1:])) for i in range(15)]
+    rows += [(100 + i, around(long[:i] + ["changed"] + long[i + 1:33] + ["other"] + long[34:])) for i in range(25, 32)]
+    rows += [(200, around(short[:10])), (201, around(long[:25]))]  # without the answer
+    got = decontam.find_items(spark.createDataFrame(rows, "doc_id long, text string"),
+                              spark.createDataFrame(items, "item_id long, text string"))
+    want = {(i, 1) for i in range(15)} | {(100 + i, 2) for i in range(25, 32)}
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == want
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     items = spark.createDataFrame([], "item_id long, text string")
