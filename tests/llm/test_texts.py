@@ -197,6 +197,15 @@ def test_pii_checksums_and_context():
     assert pii.mask("a a@b.cd b", pii.find_spans("a a@b.cd b")) == "a <email> b"
 
 
+def test_iban_before_capital_words():
+    ibans = lambda t: [t[s:e] for k, s, e, _ in pii.find_spans(t) if k == "iban"]
+    for iban in ("ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "BE68 5390 0754 7034", "GB82 WEST 1234 5698 7654 32"):
+        for after in ("", " BIC", " EUR 500", " KBC", " BANK 1000 NV", ", ok", " GB82 WEST 1234 5698 7654 32"):
+            assert ibans(f"to {iban}{after} ..") == [iban] + [after[1:]] * after.startswith(" GB82"), (iban, after)
+    assert ibans("AB13 3456 7890 BE68 5390 0754 7034 x") == ["BE68 5390 0754 7034"]
+    assert ibans("to ES92 2100 0418 4502 0005 1332 BIC") == []
+
+
 def test_pii_rows(spark):
     rows = awkward_docs() + [(700, "mail a@b.cd or 10.0.0.1")]
     docs = frame(spark, rows)
