@@ -204,16 +204,17 @@ def gen_table(spark: SparkSession, spec: TableSpec, n: int | None = None, seed:
     """``id`` and the spec's columns in order, one row for each row of ``ids``.
 
     ``ids`` holds row numbers in a bigint ``id_col`` (0, 1, ..; a table's key or a stream's counter);
-    without it, ``n`` rows (default ``spec.n``) are numbered. On a stream a ramp with include
-    rules takes the id itself as its draw number: there is no count of earlier hits.
+    without it, ``n`` rows (default ``spec.n``) are numbered. On a stream a timestamp
+    ramp with include rules raises: its draws depend on the count of all earlier hits.
     """
     base = _ids(spark, spec.n if n is None else n) if ids is None else ids.select(F.col(id_col).cast("long").alias("id"))
     hits = {f"__hb_{i}": F.expr(include_hit(seed, spec.name, c, "id")).cast("long")
             for i, c in enumerate(spec.columns) if ramp_has_include(c)}
-    if hits and not base.isStreaming:
+    if hits and base.isStreaming:
+        raise ValueError(f"table {spec.name!r} has a timestamp ramp with include rules, which a stream cannot generate: "
+                         "it needs the count of all earlier hits")
+    if hits:
         base = bucketed_scan(base.withColumn("__all", F.lit(0)), ["__all"], "id", sums=hits, inclusive=False)
-    else:
-        hits = {}
     drawn = base.select("id", *hits, *[
         F.expr(draw_probability(seed, spec.name, c, "id")).alias(f"__p_{i}")
         for i, c in enumerate(spec.columns) if c.type in ("int", "float")])

@@ -105,6 +105,17 @@ def test_ramp_draws_skip_include_hits(spark):
     assert [int((t - datetime(1970, 1, 1, 7)).total_seconds()) for t in ramp] == [k // 10 for k in range(len(ramp))]
 
 
+def test_ramp_with_include_is_refused_on_a_stream(spark, tmp_path):
+    path = str(tmp_path / "ids")
+    spark.range(5).write.parquet(path)
+    ids = spark.readStream.schema("id long").parquet(path)
+    ramp = ColumnSpec("ts", "timestamp", start=0, delta=1, frequency=10)
+    assert gen_table(spark, TableSpec("t", 5, [ramp]), ids=ids).isStreaming
+    ramp.rules = [Rule("1970-01-01 09:00:00", 0.5, "include")]
+    with pytest.raises(ValueError, match="include rules"):
+        gen_table(spark, TableSpec("t", 5, [ramp]), ids=ids)
+
+
 def test_spec_parser_on_sample(spark):
     lines = spark.createDataFrame([("f", i, l) for i, l in enumerate(SAMPLE.split("\n"))],
                                   "file string, n long, line string")
