@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    ann, bpe, decontam, langid, pii, quality, simhash, substr, toxicity, urlfilter)
+    ann, bpe, decontam, langid, pii, quality, simhash, spelling, substr, toxicity, urlfilter)
 from tessera.llm.common import held_out, read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -97,6 +97,12 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word of six letters or more that occurs five times or more."""
+    out = spelling.spelling_variants(read(spark, sf_dir, "documents"), drop_every=199)
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 OP10_SQL = r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
@@ -136,6 +142,6 @@ FROM p
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality, op2_decontamination, op3_toxicity, op4_bpe, op5_pii, op6_simhash, op7_ann, op8_urls, op9_langid,
-        op10_substring)}
+        op10_substring, op13_spelling)}
 
 ORACLES: dict[str, str] = {"op8_urls": OP8_SQL, "op10_substring": OP10_SQL}
