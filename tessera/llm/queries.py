@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    ann, bpe, decontam, langid, pii, quality, simhash, spelling, substr, toxicity, urlfilter)
+    ann, bpe, decontam, fingerprint, langid, phrases, pii, quality, simhash, spelling, substr, toxicity, urlfilter)
 from tessera.llm.common import held_out, read
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -97,6 +97,19 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of two to five words of every language."""
+    return phrases.collocations(read(spark, sf_dir, "documents"), least=100, top=2000)
+
+
+def op12_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    out = fingerprint.edits(read(spark, sf_dir, "documents"))
+    code = lambda c: F.lower(F.hex(c)).alias(c)
+    return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                      code("fingerprint"), code("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form and root of every word of six letters or more that occurs five times or more."""
     out = spelling.spelling_variants(read(spark, sf_dir, "documents"), drop_every=199)
@@ -122,6 +135,38 @@ SELECT r.doc_id, CAST(len(r.ws) AS BIGINT) AS n_words, CAST(len(r.ws) - coalesce
 FROM r LEFT JOIN kept ON r.rid = kept.rid
 """
 
+OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    list_filter(regexp_split_to_array(unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x <> '') AS ws
+  FROM documents),
+ total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang),
+ gram AS (
+  SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM p, range(1, 6) AS s(size))),
+ f AS (SELECT lang, size, phrase, count(*) AS f FROM gram GROUP BY ALL HAVING count(*) >= 100),
+ longer AS (
+  SELECT lang, unnest([array_to_string(ws[1:size - 1], ' '), array_to_string(ws[2:size], ' ')]) AS phrase, f
+  FROM (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE size > 2)),
+ kept AS (
+  SELECT * FROM f WHERE size > 1
+   AND NOT EXISTS (SELECT 1 FROM longer x WHERE x.lang = f.lang AND x.phrase = f.phrase AND x.f >= f.f)),
+ cut AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(ws[1:k], ' ') AS p1, array_to_string(ws[k + 1:size], ' ') AS p2
+  FROM (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, size)) AS k FROM kept)),
+ scored AS (
+  SELECT cut.lang, cut.phrase, cut.a, k, x.f AS l, y.f AS r, total.n,
+    (CAST(1000 AS HUGEINT) * cut.a * total.n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = p1 JOIN f y ON y.lang = cut.lang AND y.phrase = p2
+       JOIN total ON total.lang = cut.lang),
+ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM best QUALIFY rank <= 2000
+"""
+
 OP8_SQL = r"""
 WITH p AS (
   SELECT page_id,
@@ -142,6 +187,6 @@ FROM p
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality, op2_decontamination, op3_toxicity, op4_bpe, op5_pii, op6_simhash, op7_ann, op8_urls, op9_langid,
-        op10_substring, op13_spelling)}
+        op10_substring, op11_phrases, op12_fingerprint, op13_spelling)}
 
-ORACLES: dict[str, str] = {"op8_urls": OP8_SQL, "op10_substring": OP10_SQL}
+ORACLES: dict[str, str] = {"op8_urls": OP8_SQL, "op10_substring": OP10_SQL, "op11_phrases": OP11_SQL}
