@@ -292,7 +292,8 @@ def find_items(docs: DataFrame, items: DataFrame, least: float = 0.7, q_share: f
     """One row per document and item found in it: (doc_id, item_id, passages, score, question_share,
     answer_share), the shares and score of the best passage.
 
-    ``keep``: instead give every input row, with an added column ``leaked`` (the item ids found).
+    ``keep``: instead give every input row, with an added column ``leaked`` (the item ids found; it replaces one of
+    that name).
     """
     ix = build_index(read_items(items, item_id_col, question_col, answer_col, max_index_bytes), shingle,
                      assumed=not answer_col)
@@ -336,6 +337,7 @@ def find_items(docs: DataFrame, items: DataFrame, least: float = 0.7, q_share: f
                                              [*b.schema.names, "leaked"])
 
     if keep:
+        docs = docs.drop("leaked")  # the new one replaces it
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
         return docs.mapInArrow(marks, f"{kinds}, leaked array<long>")
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)

@@ -30,7 +30,9 @@ CONTEXT = 40
 # fixed values: the patterns of the base kinds
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+").match
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)").finditer
+# as [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+): a match can only begin at the start of a run of digits, and takes runs whole,
+# so nothing is tried again inside a run and the time is linear
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}").finditer
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+").finditer
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
 
@@ -49,13 +51,23 @@ _DIGIT = re.compile("[0-9]").search
 WORDS = {
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social security", "social-security"),
-    "tel": ("phone", "call", "tel", "mobile", "telefon"),
-    "pan": ("card", "visa", "mastercard", "amex", "credit", "karte", "carte", "tarjeta"),
-    "email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "address"),
-    "card": ("card", "visa", "mastercard", "amex", "credit"), "phone": ("phone", "call", "tel", "mobile"),
+    "tel": ("phone", "telephone", "call", "calling", "tel", "mobile", "telefon"),
+    "pan": ("card", "visa", "mastercard", "amex", "credit", "karte", "kreditkarte", "carte", "tarjeta"),
+    "email": ("mail", "email", "contact", "write"), "ip": ("ip", "host", "server", "address"),
+    "card": ("card", "visa", "mastercard", "amex", "credit"),
+    "phone": ("phone", "telephone", "call", "calling", "tel", "mobile"),
 }
 #: Words that name other long numbers.
 AGAINST = ("isbn", "order", "invoice", "version", "serial", "tracking")
+
+
+def _any_word(words: tuple[str, ...]):
+    """Whole words (or their plural) only: ``tel`` is not in ``hotel``."""
+    return re.compile(rf"(?<![^\W\d_])(?:{'|'.join(words)})s?(?![^\W\d_])").search
+
+
+_NEAR = {kind: _any_word(words) for kind, words in WORDS.items()}
+_AGAINST = _any_word(AGAINST)
 START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3, "tel": 0.7, "pan": 0.6}
 
 
@@ -76,6 +88,12 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _is_byte(digits: str) -> bool:
+    """At most 255, however many zeros come first."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -122,12 +140,28 @@ def _ibans(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _context(text: str, start: int, end: int) -> str:
+    """What stands around a span, without the parts of words that the window cuts."""
+    lo, hi = max(0, start - CONTEXT), min(len(text), end + CONTEXT // 2)
+    before, after = text[lo:start], text[end:hi]
+    if lo and text[lo - 1].isalpha():
+        before = _tail(before)
+    if hi < len(text) and text[hi].isalpha():
+        after = _tail(after[::-1])[::-1]
+    return (before + " " + after).lower()
+
+
+def _tail(s: str) -> str:
+    """``s`` from its first character on that is no letter."""
+    return s[next((i for i, c in enumerate(s) if not c.isalpha()), len(s)):]
+
+
 def _score(kind: str, text: str, start: int, end: int) -> float:
-    near = (text[max(0, start - CONTEXT):start] + " " + text[end:end + CONTEXT // 2]).lower()
+    near = _context(text, start, end)
     score = START[kind]
-    if any(w in near for w in WORDS[kind]):
+    if _NEAR[kind](near):
         score += 0.3
-    if any(w in near for w in AGAINST):
+    if _AGAINST(near):
         score -= 0.3
     return round(min(max(score, 0.0), 1.0), 2)
 
@@ -138,8 +172,7 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     if "@" in text:
         found["email"] = _emails(text)
     if _DIGIT(text):
-        found["ip"] = [m.span() for m in _IP(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255
-                                                          for p in m.group().split("."))]
+        found["ip"] = [m.span() for m in _IP(text) if all(map(_is_byte, m.group().split(".")))]
         failed = []
         found["card"] = []
         for m in _CARD(text):

@@ -43,16 +43,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded bytes of every document."""
-    return digest_tokens(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("ids")
+    return digest_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def digest_tokens(docs: DataFrame) -> DataFrame:
-    """Every row without its text, with ids, n_tokens and the two digests."""
-    out = bpe.encode_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    return out.drop("text").select(
-        "*", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256")).drop("decoded")
+def digest_tokens(docs: DataFrame, *more: str) -> DataFrame:
+    """Every row without its text, with (``more`` and) n_tokens and the two digests."""
+    return bpe.encode_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN,
+                             outputs=(*more, "n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import xxhash
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from tessera.llm import bpe, decontam, pii, simhash, substr  # noqa: E402
+from tessera.llm import bpe, decontam, pii, queries, simhash, substr  # noqa: E402
 from tests.llm.fixtures import WORD, awkward_docs, frame, vocabulary  # noqa: E402
 
 
@@ -175,6 +175,27 @@ def plain_base(text):
     return out
 
 
+def test_pii_long_runs_take_linear_time():
+    import time
+    n = 1_000_000
+    for t, want in [("1.2.3." + "0" * 5000 + "1", [("ip", 0, 5007)]), ("1.2.3." + "0" * 5000 + "999", []),
+                    ("7" * n, []), ("1." * n, [("ip", i, i + 7) for i in range(0, 2 * n - 7, 8)]), ("+" + "1 " * n, []),
+                    ("a@" * n, []), ("." * n, []), ("4111-" * (n // 5), []), ("+1" * (n // 2), []), ("GB82 " * (n // 5), [])]:
+        t0 = time.monotonic()
+        got = [x[:3] for x in pii.find_spans(t) if x[0] in pii.KINDS[:4]]
+        assert time.monotonic() - t0 < 30 and got == want
+
+
+def test_pii_context_is_whole_words():
+    assert pii._score("tel", "the hotel +1", 10, 12) == pii.START["tel"]
+    assert pii._score("tel", "his tel: +1", 9, 11) == pii.START["tel"] + 0.3
+    assert pii._score("ip", "a ship 1.2.3.4 locally", 7, 14) == pii.START["ip"]
+    assert pii._score("ip", "two hosts 1.2.3.4", 10, 17) == 0.9
+    # a word that the window cuts does not count
+    far = "hotel" + " " * (pii.CONTEXT - 3) + "1.2.3.4"
+    assert pii._score("tel", far, far.index("1"), len(far)) == pii.START["tel"]
+
+
 def test_pii_base_equals_plain():
     r = random.Random(4)
     bits = ["a.b@c.de", "x@y", "@", "a@b.c@d.e", "..@-.-", "1.2.3.4", "256.1.1.1", "001.2.3.4.5", "4111 1111 1111 1111",
@@ -212,10 +233,29 @@ def test_pii_rows(spark):
     got = pii.find_pii(docs).collect()
     assert len(got) == len(rows)
     for r in got:
-        assert [(s.kind, s.start, s.end) for s in r.spans][:9] == plain_base(r.text or "")[:9]
+        assert [(s.kind, s.start, s.end) for s in r.spans if s.kind in pii.KINDS[:4]] == plain_base(r.text or "")
         assert r.masked == (pii.mask(r.text, pii.find_spans(r.text)) if r.text else r.text)
 
 
+def test_pii_query(spark, tmp_path):
+    rows = [r for r in awkward_docs() if r[0] is not None]
+    rows += [(700 + i, t) for i, t in enumerate([
+        "mail a@b.cd or 10.0.0.1, ssn 123-45-6789", "card 4111 1111 1111 1111 call +1 (555) 010-9999 é 1.2.3.4",
+        "𝒳 a.b@c.de x@y.zz 256.1.1.1 IBAN GB82 WEST 1234 5698 7654 32"])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op5_pii(spark, str(tmp_path))
+    assert [c for c, _ in got.dtypes] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    want = Counter()
+    for d, t in rows:
+        base, full = plain_base(t or ""), pii.find_spans(t or "")
+        line = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        assert [x[:3] for x in full if x[0] in pii.KINDS[:4]] == base
+        want[d, *(sum(k == b[0] for b in base) for k in pii.KINDS[:4]), hashlib.sha256(line.encode()).hexdigest(),
+             ",".join(f"{k}:{s}:{e}" for k, s, e, _ in full)] += 1
+    assert Counter(tuple(r) for r in got.collect()) == want
+    assert any("ssn:" in w[6] and "iban:" not in w[6] for w in want) and any("iban:" in w[6] for w in want)
+
+
 def test_wand_equals_full_scoring():
     r = random.Random(2)
     words = [f"w{i}" for i in range(60)]
