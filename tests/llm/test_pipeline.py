@@ -58,6 +58,19 @@ def test_stages(spark, corpus):
     assert set(seen["pii"]) == set(seen["decontamination"])
 
 
+def test_columns_with_names_that_stages_use_stay_as_they_are(spark, corpus):
+    from pyspark.sql import functions as F
+    names = ["severity", "grade", "toxic_p", "spans", "masked", "leaked", "fp", "component_id", "root", "label", "key",
+             "odd `name`.x"]
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").where("doc_id is not null")
+    docs = docs.select("*", *[(F.col("doc_id") * 100 + i).alias(c) for i, c in enumerate(names)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, corpus).cache()
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+        rows = docs.collect()
+        assert len(rows) > 100 and all(tuple(r)[5:] == tuple(r[0] * 100 + i for i in range(len(names))) for r in rows)
+
+
 def test_run(spark, corpus):
     out = corpus_pipeline.run(spark, corpus)
     assert {"doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
