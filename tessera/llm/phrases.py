@@ -7,10 +7,11 @@ intervals, one in each; extending it to the right steps in the reversed BWT, to
 phrases of a shard at once, and gives every extension with its count. An n-gram is only enumerated if the parts of it
 that are already known are frequent in the whole corpus, so a shard's output stays small.
 
-Rounds: the words, their pairs, then all longer phrases. In a round every shard sends its counts, packed into one block
-a bucket; a bucket of phrases adds up the shards' counts and returns the frequent ones, with the interval each has in
-each shard. The indexes stay where they were written (a table bucketed by shard), only intervals travel back to them.
-A bucket holds one entry a shard of a phrase at most, however often the phrase occurs.
+Rounds: the words, their pairs, then all longer phrases. In a round every shard sends its phrases with their counts,
+packed into one block a bucket; a bucket adds up the shards' counts and returns the frequent phrases, and to every
+block one bit for each of its phrases. The indexes stay where they were written (a table bucketed by shard): only the
+bits travel back to them, and a shard finds the intervals again by the same extensions. A bucket holds one entry a shard
+of a phrase at most, however often the phrase occurs.
 
 A phrase of ``a`` occurrences cut in two parts of ``l`` and ``r`` occurrences among ``n`` words scores
 floor(1000 a n / (l r)); its lowest cut counts (ties: the shortest first part). A phrase is dropped if one that
@@ -24,8 +25,6 @@ whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,16 +41,17 @@ from tessera.session import scratch_path
 SHARD_BYTES = 8 << 20   # of text; more only where one document has more
 HELD_BYTES = 24 << 20   # texts of all languages that a task holds back at most
 INDEX_BYTES = 96 << 20  # text behind one bucket of indexes
-BUCKET_BYTES = 8 << 20  # text behind one bucket of phrases
+BUCKET_BYTES = 32 << 20  # text behind one bucket of phrases
 DEPTH = 8               # words that the suffixes are sorted by
 SALTS = 64
-#: (known length, longest) of the rounds after the words.
-ROUNDS = ((1, 2), (2, 5))
+LONGEST = 5
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(10 if c in BREAKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 INDEX = "shard long, lang string, total long, words binary, bwt binary, rbwt binary"
-FOUND = "lang string, phrase string, f long, shard long, n int, lo int, rlo int"
+BLOCKS = "bucket long, shard long, lang string, block binary"
+#: A frequent phrase, or the bits of a block.
+FOUND = "lang string, phrase string, f long, shard long, bucket long, bits binary"
 
 
 def _zip(data: bytes) -> bytes:
@@ -173,60 +173,101 @@ class Index:
         return out
 
 
-def _pack(index: Index, shard: int, lang: str, found, buckets: int) -> Iterator[pa.Table]:
-    """One row a bucket with the phrases of a shard that belong there."""
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in index.words.cast(pa.binary()).to_pylist()), np.uint64,
-                         len(index.words))
-    seed = np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
-    for size, lo, rlo, n in found:
-        if not len(lo):
-            continue
-        ids = index.symbols(lo, size)
-        h = np.full(len(lo), seed)
+class Shard:
+    """One row of the index table, with the ways to its phrases."""
+
+    def __init__(self, row: dict, buckets: int):
+        self.shard, self.lang, self.buckets = row["shard"], row["lang"], buckets
+        self.index = Index(row["words"], row["bwt"], row["rbwt"])
+        self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.index.words.cast(pa.binary()).to_pylist()),
+                                  np.uint64, len(self.index.words))
+        self.seed = np.uint64(xxhash.xxh3_64_intdigest(self.lang.encode()))
+
+    def words(self):
+        """(length, lo, rlo, n) of all words."""
+        return 1, self.index.start, self.index.start, self.index.count
+
+    def frequent(self, found, bits: dict[int, bytes]):
+        """Those of the phrases whose bit is set."""
+        size, *intervals = found
+        _, at, cut = self._deal(size, intervals[0])
+        keep = np.zeros(len(at), bool)
+        for to, a, z in cut:
+            if to in bits:
+                keep[at[a:z]] = np.unpackbits(np.frombuffer(bits[to], np.uint8), count=z - a)
+        return [x[keep] for x in intervals]
+
+    def _deal(self, size: int, lo: np.ndarray):
+        """Word numbers of the phrases, their order by bucket, and each bucket's stretch of it."""
+        ids = self.index.symbols(lo, size)
+        h = np.full(len(lo), self.seed)
         for i in ids:
-            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + hashes[i])
-        to = (h % np.uint64(buckets)).astype(np.int64)
+            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + self.hashes[i])
+        to = (h % np.uint64(self.buckets)).astype(np.int64)
         at = np.argsort(to, kind="stable")
-        cut = np.append(np.flatnonzero(np.diff(to[at], prepend=-1)), len(at))
-        phrases = pc.binary_join_element_wise(*[index.words.take(pa.array(i[at])) for i in ids], " ")
-        bodies = pc.binary_join(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), phrases), "\n")
-        numbers = np.stack([n, lo, rlo])[:, at].astype(np.int32)
-        blocks = [_zip(np.int64(z - a).tobytes() + numbers[:, a:z].tobytes() + body.as_buffer().to_pybytes())
-                  for a, z, body in zip(cut[:-1].tolist(), cut[1:].tolist(), bodies)]
-        yield pa.table([pa.array(to[at][cut[:-1]]), pa.array([shard] * len(blocks)), pa.array([lang] * len(blocks)),
-                        pa.array(blocks, pa.binary())], names=["bucket", "shard", "lang", "block"])
+        start = np.flatnonzero(np.diff(to[at], prepend=-1))
+        return ids, at, list(zip(to[at[start]].tolist(), start.tolist(), [*start[1:].tolist(), len(at)]))
+
+    def pack(self, found) -> pa.Table:
+        """One row a bucket with the phrases that belong there and their counts."""
+        size, lo, _, n = found
+        ids, at, cut = self._deal(size, lo)
+        if not cut:
+            return _NO_BLOCKS
+        phrases = pc.binary_join_element_wise(*[self.index.words.take(pa.array(i[at])) for i in ids], " ")
+        bodies = pc.binary_join(pa.ListArray.from_arrays(pa.array([a for _, a, _ in cut] + [len(at)], pa.int32()), phrases),
+                                "\n")
+        n = n[at].astype(np.int32)
+        blocks = [_zip((z - a).to_bytes(8, "little") + n[a:z].tobytes() + body.as_buffer().to_pybytes() + b"\n")
+                  for (_, a, z), body in zip(cut, bodies)]
+        return pa.table([pa.array([to for to, _, _ in cut]), pa.array([self.shard] * len(blocks)),
+                         pa.array([self.lang] * len(blocks)), pa.array(blocks, pa.binary())],
+                        names=["bucket", "shard", "lang", "block"])
 
 
 _NO_BLOCKS = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.string(), pa.binary())],
                       names=["bucket", "shard", "lang", "block"])
 
 
-def _sum_blocks(least: int):
-    """The phrases of a bucket with at least ``least`` occurrences in all shards, once for each shard."""
+def _sum_blocks(least: int, answer: bool):
+    """The phrases of a bucket with at least ``least`` occurrences in all shards; with ``answer``, every block's bits."""
     def run(table: pa.Table) -> pa.Table:
-        out = []
         by_lang: dict[str, list] = {}
-        for shard, lang, block in zip(*(table.column(c).to_pylist() for c in ("shard", "lang", "block"))):
-            by_lang.setdefault(lang, []).append((shard, block))
+        for row in zip(*(table.column(c).to_pylist() for c in ("lang", "shard", "bucket", "block"))):
+            by_lang.setdefault(row[0], []).append(row[1:])
+        phrases, answers = [], []
         for lang, blocks in by_lang.items():
-            words, numbers, shards = [], [], []
-            for shard, block in blocks:
+            sizes, numbers, bodies = [], [], []
+            for _, _, block in blocks:
                 raw = _unzip(block)
-                k = int.from_bytes(raw[:8], "little")
-                numbers.append(np.frombuffer(raw, np.int32, 3 * k, 8).reshape(3, k))
-                words += raw[8 + 12 * k:].split(b"\n")
-                shards.append(np.full(k, shard))
-            coded = pa.array(words, pa.binary()).dictionary_encode()
-            which, (n, lo, rlo) = coded.indices.to_numpy(), np.concatenate(numbers, axis=1)
+                sizes.append(int.from_bytes(raw[:8], "little"))
+                numbers.append(np.frombuffer(raw, np.int32, sizes[-1], 8))
+                bodies.append(raw[8 + 4 * sizes[-1]:])
+            # every phrase ends with a newline, so the bodies are an array as they stand
+            data = b"".join(bodies)
+            ends = np.concatenate([[0], np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1])
+            coded = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]) \
+                .dictionary_encode()
+            which = coded.indices.to_numpy()
             f = np.zeros(len(coded.dictionary), np.int64)
-            np.add.at(f, which, n)
-            at = np.flatnonzero(f[which] >= least)
-            out.append(pa.table([pa.array([lang] * len(at), pa.string()),
-                                 coded.dictionary.take(pa.array(which[at])).cast(pa.string()),
-                                 pa.array(f[which[at]]), pa.array(np.concatenate(shards)[at]), pa.array(n[at]),
-                                 pa.array(lo[at]), pa.array(rlo[at])],
-                                names=["lang", "phrase", "f", "shard", "n", "lo", "rlo"]))
-        return pa.concat_tables(out)
+            np.add.at(f, which, np.concatenate(numbers))
+            often = f >= least
+            kept = pc.binary_slice(coded.dictionary.filter(pa.array(often)), 0, -1).cast(pa.binary()).cast(pa.string())
+            phrases.append((pa.array([lang] * len(kept), pa.string()), kept, pa.array(f[often])))
+            if answer:
+                bits = np.split(often[which], np.cumsum(sizes)[:-1])
+                answers += [(shard, bucket, np.packbits(x).tobytes()) for (shard, bucket, _), x in zip(blocks, bits)]
+        lang, phrase, f = (pa.concat_arrays(x) for x in zip(*phrases))
+        k = len(answers)
+        shard, bucket, bits = zip(*answers) if answers else ((), (), ())
+        none = lambda n, t: pa.nulls(n, t)
+        return pa.table(
+            [pa.concat_arrays([lang, none(k, pa.string())]), pa.concat_arrays([phrase, none(k, pa.string())]),
+             pa.concat_arrays([f, none(k, pa.int64())]),
+             pa.concat_arrays([none(len(f), pa.int64()), pa.array(shard, pa.int64())]),
+             pa.concat_arrays([none(len(f), pa.int64()), pa.array(bucket, pa.int64())]),
+             pa.concat_arrays([none(len(f), pa.binary()), pa.array(bits, pa.binary())])],
+            names=["lang", "phrase", "f", "shard", "bucket", "bits"])
     return run
 
 
@@ -283,36 +324,34 @@ def count_phrases(docs: DataFrame, least: int = 100, lang_col: str = "lang", tex
     total = index.groupBy("lang").agg(F.sum("total").alias("n"))
 
     def words(table: pa.Table) -> pa.Table:
-        r = table.to_pylist()[0]
-        ix = Index(r["words"], r["bwt"], r["rbwt"])
-        own = [(1, ix.start, ix.start, ix.count)]
-        return pa.concat_tables([*_pack(ix, r["shard"], r["lang"], own, buckets)] or [_NO_BLOCKS])
-
-    def phrases(known: int, longest: int):
-        def run(indexes: pa.Table, found: pa.Table) -> pa.Table:
-            if not indexes.num_rows or not found.num_rows:
+        own = Shard(table.to_pylist()[0], buckets)
+        return own.pack(own.words())
+
+    def longer(rounds: int):
+        def run(indexes: pa.Table, answers: pa.Table) -> pa.Table:
+            if not indexes.num_rows or not answers.num_rows:
                 return _NO_BLOCKS
-            r = indexes.to_pylist()[0]
-            ix = Index(r["words"], r["bwt"], r["rbwt"])
-            lo, rlo, n = (found.column(c).to_numpy().astype(np.int64) for c in ("lo", "rlo", "n"))
-            at = np.argsort(lo)
-            grown = ix.grow(lo[at], rlo[at], n[at], known, longest)
-            return pa.concat_tables([*_pack(ix, r["shard"], r["lang"], grown, buckets)] or [_NO_BLOCKS])
+            own, bits = Shard(indexes.to_pylist()[0], buckets), {1: {}, 2: {}}
+            for r in answers.to_pylist():
+                bits[r["size"]][r["bucket"]] = r["bits"]
+            pairs = next(own.index.grow(*own.frequent(own.words(), bits[1]), 1, 2))
+            if rounds == 1:
+                return own.pack(pairs)
+            return pa.concat_tables(
+                [own.pack(x) for x in own.index.grow(*own.frequent(pairs, bits[2]), 2, LONGEST)])
         return run
 
-    blocks = "bucket long, shard long, lang string, block binary"
-    found = save(index.groupBy("shard").applyInArrow(words, blocks)
-                 .groupBy("bucket").applyInArrow(_sum_blocks(least), FOUND), "phrases-1")
-    tables = [found]
-    for known, longest in ROUNDS:
-        back = found.select("shard", "lo", "rlo", "n")
-        found = save(index.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(phrases(known, longest), blocks)
-                     .groupBy("bucket").applyInArrow(_sum_blocks(least), FOUND), f"phrases-{longest}")
-        tables.append(found)
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    out = out.groupBy("lang", "phrase").agg(F.max("f").alias("f"))
+    answers, tables = None, []
+    for size in (1, 2, 3):
+        if size == 1:
+            blocks = index.groupBy("shard").applyInArrow(words, BLOCKS)
+        else:
+            blocks = index.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(longer(size - 1), BLOCKS)
+        found = save(blocks.groupBy("bucket").applyInArrow(_sum_blocks(least, size < 3), FOUND), f"phrases-{size}")
+        back = found.where(F.col("shard").isNotNull()).select("shard", F.lit(size).alias("size"), "bucket", "bits")
+        answers = back if answers is None else answers.unionByName(back)
+        tables.append(found.where(F.col("phrase").isNotNull()).select("lang", "phrase", "f"))
+    out = tables[0].unionByName(tables[1]).unionByName(tables[2])
     return out.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "f"), total
 
 
