@@ -99,21 +99,32 @@ def build(texts: list[bytes]) -> tuple[int, bytes, bytes, bytes] | None:
     if not len(words):
         return None
     coded = words.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)  # symbols in the order of the words: neighbours look alike and pack well
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
     text = np.zeros(len(words) + int(begins.sum()), np.int64)  # symbol 0 separates pieces
-    text[np.arange(len(words)) + np.cumsum(begins)] = coded.indices.to_numpy().astype(np.int64) + 1
-    packed = []
-    for t in (text, text[::-1]):
-        packed.append(_zip(t[suffix_order(t) - 1].astype(np.int32).tobytes()))
-    vocabulary = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), "\n")
+    text[np.arange(len(words)) + np.cumsum(begins)] = rank[coded.indices.to_numpy()] + 1
+    packed = [_pack_symbols(t[suffix_order(t) - 1]) for t in (text, text[::-1])]
+    vocabulary = pc.binary_join(pa.ListArray.from_arrays([0, len(order)], coded.dictionary.take(order)), "\n")
     return len(words), _zip(vocabulary[0].as_buffer().to_pybytes()), *packed
 
 
+def _pack_symbols(symbols: np.ndarray) -> bytes:
+    """All lowest bytes, then all second bytes, and so on."""
+    return _zip(symbols.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack_symbols(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_unzip(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
 class Index:
     """A shard's index, unpacked: both BWTs with their LF mappings, and the inverse of the first."""
 
     def __init__(self, words: bytes, bwt: bytes, rbwt: bytes):
         self.words = pa.array(_unzip(words).decode().split("\n"))
-        self.bwt, self.rbwt = (np.frombuffer(_unzip(x), np.int32).astype(np.int64) for x in (bwt, rbwt))
+        self.bwt, self.rbwt = map(_unpack_symbols, (bwt, rbwt))
         self.psi, self.lf = self._maps(self.bwt)
         _, self.rlf = self._maps(self.rbwt)
         count = np.bincount(self.bwt, minlength=len(self.words) + 1)
