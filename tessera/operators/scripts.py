@@ -122,6 +122,7 @@ def statement_class(steps: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return w.select("file", "n", *keep, kind.alias("kind"), reset.alias("reset"))
 
 
+# Patterns of the script grammar.
 CREATED_OBJECT_RX = r"(?is)create\s+(?:external\s+)?\S+\s+(?:if\s+not\s+exists\s+)?([^\s(]+)"
 TOPIC_RX = r"""['"]topic['"]=['"](.+?)['"]"""
 USE_APP_RX = r"^use application (.+);$"
@@ -151,15 +152,15 @@ def app_set(steps: DataFrame, default_app: Column, variables: Column | None = No
     return steps.select("file", F.explode(apps).alias("app")).distinct()
 
 
-def split_statement(steps: DataFrame) -> DataFrame:
-    """Non-block text split on ``;`` (empties dropped); only the last piece's result is kept."""
+def split_statement(steps: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Non-block text split on ``;`` (empties dropped); only the last piece's result is kept (with the columns ``keep``)."""
     low = F.lower(F.col("sql"))
     pieces = F.when(is_block(low), F.array(F.col("sql"))).otherwise(
         F.filter(F.split(F.col("sql"), ";"), lambda x: F.length(x) > 0))
-    s = steps.where(F.col("sql") != "").select("file", "n", pieces.alias("__p"))
-    return s.select("file", "n", F.posexplode("__p").alias("piece_idx", "piece"),
+    s = steps.where(F.col("sql") != "").select("file", "n", *keep, pieces.alias("__p"))
+    return s.select("file", "n", *keep, F.posexplode("__p").alias("piece_idx", "piece"),
                     F.size("__p").alias("__k")) \
-            .select("file", "n", F.col("piece_idx").cast("long").alias("piece_idx"), "piece",
+            .select("file", "n", *keep, F.col("piece_idx").cast("long").alias("piece_idx"), "piece",
                     (F.col("piece_idx") == F.col("__k") - 1).alias("is_last"))
 
 

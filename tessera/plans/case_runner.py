@@ -3,27 +3,39 @@
 Only the statements (the cases' program text) pass through the driver, which issues them in order with
 ``spark.sql``; every result stays a DataFrame: rendered to lines, positioned, and verified against the golden
 targets by ``verify_targets``, in the mode each target asks for. A step's time limit cancels its jobs through a
-job tag. Spark's own ``${var}`` substitution is switched off while case text runs (cases resolve their
-variables themselves).
+job tag.
+
+Every case has a session of its own (``CaseSession``). It begins as a copy of the caller's, so that the caller's
+temporary views are there; views, settings, the current database and functions that a case makes stay in it, and are
+seen by no other case and not by the caller. Spark's own ``${var}`` substitution is off there (cases resolve
+their variables themselves). A session keeps the streams that its case has started, by stream id: they are drained
+before every checked step and end with the case.
 
 ``run_cases`` issues all steps once and verifies all targets in one plan. ``poll_case`` is the way of a live case:
-its steps are repeated, from the first that has not passed, until all pass or the case's limit is over.
+its steps are repeated in one session, from the first that has not passed, until all pass or the case's limit is over.
+``script_runner`` runs cases from script files.
 """
 
 from __future__ import annotations
 
+import re
 import threading
 import time
+import uuid
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tessera.functions.text import render_line
+from tessera.functions.text import VARIABLE, render_line
 from tessera.operators import verify as vf
 from tessera.operators.scan import row_index
+from tessera.operators.scripts import TOPIC_RX
 from tessera.session import scratch_path
+from tessera.sources.streams import read_topic
 
 KEYS = ["case", "target_idx"]
 OUT_SCHEMA = "case string, target_idx int, row_idx long, line string"
@@ -35,11 +47,17 @@ class Step:
     case: str
     sql: str
     directive: str | None = None
+    limit_s: float | None = None  # of this step; else the runner's
+    last: bool = True             # of the pieces of one statement: its result is the statement's
 
     @property
     def checked(self) -> str | None:
         """``target`` or ``error`` where the step's outcome is verified (target first)."""
-        return next((k for k in ("target", "error") if k in (self.directive or "")), None)
+        return next((k for k in ("target", "error") if self.last and k in (self.directive or "")), None)
+
+    @property
+    def starts_stream(self) -> bool:
+        return (self.directive or "").split(":")[0].strip().lower() == "stream"
 
 
 def error_texts(e: Exception) -> list[str]:
@@ -49,57 +67,189 @@ def error_texts(e: Exception) -> list[str]:
     return [message] + ([condition] if condition and condition != message else [])
 
 
-def _issue(spark: SparkSession, sql: str, limit_s: float, sink: str | None) -> DataFrame | None:
-    """Run a statement under its time limit; with ``sink``, its rendered lines as a table in output order."""
-    tag = f"tessera-case-{abs(hash((sql, sink))) % (1 << 30)}"
-    spark.addTag(tag)
-    timer = threading.Timer(limit_s, lambda: spark.interruptTag(tag))
-    timer.start()
-    try:
-        df = spark.sql(sql)
-        if sink is None:
-            return None
-        # written once: line order and numbers stay fixed, and a lost executor costs nothing
-        (df.select(render_line(list(df.columns)).alias("line"))
-         .withColumn("at", F.monotonically_increasing_id()).write.parquet(sink))
-        return spark.read.schema("line string, at long").parquet(sink)
-    finally:
-        timer.cancel()
-        spark.removeTag(tag)
-
-
-def run_cases(spark: SparkSession, steps: list[Step], targets: DataFrame, heads: DataFrame | None = None,
-              limit_s: float = 30, lags: DataFrame | None = None, threads: int = 4) -> DataFrame:
+@dataclass
+class Stream:
+    """An ``insert into <table> <select>`` that goes on: every ``advance`` brings what its topics hold by then."""
+    stream_id: str
+    rows: DataFrame
+    table: str
+    checkpoint: str
+    sink: str
+    topics: tuple[str, ...] = ()  # that it reads
+    read: int = 0                 # lines taken from its topics so far
+    runs: int = 0
+    done: int = 0                 # runs whose rows are in the table
+
+    def advance(self, own: SparkSession) -> None:
+        """Run to the end of the topics, then insert what has come.
+
+        The checkpoint says where the last run ended, and the sink's log which files count, so no line comes twice. A
+        run's rows carry its number; those of a run that broke off are inserted with the next one's.
+        """
+        self.runs += 1
+        query = (self.rows.withColumn("__run", F.lit(self.runs)).writeStream.queryName(f"{self.stream_id}-{self.runs}")
+                 .format("parquet").partitionBy("__run").option("path", self.sink)
+                 .option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start())
+        try:
+            query.awaitTermination()
+        finally:
+            if query.isActive:
+                query.stop()
+            new = sum(p.numInputRows for p in query.recentProgress)
+            self.read += new
+        if new:
+            schema = StructType([*self.rows.schema.fields, StructField("__run", IntegerType())])
+            got = own.read.schema(schema).parquet(self.sink)
+            got.where(F.col("__run") > self.done).drop("__run").write.insertInto(self.table)
+        self.done = self.runs
+
+
+_COLUMNS = r"\(((?:[^()]|\([^()]*\))*)\)"
+CREATE_STREAM = re.compile(rf"create\s+stream\s+(?:if\s+not\s+exists\s+)?([^\s(]+)\s*{_COLUMNS}(.*)", re.I | re.S)
+STREAM_AS = re.compile(r"create\s+stream\s+(?:if\s+not\s+exists\s+)?([^\s(]+)\s+as\s+(.*)", re.I | re.S)
+INSERT = re.compile(r"insert\s+into\s+(?:table\s+)?(\S+)\s+(select\b.*|with\b.*)", re.I | re.S)
+STOP = re.compile(r"stop\s+streamjob\s+(\S+)", re.I)
+APPLICATION = re.compile(r"(create|drop|use)\s+application\s+(?:if\s+(?:not\s+)?exists\s+)?(\S+)(?:\s+cascade)?", re.I)
+DELIMITER = re.compile(r"fields\s+terminated\s+by\s+'(.)'", re.I)
+
+
+class CaseSession:
+    """One case's session, variables and streams.
+
+    Statements that Spark does not have: ``use application`` names the application (variable ``app``; creating and
+    dropping one does nothing), ``create stream`` makes a streaming view of a topic below ``topics``, ``stop streamjob``
+    ends a stream, and an insert with a ``stream`` directive starts one, whose id is bound to ``stream<k>``.
+    """
+
+    def __init__(self, spark: SparkSession, case: str, variables: dict[str, str] | None = None, topics: str | None = None):
+        self.case, self.topics, self.variables = case, topics, dict(variables or {})
+        self.spark = spark.__class__(spark.sparkContext, spark._jsparkSession.cloneSession())
+        self.spark.conf.set("spark.sql.variable.substitute", "false")
+        self.streams: dict[str, Stream] = {}
+        self.sources: dict[str, str] = {}  # topic of every stream view
+        self.issued: list[str] = []
+        self._bound = 0
+        self.ended: list[Stream] = []
+
+    def resolve(self, text: str) -> str:
+        return re.sub(VARIABLE, lambda m: self.variables.get(m[1], m[0]), text)
+
+    def issue(self, sql: str, limit_s: float, sink: str | None = None, starts_stream: bool = False) -> None:
+        """Run a statement under its time limit; with ``sink``, write its rendered lines there in output order."""
+        if starts_stream:
+            self._bound += 1
+            self.variables[f"stream{self._bound}"] = f"{self.variables.get('prefix', self.case + '_')}stream{self._bound}"
+        sql = self.resolve(sql).strip().removesuffix(";")
+        self.issued.append(sql + ";")
+        tag = f"tessera-case-{uuid.uuid4().hex}"
+        sc = self.spark.sparkContext
+        sc.addJobTag(tag)  # the timer's thread knows no tags of this thread's session, only those of jobs
+        timer = threading.Timer(limit_s, lambda: sc.cancelJobsWithTag(tag))
+        timer.start()
+        try:
+            if sink is not None:
+                self.drain()
+            df = None if starts_stream and self._start(sql) or self._other(sql) else self.spark.sql(sql)
+            if sink is not None:
+                df = self.spark.createDataFrame([], "line string") if df is None else df
+                # written once: line order and numbers stay fixed, and a lost executor costs nothing
+                (df.select(render_line([F.col(f"`{c}`") for c in df.columns]).alias("line"))
+                 .withColumn("at", F.monotonically_increasing_id()).write.parquet(sink))
+        finally:
+            timer.cancel()
+            sc.removeJobTag(tag)
+
+    def _other(self, sql: str) -> bool:
+        """Run a statement that is not Spark's; false where it is."""
+        if m := APPLICATION.fullmatch(sql):
+            if m[1].lower() == "use":
+                self.variables["app"] = m[2]
+        elif m := STOP.fullmatch(sql):
+            for k in list(self.streams) if m[1].lower() == "all" else [m[1]]:
+                if k in self.streams:
+                    self.ended.append(self.streams.pop(k))
+        elif m := CREATE_STREAM.fullmatch(sql):
+            self._view(*m.groups())
+        elif m := STREAM_AS.fullmatch(sql):
+            self.spark.sql(m[2]).createOrReplaceTempView(m[1])
+        else:
+            return False
+        return True
+
+    def _view(self, name: str, columns: str, rest: str) -> None:
+        topic = re.search(TOPIC_RX, rest, re.I)
+        if not topic or not self.topics:
+            raise ValueError(f"stream {name} has no topic" if not topic else "no folder of topics is given")
+        sep = DELIMITER.search(rest)
+        cells = F.split("value", re.escape(sep[1] if sep else ","), -1)
+        schema = self.spark.createDataFrame([], columns).schema
+        lines = read_topic(self.spark, self.topics, topic[1])
+        lines.select(*[F.try_element_at(cells, F.lit(i + 1)).try_cast(c.dataType).alias(c.name)
+                       for i, c in enumerate(schema)]).createOrReplaceTempView(name)
+        self.sources[name] = topic[1]
+
+    def _start(self, sql: str) -> bool:
+        """Start the stream of an insert that reads streams; false for any other statement."""
+        m = INSERT.fullmatch(sql)
+        rows = self.spark.sql(m[2]) if m else None
+        if rows is None or not rows.isStreaming:
+            return False
+        key = self.variables[f"stream{self._bound}"]
+        into = self.spark.table(m[1]).schema
+        if len(into) != len(rows.columns):
+            raise ValueError(f"{m[1]} has {len(into)} columns, {len(rows.columns)} are given")
+        rows = rows.toDF(*into.names).select(*[F.col(f"`{c.name}`").cast(c.dataType) for c in into])
+        named = set(re.findall(r"[\w.`$-]+", m[2].lower()))
+        self.streams[key] = Stream(key, rows, m[1], scratch_path(self.spark, "position"),
+                                   scratch_path(self.spark, "stream"), tuple(t for v, t in self.sources.items() if v.lower() in named))
+        self.streams[key].advance(self.spark)
+        return True
+
+    def drain(self) -> None:
+        """Bring every stream of the case to the end of its topics."""
+        for s in self.streams.values():
+            s.advance(self.spark)
+
+    def close(self) -> None:
+        self.ended += self.streams.values()
+        self.streams.clear()
+
+
+def run_cases(spark: SparkSession, steps: Sequence[Step], targets: DataFrame, heads: DataFrame | None = None,
+              limit_s: float = 30, lags: DataFrame | Callable[[], DataFrame] | None = None, threads: int = 4,
+              session: Callable[[str], CaseSession] | None = None) -> DataFrame:
     """Execute each case's steps in order; verify ``target`` and ``error`` steps.
 
     ``targets``: case, target_idx, row_idx, pattern. ``heads`` (case, target_idx): all targets; without it, the steps
-    that ask for one. Cases run ``threads`` at a time. A step without any golden line expects an empty result. Returns (case, target_idx,
-    verdict, message), one row per checked step.
+    that ask for one. Cases run ``threads`` at a time, each in the session that ``session`` gives for it (default: a new
+    one). ``lags`` may be a function that gives them once the cases have run. A step without any golden line expects an
+    empty result. Returns (case, target_idx, verdict, message), one row per checked step.
     """
-    old = spark.conf.get("spark.sql.variable.substitute", "true")
-    spark.conf.set("spark.sql.variable.substitute", "false")
     folder = scratch_path(spark, "cases")
+    session = session or (lambda case: CaseSession(spark, case))
     cases: dict[str, list[tuple[int, Step]]] = {}
     for no, st in enumerate(steps):
         cases.setdefault(st.case, []).append((no, st))
 
     def run_one(own: list[tuple[int, Step]]) -> list[tuple]:
         out: list[tuple] = []
-        for no, st in own:
-            kind, texts = st.checked, []
-            try:
-                _issue(spark, st.sql, limit_s, f"{folder}/case={no}" if kind else None)
-            except Exception as e:  # noqa: BLE001 - a failing step is data here
-                texts = error_texts(e)
-            if kind:
-                out.append((st.case, len(out), no, kind, texts))
+        at = session(own[0][1].case)
+        try:
+            for no, st in own:
+                kind, texts = st.checked, []
+                try:
+                    at.issue(st.sql, st.limit_s or limit_s, f"{folder}/case={no}" if kind else None, st.starts_stream)
+                except Exception as e:  # noqa: BLE001 - a failing step is data here
+                    texts = error_texts(e)
+                if kind:
+                    out.append((st.case, len(out), no, kind, texts))
+        finally:
+            at.close()
         return out
 
-    try:
-        with ThreadPoolExecutor(max(1, threads)) as pool:  # a case's own steps stay in order
-            issued = [x for out in pool.map(run_one, cases.values()) for x in out]
-    finally:
-        spark.conf.set("spark.sql.variable.substitute", old)
+    with ThreadPoolExecutor(max(1, threads)) as pool:  # a case's own steps stay in order
+        issued = [x for out in pool.map(run_one, cases.values()) for x in out]
+    lags = lags() if callable(lags) else lags
     done = spark.createDataFrame(issued, "case string, target_idx int, no int, kind string, texts array<string>")
     if heads is not None:
         done = done.join(heads.select("case", F.col("target_idx").cast("int").alias("target_idx")).distinct(),
@@ -140,16 +290,17 @@ def poll_case(spark: SparkSession, steps: list[Step], targets: DataFrame, limit_
     Targets that have passed stay passed: a new round begins with the first step that has not.
     """
     end, at, passed = time.monotonic() + limit_s, 0, 0
+    own = CaseSession(spark, steps[0].case if steps else "")
     while True:
         message = None
         for i in range(at, len(steps)):
             at = i
             left = max(end - time.monotonic(), 0.1)
             if steps[i].checked is None:
-                run_cases(spark, [steps[i]], targets.limit(0), limit_s=left)
+                run_cases(spark, [steps[i]], targets.limit(0), limit_s=left, session=lambda _: own)
                 continue
-            own = targets.where(F.col("target_idx") == passed).withColumn("target_idx", F.lit(0))
-            got = run_cases(spark, [steps[i]], own, limit_s=left, lags=lags).first()
+            want = targets.where(F.col("target_idx") == passed).withColumn("target_idx", F.lit(0))
+            got = run_cases(spark, [steps[i]], want, limit_s=left, lags=lags, session=lambda _: own).first()
             if got["verdict"] != vf.PASS:
                 message = f"target {passed}: {got['verdict']}" + (f" ({got['message']})" if got["message"] else "")
                 break

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.plans import (  # noqa: F401
-    q_eventlog, q_generate, q_offsets, q_scripts, q_sources, q_streaming, q_testevents, q_verify)
+    q_cases, q_eventlog, q_generate, q_offsets, q_scripts, q_sources, q_streaming, q_testevents, q_verify)
 from tessera.plans.registry import ORACLES, QUERIES
 
 

@@ -9,7 +9,7 @@ file's name, drained with ``availableNow`` into a sink folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import scratch_path
@@ -23,10 +23,10 @@ def kafka_available(spark: SparkSession) -> bool:
         return False
 
 
-def to_stream(df: DataFrame, topic: str, path: str | None = None, parts: int = 4,
+def to_stream(df: DataFrame, topic: str | Column, path: str | None = None, parts: int = 4,
               row_col: str = "id", bootstrap: str | None = None) -> str | None:
-    """Write ``value`` lines to ``topic``; partition = row number mod ``parts``."""
-    out = df.select(F.lit(topic).alias("topic"), (F.col(row_col) % parts).cast("int").alias("partition"),
+    """Write ``value`` lines to ``topic`` (a name, or a column of names); partition = row number mod ``parts``."""
+    out = df.select((F.lit(topic) if isinstance(topic, str) else topic).alias("topic"), (F.col(row_col) % parts).cast("int").alias("partition"),
                     F.lit(None).cast("string").alias("key"), F.col("value"))
     spark = df.sparkSession
     if bootstrap:
@@ -40,6 +40,14 @@ def to_stream(df: DataFrame, topic: str, path: str | None = None, parts: int = 4
     return path
 
 
+TOPIC_SCHEMA = "value string, topic string, partition int"
+
+
+def read_topic(spark: SparkSession, path: str, topic: str) -> DataFrame:
+    """The lines of a topic that ``to_stream`` has written below ``path``, as a stream of (value)."""
+    return (spark.readStream.schema(TOPIC_SCHEMA).parquet(path).where(F.col("topic") == topic).select("value"))
+
+
 def replay_files(spark: SparkSession, folder: str, sink: str | None = None,
                  checkpoint: str | None = None) -> DataFrame:
     """Stream every text file below ``folder`` and drain it: (topic, path, value), the topic being the file's name."""
