@@ -1,16 +1,17 @@
 """Phrase collocation mining: frequent n-grams from an FM-index per shard, scored by their weakest cut.
 
 Texts are lower-cased (A-Z), split into pieces at ``[.,;:!?\\x0A-\\x0D]`` and those into words ``[^\\x20\\x09]+``. A
-shard is a bounded amount of text of one language. Its index is the BWT of its word ids and the BWT of the ids
-reversed, both sorted to a depth of eight words, with a separator between pieces. A phrase is a pair of synchronised
-intervals, one in each; extending it to the right steps in the reversed BWT, to the left in the other, for all
-phrases of a shard at once, and gives every extension with its count. An n-gram is only enumerated if the parts of it
+shard is a bounded amount of text of one language, written once as word ids with a separator between pieces. Its
+index is the BWT of the ids and the BWT of the ids reversed, both sorted to a depth of eight words. A phrase is a pair of
+synchronised intervals, one in each; extending it to the right steps in the reversed BWT, to the left in the other, for
+all phrases of a shard at once, and gives every extension with its count. An n-gram is only enumerated if the parts of it
 that are already known are frequent in the whole corpus, so a shard's output stays small.
 
 Rounds: the words, their pairs, then all longer phrases. In a round every shard sends its phrases with their counts,
 packed into one block a bucket; a bucket adds up the shards' counts and returns the frequent phrases, and to every
-block one bit for each of its phrases. The indexes stay where they were written (a table bucketed by shard): only the
-bits travel back to them, and a shard finds the intervals again by the same extensions. A bucket holds one entry a shard
+block one bit for each of its phrases. The shards stay where they were written (a table bucketed by shard): only the
+bits travel back to them; a shard's index is built where it is read (two sorts of numbers cost less than
+moving or keeping two more copies of the text), and the same extensions find the intervals again. A bucket holds one entry a shard
 of a phrase at most, however often the phrase occurs.
 
 A phrase of ``a`` occurrences cut in two parts of ``l`` and ``r`` occurrences among ``n`` words scores
@@ -40,7 +41,7 @@ from tessera.session import scratch_path
 
 SHARD_BYTES = 8 << 20   # of text; more only where one document has more
 HELD_BYTES = 24 << 20   # texts of all languages that a task holds back at most
-INDEX_BYTES = 96 << 20  # text behind one bucket of indexes
+TABLE_BYTES = 96 << 20  # text behind one bucket of shards
 BUCKET_BYTES = 32 << 20  # text behind one bucket of phrases
 DEPTH = 8               # words that the suffixes are sorted by
 SALTS = 64
@@ -48,7 +49,7 @@ LONGEST = 5
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(10 if c in BREAKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-INDEX = "shard long, lang string, total long, words binary, bwt binary, rbwt binary"
+SHARD = "shard long, lang string, total long, words binary, ids binary"
 BLOCKS = "bucket long, shard long, lang string, block binary"
 #: A frequent phrase, or the bits of a block.
 FOUND = "lang string, phrase string, f long, shard long, bucket long, bits binary"
@@ -93,8 +94,8 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     return at
 
 
-def build(texts: list[bytes]) -> tuple[int, bytes, bytes, bytes] | None:
-    """(number of words, vocabulary, BWT, BWT of the reversed text), packed; None without words."""
+def build(texts: list[bytes]) -> tuple[int, bytes, bytes] | None:
+    """(number of words, vocabulary, ids), the latter two packed; None without words."""
     words, begins = split_words(texts)
     if not len(words):
         return None
@@ -104,9 +105,8 @@ def build(texts: list[bytes]) -> tuple[int, bytes, bytes, bytes] | None:
     rank[order.to_numpy()] = np.arange(len(order))
     text = np.zeros(len(words) + int(begins.sum()), np.int64)  # symbol 0 separates pieces
     text[np.arange(len(words)) + np.cumsum(begins)] = rank[coded.indices.to_numpy()] + 1
-    packed = [_pack_symbols(t[suffix_order(t) - 1]) for t in (text, text[::-1])]
     vocabulary = pc.binary_join(pa.ListArray.from_arrays([0, len(order)], coded.dictionary.take(order)), "\n")
-    return len(words), _zip(vocabulary[0].as_buffer().to_pybytes()), *packed
+    return len(words), _zip(vocabulary[0].as_buffer().to_pybytes()), _pack_symbols(text)
 
 
 def _pack_symbols(symbols: np.ndarray) -> bytes:
@@ -120,15 +120,15 @@ def _unpack_symbols(data: bytes) -> np.ndarray:
 
 
 class Index:
-    """A shard's index, unpacked: both BWTs with their LF mappings, and the inverse of the first."""
+    """A shard's index: the BWTs of its ids and of its ids reversed with their LF mappings, and the inverse of the first."""
 
-    def __init__(self, words: bytes, bwt: bytes, rbwt: bytes):
-        self.words = pa.array(_unzip(words).decode().split("\n"))
-        self.bwt, self.rbwt = map(_unpack_symbols, (bwt, rbwt))
+    def __init__(self, words: int, ids: np.ndarray):
+        self.width = words + 1
+        self.bwt, self.rbwt = (t[suffix_order(t) - 1] for t in (ids, ids[::-1]))
         self.psi, self.lf = self._maps(self.bwt)
         _, self.rlf = self._maps(self.rbwt)
-        count = np.bincount(self.bwt, minlength=len(self.words) + 1)
-        self.first = np.repeat(np.arange(len(count)), count)  # first symbol of every row
+        count = np.bincount(ids, minlength=self.width)
+        self.first = np.repeat(np.arange(self.width), count)  # first symbol of every row
         self.count, self.start = count[1:], np.cumsum(count)[:-1]  # of every word
 
     @staticmethod
@@ -143,9 +143,9 @@ class Index:
         bwt, lf, own, other = (self.rbwt, self.rlf, rlo, lo) if right else (self.bwt, self.lf, lo, rlo)
         row = ranges(own, n)
         group = np.repeat(np.arange(len(n)), n)
-        key = group * (len(self.words) + 1) + bwt[row]
+        key = group * self.width + bwt[row]
         place = len(row).bit_length()
-        if len(row) and int(key[-1] + len(self.words)).bit_length() + place <= 63:
+        if len(row) and int(key[-1] + self.width).bit_length() + place <= 63:
             key = np.sort(key << place | np.arange(len(row)))
             at, key = key & (1 << place) - 1, key >> place
         else:
@@ -157,7 +157,7 @@ class Index:
         group = group[at[cut]]
         there = other[group] + cut - (np.cumsum(n) - n)[group]
         here = lf[row[at[cut]]]
-        word = key[cut] % (len(self.words) + 1) > 0
+        word = key[cut] % self.width > 0
         out = (there, here) if right else (here, there)
         return out[0][word], out[1][word], size[word]
 
@@ -189,43 +189,41 @@ class Shard:
 
     def __init__(self, row: dict, buckets: int):
         self.shard, self.lang, self.buckets = row["shard"], row["lang"], buckets
-        self.index = Index(row["words"], row["bwt"], row["rbwt"])
-        self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.index.words.cast(pa.binary()).to_pylist()),
-                                  np.uint64, len(self.index.words))
+        self.vocabulary = pa.array(_unzip(row["words"]).decode().split("\n"))
+        self.ids = _unpack_symbols(row["ids"])
+        self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.vocabulary.cast(pa.binary()).to_pylist()),
+                                  np.uint64, len(self.vocabulary))
         self.seed = np.uint64(xxhash.xxh3_64_intdigest(self.lang.encode()))
 
-    def words(self):
-        """(length, lo, rlo, n) of all words."""
-        return 1, self.index.start, self.index.start, self.index.count
+    def words(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """(word numbers, counts) of all words."""
+        return [np.arange(len(self.vocabulary))], np.bincount(self.ids, minlength=len(self.vocabulary) + 1)[1:]
 
-    def frequent(self, found, bits: dict[int, bytes]):
-        """Those of the phrases whose bit is set."""
-        size, *intervals = found
-        _, at, cut = self._deal(size, intervals[0])
+    def frequent(self, words: list[np.ndarray], bits: dict[int, bytes]) -> np.ndarray:
+        """Whether the bit of each phrase (given by its words' numbers) is set."""
+        at, cut = self._deal(words)
         keep = np.zeros(len(at), bool)
         for to, a, z in cut:
             if to in bits:
                 keep[at[a:z]] = np.unpackbits(np.frombuffer(bits[to], np.uint8), count=z - a)
-        return [x[keep] for x in intervals]
+        return keep
 
-    def _deal(self, size: int, lo: np.ndarray):
-        """Word numbers of the phrases, their order by bucket, and each bucket's stretch of it."""
-        ids = self.index.symbols(lo, size)
-        h = np.full(len(lo), self.seed)
-        for i in ids:
+    def _deal(self, words: list[np.ndarray]):
+        """The order of the phrases by bucket, and each bucket's stretch of it."""
+        h = np.full(len(words[0]), self.seed)
+        for i in words:
             h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + self.hashes[i])
         to = (h % np.uint64(self.buckets)).astype(np.int64)
         at = np.argsort(to, kind="stable")
         start = np.flatnonzero(np.diff(to[at], prepend=-1))
-        return ids, at, list(zip(to[at[start]].tolist(), start.tolist(), [*start[1:].tolist(), len(at)]))
+        return at, list(zip(to[at[start]].tolist(), start.tolist(), [*start[1:].tolist(), len(at)]))
 
-    def pack(self, found) -> pa.Table:
+    def pack(self, words: list[np.ndarray], n: np.ndarray) -> pa.Table:
         """One row a bucket with the phrases that belong there and their counts."""
-        size, lo, _, n = found
-        ids, at, cut = self._deal(size, lo)
+        at, cut = self._deal(words)
         if not cut:
             return _NO_BLOCKS
-        phrases = pc.binary_join_element_wise(*[self.index.words.take(pa.array(i[at])) for i in ids], " ")
+        phrases = pc.binary_join_element_wise(*[self.vocabulary.take(pa.array(i[at])) for i in words], " ")
         bodies = pc.binary_join(pa.ListArray.from_arrays(pa.array([a for _, a, _ in cut] + [len(at)], pa.int32()), phrases),
                                 "\n")
         n = n[at].astype(np.int32)
@@ -235,6 +233,19 @@ class Shard:
                          pa.array([self.lang] * len(blocks)), pa.array(blocks, pa.binary())],
                         names=["bucket", "shard", "lang", "block"])
 
+    def grown(self, bits: dict[int, dict[int, bytes]]):
+        """(words, counts) of the phrases whose known parts are frequent: pairs, or with the bits of pairs all longer ones."""
+        index = Index(len(self.vocabulary), self.ids)
+        keep = self.frequent(self.words()[0], bits[1])
+        size, lo, rlo, n = next(index.grow(index.start[keep], index.start[keep], index.count[keep], 1, 2))
+        pairs = index.symbols(lo, size)
+        if 2 not in bits:
+            yield pairs, n
+            return
+        keep = self.frequent(pairs, bits[2])
+        for size, lo, rlo, n in index.grow(lo[keep], rlo[keep], n[keep], 2, LONGEST):
+            yield index.symbols(lo, size), n
+
 
 _NO_BLOCKS = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.string(), pa.binary())],
                       names=["bucket", "shard", "lang", "block"])
@@ -283,7 +294,7 @@ def _sum_blocks(least: int, answer: bool):
 
 
 def _shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
-    """One row a shard with its packed index."""
+    """One row a shard with its vocabulary and ids."""
     def run(batches):
         base = TaskContext.get().partitionId() << 32
         held: dict[str, list[bytes]] = {}
@@ -293,13 +304,13 @@ def _shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
         def flush(lang: str):
             nonlocal made
             size.pop(lang)
-            index = build(held.pop(lang))
-            if index:
+            packed = build(held.pop(lang))
+            if packed:
                 made += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([v], t) for v, t in zip((base + made, lang, *index), (
-                        pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
-                    ["shard", "lang", "total", "words", "bwt", "rbwt"])
+                    [pa.array([v], t) for v, t in zip((base + made, lang, *packed), (
+                        pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()))],
+                    ["shard", "lang", "total", "words", "ids"])
 
         for b in slices(batches, "text", shard_bytes // 4):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
@@ -312,11 +323,11 @@ def _shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
         for lang in list(size):
             yield from flush(lang)
 
-    return docs.mapInArrow(run, INDEX)
+    return docs.mapInArrow(run, SHARD)
 
 
 def _save_by_shard(spark: SparkSession, shards: DataFrame, buckets: int) -> DataFrame:
-    """The indexes as a table bucketed by shard, so that they need not move again to meet their intervals."""
+    """The shards as a table bucketed by shard, so that they need not move again to meet their bits."""
     path = scratch_path(spark, "phrases")
     name = path.rsplit("/", 1)[1].replace("-", "_")
     shards.write.bucketBy(buckets, "shard").option("path", path).saveAsTable(name)
@@ -331,33 +342,27 @@ def count_phrases(docs: DataFrame, least: int = 100, lang_col: str = "lang", tex
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts, size = int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(rows, "text")
     buckets = max(parts, size // BUCKET_BYTES)
-    index = _save_by_shard(spark, _shards(rows, shard_bytes), max(parts, size // INDEX_BYTES))
-    total = index.groupBy("lang").agg(F.sum("total").alias("n"))
+    shards = _save_by_shard(spark, _shards(rows, shard_bytes), max(parts, size // TABLE_BYTES))
+    total = shards.groupBy("lang").agg(F.sum("total").alias("n"))
 
     def words(table: pa.Table) -> pa.Table:
         own = Shard(table.to_pylist()[0], buckets)
-        return own.pack(own.words())
-
-    def longer(rounds: int):
-        def run(indexes: pa.Table, answers: pa.Table) -> pa.Table:
-            if not indexes.num_rows or not answers.num_rows:
-                return _NO_BLOCKS
-            own, bits = Shard(indexes.to_pylist()[0], buckets), {1: {}, 2: {}}
-            for r in answers.to_pylist():
-                bits[r["size"]][r["bucket"]] = r["bits"]
-            pairs = next(own.index.grow(*own.frequent(own.words(), bits[1]), 1, 2))
-            if rounds == 1:
-                return own.pack(pairs)
-            return pa.concat_tables(
-                [own.pack(x) for x in own.index.grow(*own.frequent(pairs, bits[2]), 2, LONGEST)])
-        return run
+        return own.pack(*own.words())
+
+    def longer(shard: pa.Table, answers: pa.Table) -> pa.Table:
+        if not shard.num_rows or not answers.num_rows:
+            return _NO_BLOCKS
+        own, bits = Shard(shard.to_pylist()[0], buckets), {}
+        for r in answers.to_pylist():
+            bits.setdefault(r["size"], {})[r["bucket"]] = r["bits"]
+        return pa.concat_tables([_NO_BLOCKS, *[own.pack(*x) for x in own.grown(bits)]])
 
     answers, tables = None, []
     for size in (1, 2, 3):
         if size == 1:
-            blocks = index.groupBy("shard").applyInArrow(words, BLOCKS)
+            blocks = shards.groupBy("shard").applyInArrow(words, BLOCKS)
         else:
-            blocks = index.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(longer(size - 1), BLOCKS)
+            blocks = shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(longer, BLOCKS)
         found = save(blocks.groupBy("bucket").applyInArrow(_sum_blocks(least, size < 3), FOUND), f"phrases-{size}")
         back = found.where(F.col("shard").isNotNull()).select("shard", F.lit(size).alias("size"), "bucket", "bits")
         answers = back if answers is None else answers.unionByName(back)

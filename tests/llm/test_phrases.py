@@ -90,13 +90,15 @@ def test_counts_equal_plain(spark):
 def test_intervals_are_synchronised(right_first):
     r = random.Random(4)
     text = "\n".join(" ".join(r.choice("abcde") for _ in range(r.randint(1, 40))) for _ in range(60))
-    _, words, bwt, rbwt = phrases.build([text.encode()])
-    ix = phrases.Index(words, bwt, rbwt)
+    n_words, words, ids = phrases.build([text.encode()])
+    own = phrases.Shard({"shard": 1, "lang": "en", "words": words, "ids": ids}, 3)
+    assert n_words == sum(map(len, pieces(text)))
+    ix = phrases.Index(len(own.vocabulary), own.ids)
     lo = rlo = ix.start
     n, right, want = ix.count, right_first, Counter()
     for size in range(1, 6):
         want = Counter(" ".join(ws[i:i + size]) for ws in pieces(text) for i in range(len(ws) - size + 1))
-        names = zip(*(ix.words.take(i).to_pylist() for i in map(phrases.pa.array, ix.symbols(lo, size))))
+        names = zip(*(own.vocabulary.take(i).to_pylist() for i in map(phrases.pa.array, ix.symbols(lo, size))))
         assert Counter(dict(zip(map(" ".join, names), n.tolist()))) == want
         lo, rlo, n = ix.extend(lo, rlo, n, right)
         right = not right
