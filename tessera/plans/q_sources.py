@@ -10,16 +10,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import testevents as te
+from tessera.operators.generate import gen_table
 from tessera.plans import bindings as b
 from tessera.plans.oracle_views import with_views
-from tessera.plans.q_generate import SAMPLE_SQL, csv_line, generated, sample_test
+from tessera.plans.q_generate import SAMPLE_SQL, SEED, csv_line, sample_test
 from tessera.plans.q_testevents import CTES
 from tessera.plans.registry import register
 from tessera.session import read_table, scratch_path, share
 from tessera.sources import paths as ps
 from tessera.sources.junit import read_junit, write_junit
-from tessera.sources.streams import replay_files, to_stream
+from tessera.sources.streams import TOPIC_SCHEMA, replay_files, stream_to_topic
 from tessera.sources.targets import read_targets
+from tessera.streaming.jobs import table_stream
 
 
 # ------------------------------------------------------------------ test tree
@@ -243,10 +245,11 @@ SELECT 'test' AS topic, CAST(o_orderkey % 4 AS INTEGER) AS "partition", count(*)
        max(concat_ws(',', CAST(l1 AS VARCHAR), l3, strftime(l4, '%Y-%m-%d %H:%M:%S'))) AS last_line
 FROM orders JOIN (""" + SAMPLE_SQL + """) g ON g.id = o_orderkey GROUP BY o_orderkey % 4""")
 def q_stream_sink_partitioned(spark, sf):
-    df = generated(spark, sf, sample_test())
+    df = gen_table(spark, sample_test(), seed=SEED, ids=table_stream(spark, sf, "orders"), id_col="o_orderkey")
     lines = df.select("id", csv_line(df, ["l1", "l3", "l4"]).alias("value"))
-    path = to_stream(lines, "test", scratch_path(spark, "topics"))
-    return (spark.read.parquet(path).groupBy("topic", "partition")
+    path = scratch_path(spark, "topics")
+    stream_to_topic(lines, "test", path, scratch_path(spark, "topics-ckpt")).awaitTermination()
+    return (spark.read.schema(TOPIC_SCHEMA).parquet(path).groupBy("topic", "partition")
             .agg(F.count(F.lit(1)).alias("n_lines"), F.min("value").alias("first_line"),
                  F.max("value").alias("last_line")))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import verify as vf
 from tessera.operators.generate import gen_table
 from tessera.plans import bindings as b
 from tessera.plans.case_runner import Step, run_cases
@@ -12,8 +11,9 @@ from tessera.plans.oracle_views import with_views
 from tessera.plans.q_generate import SAMPLE_SQL, SEED, sample_test
 from tessera.plans.q_verify import EXACT_SQL
 from tessera.plans.registry import register
-from tessera.session import read_table
+from tessera.session import read_table, scratch_path
 from tessera.streaming import jobs as sj
+from tessera.streaming import verify as sv
 
 
 @register("stream_generate", SAMPLE_SQL)
@@ -39,9 +39,7 @@ def q_stream_job_pairs(spark, sf):
     """Jobs that take longer than the bound, and unfinished ones, stay without an end."""
     orders = sj.table_stream(spark, sf, "orders")
     j = _runs(b.jobs(spark, sf, orders))
-    p = sj.drain(sj.job_pairs(j.drop("end_ts"), j.where(F.col("end_ts").isNotNull()).drop("start_ts"), "2 minutes"),
-                 "job-pairs", spark)
-    p = sj.close_pairs(p, _runs(b.jobs(spark, sf)).drop("end_ts"))
+    p = sj.replay_pairs(j.drop("end_ts"), j.where(F.col("end_ts").isNotNull()).drop("start_ts"), "2 minutes", spark)
     o = F.lit(sj.ORIGIN_MS)
     return p.select("run", "job_id", (F.unix_millis("start_ts") - o).alias("submit_ms"),
                     (F.unix_millis("end_ts") - o).alias("finish_ms"),
@@ -72,10 +70,15 @@ def q_stream_eventually(spark, sf):
 
 @register("stream_verify", EXACT_SQL)
 def q_stream_verify(spark, sf):
-    """Result lines arrive as a stream; they are numbered and verified when it has drained."""
-    orders = sj.table_stream(spark, sf, "orders")
-    got = b.numbered_results(sj.drain(b.rendered_results(orders), "results", spark))
-    return vf.verify_exact(got, b.target_lines(spark, sf))
+    """Numbered result lines arrive over several batches; verdicts come with each, the last ones are returned."""
+    lines, golden = scratch_path(spark, "lines"), scratch_path(spark, "golden")
+    b.result_lines(spark, sf).select("case_id", "row_idx", "line").repartition(6).write.parquet(lines)
+    own = sj.streaming_session(spark)
+    b.target_lines(spark, sf).write.parquet(golden)
+    stream = (own.readStream.schema("case_id long, row_idx long, line string").option("maxFilesPerTrigger", 2)
+              .parquet(lines))
+    rows = sj.drain(sv.verdict_stream(stream, own.read.parquet(golden)), "verdicts", spark)
+    return sv.last_verdicts(rows, spark.read.parquet(golden))
 
 
 @register("sql_case", """

@@ -35,11 +35,15 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(path)
 
 
-def drain(stream: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
-    """Run ``stream`` to a parquet sink with ``availableNow`` and read the sink back (in ``spark``)."""
+def drain(stream: DataFrame, name: str, spark: SparkSession | None = None, sink: str | None = None,
+          ckpt: str | None = None) -> DataFrame:
+    """Run ``stream`` to a parquet sink with ``availableNow`` and read the sink back (in ``spark``).
+
+    With the ``sink`` and ``ckpt`` of an earlier run it goes on where that one has ended.
+    """
     own = stream.sparkSession
     spark = spark or own
-    sink, ckpt = scratch_path(spark, f"{name}-sink"), scratch_path(spark, f"{name}-ckpt")
+    sink, ckpt = sink or scratch_path(spark, f"{name}-sink"), ckpt or scratch_path(spark, f"{name}-ckpt")
     q = (stream.writeStream.format("parquet").outputMode("append").option("path", sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -60,10 +64,38 @@ def job_pairs(starts: DataFrame, ends: DataFrame, bound: str = "10 minutes") ->
     return s.join(e, cond, "left_outer").select("s.run", "s.job_id", "s.start_ts", "e.end_ts")
 
 
-def close_pairs(sink: DataFrame, starts: DataFrame) -> DataFrame:
-    """The end of a bounded replay: starts that the watermark has not reached are still open."""
-    still = starts.join(sink, ["run", "job_id"], "left_anti")
-    return sink.unionByName(still.select("run", "job_id", "start_ts", F.lit(None).cast("timestamp").alias("end_ts")))
+END_OF_TIME = "9999-01-01 00:00:00"
+
+
+def replay_pairs(starts: DataFrame, ends: DataFrame, bound: str = "10 minutes", spark: SparkSession | None = None,
+                 name: str = "job-pairs") -> DataFrame:
+    """``job_pairs`` over a bounded replay: every start comes out, those still open at its end alone.
+
+    The streams are drained first. Then a closing row, at the end of time, comes through a control
+    stream on each side; it carries the watermark past every start, and the last batch, without data, empties the join's
+    state. Nothing is read twice: open starts come from that state.
+    """
+    own = starts.sparkSession
+    spark = spark or own
+    control, sink, ckpt = (scratch_path(spark, f"{name}-{x}") for x in ("control", "sink", "ckpt"))
+
+    def write(n: int) -> None:
+        (spark.range(n).select(F.lit(END_OF_TIME).cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(control))
+
+    def with_closing(rows: DataFrame, ts: str) -> DataFrame:
+        more = own.readStream.schema("ts timestamp").parquet(control)
+        # not null: rows without a key are filtered before they reach the watermark
+        closing = [F.lit("0").cast(f.dataType).alias(f.name) if f.name != ts else F.col("ts").alias(ts)
+                   for f in rows.schema.fields]
+        return rows.unionByName(more.select(*closing))
+
+    write(0)
+    pairs = job_pairs(with_closing(starts, "start_ts"), with_closing(ends, "end_ts"), bound)
+    for closing in (False, True):
+        if closing:
+            write(1)
+        drain(pairs, name, spark, sink, ckpt)
+    return spark.read.schema(pairs.schema).parquet(sink).where(F.col("start_ts") < F.lit(END_OF_TIME).cast("timestamp"))
 
 
 ORIGIN_MS = 946684800000  # event time of poll 0 (2000-01-01): the initial watermark is the epoch
@@ -74,10 +106,16 @@ def eventually(snapshots: DataFrame, n_targets: int, limit_ms: int, delay: str =
     """Sticky polling as a stateful stream keyed by case: a row when a case is first seen and whenever it gets on.
 
     Polls of a trigger are taken by (poll_ms, passing_target), so one poll may pass several targets; polls past
-    the limit pass nothing. State per case: the number of targets passed, dropped at the limit's event time.
-    ``latest`` reads the outcome from the rows: no case waits for a timer to show up.
+    the limit pass nothing. Before that, polls are made distinct, dealt by all their columns: a case's task gets each
+    (poll, target) once, at most one for every millisecond of the limit and target, however many events the case has,
+    and polls that pass nothing once a trigger. State per case: the number of targets passed, dropped at the limit's
+    event time. ``latest`` reads the outcome from the rows: no case waits for a timer to show up.
     """
-    snapshots = snapshots.withColumn("ts", F.timestamp_millis(F.col("poll_ms") + F.lit(origin_ms)))
+    passing = F.when(F.col("poll_ms") <= limit_ms, F.col("passing_target"))
+    poll = F.when(passing.isNotNull(), F.col("poll_ms")).otherwise(F.least(F.col("poll_ms"), F.lit(limit_ms)))
+    snapshots = (snapshots.select("case_id", poll.alias("poll_ms"), passing.cast("int").alias("passing_target"))
+                 .withColumn("ts", F.timestamp_millis(F.col("poll_ms") + F.lit(origin_ms)))
+                 .withWatermark("ts", delay).dropDuplicates(["case_id", "poll_ms", "passing_target", "ts"]))
     out_schema = "case_id long, reached int, passed boolean, pass_ms long"
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -86,9 +124,9 @@ def eventually(snapshots: DataFrame, n_targets: int, limit_ms: int, delay: str =
             return
         known = state.exists
         start = pointer = state.get[0] if known else 0
-        polls: list[tuple[int, int]] = []
+        polls: list[tuple[int, int]] = []  # distinct, so bounded by the limit
         for b in batches:
-            b = b[b["passing_target"].notna() & (b["poll_ms"] <= limit_ms)]
+            b = b[b["passing_target"].notna()]
             polls += zip(b["poll_ms"].tolist(), b["passing_target"].astype(int).tolist())
         at = None
         for poll, target in sorted(polls):
@@ -102,7 +140,7 @@ def eventually(snapshots: DataFrame, n_targets: int, limit_ms: int, delay: str =
             yield pd.DataFrame({"case_id": [int(key[0])], "reached": [pointer], "passed": [done],
                                 "pass_ms": pd.array([at if done else None], dtype="Int64")})
 
-    return (snapshots.withWatermark("ts", delay).groupBy("case_id")
+    return (snapshots.groupBy("case_id")
             .applyInPandasWithState(step, out_schema, "pointer int", "append", GroupStateTimeout.EventTimeTimeout))
 
 
