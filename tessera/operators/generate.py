@@ -12,6 +12,7 @@ scan over the ids.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import gen_exprs as gx
-from tessera.operators.scan import bucketed_scan
+from tessera.operators.scan import running_sums
 
 TYPES = ("int", "float", "string", "timestamp")
 KINDS = ("include", "except", "frequency")
@@ -200,27 +201,28 @@ def _ids(spark: SparkSession, n: int, rows_per_task: int = 1 << 22) -> DataFrame
 
 
 def gen_table(spark: SparkSession, spec: TableSpec, n: int | None = None, seed: int = 42,
-              ids: DataFrame | None = None, id_col: str = "id") -> DataFrame:
-    """``id`` and the spec's columns in order, one row for each row of ``ids``.
+              ids: DataFrame | None = None, id_col: str = "id", columns: Sequence[str] | None = None) -> DataFrame:
+    """``id`` and the spec's columns in order (or those of ``columns``), one row for each row of ``ids``.
 
     ``ids`` holds row numbers in a bigint ``id_col`` (0, 1, ..; a table's key or a stream's counter);
     without it, ``n`` rows (default ``spec.n``) are numbered. On a stream a timestamp
     ramp with include rules raises: its draws depend on the count of all earlier hits.
     """
     base = _ids(spark, spec.n if n is None else n) if ids is None else ids.select(F.col(id_col).cast("long").alias("id"))
+    wanted = [c for c in spec.columns if columns is None or c.name in columns]  # nothing else is drawn
     hits = {f"__hb_{i}": F.expr(include_hit(seed, spec.name, c, "id")).cast("long")
-            for i, c in enumerate(spec.columns) if ramp_has_include(c)}
+            for i, c in enumerate(wanted) if ramp_has_include(c)}
     if hits and base.isStreaming:
         raise ValueError(f"table {spec.name!r} has a timestamp ramp with include rules, which a stream cannot generate: "
                          "it needs the count of all earlier hits")
     if hits:
-        base = bucketed_scan(base.withColumn("__all", F.lit(0)), ["__all"], "id", sums=hits, inclusive=False)
+        base = running_sums(base, "id", hits)
     drawn = base.select("id", *hits, *[
         F.expr(draw_probability(seed, spec.name, c, "id")).alias(f"__p_{i}")
-        for i, c in enumerate(spec.columns) if c.type in ("int", "float")])
+        for i, c in enumerate(wanted) if c.type in ("int", "float")])
     return drawn.select("id", *[
         F.expr(column_sql(seed, spec.name, c, "id", f"__p_{i}", f"(id - __hb_{i})" if f"__hb_{i}" in hits else "id"))
-        .alias(c.name) for i, c in enumerate(spec.columns)])
+        .alias(c.name) for i, c in enumerate(wanted)])
 
 
 # ------------------------------------------------------------------ stats

@@ -96,3 +96,28 @@ def row_index(df: DataFrame, keys: Sequence[str], order: str, name: str = "row_i
     out = bucketed_scan(df, keys, order, sums={name: F.lit(1)}, inclusive=False,
                         tiebreak=tiebreak, width=width)
     return out
+
+
+def running_sums(df: DataFrame, order: str, sums: dict[str, Column], width: int = DEFAULT_WIDTH) -> DataFrame:
+    """Exclusive running sums over ``order`` of the whole table: one order, without any key.
+
+    Ids are cut into buckets of ``width`` values, and buckets into as many again. Totals of buckets are a map-side
+    aggregate; their prefix runs within an upper bucket, and only the upper buckets' totals (one row for ``width`` squared
+    values) meet in one task. The rows move once, by bucket, where ``order`` values should be distinct.
+    """
+    place = df.select("*", *[x.cast("long").alias(f"__rs_{n}") for n, x in sums.items()],
+                      F.floor(F.col(order) / width).cast("long").alias("__rs_b"))
+    upper = F.floor(F.col("__rs_b") / width).cast("long").alias("__rs_u")
+    total = place.groupBy("__rs_b").agg(*[F.sum(f"__rs_{n}").alias(n) for n in sums]).select("*", upper)
+    before = lambda w: [F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(n)
+                        for n in sums]
+    tops = total.groupBy("__rs_u").agg(*[F.sum(n).alias(n) for n in sums])
+    tops = tops.select("__rs_u", *before(Window.orderBy("__rs_u")))
+    start = (total.select("__rs_b", "__rs_u", *before(Window.partitionBy("__rs_u").orderBy("__rs_b"))).alias("l")
+             .join(tops.alias("u"), "__rs_u")
+             .select("__rs_b", *[(F.col(f"l.{n}") + F.col(f"u.{n}")).alias(f"__rs_o_{n}") for n in sums]))
+    run = Window.partitionBy("__rs_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = place.select(*df.columns, "__rs_b", *[F.coalesce(F.sum(f"__rs_{n}").over(run), F.lit(0)).alias(f"__rs_r_{n}")
+                                                 for n in sums])
+    return rows.join(start, "__rs_b").select(
+        *[c for c in df.columns if c not in sums], *[(F.col(f"__rs_o_{n}") + F.col(f"__rs_r_{n}")).alias(n) for n in sums])

@@ -22,8 +22,8 @@ def order_ids(spark, sf):
     return read_table(spark, sf, "orders").select("o_orderkey")
 
 
-def generated(spark, sf, spec):
-    return gen_table(spark, spec, seed=SEED, ids=order_ids(spark, sf), id_col="o_orderkey")
+def generated(spark, sf, spec, columns=None):
+    return gen_table(spark, spec, seed=SEED, ids=order_ids(spark, sf), id_col="o_orderkey", columns=columns)
 
 
 # The reference's sample spec (tables ``test`` and ``test2``).
@@ -118,7 +118,7 @@ _EXCEPT = _double(f"SELECT a.id, a, b, 10 AS c, d, ts FROM ({_A}) a JOIN ({_B})
 def _register_gen(name, spec_fn, cols, oracle):
     @register(name, oracle)
     def run(spark, sf):
-        return generated(spark, sf, spec_fn()).select("id", *cols)
+        return generated(spark, sf, spec_fn(), cols).select("id", *cols)
 
 
 _register_gen("gen_rows", sample_test, ["l1", "l2", "l3", "l4"], SAMPLE_SQL)

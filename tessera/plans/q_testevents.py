@@ -61,13 +61,13 @@ def q_suite_bounds(spark, sf):
 
 @register("test_pairs", with_views("SELECT * FROM pairs", "test_events", extra=CTES))
 def q_test_pairs(spark, sf):
-    return te.test_pairs(te.numbered(b.test_events(spark, sf)))
+    return te.test_pairs(share(te.numbered(b.test_events(spark, sf))))
 
 
 @register("test_status", with_views(
     "SELECT *, status IN ('ignored', 'pending', 'canceled') AS skipped FROM status", "test_events", extra=CTES))
 def q_test_status(spark, sf):
-    return te.test_status(te.numbered(b.test_events(spark, sf)))
+    return te.test_status(share(te.numbered(b.test_events(spark, sf))))
 
 
 @register("test_infos", with_views("""
@@ -75,7 +75,7 @@ SELECT n.suite, n.test_no, n.ordinal, n.message FROM num n JOIN pairs p ON n.sui
 WHERE n.kind = 'InfoProvided' AND n.test_no > 0 AND (p.end_ordinal IS NULL OR n.ordinal < p.end_ordinal)""",
     "test_events", extra=CTES))
 def q_test_infos(spark, sf):
-    return te.test_infos(te.numbered(b.test_events(spark, sf)))
+    return te.test_infos(share(te.numbered(b.test_events(spark, sf))))
 
 
 @register("suite_rollup", with_views("""

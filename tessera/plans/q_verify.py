@@ -78,7 +78,8 @@ FROM (SELECT case_id, count(*) AS expected_rows FROM target_lines GROUP BY case_
 LEFT JOIN (SELECT case_id, count(*) AS n_out FROM result_lines GROUP BY case_id) n ON e.case_id = n.case_id""",
     "target_lines"))
 def q_verify_rows(spark, sf):
-    r, t = _rt(spark, sf)
+    r = share(b.result_lines(spark, sf))  # one pass for results and targets
+    t = b.target_lines(spark, sf, r)
     expected = t.groupBy("case_id").agg(F.count(F.lit(1)).alias("expected_rows"))
     return vf.verify_rows(r, expected)
 
@@ -242,4 +243,4 @@ LEFT JOIN t2 ON c.case_id = t2.case_id""", "snapshots", extra={
     "t2": "SELECT s.case_id, min(poll_ms) AS t FROM s JOIN t1 ON s.case_id = t1.case_id "
           "WHERE passing_target = 2 AND poll_ms >= t1.t GROUP BY s.case_id"}))
 def q_eventually_pass(spark, sf):
-    return vf.eventually_pass(b.snapshots(spark, sf), n_targets=3, limit_ms=30000)
+    return vf.eventually_pass(share(b.snapshots(spark, sf)), n_targets=3, limit_ms=30000)

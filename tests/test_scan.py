@@ -58,3 +58,20 @@ def test_building_a_scan_runs_no_job(spark):
     before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
     row_index(row_index(df, ["k"], "pos"), ["v"], "pos", name="again")
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+
+
+def test_running_sums_without_a_key(spark):
+    import random
+    from pyspark.sql import functions as F
+
+    from tessera.operators.scan import running_sums
+    r = random.Random(5)
+    ids = r.sample(range(-500, 5000), 700)
+    df = spark.createDataFrame([(i, r.randint(0, 3)) for i in ids], "id long, v long")
+    got = {x.id: (x.v, x.s, x.c) for x in running_sums(df, "id", {"s": F.col("v"), "c": F.lit(1)}, width=8).collect()}
+    s = 0
+    for k, x in enumerate(sorted(df.collect())):
+        assert got[x.id] == (x.v, s, k)
+        s += x.v
+    plan = running_sums(df, "id", {"s": F.col("v")})._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
