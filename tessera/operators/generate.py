@@ -16,8 +16,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tessera.functions import gen_exprs as gx
 from tessera.operators.scan import running_sums
@@ -200,23 +202,49 @@ def _ids(spark: SparkSession, n: int, rows_per_task: int = 1 << 22) -> DataFrame
     return spark.range(0, n, 1, numPartitions=min(parts, max(n, 1)))
 
 
+def _carried_sums(stream: DataFrame, hits: dict[str, Column]) -> DataFrame:
+    """The exclusive running sums of a stream of ascending ids; a batch's ids meet in one task, like their draws."""
+    names = list(hits)
+
+    def step(key, batches, state):
+        last, *total = state.get if state.exists else (None, *[0] * len(names))
+        rows = pd.concat(list(batches)).sort_values("id")
+        if last is not None and rows["id"].iloc[0] <= last:
+            raise ValueError(f"id {rows['id'].iloc[0]} comes after id {last}")
+        out = rows[["id"]].copy()
+        for i, n in enumerate(names):
+            upto = rows[n].cumsum() + total[i]
+            out[n], total[i] = upto - rows[n], int(upto.iloc[-1])
+        state.update((int(rows["id"].iloc[-1]), *total))
+        yield out
+
+    schema = "id long, " + ", ".join(f"{n} long" for n in names)
+    return (stream.select("id", *[x.alias(n) for n, x in hits.items()], F.lit(0).alias("all")).groupBy("all")
+            .applyInPandasWithState(step, schema, schema.replace("id long", "last long"), "append",
+                                    GroupStateTimeout.NoTimeout))
+
+
+def paced_ids(spark: SparkSession, rows_per_second: int = 10) -> DataFrame:
+    """A stream of ``id`` (0, 1, ..) and ``ts``: a second of event time, ``rows_per_second`` rows, in every batch."""
+    return (spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_second).option("numPartitions", 1)
+            .option("startTimestamp", 0).option("advanceMillisPerBatch", 1000).load()
+            .select(F.col("value").alias("id"), F.col("timestamp").alias("ts")))
+
+
 def gen_table(spark: SparkSession, spec: TableSpec, n: int | None = None, seed: int = 42,
               ids: DataFrame | None = None, id_col: str = "id", columns: Sequence[str] | None = None) -> DataFrame:
     """``id`` and the spec's columns in order (or those of ``columns``), one row for each row of ``ids``.
 
     ``ids`` holds row numbers in a bigint ``id_col`` (0, 1, ..; a table's key or a stream's counter);
-    without it, ``n`` rows (default ``spec.n``) are numbered. On a stream a timestamp
-    ramp with include rules raises: its draws depend on the count of all earlier hits.
+    without it, ``n`` rows (default ``spec.n``) are numbered. The draws of a timestamp ramp with include rules
+    depend on the count of all earlier hits: a stream carries it as state, so its ids must ascend from batch to batch.
     """
     base = _ids(spark, spec.n if n is None else n) if ids is None else ids.select(F.col(id_col).cast("long").alias("id"))
     wanted = [c for c in spec.columns if columns is None or c.name in columns]  # nothing else is drawn
     hits = {f"__hb_{i}": F.expr(include_hit(seed, spec.name, c, "id")).cast("long")
             for i, c in enumerate(wanted) if ramp_has_include(c)}
-    if hits and base.isStreaming:
-        raise ValueError(f"table {spec.name!r} has a timestamp ramp with include rules, which a stream cannot generate: "
-                         "it needs the count of all earlier hits")
     if hits:
-        base = running_sums(base, "id", hits)
+        base = _carried_sums(base, hits) if base.isStreaming else running_sums(base, "id", hits)
     drawn = base.select("id", *hits, *[
         F.expr(draw_probability(seed, spec.name, c, "id")).alias(f"__p_{i}")
         for i, c in enumerate(wanted) if c.type in ("int", "float")])

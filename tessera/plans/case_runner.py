@@ -24,11 +24,11 @@ import time
 import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.functions.text import VARIABLE, render_line
 from tessera.operators import verify as vf
@@ -73,12 +73,10 @@ class Stream:
     stream_id: str
     rows: DataFrame
     table: str
-    checkpoint: str
-    sink: str
+    position: str                 # folder of its checkpoint and of what it has read
     topics: tuple[str, ...] = ()  # that it reads
     read: int = 0                 # lines taken from its topics so far
-    runs: int = 0
-    done: int = 0                 # runs whose rows are in the table
+    done: int = field(default_factory=time.time_ns)  # the last run whose rows are in the table
 
     def advance(self, own: SparkSession) -> None:
         """Run to the end of the topics, then insert what has come.
@@ -86,10 +84,10 @@ class Stream:
         The checkpoint says where the last run ended, and the sink's log which files count, so no line comes twice. A
         run's rows carry its number; those of a run that broke off are inserted with the next one's.
         """
-        self.runs += 1
-        query = (self.rows.withColumn("__run", F.lit(self.runs)).writeStream.queryName(f"{self.stream_id}-{self.runs}")
-                 .format("parquet").partitionBy("__run").option("path", self.sink)
-                 .option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start())
+        run, sink = time.time_ns(), f"{self.position}/rows"
+        query = (self.rows.withColumn("__run", F.lit(run)).writeStream.queryName(f"{self.stream_id}-{run}")
+                 .format("parquet").partitionBy("__run").option("path", sink)
+                 .option("checkpointLocation", f"{self.position}/checkpoint").trigger(availableNow=True).start())
         try:
             query.awaitTermination()
         finally:
@@ -98,10 +96,10 @@ class Stream:
             new = sum(p.numInputRows for p in query.recentProgress)
             self.read += new
         if new:
-            schema = StructType([*self.rows.schema.fields, StructField("__run", IntegerType())])
-            got = own.read.schema(schema).parquet(self.sink)
+            schema = StructType([*self.rows.schema.fields, StructField("__run", LongType())])
+            got = own.read.schema(schema).parquet(sink)
             got.where(F.col("__run") > self.done).drop("__run").write.insertInto(self.table)
-        self.done = self.runs
+        self.done = run
 
 
 _COLUMNS = r"\(((?:[^()]|\([^()]*\))*)\)"
@@ -119,14 +117,19 @@ class CaseSession:
     Statements that Spark does not have: ``use application`` names the application (variable ``app``; creating and
     dropping one does nothing), ``create stream`` makes a streaming view of a topic below ``topics``, ``stop streamjob``
     ends a stream, and an insert with a ``stream`` directive starts one, whose id is bound to ``stream<k>``.
+
+    A consumer group is an application's use of a stream view. Its stream begins at the smallest offset of its topic; only
+    with a ``no-reset`` directive at ``create stream``, and a folder of ``groups``, it goes on where the group has ended.
     """
 
-    def __init__(self, spark: SparkSession, case: str, variables: dict[str, str] | None = None, topics: str | None = None):
-        self.case, self.topics, self.variables = case, topics, dict(variables or {})
+    def __init__(self, spark: SparkSession, case: str, variables: dict[str, str] | None = None, topics: str | None = None,
+                 groups: str | None = None):
+        self.case, self.topics, self.groups, self.variables = case, topics, groups, dict(variables or {})
         self.spark = spark.__class__(spark.sparkContext, spark._jsparkSession.cloneSession())
         self.spark.conf.set("spark.sql.variable.substitute", "false")
         self.streams: dict[str, Stream] = {}
         self.sources: dict[str, str] = {}  # topic of every stream view
+        self.kept: set[str] = set()        # stream views whose group keeps its position
         self.issued: list[str] = []
         self._bound = 0
         self.ended: list[Stream] = []
@@ -134,7 +137,8 @@ class CaseSession:
     def resolve(self, text: str) -> str:
         return re.sub(VARIABLE, lambda m: self.variables.get(m[1], m[0]), text)
 
-    def issue(self, sql: str, limit_s: float, sink: str | None = None, starts_stream: bool = False) -> None:
+    def issue(self, sql: str, limit_s: float, sink: str | None = None, starts_stream: bool = False,
+              keeps_position: bool = False) -> None:
         """Run a statement under its time limit; with ``sink``, write its rendered lines there in output order."""
         if starts_stream:
             self._bound += 1
@@ -149,7 +153,7 @@ class CaseSession:
         try:
             if sink is not None:
                 self.drain()
-            df = None if starts_stream and self._start(sql) or self._other(sql) else self.spark.sql(sql)
+            df = None if starts_stream and self._start(sql) or self._other(sql, keeps_position) else self.spark.sql(sql)
             if sink is not None:
                 df = self.spark.createDataFrame([], "line string") if df is None else df
                 # written once: line order and numbers stay fixed, and a lost executor costs nothing
@@ -159,7 +163,7 @@ class CaseSession:
             timer.cancel()
             sc.removeJobTag(tag)
 
-    def _other(self, sql: str) -> bool:
+    def _other(self, sql: str, keeps_position: bool) -> bool:
         """Run a statement that is not Spark's; false where it is."""
         if m := APPLICATION.fullmatch(sql):
             if m[1].lower() == "use":
@@ -169,14 +173,14 @@ class CaseSession:
                 if k in self.streams:
                     self.ended.append(self.streams.pop(k))
         elif m := CREATE_STREAM.fullmatch(sql):
-            self._view(*m.groups())
+            self._view(*m.groups(), keeps_position)
         elif m := STREAM_AS.fullmatch(sql):
             self.spark.sql(m[2]).createOrReplaceTempView(m[1])
         else:
             return False
         return True
 
-    def _view(self, name: str, columns: str, rest: str) -> None:
+    def _view(self, name: str, columns: str, rest: str, keeps_position: bool) -> None:
         topic = re.search(TOPIC_RX, rest, re.I)
         if not topic or not self.topics:
             raise ValueError(f"stream {name} has no topic" if not topic else "no folder of topics is given")
@@ -187,6 +191,7 @@ class CaseSession:
         lines.select(*[F.try_element_at(cells, F.lit(i + 1)).try_cast(c.dataType).alias(c.name)
                        for i, c in enumerate(schema)]).createOrReplaceTempView(name)
         self.sources[name] = topic[1]
+        (self.kept.add if keeps_position else self.kept.discard)(name)
 
     def _start(self, sql: str) -> bool:
         """Start the stream of an insert that reads streams; false for any other statement."""
@@ -200,8 +205,12 @@ class CaseSession:
             raise ValueError(f"{m[1]} has {len(into)} columns, {len(rows.columns)} are given")
         rows = rows.toDF(*into.names).select(*[F.col(f"`{c.name}`").cast(c.dataType) for c in into])
         named = set(re.findall(r"[\w.`$-]+", m[2].lower()))
-        self.streams[key] = Stream(key, rows, m[1], scratch_path(self.spark, "position"),
-                                   scratch_path(self.spark, "stream"), tuple(t for v, t in self.sources.items() if v.lower() in named))
+        views = sorted(v for v in self.sources if v.lower() in named)
+        position = scratch_path(self.spark, "position")
+        if self.groups and views and self.kept.issuperset(views):
+            names = [f"{self.variables.get('app', self.case)}-{self.variables.get('database', 'default')}.{v}" for v in views]
+            position = f"{self.groups}/{'+'.join(names)}/{m[1].lower()}"
+        self.streams[key] = Stream(key, rows, m[1], position, tuple(self.sources[v] for v in views))
         self.streams[key].advance(self.spark)
         return True
 
@@ -238,7 +247,8 @@ def run_cases(spark: SparkSession, steps: Sequence[Step], targets: DataFrame, he
             for no, st in own:
                 kind, texts = st.checked, []
                 try:
-                    at.issue(st.sql, st.limit_s or limit_s, f"{folder}/case={no}" if kind else None, st.starts_stream)
+                    at.issue(st.sql, st.limit_s or limit_s, f"{folder}/case={no}" if kind else None, st.starts_stream,
+                             "no-reset" in (st.directive or ""))
                 except Exception as e:  # noqa: BLE001 - a failing step is data here
                     texts = error_texts(e)
                 if kind:

@@ -8,7 +8,8 @@ from tessera.operators.generate import gen_table
 from tessera.plans import bindings as b
 from tessera.plans.case_runner import Step, run_cases
 from tessera.plans.oracle_views import with_views
-from tessera.plans.q_generate import SAMPLE_SQL, SEED, sample_test
+from tessera.plans.q_generate import _EXCEPT as EXCEPT_SQL
+from tessera.plans.q_generate import SAMPLE_SQL, SEED, rules_spec, sample_test
 from tessera.plans.q_verify import EXACT_SQL
 from tessera.plans.registry import register
 from tessera.session import read_table, scratch_path
@@ -22,6 +23,14 @@ def q_stream_generate(spark, sf):
     return sj.drain(gen_table(spark, sample_test(), seed=SEED, ids=orders, id_col="o_orderkey"), "gen", spark)
 
 
+@register("stream_generate_rules", EXCEPT_SQL)
+def q_stream_generate_rules(spark, sf):
+    """A spec with exceptions and with a ramp that include hits hold back: their count is the stream's state."""
+    orders = sj.table_stream(spark, sf, "orders")
+    got = sj.drain(gen_table(spark, rules_spec(), seed=SEED, ids=orders, id_col="o_orderkey"), "gen-rules", spark)
+    return got.select("id", "a", "b", "c", "d", "ts")
+
+
 def _runs(jobs):
     """Two runs that both count their jobs from 0, with times after the initial (epoch) watermark."""
     o = F.lit(sj.ORIGIN_MS)

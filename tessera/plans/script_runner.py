@@ -65,12 +65,13 @@ def _steps(table: DataFrame) -> tuple[list[Step], dict[str, str]]:
 
 def run_scripts(spark: SparkSession, lines: DataFrame, golden: DataFrame, variables: Column | None = None,
                 settings: DataFrame | None = None, suite: Column | None = None, topics: str | None = None,
-                database: str = "default", default_s: int = 30, threads: int = 4,
+                groups: str | None = None, database: str = "default", default_s: int = 30, threads: int = 4,
                 failed_to: str | None = None) -> DataFrame:
     """Run a corpus: (case, target_idx, verdict, message), one row per checked step; a case is a script file.
 
     ``variables``: a map by file for ``${name}`` in scripts and golden lines. The names ``prefix``, ``app`` and
-    ``database`` have defaults; ``app`` and ``stream<k>`` change as the case runs. With ``failed_to``, what failed
+    ``database`` have defaults; ``app`` and ``stream<k>`` change as the case runs. ``topics``: the folder that
+    ``to_stream`` writes to; ``groups``: where groups keep their positions between runs. With ``failed_to``, what failed
     cases have issued is written there, one folder of statements a case.
     """
     if variables is not None:
@@ -81,7 +82,7 @@ def run_scripts(spark: SparkSession, lines: DataFrame, golden: DataFrame, variab
 
     def session(case: str) -> CaseSession:
         app = f"{suites[case]}_{case}"
-        own = CaseSession(spark, case, {"prefix": app + "_", "app": app, "database": database}, topics)
+        own = CaseSession(spark, case, {"prefix": app + "_", "app": app, "database": database}, topics, groups)
         own.spark.sql(f"use {database}")
         sessions[case] = own
         return own

@@ -1,12 +1,14 @@
 import math
+import time
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators.generate import ColumnSpec, Rule, TableSpec, gen_table
+from tessera.operators.generate import ColumnSpec, Rule, TableSpec, gen_table, paced_ids
 from tessera.plans.q_generate import rules_spec, sample_test
 from tessera.sources.specs import generate_script, merge_rules, parse_specs
+from tessera.streaming import jobs as sj
 
 SAMPLE = """table: test : 20
 row:{ l1 int, l2 float, l3 string,l4 timestamp}
@@ -105,16 +107,50 @@ def test_ramp_draws_skip_include_hits(spark):
     assert [int((t - datetime(1970, 1, 1, 7)).total_seconds()) for t in ramp] == [k // 10 for k in range(len(ramp))]
 
 
-def test_ramp_with_include_is_refused_on_a_stream(spark, tmp_path):
-    path = str(tmp_path / "ids")
-    spark.range(5).write.parquet(path)
-    ids = spark.readStream.schema("id long").parquet(path)
-    ramp = ColumnSpec("ts", "timestamp", start=0, delta=1, frequency=10)
-    assert gen_table(spark, TableSpec("t", 5, [ramp]), ids=ids).isStreaming
-    ramp.rules = [Rule("1970-01-01 09:00:00", 0.5, "include")]
-    with pytest.raises(ValueError, match="include rules"):
-        gen_table(spark, TableSpec("t", 5, [ramp]), ids=ids)
-
+RAMP = TableSpec("held", 50, [ColumnSpec("t", "timestamp", [Rule("1970-01-01 09:00:00", 0.3, "include")],
+                                         start=3, delta=2, frequency=2), ColumnSpec("k", "int")])
+
+
+def test_ramp_held_back_by_include_hits_on_a_stream(spark, tmp_path):
+    """The count of hits is carried over batches: the stream equals the table."""
+    src = str(tmp_path / "src")
+    for k in range(5):
+        spark.range(k * 30, k * 30 + 30).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # files come in the order of their times
+    own = sj.streaming_session(spark)
+    ids = own.readStream.schema("id long").option("maxFilesPerTrigger", 2).parquet(src)
+    got = sj.drain(gen_table(own, RAMP, seed=9, ids=ids), "held", spark)
+    want = gen_table(spark, RAMP, n=150, seed=9)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_paced_generation(spark, tmp_path):
+    """Ten rows a second of event time; batches of a running query equal the table."""
+    own = sj.streaming_session(spark)
+    stream = gen_table(own, RAMP, seed=9, ids=paced_ids(own))
+    q = (stream.writeStream.format("parquet").option("path", str(tmp_path / "sink"))
+         .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(processingTime="0 seconds").start())
+    end = time.monotonic() + 120
+    while len(q.recentProgress) < 3 and q.isActive and time.monotonic() < end:
+        time.sleep(0.5)
+    q.stop()
+    got = spark.read.schema(stream.schema).parquet(str(tmp_path / "sink"))
+    n = got.count()
+    assert n >= 20 and n % 10 == 0
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, gen_table(spark, RAMP, n=n, seed=9).collect()))
+    ts = paced_ids(spark)
+    assert ts.isStreaming and ts.columns == ["id", "ts"]
+
+
+def test_ids_that_go_back_are_refused_on_a_stream(spark, tmp_path):
+    src = str(tmp_path / "src")
+    own = sj.streaming_session(spark)
+    for k in (3, 1):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # files come in the order of their times
+    ids = own.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(src)
+    with pytest.raises(Exception, match="comes after id 39"):
+        sj.drain(gen_table(own, RAMP, seed=9, ids=ids), "back", spark)
 
 def test_spec_parser_on_sample(spark):
     lines = spark.createDataFrame([("f", i, l) for i, l in enumerate(SAMPLE.split("\n"))],

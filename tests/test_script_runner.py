@@ -159,3 +159,24 @@ def test_wrong_streams_are_errors(spark, database, tmp_path):
     golden = {"w": ["### start", "stream s has no topic", "### end", "### start", ".* has 1 columns, 2 are given", "### end"]}
     got = run_scripts(spark, lines(spark, files), lines(spark, golden), topics=topics, database=database)
     assert [r.verdict for r in got.orderBy("target_idx").collect()][0] == "Pass"
+
+
+def test_a_kept_group_goes_on_and_a_reset_one_starts_anew(spark, database, tmp_path):
+    path, groups = str(tmp_path / "topics"), str(tmp_path / "groups")
+    topics = topic_folder(spark, path, 10)
+
+    def run(keeps, k):
+        own = CaseSession(spark, "g", {"prefix": "g_", "app": "app", "database": "db"}, topics, groups)
+        own.spark.sql(f"use {database}")
+        own.issue("create table if not exists g_t(a bigint)", 30)
+        own.issue("truncate table g_t", 30)
+        own.issue('create stream s(a bigint) tblproperties("topic"="top")', 30, keeps_position=keeps)
+        own.issue("insert into g_t select a from s", 30, starts_stream=True)
+        return own.spark.table("g_t").count()
+
+    assert run(True, 0) == 10
+    to_stream(spark.range(5).withColumn("value", F.lit("7")), "top", path)
+    assert run(True, 1) == 5 and run(True, 2) == 0  # goes on
+    assert run(False, 3) == 15                      # from the smallest offset
+    to_stream(spark.range(2).withColumn("value", F.lit("8")), "top", path)
+    assert run(True, 4) == 2                        # a reset of another run has not moved the group
