@@ -144,27 +144,42 @@ def verify_targets(out: DataFrame, heads: DataFrame, tgt: DataFrame, keys: Seque
     has not received its data. Output: keys, mode, n_out, verdict, message (null where it passes).
     """
     keys = list(keys)
-    first = tgt.where(F.col("row_idx") == 0).select(*keys, F.col("pattern").alias("header"))
-    modes = target_mode(heads.select(*keys).join(first, keys, "left"))
-    pick = lambda df, mode: df.join(modes.where(F.col("mode") == mode).select(*keys), keys, "left_semi")
-    body = lambda mode: pick(tgt, mode).where(F.col("row_idx") > 0).withColumn("row_idx", F.col("row_idx") - 1)
-    of = lambda mode: modes.where(F.col("mode") == mode)
-
-    exact = verify_exact(pick(out, "match"), pick(tgt, "match"), keys, of("match"))
-    exact = exact.select(*keys, "verdict", F.when(F.col("verdict") == LINES_NOT_MATCH, F.concat_ws(
-        "", F.lit("line "), F.col("first_diff_idx").cast("string"), F.lit(": "), "diff_line", F.lit(" | "),
-        "diff_pattern")).when(F.col("verdict") == LINE_COUNT_DIFF, F.concat_ws(
-            "", F.col("n_out").cast("string"), F.lit(" lines, expected "), F.col("n_tgt").cast("string"))).alias("message"))
-    inc = verify_include(pick(out, "include"), body("include"), keys, of("include"))
-    inc = inc.select(*keys, "verdict", F.when(F.col("verdict") != PASS, F.concat_ws(
-        "", F.col("n_matched").cast("string"), F.lit(" of "), F.col("n_targets").cast("string"),
-        F.lit(" lines found in order"))).alias("message"))
-    exc = verify_exclude(pick(out, "exclude"), body("exclude"), keys, of("exclude"))
-    exc = exc.select(*keys, "verdict", F.when(F.col("verdict") != PASS, F.concat_ws(
-        "", F.col("n_hits").cast("string"), F.lit(" excluded lines"))).alias("message"))
-    counts = out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_out"))
-    got = modes.join(exact.unionByName(inc).unionByName(exc), keys, "left").join(counts, keys, "left")
-    n = F.coalesce("n_out", F.lit(0))
+    at = lambda i: F.max(F.when(F.col("row_idx") == i, F.col("pattern")))
+    head = tgt.where(F.col("row_idx") <= 1).groupBy(*keys).agg(at(0).alias("header"), at(1).alias("__first"))
+    modes = target_mode(heads.select(*keys).join(head, keys, "left"))
+    only = lambda df, mode: df.join(modes.where(F.col("mode") == mode).select(*keys), keys, "left_semi")
+
+    # all modes but include: a row meets its target's mode once and, in an exact target, its golden line
+    unwanted = F.when(F.col("mode") == "exclude", compile_pattern(F.col("__first"))).alias("__not")
+    rows = (out.select(*keys, "row_idx", "line").join(modes.select(*keys, unwanted), keys)
+            .select(*keys, "row_idx", "line", match_compiled(F.col("line"), F.col("__not")).alias("__hit")))
+    golden = only(tgt, "match").select(*keys, "row_idx", "pattern", compile_pattern(F.col("pattern")).alias("__rx"))
+    line, pattern = F.col("line"), F.col("pattern")
+    differs = (line.isNotNull() & pattern.isNotNull() & (line != pattern) & ~match_compiled(line, F.col("__rx")))
+    bad = F.when(F.col("__differs"), F.col("row_idx"))
+    exact = (rows.join(golden, [*keys, "row_idx"], "full_outer")
+             .select(*keys, "row_idx", "line", "pattern", "__hit", differs.alias("__differs"))
+             .groupBy(*keys).agg(F.count("line").alias("n_out"), F.count("pattern").alias("__n_tgt"),
+                                 F.count_if("__differs").alias("__n_diff"), F.min(bad).alias("__at"),
+                                 F.min_by(F.struct("line", "pattern"), bad).alias("__pair"),
+                                 F.count_if("__hit").alias("__n_hits")))
+    body = only(tgt, "include").where(F.col("row_idx") > 0).withColumn("row_idx", F.col("row_idx") - 1)
+    inc = verify_include(only(out, "include"), body, keys, modes.where(F.col("mode") == "include"))
+    got = (modes.join(exact, keys, "left")
+           .join(inc.select(*keys, F.col("n_targets").alias("__want"), F.col("n_matched").alias("__found")), keys, "left"))
+    text = lambda c: F.col(c).cast("string")
+    n, n_tgt, n_diff, n_hits = (F.coalesce(c, F.lit(0)) for c in ("n_out", "__n_tgt", "__n_diff", "__n_hits"))
+    of = {"match": (F.when(n != n_tgt, LINE_COUNT_DIFF).when(n_diff > 0, LINES_NOT_MATCH).otherwise(PASS), F.when(
+              n != n_tgt, F.concat_ws("", n.cast("string"), F.lit(" lines, expected "), n_tgt.cast("string"))).when(
+              n_diff > 0, F.concat_ws("", F.lit("line "), text("__at"), F.lit(": "), F.col("__pair.line"), F.lit(" | "),
+                                      F.col("__pair.pattern")))),
+          "include": (F.when(F.col("__want") == F.col("__found"), PASS).otherwise(LINES_INCLUDE), F.when(
+              F.col("__want") != F.col("__found"),
+              F.concat_ws("", text("__found"), F.lit(" of "), text("__want"), F.lit(" lines found in order")))),
+          "exclude": (F.when(n_hits == 0, PASS).otherwise(LINES_EXCLUDE), F.when(
+              n_hits > 0, F.concat_ws("", n_hits.cast("string"), F.lit(" excluded lines"))))}
+    pick = lambda i: F.coalesce(*[F.when(F.col("mode") == m, x[i]) for m, x in of.items()])
+    got = got.withColumns({"verdict": pick(0), "message": pick(1)})
     if lags is None:
         got = got.withColumn("__lag", F.lit(None).cast("string"))
     else:
