@@ -1,7 +1,8 @@
 """Benchmark decontamination: BM25 over test items, searched with block-max WAND.
 
-The test items are the index (bounded by ``max_index_bytes``, checked); every passage of every
-document is a query. Impacts are BM25 weights divided by the item's own score, so an item that
+The test items are the index; every passage of every document is a query. An index goes to every task, so items beyond
+``part_bytes`` are cut into parts, each with an index of its own over the statistics of all items; documents are
+searched with one part after the other, and the results are those of a single index. Impacts are BM25 weights divided by the item's own score, so an item that
 lies whole in a passage scores 1 and one threshold serves all items. A passage is a window
 of ``width`` words every ``width / 2`` words, with ``width`` at least twice the longest item:
 every item-long stretch of a document lies whole in some passage.
@@ -29,7 +30,10 @@ from __future__ import annotations
 
 import string
 from bisect import bisect_left
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +41,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import distinct, flat_words, ranges, slices
+from tessera.llm.common import distinct, flat_words, ranges, save, slices
 
 K1, B = 1.2, 0.75
+PART_BYTES = 2 << 20  # of items in one index, which takes some 90 times as much memory
 PUNCT = string.punctuation
 
 
@@ -82,8 +87,20 @@ class Index:
     block_top: dict  # term * blocks + block: largest impact
 
 
-def build_index(items: list[tuple], shingle: int, block: int = 2, assumed: bool = False) -> Index:
-    """``items``: (id, question words, answer words); ``assumed``: the answers are no more than a guess."""
+@dataclass
+class Corpus:
+    """What BM25 needs to know of all items where an index holds a part of them."""
+
+    n: int  # items with any word
+    words: int
+    longest: int
+    counts: Callable[[list[str]], dict[str, int]]  # of given terms: the items that hold them
+
+
+def build_index(items: list[tuple], shingle: int, block: int = 2, assumed: bool = False,
+                corpus: Corpus | None = None) -> Index:
+    """``items``: (id, question words, answer words); ``assumed``: the answers are no more than a guess; ``corpus``:
+    the statistics of all items, if these are a part of them."""
     vocab: dict[str, int] = {}
     docs = [(i, [vocab.setdefault(w, len(vocab)) for w in q], [vocab.setdefault(w, len(vocab)) for w in a])
             for i, q, a in items if q or a]
@@ -92,7 +109,11 @@ def build_index(items: list[tuple], shingle: int, block: int = 2, assumed: bool
     df = np.zeros(len(vocab) + 1, np.int64)
     for _, q, a in docs:
         df[list(set(q + a))] += 1
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+    total = n
+    if corpus:
+        total, mean, known = corpus.n, corpus.words / max(corpus.n, 1), corpus.counts(list(vocab))
+        df[:len(vocab)] = [known[w] for w in vocab]
+    idf = np.log1p((total - df + 0.5) / (df + 0.5))
     post: list[list[tuple[int, float]]] = [[] for _ in vocab]
     for j, (_, q, a) in enumerate(docs):
         ids, tf = np.unique(q + a, return_counts=True)
@@ -118,7 +139,7 @@ def build_index(items: list[tuple], shingle: int, block: int = 2, assumed: bool
         [(sh(q + a), set(a), len(q + a)) for _, q, a in docs] if assumed else None, start, it, imp,
         np.array(b_start), np.array(b_block, np.int64), np.array(b_top), block,
         np.array([max(x for _, x in p) for p in post] or [0.0]), np.diff(b_start) * 5 > blocks, blocks,
-        max([len(q) + len(a) for _, q, a in docs], default=0),
+        corpus.longest if corpus else max([len(q) + len(a) for _, q, a in docs], default=0),
         tuple(sorted({min(shingle, len(x)) for _, q, a in docs for x in (q, a) if x})), it.tolist(), imp.tolist(),
         [(lo, hi, max(x for _, x in p)) for lo, hi, p in zip(start.tolist(), start[1:].tolist(), post)],
         {t * blocks + k: x for t in range(len(post))
@@ -265,40 +286,100 @@ def search_slice(ix: Index, ids: np.ndarray, at: np.ndarray, width: int, least:
     return out
 
 
+def _item_words(q: pa.Array, a: pa.Array) -> list[tuple[list[str], list[str]]]:
+    """The words of questions and answers."""
+    both = []
+    for col in (q, a):
+        words, at = terms_of(pc.fill_null(col, ""))
+        words = words.to_pylist()
+        both.append([[w for w in words[x:z] if w] for x, z in zip(at[:-1].tolist(), at[1:].tolist())])
+    return list(zip(*both))
+
+
+def _corpus(rows: DataFrame) -> Corpus:
+    """Statistics of all items, by a distributed count of their terms."""
+    def run(batches):
+        for b in slices(batches, "q"):
+            df, n, total, longest = Counter(), 0, 0, 0
+            for q, a in _item_words(b.column("q"), b.column("a")):
+                df.update(set(q + a))
+                size = len(q) + len(a)
+                n, total, longest = n + (size > 0), total + size, max(longest, size)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*df, None], pa.string()), pa.array([*df.values(), n]), pa.array([0] * len(df) + [total]),
+                 pa.array([0] * len(df) + [longest])], ["term", "n", "words", "longest"])
+
+    part = rows.select("q", "a").mapInArrow(run, "term string, n long, words long, longest long")
+    known = save(part.groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"),
+                                          F.max("longest").alias("longest")), "terms")
+    whole = known.where(F.col("term").isNull()).first()
+
+    def counts(terms: list[str]) -> dict[str, int]:
+        asked = rows.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+        return {r.term: r.n for r in asked.join(known.select("term", "n"), "term").toLocalIterator()}
+    return Corpus(whole.n, whole.words, whole.longest, counts)
+
+
 def read_items(items: DataFrame, id_col: str, question_col: str, answer_col: str | None,
-               max_index_bytes: int) -> list[tuple]:
-    cols = [F.col(id_col).alias("id"), F.col(question_col).alias("q"),
-            (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("a")]
-    rows = items.select(*cols)
-    size = rows.agg(F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "q", "a")) + 64), F.lit(0))).first()[0]
-    if size > max_index_bytes:
-        raise ValueError(f"the test items take {size} bytes; an index goes to every task and may take "
-                         f"{max_index_bytes}: pass it in parts")
-    out = []
-    for x in rows.orderBy("id", "q").toLocalIterator():
-        words = [terms_of(pa.array([v or ""]))[0].to_pylist() for v in (x["q"], x["a"])]
-        q, a = ([w for w in v if w] for v in words)
-        if not answer_col:
-            k = len(q) - len(q) // 3
-            q, a = q[:k], q[k:]
-        out.append((x["id"], q, a))
-    return out
+               part_bytes: int) -> tuple[Corpus | None, Iterator[list[tuple]]]:
+    """Parts of the items as (id, question words, answer words), read one after the other; with more than one, what an
+    index needs to know of all items."""
+    rows = items.select(F.col(id_col).alias("id"), F.col(question_col).alias("q"),
+                        (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("a"))
+    weight = F.octet_length(F.concat_ws(" ", "q", "a")) + 64
+    size = rows.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+
+    def parts() -> Iterator[list[tuple]]:
+        out, held = [], 0
+        for x in rows.withColumn("size", weight).orderBy("id", "q", "a").toLocalIterator():
+            if out and held + x["size"] > part_bytes:
+                yield out
+                out, held = [], 0
+            held += x["size"]
+            q, a = _item_words(pa.array([x["q"]], pa.string()), pa.array([x["a"]], pa.string()))[0]
+            if not answer_col:
+                k = len(q) - len(q) // 3
+                q, a = q[:k], q[k:]
+            out.append((x["id"], q, a))
+        yield out
+    return _corpus(rows) if size > part_bytes else None, parts()
 
 
 def find_items(docs: DataFrame, items: DataFrame, least: float = 0.7, q_share: float = 0.6,
                a_share: float = 0.6, edited_share: float = 0.5, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text",
                item_id_col: str = "item_id", question_col: str = "text", answer_col: str | None = None,
-               max_index_bytes: int = 64 << 20, keep: bool = False) -> DataFrame:
+               part_bytes: int = PART_BYTES, keep: bool = False) -> DataFrame:
     """One row per document and item found in it: (doc_id, item_id, passages, score, question_share,
     answer_share), the shares and score of the best passage.
 
     ``keep``: instead give every input row, with an added column ``leaked`` (the item ids found; it replaces one of
     that name).
     """
-    ix = build_index(read_items(items, item_id_col, question_col, answer_col, max_index_bytes), shingle,
-                     assumed=not answer_col)
+    corpus, parts = read_items(items, item_id_col, question_col, answer_col, part_bytes)
+    search = dict(least=least, q_share=q_share, a_share=a_share, edited_share=edited_share, text_col=text_col)
+    indexes = (build_index(part, shingle, assumed=not answer_col, corpus=corpus) for part in parts)
+    if keep and corpus is None:
+        return _search(docs.drop("leaked"), next(indexes), keep=True, **search)
+    if not keep:
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col)
+        return reduce(DataFrame.unionByName, (_search(rows, ix, **search) for ix in indexes))
+    # more than one index: rows that are equal in id and text find the same items
+    key = F.xxhash64(F.coalesce(text_col, F.lit("")), F.col(id_col).isNull())
+    keyed = docs.drop("leaked").withColumns({"__id0": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__key": key})
+    rows = keyed.select("__id0", "__key", text_col)
+    pairs = reduce(DataFrame.unionByName, (_search(rows, ix, **search) for ix in indexes))
+    leaked = pairs.groupBy("__id0", "__key").agg(F.array_sort(F.collect_set("item_id")).alias("leaked"))
+    none = F.array().cast("array<bigint>")
+    return (keyed.join(leaked, ["__id0", "__key"], "left")
+            .select(*[F.col(f"`{c}`") for c in docs.columns if c != "leaked"], F.coalesce("leaked", none).alias("leaked")))
+
+
+def _search(docs: DataFrame, ix: Index, least: float, q_share: float, a_share: float, edited_share: float,
+            text_col: str, keep: bool = False) -> DataFrame:
+    """The pairs of one index, with the columns of ``docs`` but the text; or with ``keep`` every row and ``leaked``."""
     width = 2 * max(ix.longest, 16)
-    shared = docs.sparkSession.sparkContext.broadcast(ix)  # at most max_index_bytes of text
+    shared = docs.sparkSession.sparkContext.broadcast(ix)  # of at most part_bytes of items
+    own = [c for c in docs.columns if c != text_col]
 
     def found(b):
         ix = shared.value
@@ -318,14 +399,13 @@ def find_items(docs: DataFrame, items: DataFrame, least: float = 0.7, q_share: f
                 x[0] += 1
                 if (q + a, score) > (x[2] + x[3], x[1]):
                     x[1:] = score, q, a
-            ids = b.column(id_col)
-            rows = [(ids[r].as_py(), shared.value.item_ids[i], *x) for (r, i), x in sorted(best.items())]
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("doc_id", "item_id", "passages", "score", "question_share", "answer_share"), v))
-                 for v in rows],
-                schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("passages", pa.int64()),
-                                  ("score", pa.float64()), ("question_share", pa.float64()),
-                                  ("answer_share", pa.float64())]))
+            hits = sorted(best.items())
+            at = pa.array([r for (r, _), _ in hits], pa.int64())
+            passages, score, q, a = zip(*(x for _, x in hits)) if hits else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(c).take(at) for c in own], pa.array([shared.value.item_ids[i] for (_, i), _ in hits], pa.int64()),
+                 pa.array(passages, pa.int64()), *[pa.array(x, pa.float64()) for x in (score, q, a)]],
+                [*own, "item_id", "passages", "score", "question_share", "answer_share"])
 
     def marks(batches):
         for b in slices(batches, text_col):
@@ -336,10 +416,8 @@ def find_items(docs: DataFrame, items: DataFrame, least: float = 0.7, q_share: f
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaked, pa.list_(pa.int64()))],
                                              [*b.schema.names, "leaked"])
 
+    kinds = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields}
     if keep:
-        docs = docs.drop("leaked")  # the new one replaces it
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        return docs.mapInArrow(marks, f"{kinds}, leaked array<long>")
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    return rows.mapInArrow(pairs, "doc_id long, item_id long, passages long, score double, "
+        return docs.mapInArrow(marks, f"{', '.join(kinds.values())}, leaked array<long>")
+    return docs.mapInArrow(pairs, f"{', '.join(kinds[c] for c in own)}, item_id long, passages long, score double, "
                                   "question_share double, answer_share double")

@@ -297,6 +297,27 @@ def test_decontamination_equals_plain(spark):
     assert not [x for x in found if x[1] in (50, 51, 52, 54)]
 
 
+def test_items_in_parts_give_what_one_index_gives(spark):
+    r = random.Random(8)
+    words = vocabulary(500, 8)
+    items = [(i, " ".join(r.choice(words) for _ in range(r.randint(6, 30)))) for i in range(40)] + [(90, None), (91, "")]
+    rows = [(i, " ".join(r.choice(words) for _ in range(30)) + " " + items[i % 40][1] + " x " + items[i * 7 % 40][1])
+            for i in range(60)] + awkward_docs()
+    docs = frame(spark, rows, extra=("id", "leaked", "term", "n", "item_id"))
+    its = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda df: Counter((x.doc_id, x.item_id, x.passages, round(x.score, 9), x.question_share, x.answer_share)
+                             for x in df.collect())
+    whole = key(decontam.find_items(docs, its))
+    assert len(whole) > 100
+    assert key(decontam.find_items(docs, its, part_bytes=1500)) == whole
+    corpus, parts = decontam.read_items(its, "item_id", "text", None, 1500)
+    assert corpus.n == 40 and len(list(parts)) > 3
+    kept = [decontam.find_items(docs, its, part_bytes=b, keep=True) for b in (1 << 20, 1500)]
+    assert kept[0].columns == kept[1].columns
+    a, b = (Counter((x.doc_id, x.text, tuple(x.leaked)) for x in k.collect()) for k in kept)
+    assert a == b and sum(a.values()) == len(rows)
+
+
 def test_decontamination_finds_edited_items(spark):
     words = vocabulary(400, 11)
     short, long = words[:15], words[20:57]
