@@ -235,8 +235,8 @@ def eventually_pass(snapshots: DataFrame, n_targets: int, limit_ms: int,
 
 
 # ------------------------------------------------------------------ include
-BLOCKS = 256  # at most so many blocks a target, of at least MIN_BLOCK matched rows
-MIN_BLOCK = 4096
+BLOCKS = 256  # blocks are composed by so many; a target has at most the square of it
+MIN_BLOCK = 4096  # matched rows a block
 
 
 def golden_lists(tgt: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -249,7 +249,8 @@ def matched_rows(out: DataFrame, lists: DataFrame, keys: Sequence[str]) -> DataF
     """(keys, row_idx, classes): output rows that match some target line, by the lines' class numbers.
 
     Equal target lines are one class: the place of the first. Lines that match as text meet by an equi-join on
-    their tokens; only target lines with regular expressions are tested against their target's rows one by one.
+    their tokens. A line with regular expressions meets, by an equi-join too, the rows that have as many tokens and its
+    first plain token in its place (without any plain token: the rows with as many tokens); only those are tested.
     """
     keys = list(keys)
     key = lambda c: F.array_join(tokens(F.col(c)), " ")
@@ -258,8 +259,18 @@ def matched_rows(out: DataFrame, lists: DataFrame, keys: Sequence[str]) -> DataF
                          F.col("pattern").rlike(_META).alias("__meta"), compile_pattern(F.col("pattern")).alias("__rx"))
     rows = out.select(*keys, "row_idx", "line", key("line").alias("__text"))
     plain = rows.join(lines.drop("__meta", "__rx"), [*keys, "__text"]).select(*keys, "row_idx", "class")
-    rx = lines.where("__meta").select(*keys, "class", "__rx", F.col("__text").alias("__own"))
-    other = (rows.join(rx, keys).where((F.col("__text") != F.col("__own")) & match_compiled(F.col("line"), F.col("__rx")))
+    fixed = F.filter(F.transform("__rx", lambda t, i: F.when(t["rx"].isNull(), F.struct(i.alias("at"), t["text"].alias("text")))),
+                     lambda x: x.isNotNull())
+    probe = F.coalesce(F.get(fixed, F.lit(0)), F.struct(F.lit(-1).alias("at"), F.lit("").alias("text")))
+    rx = (lines.where("__meta").select(*keys, "class", "__rx", F.col("__text").alias("__own"), F.size("__rx").alias("__k"),
+                                       probe.alias("__p"))
+          .select("*", F.col("__p.at").alias("__at"), F.col("__p.text").alias("__token")).drop("__p"))
+    places = rx.select(*keys, "__k", "__at").distinct()
+    told = rows.withColumn("__tokens", tokens(F.col("line"))).withColumn("__k", F.size("__tokens"))
+    told = told.join(places, [*keys, "__k"]).withColumn(
+        "__token", F.when(F.col("__at") < 0, "").otherwise(F.get("__tokens", F.col("__at"))))
+    other = (told.join(rx, [*keys, "__k", "__at", "__token"])
+             .where((F.col("__text") != F.col("__own")) & match_compiled(F.col("line"), F.col("__rx")))
              .select(*keys, "row_idx", "class"))
     return plain.unionByName(other).groupBy(*keys, "row_idx").agg(F.collect_set("class").alias("classes"))
 
@@ -268,9 +279,9 @@ def verify_include(out: DataFrame, tgt: DataFrame, keys: Sequence[str] = ("case_
                    heads: DataFrame | None = None) -> DataFrame:
     """Target lines must occur in the output in order (greedy subsequence).
 
-    The matched rows of a target are cut into blocks. A block maps every pointer it may be entered with to the one
-    it is left with, in its own task; the maps of a target's blocks (at most ``BLOCKS``) are then applied in
-    order. Output: keys, n_targets, n_matched, verdict; without lines a target passes.
+    The matched rows of a target are cut into blocks of about ``MIN_BLOCK`` rows. A block maps every pointer it may be
+    entered with to the one it is left with, in its own task; the maps of ``BLOCKS`` neighbours are composed to one, and
+    those of a target are applied in order. Output: keys, n_targets, n_matched, verdict; without lines a target passes.
     """
     keys = list(keys)
     lists = golden_lists(tgt, keys)
@@ -278,7 +289,7 @@ def verify_include(out: DataFrame, tgt: DataFrame, keys: Sequence[str] = ("case_
     rows = matched_rows(out, lists, keys)
     span = rows.groupBy(*keys).agg(
         F.min("row_idx").alias("__lo"), F.max("row_idx").alias("__hi"),
-        F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.ceil(F.count(F.lit(1)) / MIN_BLOCK))).alias("__n"))
+        F.greatest(F.lit(1), F.least(F.lit(BLOCKS * BLOCKS), F.ceil(F.count(F.lit(1)) / MIN_BLOCK))).alias("__n"))
     cut = rows.join(span, keys).withColumn(
         "__block", F.floor((F.col("row_idx") - F.col("__lo")) * F.col("__n") / (F.col("__hi") - F.col("__lo") + 1)))
     blocks = (cut.groupBy(*keys, "__block")
@@ -290,9 +301,14 @@ def verify_include(out: DataFrame, tgt: DataFrame, keys: Sequence[str] = ("case_
     last = F.when(F.col("__block") == 0, F.lit(0)).otherwise(F.size("__want"))
     maps = blocks.select(*keys, "__block", F.transform(
         F.sequence(F.lit(0), last), lambda p: F.aggregate("__rows", p, step)).alias("__to"))
-    ends = (maps.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__block", "__to"))),
-                                                lambda x: x["__to"]).alias("__maps"))
-            .select(*keys, F.aggregate("__maps", F.lit(0), lambda p, m: F.get(m, p)).alias("n_matched")))
+    in_order = lambda no: F.transform(F.array_sort(F.collect_list(F.struct(no, "__to"))), lambda x: x["__to"])
+    follow = lambda p: F.aggregate("__maps", p, lambda q, m: F.get(m, q))
+    # a composed map is entered with the pointers that its first block is entered with
+    maps = (maps.groupBy(*keys, F.floor(F.col("__block") / BLOCKS).alias("__part")).agg(in_order("__block").alias("__maps"))
+            .select(*keys, "__part", F.transform(F.sequence(F.lit(0), F.size(F.get("__maps", F.lit(0))) - 1), follow)
+                    .alias("__to")))
+    ends = (maps.groupBy(*keys).agg(in_order("__part").alias("__maps"))
+            .select(*keys, follow(F.lit(0)).alias("n_matched")))
     sizes = want.select(*keys, F.size("__want").alias("n_targets"))
     res = (sizes if heads is None else heads.select(*keys).join(sizes, keys, "left")).join(ends, keys, "left")
     n_t, n_m = (F.coalesce(c, F.lit(0)).cast("long") for c in ("n_targets", "n_matched"))

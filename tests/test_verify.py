@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import verify as vf
@@ -57,16 +58,19 @@ def test_case_outcome_first_failure_decides(spark):
     assert got == {1: (False, 1, "LinesNotMatch"), 2: (True, None, None)}
 
 
-def test_include_in_blocks_equals_a_plain_scan(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [256, 3])
+def test_include_in_blocks_equals_a_plain_scan(spark, monkeypatch, blocks):
     import random
     monkeypatch.setattr(vf, "MIN_BLOCK", 5)
+    monkeypatch.setattr(vf, "BLOCKS", blocks)
     r = random.Random(2)
     words = ["a", "b", "c 1", "c 2", "x y"]
     out, tgt = {}, {}
     for case in range(12):
         out[case] = [r.choice(words) for _ in range(r.randint(0, 60))]
-        tgt[case] = [r.choice(words + ["c [0-9]++", "[a-z&&[^b]]", "(", "q"]) for _ in range(r.randint(0, 12))]
-    line = lambda w, p: {"c [0-9]++": w.startswith("c "), "[a-z&&[^b]]": w == "a"}.get(p, w == p)
+        tgt[case] = [r.choice(words + ["c [0-9]++", "[a-z&&[^b]]", "(", "q", "[xq] y", "[a-z] [0-9y]"]) for _ in range(r.randint(0, 12))]
+    line = lambda w, p: {"c [0-9]++": w.startswith("c "), "[a-z&&[^b]]": w == "a",
+                         "[xq] y": w == "x y", "[a-z] [0-9y]": " " in w}.get(p, w == p)
     want = {}
     for case in out:
         p = 0
