@@ -31,7 +31,8 @@ from tessera.llm.common import flat_words, input_bytes, ranges, slices
 from tessera.llm.substr import _mix, rolling, word_hashes
 
 SHINGLE, BINS, BITS = 5, 512, 4
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 16 << 20  # of text in a range of ids
+RANGES = 4              # a task: hashed, one range a task would leave many tasks idle and some with several
 PROBES = 24  # bins tried one by one; rarer cases look at all filled bins at once, with the same result
 
 
@@ -135,9 +136,10 @@ def _key(doc: int | None, h: int) -> tuple:
 def _bounds(rows: DataFrame) -> list[tuple]:
     """The least (id, hash) of each of the ranges that the rows are cut into, ascending.
 
-    Only ids and hashes are shuffled; one entry for ``RANGE_BYTES`` of text (or shuffle partition) reaches the driver.
+    Only ids and hashes are shuffled; one entry for ``RANGE_BYTES`` of text (or ``RANGES`` a shuffle partition) reaches
+    the driver.
     """
-    count = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+    count = max(RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                 input_bytes(rows, "text") // RANGE_BYTES)
     first = (rows.select("doc_id", "h").repartitionByRange(count, "doc_id", "h")
              .groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("doc_id", "h")).alias("k")))
@@ -176,7 +178,7 @@ def edits(docs: DataFrame, part: int = 4, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     size = (shingle, bins, bits)
     bounds = _bounds(rows)
-    dealt = (_deal(rows, bounds, size).repartition(max(len(bounds), 1), "range")
+    dealt = (_deal(rows, bounds, size).repartition(-(-len(bounds) // RANGES) or 1, "range")
              .sortWithinPartitions("range", "guest", "doc_id", "h", "text")
              .drop("h"))
 
