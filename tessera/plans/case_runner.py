@@ -294,9 +294,11 @@ def _results(spark: SparkSession, folder: str, issued: list[tuple]) -> DataFrame
 
 
 def poll_case(spark: SparkSession, steps: list[Step], targets: DataFrame, limit_s: float = 30,
-              interval_s: float = 2, lags=None) -> tuple[bool, int, str | None]:
+              interval_s: float = 2, lags=None, step_s: float = 30) -> tuple[bool, int, str | None]:
     """Repeat one case until it passes or ``limit_s`` is over: (passed, targets passed, last message).
 
+    No round begins after the limit; a step of one that has begun may take ``step_s``.
+
     Targets that have passed stay passed: a new round begins with the first step that has not.
     """
     end, at, passed = time.monotonic() + limit_s, 0, 0
@@ -305,12 +307,11 @@ def poll_case(spark: SparkSession, steps: list[Step], targets: DataFrame, limit_
         message = None
         for i in range(at, len(steps)):
             at = i
-            left = max(end - time.monotonic(), 0.1)
             if steps[i].checked is None:
-                run_cases(spark, [steps[i]], targets.limit(0), limit_s=left, session=lambda _: own)
+                run_cases(spark, [steps[i]], targets.limit(0), limit_s=step_s, session=lambda _: own)
                 continue
             want = targets.where(F.col("target_idx") == passed).withColumn("target_idx", F.lit(0))
-            got = run_cases(spark, [steps[i]], want, limit_s=left, lags=lags, session=lambda _: own).first()
+            got = run_cases(spark, [steps[i]], want, limit_s=step_s, lags=lags, session=lambda _: own).first()
             if got["verdict"] != vf.PASS:
                 message = f"target {passed}: {got['verdict']}" + (f" ({got['message']})" if got["message"] else "")
                 break
