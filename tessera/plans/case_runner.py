@@ -35,7 +35,7 @@ from tessera.operators import verify as vf
 from tessera.operators.scan import row_index
 from tessera.operators.scripts import TOPIC_RX
 from tessera.session import scratch_path
-from tessera.sources.streams import read_topic
+from tessera.sources.streams import TOPIC_SCHEMA, read_topic
 
 KEYS = ["case", "target_idx"]
 OUT_SCHEMA = "case string, target_idx int, row_idx long, line string"
@@ -74,16 +74,22 @@ class Stream:
     rows: DataFrame
     table: str
     position: str                 # folder of its checkpoint and of what it has read
+    folder: str                   # of the topics
     topics: tuple[str, ...] = ()  # that it reads
     read: int = 0                 # lines taken from its topics so far
     done: int = field(default_factory=time.time_ns)  # the last run whose rows are in the table
+    files: int = -1               # of the topics, before that run
 
     def advance(self, own: SparkSession) -> None:
         """Run to the end of the topics, then insert what has come.
 
         The checkpoint says where the last run ended, and the sink's log which files count, so no line comes twice. A
-        run's rows carry its number; those of a run that broke off are inserted with the next one's.
+        run's rows carry its number; those of a run that broke off are inserted with the next one's. Without new files
+        in the folder of topics there is nothing to run.
         """
+        files = len(own.read.schema(TOPIC_SCHEMA).parquet(self.folder).inputFiles())
+        if files == self.files:
+            return
         run, sink = time.time_ns(), f"{self.position}/rows"
         query = (self.rows.withColumn("__run", F.lit(run)).writeStream.queryName(f"{self.stream_id}-{run}")
                  .format("parquet").partitionBy("__run").option("path", sink)
@@ -99,7 +105,7 @@ class Stream:
             schema = StructType([*self.rows.schema.fields, StructField("__run", LongType())])
             got = own.read.schema(schema).parquet(sink)
             got.where(F.col("__run") > self.done).drop("__run").write.insertInto(self.table)
-        self.done = run
+        self.done, self.files = run, files
 
 
 _COLUMNS = r"\(((?:[^()]|\([^()]*\))*)\)"
@@ -210,7 +216,7 @@ class CaseSession:
         if self.groups and views and self.kept.issuperset(views):
             names = [f"{self.variables.get('app', self.case)}-{self.variables.get('database', 'default')}.{v}" for v in views]
             position = f"{self.groups}/{'+'.join(names)}/{m[1].lower()}"
-        self.streams[key] = Stream(key, rows, m[1], position, tuple(self.sources[v] for v in views))
+        self.streams[key] = Stream(key, rows, m[1], position, self.topics, tuple(self.sources[v] for v in views))
         self.streams[key].advance(self.spark)
         return True
 

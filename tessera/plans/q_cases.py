@@ -72,7 +72,7 @@ def q_script_case(spark, sf):
     spark.sql(f"create database {database} location '{scratch_path(spark, 'database')}'")
     try:
         out = run_scripts(spark, _lines(nations, SCRIPT), golden.select("file", "n", "line"), variables=table,
-                          topics=topics, database=database)
+                          topics=topics, database=database, threads=8)
     finally:
         spark.sql(f"drop database {database} cascade")
     return out.drop("message")
