@@ -9,7 +9,7 @@ heads   keys...                      one row per target, also of those without l
 ``keys`` identify a target (e.g. ``case_id`` or ``suite, case, target_idx``). ``verify_targets`` is the whole
 path: the first line of a target says how it is verified, all modes are one plan, and every target gives a
 verdict. Exact and row-count checks are one equi-join on (keys, row_idx) and one aggregate, so a giant case
-is spread over many tasks; the ordered include check cuts a case's rows into blocks whose effects compose.
+is spread over many tasks; the ordered include check stores a case's rows in blocks and follows them part by part.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import _META, compile_pattern, match_compiled, match_line, tokens
+from tessera.operators.scan import row_index
+from tessera.session import scratch_path, share
 
 PASS = "Pass"
 LINE_COUNT_DIFF = "LineCountDiff"
@@ -235,28 +237,29 @@ def eventually_pass(snapshots: DataFrame, n_targets: int, limit_ms: int,
 
 
 # ------------------------------------------------------------------ include
-BLOCKS = 256  # blocks are composed by so many; a target has at most the square of it
 MIN_BLOCK = 4096  # matched rows a block
+BLOCKS = 256  # blocks a part: what a task holds of a target at once
 
 
-def golden_lists(tgt: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, patterns): a target's lines in order, one row per target (golden files are written by hand)."""
-    line = F.array_sort(F.collect_list(F.struct("row_idx", "pattern")))
-    return tgt.groupBy(*keys).agg(F.transform(line, lambda x: x["pattern"]).alias("patterns"))
+def golden_lines(tgt: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, __k, pattern, class): a target's lines by their place. Equal lines are one class: the place of the first."""
+    at = row_index(tgt.select(*keys, "row_idx", "pattern"), keys, "row_idx", "__k", ["pattern"])
+    first = at.groupBy(*keys, "pattern").agg(F.min("__k").alias("class"))
+    return at.join(first, [*keys, "pattern"], "left").select(*keys, "__k", "pattern", "class")
 
 
-def matched_rows(out: DataFrame, lists: DataFrame, keys: Sequence[str]) -> DataFrame:
+def matched_rows(out: DataFrame, golden: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, row_idx, classes): output rows that match some target line, by the lines' class numbers.
 
-    Equal target lines are one class: the place of the first. Lines that match as text meet by an equi-join on
-    their tokens. A line with regular expressions meets, by an equi-join too, the rows that have as many tokens and its
-    first plain token in its place (without any plain token: the rows with as many tokens); only those are tested.
+    Lines that match as text meet by an equi-join on their tokens. A line with regular expressions meets, by an equi-join
+    too, the rows that have as many tokens and its first plain token in its place (without any plain token: the rows with
+    as many tokens); only those are tested.
     """
     keys = list(keys)
     key = lambda c: F.array_join(tokens(F.col(c)), " ")
-    lines = lists.select(*keys, "patterns", F.explode(F.array_distinct("patterns")).alias("pattern"))
-    lines = lines.select(*keys, F.array_position("patterns", F.col("pattern")).alias("class"), key("pattern").alias("__text"),
-                         F.col("pattern").rlike(_META).alias("__meta"), compile_pattern(F.col("pattern")).alias("__rx"))
+    lines = golden.where(F.col("class") == F.col("__k")).select(
+        *keys, "class", key("pattern").alias("__text"),
+        F.col("pattern").rlike(_META).alias("__meta"), compile_pattern(F.col("pattern")).alias("__rx"))
     rows = out.select(*keys, "row_idx", "line", key("line").alias("__text"))
     plain = rows.join(lines.drop("__meta", "__rx"), [*keys, "__text"]).select(*keys, "row_idx", "class")
     fixed = F.filter(F.transform("__rx", lambda t, i: F.when(t["rx"].isNull(), F.struct(i.alias("at"), t["text"].alias("text")))),
@@ -275,42 +278,49 @@ def matched_rows(out: DataFrame, lists: DataFrame, keys: Sequence[str]) -> DataF
     return plain.unionByName(other).groupBy(*keys, "row_idx").agg(F.collect_set("class").alias("classes"))
 
 
+def _in_order(no: str, what: str):
+    return F.transform(F.array_sort(F.collect_list(F.struct(no, what))), lambda x: x[what])
+
+
 def verify_include(out: DataFrame, tgt: DataFrame, keys: Sequence[str] = ("case_id",),
                    heads: DataFrame | None = None) -> DataFrame:
     """Target lines must occur in the output in order (greedy subsequence).
 
-    The matched rows of a target are cut into blocks of about ``MIN_BLOCK`` rows. A block maps every pointer it may be
-    entered with to the one it is left with, in its own task; the maps of ``BLOCKS`` neighbours are composed to one, and
-    those of a target are applied in order. Output: keys, n_targets, n_matched, verdict; without lines a target passes.
+    The matched rows of a target are stored by blocks of ``MIN_BLOCK`` class sets, and followed a part of ``BLOCKS``
+    blocks after the other, all targets at once. A part meets only the lines that it can reach, from where the part
+    before has ended, so a task holds a part and as many lines of a target however large it is. Output: keys,
+    n_targets, n_matched, verdict; without lines a target passes.
     """
-    keys = list(keys)
-    lists = golden_lists(tgt, keys)
-    want = lists.select(*keys, F.transform("patterns", lambda p: F.array_position("patterns", p)).alias("__want"))
-    rows = matched_rows(out, lists, keys)
-    span = rows.groupBy(*keys).agg(
-        F.min("row_idx").alias("__lo"), F.max("row_idx").alias("__hi"),
-        F.greatest(F.lit(1), F.least(F.lit(BLOCKS * BLOCKS), F.ceil(F.count(F.lit(1)) / MIN_BLOCK))).alias("__n"))
-    cut = rows.join(span, keys).withColumn(
-        "__block", F.floor((F.col("row_idx") - F.col("__lo")) * F.col("__n") / (F.col("__hi") - F.col("__lo") + 1)))
-    blocks = (cut.groupBy(*keys, "__block")
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "classes"))),
-                               lambda x: x["classes"]).alias("__rows"))
-              .join(want, keys))
+    keys, spark = list(keys), out.sparkSession
+    golden = share(golden_lines(tgt, keys))
+    rows = matched_rows(out, golden, keys)
+    path = scratch_path(spark, "matched")
+    rows.write.parquet(path)
+    rows = row_index(spark.read.schema(rows.schema).parquet(path), keys, "row_idx", "__i")
+    blocks = (rows.groupBy(*keys, F.floor(F.col("__i") / MIN_BLOCK).alias("__block"))
+              .agg(_in_order("__i", "classes").alias("__rows"))
+              .withColumn("__part", F.floor(F.col("__block") / BLOCKS)))
+    path = scratch_path(spark, "blocks")
+    blocks.write.partitionBy("__part").parquet(path)
+    blocks = spark.read.schema(blocks.schema).parquet(path)
+    parts = blocks.agg(F.max("__part")).first()[0]
+
+    sizes = golden.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_targets"))
+    ends = sizes.select(*keys, F.lit(0).cast("long").alias("__p"))
     step = lambda p, r: F.when(F.array_contains(r, F.get("__want", p)), p + 1).otherwise(p)
-    # the first block can only be entered with pointer 0
-    last = F.when(F.col("__block") == 0, F.lit(0)).otherwise(F.size("__want"))
-    maps = blocks.select(*keys, "__block", F.transform(
-        F.sequence(F.lit(0), last), lambda p: F.aggregate("__rows", p, step)).alias("__to"))
-    in_order = lambda no: F.transform(F.array_sort(F.collect_list(F.struct(no, "__to"))), lambda x: x["__to"])
-    follow = lambda p: F.aggregate("__maps", p, lambda q, m: F.get(m, q))
-    # a composed map is entered with the pointers that its first block is entered with
-    maps = (maps.groupBy(*keys, F.floor(F.col("__block") / BLOCKS).alias("__part")).agg(in_order("__block").alias("__maps"))
-            .select(*keys, "__part", F.transform(F.sequence(F.lit(0), F.size(F.get("__maps", F.lit(0))) - 1), follow)
-                    .alias("__to")))
-    ends = (maps.groupBy(*keys).agg(in_order("__part").alias("__maps"))
-            .select(*keys, follow(F.lit(0)).alias("n_matched")))
-    sizes = want.select(*keys, F.size("__want").alias("n_targets"))
+    for part in range(0 if parts is None else parts + 1):
+        want = golden.join(ends, keys).where(F.col("__k").between(F.col("__p"), F.col("__p") + BLOCKS * MIN_BLOCK - 1))
+        want = (want.groupBy(*keys, "__p", F.floor(F.col("__k") / MIN_BLOCK).alias("__b"))
+                .agg(_in_order("__k", "class").alias("__lines"))
+                .groupBy(*keys, "__p").agg(F.flatten(_in_order("__b", "__lines")).alias("__want")))
+        here = (blocks.where(F.col("__part") == part).groupBy(*keys).agg(_in_order("__block", "__rows").alias("__blocks"))
+                .join(want, keys)
+                .select(*keys, (F.col("__p") + F.aggregate("__blocks", F.lit(0), lambda p, b: F.aggregate(b, p, step)))
+                        .alias("__to")))
+        ends = ends.join(here, keys, "left").select(*keys, F.coalesce("__to", "__p").alias("__p"))
+        if part < parts:
+            ends = share(ends)
     res = (sizes if heads is None else heads.select(*keys).join(sizes, keys, "left")).join(ends, keys, "left")
-    n_t, n_m = (F.coalesce(c, F.lit(0)).cast("long") for c in ("n_targets", "n_matched"))
+    n_t, n_m = (F.coalesce(c, F.lit(0)).cast("long") for c in ("n_targets", "__p"))
     return res.select(*keys, n_t.alias("n_targets"), n_m.alias("n_matched"),
                       F.when(n_t == n_m, PASS).otherwise(LINES_INCLUDE).alias("verdict"))

@@ -98,3 +98,20 @@ def test_every_target_gets_a_verdict(spark):
         5: ("data-received", "DataNotReceived", "data has not all received"),
         6: ("match", "LinesNotMatch", "line 0: 1 | # plain comment"), 7: ("include", "Pass", None),
         8: ("match", "LineCountDiff", "1 lines, expected 0")}
+
+
+def test_include_of_many_distinct_lines_keeps_them_apart(spark, monkeypatch):
+    """No row of the plan holds a target's whole list beside each of its lines; lists longer than a part are followed whole."""
+    monkeypatch.setattr(vf, "MIN_BLOCK", 16)
+    monkeypatch.setattr(vf, "BLOCKS", 4)
+    n = 500
+    out = spark.range(n).selectExpr("1L AS case_id", "id * id AS row_idx", "concat('r ', id) AS line")
+    tgt = spark.range(n).selectExpr("1L AS case_id", "id AS row_idx", "IF(id % 3 = 0, '[r] [0-9]+', concat('r ', id)) AS pattern")
+    late = tgt.selectExpr("2L AS case_id", "row_idx", "IF(row_idx = 300, 'r 299', pattern) AS pattern")
+    empty = spark.createDataFrame([(3, 0, None), (4, 0, "q")], "case_id long, row_idx long, pattern string")
+    both = out.union(out.selectExpr("2L", "row_idx", "line")).union(out.selectExpr("3L", "row_idx", "line"))
+    got = {r.case_id: (r.n_targets, r.n_matched) for r in vf.verify_include(both, tgt.union(late).union(empty)).collect()}
+    assert got == {1: (n, n), 2: (n, 300), 3: (1, 0), 4: (1, 0)}
+    golden = vf.golden_lines(tgt, ["case_id"])
+    assert dict(golden.dtypes)["class"] == "bigint"
+    assert max(len(r.classes) for r in vf.matched_rows(out, golden, ["case_id"]).collect()) == 2
