@@ -4,7 +4,8 @@
 all-null rows and are dropped, as the reference skips them. Logs may lie as they were written: ``EVENT*`` files in
 a folder per run, stock single files (``app-..``, ``local-..``, ``application_..``), stock rolled logs
 (``eventlog_v2_<app>/events_N_<app>``), or part files below ``run=<name>`` folders. ``write_event_log``
-renders canonical jobs/stages as the three event kinds the analytics use, one folder per run, in parallel part files.
+renders canonical jobs/stages as the three event kinds the analytics use, one folder per run, in parallel, compressed
+part files.
 """
 
 from __future__ import annotations
@@ -79,5 +80,6 @@ def event_lines(jobs: DataFrame, stages: DataFrame, owner_key: str = "jobOwner")
 
 def write_event_log(jobs: DataFrame, stages: DataFrame, path: str,
                     owner_key: str = "jobOwner") -> str:
-    event_lines(jobs, stages, owner_key).write.mode("overwrite").partitionBy("run").text(path)
+    (event_lines(jobs, stages, owner_key).write.mode("overwrite").option("compression", "lz4").partitionBy("run")
+     .text(path))
     return path

@@ -59,3 +59,22 @@ def test_stock_logs_by_their_paths(spark, tmp_path):
     assert (j.sql_text, j.stream_id, j.submit_ms, j.finish_ms, j.result) == ("select 1", None, 100, 160, "JobSucceeded")
     s = ev.stage_fact(log).where("run = 'app-3'").collect()
     assert [(r.job_id, r.stage_id, r.name, r.complete_ms, r.sql_text) for r in s] == [(0, 1, "new", 150, "select 1")]
+
+
+def test_a_written_log_is_compressed_and_read_whole(spark, tmp_path):
+    from tessera.sources.eventlog import event_lines, read_event_log, write_event_log
+    jobs = spark.range(4000).selectExpr(
+        "IF(id % 3 = 0, 'base', 'reg') AS run", "id AS job_id", "concat('select ', id) AS sql_text", "'s' AS stream_id",
+        "id * 10 AS submit_ms", "IF(id % 7 = 0, NULL, id * 10 + 5) AS finish_ms",
+        "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 5 = 0 THEN 'JobFailed' ELSE 'JobSucceeded' END AS result")
+    stages = spark.range(8000).selectExpr(
+        "IF(id div 2 % 3 = 0, 'base', 'reg') AS run", "id div 2 AS job_id", "id AS stage_id", "concat('n', id % 4) AS name",
+        "id AS submit_ms", "id + 9 AS complete_ms")
+    path = write_event_log(jobs, stages, str(tmp_path / "log"))
+    plain = event_lines(jobs, stages).selectExpr("sum(length(value) + 1)").first()[0]
+    files = [f for f in (tmp_path / "log").rglob("part-*")]
+    assert files and sum(f.stat().st_size for f in files) * 2 < plain
+    log = read_event_log(spark, path)
+    facts = sorted((r.run, r.job_id, r.submit_ms, r.finish_ms, r.result) for r in ev.job_fact(log).collect())
+    assert facts == sorted((r.run, r.job_id, r.submit_ms, r.finish_ms, r.result) for r in jobs.collect())
+    assert log.where("`Stage Info` IS NOT NULL").count() == 8000
