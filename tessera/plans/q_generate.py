@@ -6,6 +6,7 @@ the work grows with it. The oracles are written by hand from the definition of t
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import functions as F
@@ -177,10 +178,18 @@ def q_gen_csv_sink(spark, sf):
 
 
 # ------------------------------------------------------------------ spec scripts from `part`
+PARTS_A_TASK = 1 << 13  # nine lines each
+
+
 def part_spec_lines(spark, sf):
-    """One spec table per part row; 100 tables per spec file."""
+    """One spec table per part row; 100 tables per spec file.
+
+    The short rows are dealt out by file before they become lines, to as many tasks as there are lines for.
+    """
     p = read_table(spark, sf, "part")
     k, s = F.col("p_partkey"), F.col("p_size")
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(p.count() / PARTS_A_TASK))
+    p = p.select((k / 100).cast("long").alias("file"), "p_partkey", "p_size").repartition(tasks, "file")
     lines = F.array(
         F.concat(F.lit("table: p"), k.cast("string"), F.lit(" : "), s.cast("string")),
         F.lit("row:{ c1 int, C2 float,"),
@@ -192,7 +201,7 @@ def part_spec_lines(spark, sf):
         F.lit("(zz) include (9 0.2)"),
         F.lit("end;"),
         F.lit(""))
-    return p.select((k / 100).cast("long").alias("file"), (k % 100).alias("__k"),
+    return p.select("file", (k % 100).alias("__k"),
                     F.posexplode(lines).alias("__pos", "line")) \
             .select("file", (F.col("__k") * 10 + F.col("__pos")).alias("n"), "line")
 
@@ -215,17 +224,15 @@ UNION ALL SELECT 'p' || CAST(p_partkey AS VARCHAR), 'c4', 'x', 0.5, 'frequency',
 SELECT 'p' || CAST(p_partkey AS VARCHAR) AS "table", CAST(p_size AS BIGINT) AS n_rows, c.pos, c.col, c.type
 FROM part, (VALUES (0, 'c1', 'int'), (1, 'c2', 'float'), (2, 'c3', 'string'), (3, 'c4', 'timestamp')) c(pos, col, type)""")
 def q_gen_spec_scan(spark, sf):
-    tables, columns, _ = _parsed(spark, sf)
-    return (tables.join(columns, ["file", "table_no"])
-            .select("table", "n_rows", "pos", "col", "type"))
+    _, columns, _ = _parsed(spark, sf)
+    return columns.select("table", "n_rows", "pos", "col", "type")
 
 
 @register("gen_multi_col_rule", f"""
 SELECT "table", col, value, CAST(freq AS DOUBLE) AS freq, kind, group_idx, col_idx FROM ({_PART_RULES}) r""")
 def q_gen_multi_col_rule(spark, sf):
-    tables, _, rules = _parsed(spark, sf)
-    return (rules.join(tables, ["file", "table_no"])
-            .select("table", "col", "value", "freq", "kind", "group_idx", "col_idx"))
+    _, _, rules = _parsed(spark, sf)
+    return rules.select("table", "col", "value", "freq", "kind", "group_idx", "col_idx")
 
 
 @register("gen_rule_merge", f"""
@@ -237,6 +244,5 @@ FROM (SELECT "table", col, value, CAST(max(freq) AS DOUBLE) AS freq,
              arg_min(col_idx, line * 10000 + group_idx * 100 + col_idx) AS col_idx
       FROM ({_PART_RULES}) r GROUP BY "table", col, value) m""")
 def q_gen_rule_merge(spark, sf):
-    tables, _, rules = _parsed(spark, sf)
-    return (merge_rules(rules).join(tables, ["file", "table_no"])
-            .select("table", "col", "value", "freq", "kind", "rank"))
+    _, _, rules = _parsed(spark, sf)
+    return merge_rules(rules).select("table", "col", "value", "freq", "kind", "rank")

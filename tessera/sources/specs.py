@@ -9,8 +9,10 @@ Grammar (per non-empty, trimmed line)::
 
 Each file is read whole (spec files are small), split into numbered lines,
 and every line's state (current table, inside a ``row:{`` block) comes from
-windows per file. Output frames: tables, columns and raw rules; ``merge_rules``
-applies "same value keeps the larger frequency and the first kind".
+windows per file. Output frames: tables, columns and raw rules, each with its
+table's name, so nothing is joined back and lines that lie by ``file`` already
+are not moved again; ``merge_rules`` applies "same value keeps the larger
+frequency and the first kind".
 """
 
 from __future__ import annotations
@@ -51,6 +53,7 @@ def _states(lines: DataFrame) -> DataFrame:
           .withColumn("__tev", F.when(is_end, 0).when(is_table, 1))
           .withColumn("__rev", F.when(row_end, 0).when(row_start, 1))
           .withColumn("table_no", F.sum(is_table.cast("int")).over(w_incl))
+          .withColumn("__head", F.last(F.when(is_table, F.col("tok")), ignorenulls=True).over(w_incl))
           .withColumn("__t_prev", F.last("__tev", ignorenulls=True).over(w_prev))
           .withColumn("__r_prev", F.last("__rev", ignorenulls=True).over(w_prev)))
     in_table = F.col("__is_table") | (F.coalesce("__t_prev", F.lit(0)) == 1)
@@ -63,61 +66,57 @@ def _states(lines: DataFrame) -> DataFrame:
 def parse_specs(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """-> (tables, columns, rules) from (file, n, line)."""
     s = _states(lines)
-    parts = F.split(F.substring("tok", 7, 1 << 30), ":")
-    tables = (s.where("__is_table")
-              .select("file", "table_no", jtrim(parts[0]).alias("table"),
-                      F.expr("try_cast(trim(split(substring(tok, 7), ':')[1]) AS BIGINT)").alias("n_rows"))
-              .withColumn("n_rows", F.coalesce("n_rows", F.raise_error(F.concat(
-                  F.lit("no row count for table "), F.col("table"))).cast("long"))))
-
-    decl = (s.where("in_row").withColumn("__b", F.when(F.startswith("tok", F.lit("row:{")),
-                                                       F.substring("tok", 6, 1 << 30)).otherwise(F.col("tok")))
-            .withColumn("__b", F.when(F.endswith("__b", F.lit("}")),
-                                      F.expr("substring(__b, 1, length(__b) - 1)")).otherwise(F.col("__b")))
-            .select("file", "table_no", "n",
-                    F.posexplode(F.filter(F.split("__b", ","), lambda x: F.length(x) > 0)).alias("k", "d"))
-            .withColumn("__w", F.transform(F.filter(F.split("d", " "), lambda x: F.length(x) > 0),
-                                           lambda x: F.lower(jtrim(x))))
-            .where(F.size("__w") == 2)
-            .select("file", "table_no", "n", "k", F.col("__w")[0].alias("col"), F.col("__w")[1].alias("type")))
-    columns = (decl.withColumn("type", F.when(F.col("type").isin(*TYPES), F.col("type")).otherwise(
-                   F.raise_error(F.concat(F.lit("unknown column type "), F.col("type")))))
-               .withColumn("pos", F.row_number().over(
-                   Window.partitionBy("file", "table_no").orderBy("n", "k")) - 1)
-               .select("file", "table_no", "pos", "col", "type"))
-
-    r = s.where("is_rule").select("file", "table_no", "n", "tok")
+    head = F.split(F.substring("__head", 7, 1 << 30), ":")
+    table = jtrim(head[0]).alias("table")
+    n_rows = F.coalesce(F.expr("try_cast(trim(split(substring(__head, 7), ':')[1]) AS BIGINT)"), F.raise_error(F.concat(
+        F.lit("no row count for table "), jtrim(head[0]))).cast("long")).alias("n_rows")
+    tables = s.where("__is_table").select("file", "table_no", table, n_rows)
+
+    filled = lambda c, sep: F.filter(F.split(c, sep), lambda x: F.length(x) > 0)
+    body = F.when(F.startswith("tok", F.lit("row:{")), F.substring("tok", 6, 1 << 30)).otherwise(F.col("tok"))
+    body = F.when(F.endswith(body, F.lit("}")), F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
+    decl = F.filter(F.transform(filled(body, ","), lambda d: F.transform(filled(d, " "), lambda x: F.lower(jtrim(x)))),
+                    lambda w: F.size(w) == 2)
+    s = s.withColumn("__decl", F.when(F.col("in_row"), decl))
+    columns = (s.where("in_row")
+               .select("file", "table_no", table, n_rows, "n", F.posexplode("__decl").alias("k", "__w"))
+               .withColumn("pos", F.row_number().over(Window.partitionBy("file", "table_no").orderBy("n", "k")) - 1)
+               .select("file", "table_no", "table", "n_rows", "pos", F.col("__w")[0].alias("col"),
+                       F.when(F.col("__w")[1].isin(*TYPES), F.col("__w")[1]).otherwise(
+                           F.raise_error(F.concat(F.lit("unknown column type "), F.col("__w")[1]))).alias("type")))
+
+    # rules on undeclared columns are ignored (column names compare case-insensitively)
+    names = F.flatten(F.collect_list(F.transform("__decl", lambda w: w[0])).over(Window.partitionBy("file", "table_no")))
+    r = (s.where(F.col("file").isNotNull()).select("file", "table_no", table, "n", "tok", "is_rule", names.alias("__names"))
+         .where("is_rule"))
     shape = r"^[^(]*\(([^)]*)\)([^(]*)\(([^)]*)\)"  # (columns) kind (values)
     words = lambda group, sep: F.transform(F.filter(F.split(F.regexp_extract("tok", shape, group), sep),
                                                     lambda x: F.length(x) > 0), jtrim)
     r = (r.where(F.col("tok").rlike(shape))
-         .select("file", "table_no", "n", words(1, ",").alias("__cols"),
+         .select("file", "table_no", "table", "__names", "n", words(1, ",").alias("__cols"),
                  F.lower(jtrim(F.regexp_extract("tok", shape, 2))).alias("kind"), words(3, ";").alias("__groups"))
          .withColumn("kind", F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise(
              F.raise_error(F.concat(F.lit("unknown rule kind "), F.col("kind"))))))
-    g = r.select("file", "table_no", "n", "kind", "__cols",
+    g = r.select("file", "table_no", "table", "__names", "n", "kind", "__cols",
                  F.posexplode("__groups").alias("group_idx", "__g"))
-    e = g.select("file", "table_no", "n", "kind", "group_idx", "__cols",
+    e = g.select("file", "table_no", "table", "__names", "n", "kind", "group_idx", "__cols",
                  F.posexplode(F.transform(F.filter(F.split("__g", ","), lambda x: F.length(x) > 0),
                                           lambda x: jtrim(x))).alias("col_idx", "__e"))
     e = e.where(F.col("col_idx") < F.size("__cols"))
     vf = F.split("__e", " ")
     ok = (F.size(vf) == 2) | ((F.size(vf) == 1) & (F.col("kind") == "except"))
-    rules = (e.where(ok)
-             .select("file", "table_no", "n", "group_idx", "col_idx",
-                     F.lower(F.element_at("__cols", F.col("col_idx") + 1)).alias("col"),
-                     vf[0].alias("value"),
+    rules = (e.where(ok).withColumn("col", F.lower(F.element_at("__cols", F.col("col_idx") + 1)))
+             .where(F.array_contains("__names", F.col("col")))
+             .select("file", "table_no", "table", "n", "group_idx", "col_idx", "col", vf[0].alias("value"),
                      F.when(F.size(vf) == 2, F.expr("try_cast(split(__e, ' ')[1] AS DOUBLE)")).alias("freq"),
                      "kind"))
-    # rules on undeclared columns are ignored (column names compare case-insensitively)
-    rules = rules.join(columns.select("file", "table_no", "col"), ["file", "table_no", "col"], "left_semi")
     return tables, columns, rules
 
 
 def merge_rules(rules: DataFrame) -> DataFrame:
     """Same value in one column: larger frequency, first kind; ``rank`` = order of first appearance."""
     seq = F.struct("n", "group_idx", "col_idx")
-    m = rules.groupBy("file", "table_no", "col", "value").agg(
+    m = rules.groupBy("file", "table_no", "table", "col", "value").agg(
         F.max("freq").alias("freq"), F.min_by("kind", seq).alias("kind"), F.min(seq).alias("__first"))
     return m.withColumn("rank", (F.row_number().over(
         Window.partitionBy("file", "table_no", "col").orderBy("__first")) - 1).cast("long")).drop("__first")

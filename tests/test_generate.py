@@ -162,3 +162,21 @@ def test_spec_parser_on_sample(spark):
     m = sorted((r.table_no, r.col, r.value, r.freq, r.kind) for r in merge_rules(rules).collect())
     assert m == [(1, "l1", "1", 0.4, "include"), (1, "l1", "2", 0.3, "include"),
                  (2, "l2", "1", None, "except"), (2, "l2", "2", 0.3, "include")]
+
+
+def test_spec_lines_are_not_moved_once_they_lie_by_file(spark, tmp_path):
+    """What a rule belongs to comes along with its line; the rows that lines are made of are dealt out before."""
+    from tessera.plans import q_generate as q
+    spark.range(950).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    for query, n in ((q.q_gen_rule_merge, None), (q.q_gen_multi_col_rule, 950 * 6), (q.q_gen_spec_scan, 950 * 4)):
+        got = query(spark, str(tmp_path))
+        assert n is None or got.count() == n
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" not in plan
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    lines = spark.createDataFrame([("f", i, l) for i, l in enumerate(
+        ["table: t : 3", "(A, b) include (1 0.4, 2 0.3)", "row:{ a int,", "c float}", "end;", "(a) include (9 0.1)",
+         "table: u : 4", "row:{ b int}", "(a, B) except (5, 6)", "end;"])], "file string, n long, line string")
+    tables, columns, rules = parse_specs(lines)
+    assert sorted((r.table, r.pos, r.col) for r in columns.collect()) == [("t", 0, "a"), ("t", 1, "c"), ("u", 0, "b")]
+    assert sorted((r.table, r.table_no, r.col, r.value) for r in rules.collect()) == [("t", 1, "a", "1"), ("u", 2, "b", "6")]
