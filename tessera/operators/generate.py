@@ -12,10 +12,12 @@ scan over the ids.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -202,26 +204,75 @@ def _ids(spark: SparkSession, n: int, rows_per_task: int = 1 << 22) -> DataFrame
     return spark.range(0, n, 1, numPartitions=min(parts, max(n, 1)))
 
 
+BUCKET_BITS = 16  # a stream's ids are packed by their upper bits
+
+
+def _packed(ids: np.ndarray, hits: np.ndarray) -> dict:
+    """A bucket's ids, sorted, and their hits (a row for each name) as one short text."""
+    order = np.argsort(ids, kind="stable")
+    ids, hits = ids[order], hits[:, order].astype(np.uint8)
+    blob = np.diff(ids, prepend=ids[0]).astype("<u2").tobytes() + np.packbits(hits, axis=1).tobytes()
+    return {"n": len(ids), "lo": ids[0], "hi": ids[-1], "hits": [int(x.sum()) for x in hits],
+            "blob": zlib.compress(blob, 1)}
+
+
+def _unpacked(row, names: list[str]) -> pd.DataFrame:
+    """The ids of a bucket and the hits before each, those before the bucket included."""
+    blob, n = zlib.decompress(row.blob), int(row.n)
+    ids = np.cumsum(np.frombuffer(blob, "<u2", n).astype(np.int64)) + row.lo
+    bits = np.frombuffer(blob, np.uint8, offset=2 * n).reshape(len(names), -1)
+    hits = np.unpackbits(bits, axis=1, count=n).astype(np.int64)
+    return pd.DataFrame({"id": ids} | {x: np.cumsum(h) - h + before for x, h, before in zip(names, hits, row.hits)})
+
+
 def _carried_sums(stream: DataFrame, hits: dict[str, Column]) -> DataFrame:
-    """The exclusive running sums of a stream of ascending ids; a batch's ids meet in one task, like their draws."""
+    """The exclusive running sums of a stream whose ids ascend from batch to batch.
+
+    Rows meet by bucket of ids, and each bucket is packed where it lies (some bits a row). Only packed buckets meet in one
+    task, which adds up their hits; they are dealt out again before they become rows.
+    """
     names = list(hits)
 
+    def pack(batches):
+        parts: dict[int, list] = {}
+        for rows in batches:
+            flags = np.stack([rows[x].to_numpy(np.uint8) for x in names])
+            ids = rows["id"].to_numpy(np.int64)
+            at = ids >> BUCKET_BITS
+            for b in np.unique(at):
+                mine = at == b
+                parts.setdefault(int(b), []).append(((ids[mine] - (b << BUCKET_BITS)).astype(np.uint16), flags[:, mine]))
+        while parts:
+            b, own = parts.popitem()
+            yield pd.DataFrame([_packed(np.concatenate([x for x, _ in own]).astype(np.int64) + (b << BUCKET_BITS),
+                                        np.concatenate([x for _, x in own], axis=1))])
+
     def step(key, batches, state):
         last, *total = state.get if state.exists else (None, *[0] * len(names))
-        rows = pd.concat(list(batches)).sort_values("id")
-        if last is not None and rows["id"].iloc[0] <= last:
-            raise ValueError(f"id {rows['id'].iloc[0]} comes after id {last}")
-        out = rows[["id"]].copy()
-        for i, n in enumerate(names):
-            upto = rows[n].cumsum() + total[i]
-            out[n], total[i] = upto - rows[n], int(upto.iloc[-1])
-        state.update((int(rows["id"].iloc[-1]), *total))
-        yield out
-
-    schema = "id long, " + ", ".join(f"{n} long" for n in names)
-    return (stream.select("id", *[x.alias(n) for n, x in hits.items()], F.lit(0).alias("all")).groupBy("all")
-            .applyInPandasWithState(step, schema, schema.replace("id long", "last long"), "append",
-                                    GroupStateTimeout.NoTimeout))
+        rows = pd.concat(list(batches)).sort_values("lo", ignore_index=True)
+        if last is not None and rows["lo"].iloc[0] <= last:
+            raise ValueError(f"id {rows['lo'].iloc[0]} comes after id {last}")
+        before = []
+        for found in rows["hits"]:
+            before.append(list(total))
+            total = [int(t + x) for t, x in zip(total, found)]
+        rows["hits"] = before
+        state.update((int(rows["hi"].iloc[-1]), *total))
+        yield rows.drop(columns="all")
+
+    def unpack(batches):
+        for rows in batches:
+            for row in rows.itertuples():
+                yield _unpacked(row, names)
+
+    schema = "n long, lo long, hi long, hits array<long>, blob binary"
+    packed = (stream.select("id", *[x.alias(n) for n, x in hits.items()])
+              .repartition(F.shiftright("id", BUCKET_BITS)).mapInPandas(pack, schema))
+    summed = (packed.withColumn("all", F.lit(0)).groupBy("all")
+              .applyInPandasWithState(step, schema, "last long, " + ", ".join(f"{n} long" for n in names), "append",
+                                      GroupStateTimeout.NoTimeout))
+    dealt = summed.withColumn("bucket", F.shiftright("lo", BUCKET_BITS)).repartition("bucket")
+    return dealt.mapInPandas(unpack, "id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def paced_ids(spark: SparkSession, rows_per_second: int = 10) -> DataFrame:

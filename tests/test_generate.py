@@ -180,3 +180,29 @@ def test_spec_lines_are_not_moved_once_they_lie_by_file(spark, tmp_path):
     tables, columns, rules = parse_specs(lines)
     assert sorted((r.table, r.pos, r.col) for r in columns.collect()) == [("t", 0, "a"), ("t", 1, "c"), ("u", 0, "b")]
     assert sorted((r.table, r.table_no, r.col, r.value) for r in rules.collect()) == [("t", 1, "a", "1"), ("u", 2, "b", "6")]
+
+
+def test_a_stream_sends_packed_ids_through_its_state(spark, tmp_path):
+    """Ids of many buckets in any order, some twice, in one batch: the task that counts gets some bits an id."""
+    import numpy as np
+
+    from tessera.operators import generate as g
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([np.arange(0, 65536), [70000, 70000, 131071]]) + 65536 * 5
+    hits = rng.random((2, len(ids))) < 0.3
+    mixed = rng.permutation(65536)
+    row = g._packed(ids[:65536][mixed], hits[:, :65536][:, mixed])
+    assert (row["n"], row["lo"], row["hi"]) == (65536, 65536 * 5, 65536 * 6 - 1) and len(row["blob"]) < 65536
+    got = g._unpacked(type("Row", (), row | {"hits": [7, 0]}), ["x", "y"])
+    assert (got["id"].to_numpy() == ids[:65536]).all()
+    assert (got["x"].to_numpy() == 7 + np.cumsum(hits[0, :65536]) - hits[0, :65536]).all()
+    twice = g._unpacked(type("Row", (), g._packed(ids[65536:], hits[:, 65536:])), ["x", "y"])
+    assert twice["id"].tolist() == ids[65536:].tolist()
+
+    rows = spark.range(200_000).union(spark.range(150_000, 150_100)).selectExpr("id * 3 - 90000 AS id")
+    rows.orderBy(F.hash("id")).repartition(5).write.parquet(str(tmp_path / "src"))
+    own = sj.streaming_session(spark)
+    stream = gen_table(own, RAMP, seed=9, ids=own.readStream.schema("id long").parquet(str(tmp_path / "src")))
+    got = sj.drain(stream, "packed", spark).select("id", "t", "k")
+    want = gen_table(spark, RAMP, seed=9, ids=spark.read.parquet(str(tmp_path / "src")))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
